@@ -25,7 +25,8 @@ def _grams(df: DataFrame, hashes: str, k: int, out: str) -> DataFrame:
 def with_fingerprints(df: DataFrame, words: str, short: list[int], k: int = K, span: int = SPAN) -> DataFrame:
     """Replace array ``words`` by ``_fp``: distinct fingerprints.
 
-    The winnowed ones guarantee each shared run of ``span`` words. For each length in ``short`` (items
+    Explode it with explode_outer: for explode, Spark infers a filter on the array's size and pushes it
+    down, which writes every step below out again inside the filter. The winnowed ones guarantee each shared run of ``span`` words. For each length in ``short`` (items
     of fewer words) every run of that length is fingerprinted, salted with the length.
     """
     w = span - k + 1
@@ -52,8 +53,8 @@ def _windows(words: str, sizes: list[int], whole: bool) -> Column:
 def benchmark_windows(items: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[int]]:
     """(item, n, win) of all items, and the lengths under SPAN that occur among them."""
     rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), alnum_words(F.col("text")).alias("_w"))
-    rows = rows.withColumn("_win", F.explode(_windows("_w", list(range(1, SPAN + 1)), True)))
-    rows = scratch.put(rows.select("item", "_win.n", "_win.win").distinct(), "windows")
+    rows = rows.withColumn("_win", F.explode_outer(_windows("_w", list(range(1, SPAN + 1)), True)))
+    rows = scratch.put(rows.select("item", "_win.n", "_win.win").filter(F.col("win").isNotNull()).distinct(), "windows")
     short = sorted(r[0] for r in rows.select("n").distinct().filter(F.col("n").isin([*range(1, SPAN)])).collect())  # nine values at most
     return rows, short
 
@@ -70,20 +71,20 @@ def contaminated(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFra
     wins, short = benchmark_windows(items, scratch)
     n_wins = wins.count()
     held = items.select(alnum_words(F.col("text")).alias("_w"))
-    prints = with_fingerprints(held, "_w", [], K, SPAN).select(F.explode("_fp").alias("fp"))
+    prints = with_fingerprints(held, "_w", [], K, SPAN).select(F.explode_outer("_fp").alias("fp"))
     for n in short:
         only = wins.filter(F.col("n") == n).select(F.split("win", " ").alias("_w")).withColumn("_wh", F.transform("_w", lambda x: F.xxhash64(x)))
-        prints = prints.unionByName(_grams(only, "_wh", n, "_g").select(F.explode("_g").alias("fp")).select(F.expr(f"xxhash64(fp, {n})").alias("fp")))
-    prints = scratch.put(prints.distinct(), "prints")
+        prints = prints.unionByName(_grams(only, "_wh", n, "_g").select(F.explode_outer("_g").alias("fp")).select(F.expr(f"xxhash64(fp, {n})").alias("fp")))
+    prints = scratch.put(prints.filter(F.col("fp").isNotNull()).distinct(), "prints")
     n_prints = prints.count()
     named = docs.select("doc_id", F.col("text").alias("_text")).filter(F.col("_text").isNotNull()).withColumn("text_hash", F.xxhash64("_text"))
     marks = with_fingerprints(named.withColumn("_w", alnum_words(F.col("_text"))).drop("_text"), "_w", short)
-    marks = marks.select("doc_id", "text_hash", F.explode("_fp").alias("fp"))
+    marks = marks.select("doc_id", "text_hash", F.explode_outer("_fp").alias("fp"))
     found = scratch.put(marks.join(sized_broadcast(prints, n_prints, BROADCAST_ROWS), "fp", "left_semi").select("doc_id", "text_hash").distinct(), "candidates")
     # extension: every window of a candidate, compared as text
     f = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"))
     texts = named.join(f, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_th")), "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    runs = texts.select("doc_id", "text_hash", alnum_words(F.col("_text")).alias("_w")).withColumn("_win", F.explode(_windows("_w", [*short, SPAN], False)))
+    runs = texts.select("doc_id", "text_hash", alnum_words(F.col("_text")).alias("_w")).withColumn("_win", F.explode_outer(_windows("_w", [*short, SPAN], False)))
     runs = runs.select("doc_id", "text_hash", "_win.pos", "_win.n", "_win.win")
     kinds = wins.select("n", "win").distinct()
     hits = scratch.put(runs.join(sized_broadcast(kinds, n_wins, BROADCAST_ROWS), ["n", "win"], "left_semi"), "hits")
