@@ -7,6 +7,7 @@ from importlib import import_module
 #: query name -> (module, function, name of the SQL text in the module or None)
 ENTRIES = {
     "op3_decontaminate": ("decontaminate", "op3_decontaminate", "OP3_SQL"),
+    "op4_quality_rules": ("fertility", "op4_quality_rules", None),
     "op6_chat": ("chat", "op6_chat", "OP6_SQL"),
     "op10_mix": ("mixing", "op10_mix", "OP10_SQL"),
 }
