@@ -9,6 +9,7 @@ ENTRIES = {
     "op2_near_dedup": ("near_dedup", "op2_near_dedup", "OP2_SQL"),
     "op3_decontaminate": ("decontaminate", "op3_decontaminate", "OP3_SQL"),
     "op4_quality_rules": ("fertility", "op4_quality_rules", None),
+    "op5_language": ("language", "op5_language", None),
     "op6_chat": ("chat", "op6_chat", "OP6_SQL"),
     "op9_line_dedup": ("line_dedup", "op9_line_dedup", "OP9_SQL"),
     "op10_mix": ("mixing", "op10_mix", "OP10_SQL"),
