@@ -11,6 +11,8 @@ ENTRIES = {
     "op4_quality_rules": ("fertility", "op4_quality_rules", None),
     "op5_language": ("language", "op5_language", None),
     "op6_chat": ("chat", "op6_chat", "OP6_SQL"),
+    "op7_token_counts": ("token_rollup", "op7_token_counts", None),
+    "op8_quality_classifier": ("ordinal", "op8_quality_classifier", None),
     "op9_line_dedup": ("line_dedup", "op9_line_dedup", "OP9_SQL"),
     "op10_mix": ("mixing", "op10_mix", "OP10_SQL"),
 }
