@@ -69,12 +69,15 @@ def mix(docs: DataFrame, scratch: Scratch, size: Column | None = None, weights=W
     rows = rows.join(sized_broadcast(per, n_sources, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_mx_source"))).drop("_mx_source")
     place = F.conv(F.substring("_mx_key", 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     rows = rows.withColumn("_mx_bucket", F.floor(place * F.col("_mx_b")).cast("long"))
-    totals = rows.groupBy(F.col("source").alias("_mx_source"), F.col("_mx_bucket").alias("_mx_bk")).agg(F.sum("size").alias("_mx_sum"))
-    ahead = Window.partitionBy("_mx_source").orderBy("_mx_bk").rowsBetween(Window.unboundedPreceding, -1)
+    # null-safe parts of the key, the same for windows and join, so that whole rows are moved once
+    where = ["_mx_src", "_mx_none", "_mx_bucket"]
+    rows = rows.withColumn("_mx_src", F.coalesce("source", F.lit(""))).withColumn("_mx_none", F.col("source").isNull())
+    totals = rows.groupBy(*where).agg(F.sum("size").alias("_mx_sum"))
+    ahead = Window.partitionBy("_mx_src", "_mx_none").orderBy("_mx_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("_mx_base", F.coalesce(F.sum("_mx_sum").over(ahead), F.lit(0))).drop("_mx_sum")
-    inside = Window.partitionBy("source", "_mx_bucket").orderBy("_mx_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*where).orderBy("_mx_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_mx_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.join(totals, F.col("source").eqNullSafe(F.col("_mx_source")) & (F.col("_mx_bucket") == F.col("_mx_bk")))
+    rows = rows.join(totals, where)
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_mx_rest") - F.col("_mx_base") - F.col("_mx_in")))
     rows = rows.withColumn("taken", (F.col("size") * F.col("epochs") + part).cast("long"))
     return rows.drop(*[c for c in rows.columns if c.startswith("_mx_")])

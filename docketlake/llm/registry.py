@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name -> (module, function, name of the SQL text in the module or None)
 ENTRIES = {
+    "op1_main_text": ("html_main", "op1_main_text", None),
     "op2_near_dedup": ("near_dedup", "op2_near_dedup", "OP2_SQL"),
     "op3_decontaminate": ("decontaminate", "op3_decontaminate", "OP3_SQL"),
     "op4_quality_rules": ("fertility", "op4_quality_rules", None),
