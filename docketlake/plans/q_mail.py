@@ -1 +1,65 @@
+from pyspark.sql import functions as F
 
+from docketlake.operators import mail as M
+from docketlake.plans.catalog import query
+
+H = r"substr(sha256(regexp_replace(lower(regexp_replace(body, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g')), 1, 16)"
+DUP = f"""m AS (SELECT *, {H} AS h, min(email_idx) OVER (PARTITION BY message_id) AS fi FROM :mail),
+b AS (SELECT h, min(email_idx) AS fb FROM m WHERE email_idx = fi AND regexp_replace(body, '^\\s+|\\s+$', '', 'g') <> '' GROUP BY h),
+d AS (SELECT m.*, CASE WHEN fi < email_idx THEN fi WHEN fb < email_idx THEN fb END AS duplicate_of FROM m LEFT JOIN b ON m.h = b.h)"""
+ADDR = r"regexp_extract_all({}, '[\w.+%-]+@[\w.-]+\.[A-Za-z]{{2,}}')"
+
+
+@query("eml3_content_hash", "mail", sql=f"SELECT email_idx, {H} AS content_hash FROM :mail")
+def hashes(m):
+    return m.select("email_idx", M.content_hash(F.col("body")).alias("content_hash"))
+
+
+@query("eml2_duplicates", "mail", sql=f"WITH {DUP} SELECT email_idx, duplicate_of FROM d WHERE duplicate_of IS NOT NULL")
+def dups(m):
+    return M.duplicates(m).filter("duplicate_of IS NOT NULL").select("email_idx", "duplicate_of")
+
+
+@query("eml1_threads", "mail", sql=r"""WITH RECURSIVE r AS (SELECT email_idx, regexp_replace(ref, '^\s*<|>\s*$', '', 'g') AS ref FROM (SELECT email_idx, message_id AS ref FROM :mail UNION ALL SELECT email_idx, in_reply_to FROM :mail WHERE in_reply_to IS NOT NULL) q),
+f AS (SELECT ref, min(email_idx) AS first FROM r GROUP BY ref), l AS (SELECT r.email_idx AS a, first AS b FROM r JOIN f ON r.ref = f.ref WHERE r.email_idx <> first), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+t AS (SELECT email_idx, email_idx AS seen FROM :mail UNION SELECT t.email_idx, e.b FROM t JOIN e ON e.a = t.seen) SELECT email_idx, min(seen) AS thread FROM t GROUP BY email_idx""")
+def threads(m):
+    return M.threads(m)
+
+
+_KW = " ".join(f"WHEN contains(t, '{k}') THEN 'Keyword: ''{k}'''" for k in M.PRIVILEGE)
+
+
+@query("eml4_privilege", "mail", sql=f"SELECT email_idx, concat_ws('; ', CASE {_KW} END, CASE WHEN contains(a || ' ' || t, 'person 3') THEN 'Attorney name: ''person 3''' END, CASE WHEN contains(a, 'b.org') THEN 'Privileged domain: ''b.org''' END) AS reasons FROM (SELECT email_idx, lower(subject || ' ' || body) AS t, lower(sender || ' ' || recipients) AS a FROM :mail) q WHERE reasons <> ''")
+def privilege(m):
+    return M.privilege(m, ["Person 3"], ["b.org"]).select("email_idx", "reasons")
+
+
+@query("eml5_addresses", "mail", sql=f"SELECT email_idx, lower(array_to_string({ADDR.format('recipients')}, '|')) AS addresses FROM :mail")
+def addresses(m):
+    return m.select("email_idx", F.array_join(M.addresses(F.col("recipients")), "|").alias("addresses"))
+
+
+@query("eml6_generated_ids", "mail", sql="SELECT email_idx, CASE WHEN in_reply_to IS NULL OR in_reply_to = '' THEN '<generated-' || email_idx || '-' || substr(md5(subject), 1, 8) || '>' ELSE in_reply_to END AS id FROM :mail")
+def generated(m):
+    return m.select("email_idx", M.message_id(F.col("in_reply_to"), F.col("email_idx"), F.col("subject")).alias("id"))
+
+
+@query("eag1_top_senders", "mail", sql=f"WITH {DUP} SELECT s AS sender, count(*)::BIGINT AS n FROM (SELECT lower(unnest({ADDR.format('sender')})) AS s FROM d WHERE duplicate_of IS NULL) q GROUP BY s ORDER BY n DESC, s LIMIT 10")
+def senders(m):
+    return M.duplicates(m).filter("duplicate_of IS NULL").select(F.explode(M.addresses(F.col("sender"))).alias("sender")).groupBy("sender").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "sender").limit(10)
+
+
+@query("eag2_mail_per_day", "mail", sql=f"WITH {DUP} SELECT CAST(date AS DATE) AS day, count(*)::BIGINT AS n FROM d WHERE duplicate_of IS NULL GROUP BY 1")
+def per_day(m):
+    return M.duplicates(m).filter("duplicate_of IS NULL").groupBy(F.to_date("date").alias("day")).agg(F.count("*").alias("n"))
+
+
+@query("grf14_mail_network", "mail", sql=f"WITH {DUP} SELECT src, dst, count(*)::BIGINT AS weight FROM (SELECT DISTINCT email_idx, src, lower(unnest({ADDR.format('recipients')})) AS dst FROM (SELECT email_idx, recipients, lower(unnest({ADDR.format('sender')})) AS src FROM d WHERE duplicate_of IS NULL) x) q WHERE src <> dst GROUP BY 1, 2")
+def network(m):
+    return M.network(M.duplicates(m).filter("duplicate_of IS NULL"))
+
+
+@query("src23_strip_html", "mail", sql=r"SELECT email_idx, regexp_replace(regexp_replace(regexp_replace('<p>' || subject || '</p> <b>x</b>', '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM :mail")
+def stripped(m):
+    return m.select("email_idx", M.strip_html(F.concat(F.lit("<p>"), "subject", F.lit("</p> <b>x</b>"))).alias("text"))
