@@ -96,7 +96,7 @@ SELECT l_orderkey AS doc_id, l_linenumber * 100000 + l_partkey AS page, CAST(CAS
 SELECT o_orderkey AS accession, CASE o_orderkey % 5 WHEN 0 THEN '10-K' WHEN 1 THEN '10-Q' WHEN 2 THEN '8-K' WHEN 3 THEN 'DEF 14A' ELSE '4' END AS form_type, CAST(o_orderdate AS DATE) AS filing_date,
   'Signed by John Q. Smith, Chief Executive Officer and Mary Jones - Treasurer of unit ' || o_custkey AS text FROM {orders}""",
     "frame": """
-SELECT user_id AS video_id, event_id AS frame_id, CAST(date_part('epoch', CAST(ts AS TIMESTAMP)) AS BIGINT) % 3600 * 1000 + (event_id * 37) % 1000 AS ts_ms, event_type AS pass FROM {events}""",
+SELECT user_id AS video_id, event_id AS frame_id, CAST(floor(date_part('epoch', CAST(ts AS TIMESTAMP))) AS BIGINT) % 3600 * 1000 + (event_id * 37) % 1000 AS ts_ms, event_type AS pass FROM {events}""",
 }
 
 

@@ -1 +1,296 @@
+from pyspark.sql import functions as F
 
+from docketlake.operators import records as R
+from docketlake.operators import text as T
+from docketlake.operators import timeseries as TS
+from docketlake.plans.catalog import query
+
+
+def _hits(words, t="t"):
+    return " + ".join(f"CASE WHEN contains({t}, '{w}') THEN 1 ELSE 0 END" for w in words)
+
+
+def _counts(words, t="t"):
+    return " + ".join(f"(length({t}) - length(replace({t}, '{w}', ''))) // {len(w)}" for w in words)
+
+
+def _best(lists, make):
+    scores = ", ".join(f"({make(w)}) AS s{i}" for i, w in enumerate(lists.values()))
+    best = "greatest(" + ", ".join(f"s{i}" for i in range(len(lists))) + ")"
+    pick = " ".join(f"WHEN s{i} = b THEN '{k}'" for i, k in enumerate(lists))
+    return scores, best, pick
+
+
+_s, _b, _p = _best(T.EVENT_TYPES, _hits)
+EVENT = f"SELECT doc_id, CASE WHEN b = 0 THEN 'other' {_p} END AS event_type FROM (SELECT doc_id, {_b} AS b, * EXCLUDE (doc_id) FROM (SELECT doc_id, {_s} FROM (SELECT doc_id, lower(text) AS t FROM :chron) x) y) z"
+
+
+@query("chr3_event_type", "chron", sql=EVENT)
+def event_type(c):
+    return c.select("doc_id", T.event_type(F.col("text")).alias("event_type"))
+
+
+@query("hag1_events_by_type", "chron", sql=f"SELECT event_type, count(*)::BIGINT AS n FROM ({EVENT}) e GROUP BY 1")
+def by_type(c):
+    return c.groupBy(T.event_type(F.col("text")).alias("event_type")).agg(F.count("*").alias("n"))
+
+
+_DATES = r"""SELECT o_orderkey AS doc_id, CAST(o_orderdate AS DATE) AS day FROM orders"""
+
+
+def _dates(c):
+    return c.select("doc_id", "text", F.explode_outer(T.dates_in(F.col("text"))).alias("d")).select("doc_id", "text", "d.raw", "d.day").filter("day is not null")
+
+
+@query("chr1_dates", "chron", sql=_DATES)
+def dates(c):
+    return _dates(c).select("doc_id", "day")
+
+
+@query("chr2_sentences", "chron", sql=r"SELECT doc_id, CASE WHEN length(s) < 50 THEN text ELSE s END AS sentence FROM (SELECT doc_id, text, regexp_extract(text, '\. (On .*)\. Later', 1) || '.' AS s FROM :chron) q")
+def sentences(c):
+    return _dates(c).select("doc_id", T.sentence_around(F.col("text"), F.col("raw")).alias("sentence"))
+
+
+@query("flt2_flt6_event_filter", "chron", sql=f"SELECT doc_id FROM ({EVENT}) e JOIN orders ON o_orderkey = doc_id WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1995-12-31' AND event_type IN ('filing', 'payment')")
+def event_filter(c):
+    typed = c.select("doc_id", T.event_type(F.col("text")).alias("event_type")).filter(F.col("event_type").isin("filing", "payment"))
+    return _dates(c).filter(F.col("day").between("1995-01-01", "1995-12-31")).select("doc_id").join(typed, "doc_id").select("doc_id")
+
+
+@query("win3_chr5_event_gaps", "chron", sql="SELECT day, nx AS next_day, (nx - day)::BIGINT AS days, CASE WHEN nx - day >= 90 THEN 'high' WHEN nx - day >= 60 THEN 'medium' ELSE 'low' END AS severity FROM (SELECT day, lead(day) OVER (ORDER BY day) AS nx FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 97 = 5) d) q WHERE nx - day >= 30")
+def gaps(c):
+    return TS.event_gaps(_dates(c.filter("doc_id % 97 = 5")).select("day"))
+
+
+@query("chr4_dedup_events", "chron")
+def dedup(c):
+    return T.dedup_events(_dates(c).select(F.col("doc_id").alias("event_id"), "day", "text"))
+
+
+@query("chr6_conflicts", "clause")
+def conflicts(c):
+    """Like statements under different days: the clauses of documents, dated by their number."""
+    e = c.select(F.col("change_id").alias("event_id"), "doc_id", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 5).cast("int")).alias("day"), F.col("old_text").alias("text")).dropDuplicates(["text", "day"])
+    return T.conflicts(e)
+
+
+_s2, _b2, _p2 = _best(T.MATTERS, _counts)
+_tot = " + ".join(f"s{i}" for i in range(len(T.MATTERS)))
+MATTER = f"SELECT client_id, CASE WHEN b = 0 THEN 'general' {_p2} END AS matter, CASE WHEN b = 0 THEN 0 ELSE CAST(floor(b * 100 / ({_tot}) + 0.5e0) AS BIGINT) END AS confidence FROM (SELECT client_id, {_b2} AS b, * EXCLUDE (client_id) FROM (SELECT client_id, {_s2} FROM (SELECT client_id, lower(text) AS t FROM :intake) x) y) z"
+
+
+@query("int3_matter_type", "intake", sql=MATTER)
+def matter(i):
+    m, c = T.matter_type(F.col("text"))
+    return i.select("client_id", m.alias("matter"), c.alias("confidence"))
+
+
+@query("int1_contact_info", "intake", sql=rf"SELECT client_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{T.PHONE}')))[1:5], '|') AS phones, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{T.EMAIL}')))[1:5], '|') AS mails FROM :intake")
+def contacts(i):
+    p, m = T.contact_info(F.col("text"))
+    return i.select("client_id", F.array_join(p, "|").alias("phones"), F.array_join(m, "|").alias("mails"))
+
+
+@query("int2_ssn", "intake", sql=rf"SELECT client_id, len(regexp_extract_all(text, '{T.SSN}'))::BIGINT AS n FROM :intake")
+def ssn(i):
+    return i.select("client_id", F.regexp_count("text", F.lit(T.SSN)).cast("long").alias("n"))
+
+
+@query("int4_name_variations", "intake", sql="SELECT client_id, 'John Q ' || name || '|' || name || '|John ' || name || '|J. ' || name || '|' || name || ', John|John Q. ' || name AS names FROM :intake")
+def names(i):
+    return i.select("client_id", F.array_join(T.name_variations(F.concat(F.lit("John Q "), "name")), "|").alias("names"))
+
+
+_R = " ".join("WHEN " + " OR ".join(f"contains(s, '{w}')" for w in ws) + f" THEN '{r}'" for r, ws in T.ROLES.items())
+
+
+@query("int5_roles", "intake", sql=rf"SELECT client_id, CASE {_R} ELSE 'Unknown' END AS role FROM (SELECT client_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '[.!?]\s+'), lambda x: contains(x, lower(name))), chr(10)) AS s FROM :intake) q")
+def roles(i):
+    return i.select("client_id", T.infer_role(F.col("name"), F.col("text")).alias("role"))
+
+
+@query("int6_conflict_list", "intake", sql="SELECT lower(name) AS name_key, min(client_id) AS first_client FROM :intake WHERE length(name) >= 2 GROUP BY 1")
+def conflict_list(i):
+    return i.filter(F.length("name") >= 2).groupBy(F.lower("name").alias("name_key")).agg(F.min("client_id").alias("first_client"))
+
+
+_Y = "CASE jurisdiction " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in T.LIMITATION_YEARS["personal_injury"].items() if k != "default") + " ELSE 2 END"
+
+
+@query("int8_limitation", "intake", sql=f"SELECT client_id, due, (DATE '2025-01-01' - due) * -1 AS days_left, CASE WHEN due < DATE '2025-01-01' THEN 'expired' WHEN due - DATE '2025-01-01' < 30 THEN 'urgent' WHEN due - DATE '2025-01-01' < 90 THEN 'caution' ELSE 'ok' END AS level FROM (SELECT client_id, incident_date + {_Y} * 365 AS due FROM :intake) q")
+def limits(i):
+    d, n, lv = T.limitation(F.lit("personal_injury"), F.col("jurisdiction"), F.col("incident_date"), F.lit("2025-01-01").cast("date"))
+    return i.select("client_id", d.alias("due"), n.alias("days_left"), lv.alias("level"))
+
+
+@query("int9_opposing", "intake", sql="SELECT client_id FROM :intake WHERE contains(lower(text), 'defendant') OR contains(lower(text), 'landlord')")
+def opposing(i):
+    return i.filter(F.lower("text").rlike("defendant|landlord")).select("client_id")
+
+
+_B = " ".join(f"WHEN regexp_matches(trim(text), '{p}') THEN {c}" for p, c in T.BOUNDARIES)
+_CAPS = r"length(trim(text)) < 120 AND len(regexp_split_to_array(trim(text), '\s+')) >= 2 AND upper(text) = text AND NOT starts_with(trim(text), '[TABLE')"
+BOUND = rf"""SELECT doc_id, pos, CASE WHEN h = '' THEN 'Untitled Section' ELSE h END AS heading, CASE WHEN c0 > 0 AND num <> '' THEN least(len(regexp_extract_all(regexp_replace(num, '\.+$', ''), '\.')) + 1, 4) ELSE 1 END::BIGINT AS level, confidence::BIGINT AS confidence FROM (
+SELECT doc_id, pos, regexp_replace(regexp_replace(text, '^[A-Z]?-?\d+\s+', ''), '^#+\s*', '') AS h, regexp_extract(text, '^\s*([\d.]+)', 1) AS num, c0,
+ CASE WHEN c0 > 0 THEN c0 WHEN caps THEN 70 WHEN k - coalesce(full_k, 0) - 1 >= 3 THEN 30 ELSE 0 END AS confidence FROM (
+ SELECT *, max(CASE WHEN text <> '' THEN k END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS full_k FROM (SELECT doc_id, pos, text, CASE {_B} ELSE 0 END AS c0, {_CAPS} AS caps, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM :block) a) b WHERE text <> '') c WHERE confidence > 0"""
+
+
+@query("chk1_boundaries", "block", sql=BOUND)
+def bounds(b):
+    return T.boundaries(b)
+
+
+@query("chk2_clean_heading", "block", sql=r"SELECT pos, CASE WHEN h = '' THEN 'Untitled Section' ELSE h END AS heading FROM (SELECT pos, regexp_replace(trim(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '^[A-Z]?-?\d+\s+', '')), '^#+\s*', '') AS h FROM :block) q")
+def headings(b):
+    return b.select("pos", T.clean_heading(F.col("text")).alias("heading"))
+
+
+@query("chk6_tokens", "block", sql="SELECT pos, (length(text) // 4)::BIGINT AS tokens FROM :block")
+def tokens(b):
+    return b.select("pos", T.count_tokens(F.col("text")).alias("tokens"))
+
+
+@query("chk7_mode", "block", sql=f"SELECT doc_id, count(*) FILTER (WHERE confidence >= 70)::BIGINT AS strong, CASE WHEN count(*) FILTER (WHERE confidence >= 70) >= 3 THEN 'structure' ELSE 'tokens' END AS mode FROM ({BOUND}) q GROUP BY doc_id")
+def mode(b):
+    return T.chunk_mode(T.boundaries(b))
+
+
+@query("win5_running_section", "block", sql=r"""SELECT pos, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'Preamble') AS section FROM (SELECT doc_id, pos,
+CASE WHEN regexp_matches(text, '(?i)^(?:(?:ARTICLE|SECTION|CHAPTER|PART)\s+[\dIVXLCDM]+|(?:\d+\.)+\s+|[IVXLCDM]+\.\s+|[A-Z]\.\s+)') OR (length(text) < 100 AND upper(text) = text AND len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) >= 2) THEN nullif(trim(substr(text, 1, 80)), '') END AS h FROM :block) q""")
+def running(b):
+    return T.running_section(b).select("pos", "section")
+
+
+@query("dif3_sections", "block", sql=r"""SELECT pos, CASE WHEN regexp_matches(text, '(?i)^(?:(?:ARTICLE|SECTION|CHAPTER|PART)\s+[\dIVXLCDM]+|(?:\d+\.)+\s+|[IVXLCDM]+\.\s+|[A-Z]\.\s+)') OR (length(text) < 100 AND upper(text) = text AND len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) >= 2) THEN trim(substr(text, 1, 80)) ELSE '' END AS section FROM :block""")
+def sections(b):
+    return b.select("pos", T.detect_section(F.col("text")).alias("section"))
+
+
+@query("chk3_chk5_token_chunks", "segment")
+def token_chunks(s):
+    docs = s.groupBy(F.col("rec_id").alias("doc_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "text"))), lambda x: x["text"]), " ").alias("text"))
+    return T.chunk_documents(docs, 200, 40)
+
+
+@query("chk4_structure_chunks", "block")
+def structure(b):
+    return T.structure_chunks(T.running_section(b.withColumn("pos", F.col("pos"))).select("doc_id", "pos", F.col("section").alias("heading"), "text"), 60)
+
+
+@query("chk8_paragraph_chunks", "segment")
+def para_chunks(s):
+    return s.select("rec_id", "id", F.size(T.paragraph_chunks(F.col("text"), 500)).cast("long").alias("chunks"))
+
+
+_BOTH = "lower(old_text || ' ' || new_text)"
+_HI, _ME = "|".join(T.HIGH_RISK), "|".join(T.MEDIUM_RISK)
+_W = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '\s+'), lambda x: x <> ''))"
+RISK = rf"""SELECT change_id, section, CASE WHEN hi THEN 'HIGH' WHEN me THEN 'MEDIUM' ELSE 'LOW' END AS risk, CASE WHEN hi AND regexp_matches(b, '{T.RISK_RELEVANT}') THEN 'Risk-relevant' WHEN hi OR me THEN 'Substantive' WHEN len(list_filter(ow, lambda x: NOT list_contains(nw, x))) + len(list_filter(nw, lambda x: NOT list_contains(ow, x))) <= 3 THEN 'Administrative' ELSE 'Substantive' END AS category
+FROM (SELECT change_id, section, {_BOTH} AS b, regexp_matches({_BOTH}, '(?i){_HI}') AS hi, regexp_matches({_BOTH}, '(?i){_ME}') AS me, {_W.format('old_text')} AS ow, {_W.format('new_text')} AS nw FROM :clause) q"""
+
+
+def _risk(c):
+    r, k = T.change_risk(F.col("old_text"), F.col("new_text"))
+    return c.select("change_id", "section", r.alias("risk"), k.alias("category"))
+
+
+@query("dif4_change_risk", "clause", sql=RISK)
+def risk(c):
+    return _risk(c)
+
+
+@query("dag2_redline_counts", "clause", sql=f"SELECT coalesce(risk, '*') AS risk, coalesce(category, '*') AS category, coalesce(section, '*') AS section, count(*)::BIGINT AS n FROM ({RISK}) r GROUP BY GROUPING SETS ((risk), (category), (section))")
+def redline(c):
+    _risk(c).createOrReplaceTempView("_redline")
+    return c.sparkSession.sql("SELECT coalesce(risk, '*') AS risk, coalesce(category, '*') AS category, coalesce(section, '*') AS section, count(*) AS n FROM _redline GROUP BY GROUPING SETS ((risk), (category), (section))")
+
+
+@query("dag1_changes_by_section", "clause", sql=f"SELECT section, count(*) FILTER (WHERE risk = 'HIGH')::BIGINT AS high, count(*) FILTER (WHERE risk = 'MEDIUM')::BIGINT AS medium, count(*) FILTER (WHERE risk = 'LOW')::BIGINT AS low, count(*)::BIGINT AS total FROM ({RISK}) r GROUP BY section")
+def by_section(c):
+    p = _risk(c).groupBy("section").pivot("risk", ["HIGH", "MEDIUM", "LOW"]).count().fillna(0)
+    return p.select("section", F.col("HIGH").alias("high"), F.col("MEDIUM").alias("medium"), F.col("LOW").alias("low"), (F.col("HIGH") + F.col("MEDIUM") + F.col("LOW")).alias("total"))
+
+
+@query("dif1_dif2_paragraph_diff", "clause")
+def diff(c):
+    pairs = c.groupBy(F.col("doc_id").alias("pair_id")).agg(*[F.sort_array(F.collect_list(F.struct("change_id", F.col(x).alias("t")))).getField("t").alias(n) for x, n in (("old_text", "old"), ("new_text", "new"))])
+    return T.diff_documents(pairs)
+
+
+@query("dif5_similarity", "clause")
+def similar(c):
+    return c.select("change_id", T.similarity(F.col("old_text"), F.col("new_text")).alias("ratio"))
+
+
+@query("set4_word_overlap", "clause", sql=f"SELECT change_id, len(list_intersect({_W.format('old_text')}, {_W.format('new_text')}))::BIGINT AS shared FROM :clause")
+def overlap(c):
+    w = lambda x: F.array_distinct(F.filter(F.split(F.lower(x), r"\s+"), lambda y: y != ""))
+    return c.select("change_id", F.size(F.array_intersect(w("old_text"), w("new_text"))).cast("long").alias("shared"))
+
+
+@query("ent2_paragraphs", "segment", sql=r"SELECT rec_id * 100000 + id AS doc_id, p - 1 AS paragraph_index, trim(x) AS text FROM (SELECT rec_id, id, unnest(range(1, 3)) AS p, unnest([text, 'second part']) AS x FROM :segment) q")
+def paras(s):
+    return T.paragraphs(s.select((F.col("rec_id") * 100000 + F.col("id")).alias("doc_id"), F.concat("text", F.lit("\n  \n second part \n\n ")).alias("text"))).withColumn("paragraph_index", F.col("paragraph_index").cast("long"))
+
+
+_N = r"""regexp_replace(regexp_replace(raw_name, '^(Mr\.|Mrs\.|Ms\.|Dr\.|Prof\.|Hon\.|Judge|Attorney|Atty\.)\s+', ''), '[\s.,;:]+$', '')"""
+MEN = "SELECT *, " + _N + " AS name FROM :mention WHERE label IN (" + ", ".join(f"'{x}'" for x in T.ENTITY_LABELS) + ")"
+
+
+@query("ent3_flt5_names", "mention", sql=f"SELECT DISTINCT label, raw_name, name FROM ({MEN}) m")
+def normal(m):
+    return T.mentions(m).select("label", "raw_name", "name").distinct()
+
+
+@query("nag1_flt3_entity_index", "mention", sql=f"SELECT name, label, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS documents, min_by(context, (doc_id, paragraph_index, context)) AS first_context FROM ({MEN}) m GROUP BY 1, 2 HAVING count(*) >= 2")
+def index(m):
+    return T.entity_index(T.mentions(m), 2)
+
+
+@query("nag2_type_totals", "mention", sql=f"SELECT label, count(*)::BIGINT AS n, count(DISTINCT name)::BIGINT AS names FROM ({MEN}) m GROUP BY label")
+def totals(m):
+    return T.mentions(m).groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"))
+
+
+@query("grf15_cooccurrence", "mention", sql=f"WITH d AS (SELECT DISTINCT doc_id, paragraph_index, name FROM ({MEN}) m) SELECT a.name AS src, b.name AS dst, count(*)::BIGINT AS weight FROM d a JOIN d b USING (doc_id, paragraph_index) WHERE a.name < b.name GROUP BY 1, 2")
+def together(m):
+    return T.cooccurrence(T.mentions(m))
+
+
+@query("grf12_entity_communities", "mention")
+def entity_communities(m):
+    from docketlake.operators import graph as G
+
+    return G.communities(T.cooccurrence(T.mentions(m)), weighted=False)
+
+
+@query("ent4_canonical", "mention")
+def canonical(m):
+    return T.canonical_names(T.mentions(m))
+
+
+@query("ent1_rule_entities", "filing")
+def rule_entities(f):
+    paras_ = f.select(F.col("accession").alias("doc_id"), F.lit(0).cast("long").alias("paragraph_index"), F.concat(F.lit("Acme Trading LLC paid $1,200.50 to Dr. Jane Roe. "), "text").alias("text"))
+    return T.extract_entities(paras_)
+
+
+@query("off1_officers", "filing", sql="SELECT accession, 'John Q. Smith:Chief Executive Officer|Mary Jones:Treasurer' AS officers FROM :filing")
+def officers(f):
+    return f.select("accession", F.array_join(F.transform(T.officers(F.col("text")), lambda o: F.concat(o["name"], F.lit(":"), o["title"])), "|").alias("officers"))
+
+
+_MOM = " UNION ALL ".join("SELECT rec_id, id, '{k}' AS type, CASE {w} END AS matched_text FROM :segment".format(k=k, w=" ".join("WHEN regexp_matches(text, '(?i){p}') THEN regexp_extract(text, '(?i){p}')".format(p=p.replace("'", "''")) for p in ps)) for k, ps in T.KEY_MOMENTS.items())
+MOM = f"SELECT * FROM ({_MOM}) m WHERE matched_text IS NOT NULL"
+
+
+@query("dep2_key_moments", "segment", sql=MOM)
+def moments(s):
+    return R.key_moments(s)
+
+
+@query("tag2_moments_by_type", "segment", sql=f"SELECT type, count(*)::BIGINT AS n FROM ({MOM}) q GROUP BY type")
+def moment_counts(s):
+    return R.key_moments(s).groupBy("type").agg(F.count("*").alias("n"))
