@@ -59,9 +59,17 @@ class Scratch:
         self._paths: dict[int, tuple[DataFrame, str]] = {}
         atexit.register(self._quiet_remove, self.root)
 
-    def put(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def put(self, df: DataFrame, name: str = "t", batch: int | None = None) -> DataFrame:
+        """Write and reread ``df``. ``batch``: rows that its Python functions get at once, for wide rows."""
         path = f"{self.root}/{name}-{len(self._paths)}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        conf, key = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(key)
+        if batch:
+            conf.set(key, str(min(batch, int(before)) if int(before) > 0 else batch))
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(key, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = (out, path)
         return out
