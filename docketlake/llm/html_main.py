@@ -246,7 +246,8 @@ def template_keys(pages: DataFrame) -> DataFrame:
                     nodes, _ = parse(page)
                     n[(host, 0)] += 1
                     n.update((host, k) for k in {template_key(host, x) for x in candidates(nodes, find_article(nodes))})
-            yield pd.DataFrame({"host": [k[0] for k in n], "key": [k[1] for k in n], "n": list(n.values())})
+            if n:
+                yield pd.DataFrame({"host": [k[0] for k in n], "key": [k[1] for k in n], "n": list(n.values())})
 
     counts = pages.select("html", "url").mapInPandas(run, "host string, key bigint, n bigint").groupBy("host", "key").agg(F.sum("n").alias("n"))
     many = counts.filter(F.col("n") >= MIN_PAGES)

@@ -23,8 +23,10 @@ PIECE = 1_000_000
 def _letters(text: str) -> np.ndarray:
     """Code points of the lower-cased text; all but letters become single spaces."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(c):
+        return np.zeros(0, np.int64)
     kinds = np.unique(c)
-    letter = np.array([chr(k).isalpha() if k < 0xD800 or 0xE000 <= k < 0x110000 else False for k in kinds])
+    letter = np.array([chr(k).isalpha() if k < 0xD800 or 0xE000 <= k < 0x110000 else False for k in kinds], bool)
     is_letter = letter[np.searchsorted(kinds, c)]
     c = np.where(is_letter, c, 32).astype(np.int64)
     keep = is_letter.copy()
