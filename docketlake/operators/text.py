@@ -335,7 +335,8 @@ def chunk_documents(docs: DataFrame, most: int = 4000, overlap: int = 200) -> Da
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(d, i, c, len(c) // 4) for d, t in zip(b["doc_id"], b["text"]) for i, c in enumerate(sentence_chunks(t or "", most, overlap))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk", "text", "tokens"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "chunk", "text", "tokens"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, chunk bigint, text string, tokens bigint")
 
@@ -421,6 +422,8 @@ def diff_documents(pairs: DataFrame) -> DataFrame:
                         o, n = (old[i1 + k] if i1 + k < i2 else None), (new[j1 + k] if j1 + k < j2 else None)
                         kind = "modified" if o is not None and n is not None else "deleted" if n is None else "added"
                         rows.append((pid, kind, i1 + k if o is not None else None, j1 + k if n is not None else None, o, n, len(list(word_changes(o, n))) if kind == "modified" else 0))
+            if not rows:
+                continue
             out = pd.DataFrame(rows, columns=["pair_id", "type", "old_index", "new_index", "old_text", "new_text", "word_changes"])
             yield out.astype({"old_index": "Int64", "new_index": "Int64"})
 
