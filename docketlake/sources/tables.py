@@ -105,7 +105,7 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, text): lines numbered within their file, from whole-file rows."""
     whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    return whole.select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
+    return whole.select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("line", "text"))
 
 
 def read_ledes(spark: SparkSession, path: str) -> DataFrame:
