@@ -84,9 +84,23 @@ def below_threshold(df: DataFrame) -> DataFrame:
     return _flag(df.filter((a >= 2800) & (a < 3000)), "below_threshold", "LOW")
 
 
+def row_detectors(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The detectors that look at one row only, in one pass."""
+    a = F.abs("amount")
+    band = (a >= 9000) & (a < 10000)
+    found = [
+        (band, "structuring_indicator", "HIGH"),
+        (~band & (a >= threshold) & (a % 100 == 0), "large_round_amount", "MEDIUM"),
+        (F.col("amount").isNotNull() & (F.weekday("date") >= 5), "unusual_timing", "LOW"),
+        ((a >= 2800) & (a < 3000), "below_threshold", "LOW"),
+    ]
+    flags = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(r).alias("rule"), F.lit(v).alias("severity"))) for c, r, v in found]))
+    return df.select("row_id", F.explode_outer(flags).alias("f")).select("row_id", "f.rule", "f.severity").filter("rule is not null")
+
+
 def all_anomalies(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    parts = [structuring(df), large_round(df, threshold), unusual_timing(df), rapid_in_out(df, threshold), escalating(df), new_large_payee(df, threshold), below_threshold(df)]
-    return reduce(DataFrame.unionByName, parts).dropDuplicates(["row_id", "rule"])
+    """All detectors. Each gives a row at most one flag, so (row_id, rule) is unique."""
+    return reduce(DataFrame.unionByName, [row_detectors(df, threshold), rapid_in_out(df, threshold), escalating(df), new_large_payee(df, threshold)])
 
 
 def entity_summary(df: DataFrame) -> DataFrame:
