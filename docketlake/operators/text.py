@@ -258,6 +258,14 @@ def limitation(matter: Column, jurisdiction: Column, incident: Column, as_of: Co
     return due, left, F.when(left < 0, "expired").when(left < 30, "urgent").when(left < 90, "caution").when(left >= 90, "ok")
 
 
+def document_checklist(intakes: DataFrame, checklist: DataFrame, generic: str = "general") -> DataFrame:
+    """Documents to ask for per intake (client_id, matter): its matter's rows of ``checklist`` (matter, tier,
+    document), a table of the firm's own, or those of ``generic`` where it has none."""
+    known = F.broadcast(checklist.select("matter").distinct().withColumn("_k", F.lit(True)))
+    rows = intakes.join(known, "matter", "left").withColumn("matter", F.when(F.col("_k"), F.col("matter")).otherwise(generic)).drop("_k")
+    return rows.join(F.broadcast(checklist), "matter").select("client_id", "matter", "tier", "document")
+
+
 # ------------------------------------------------------------------ structure and chunks
 def detect_section(text: Column) -> Column:
     t = F.substring(text, 1, 80)

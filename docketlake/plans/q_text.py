@@ -115,6 +115,16 @@ def conflict_list(i):
     return i.filter(F.length("name") >= 2).groupBy(F.lower("name").alias("name_key")).agg(F.min("client_id").alias("first_client"))
 
 
+_LIST = [("personal_injury", "required", "Medical records"), ("personal_injury", "helpful", "Photos"), ("family_law", "required", "Marriage certificate"), ("general", "required", "Identification")]
+_LV = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _LIST)
+
+
+@query("int7_checklist", "intake", sql=f"WITH l AS (SELECT * FROM (VALUES {_LV}) v(matter, tier, document)), m AS (SELECT client_id, CASE WHEN matter IN (SELECT matter FROM l) THEN matter ELSE 'general' END AS matter FROM ({MATTER}) x) SELECT client_id, matter, tier, document FROM m JOIN l USING (matter)")
+def checklist(i):
+    table = i.sparkSession.createDataFrame(_LIST, "matter string, tier string, document string")
+    return T.document_checklist(i.select("client_id", T.matter_type(F.col("text"))[0].alias("matter")), table)
+
+
 _Y = "CASE jurisdiction " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in T.LIMITATION_YEARS["personal_injury"].items() if k != "default") + " ELSE 2 END"
 
 

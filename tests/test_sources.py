@@ -118,3 +118,16 @@ def test_streams(spark, tmp_path):
         q.awaitTermination(60)
     assert {(r.day.day, r.n) for r in spark.table("daily").collect()} == {(1, 2), (2, 1)}
     assert spark.table("quiet").count() == 1
+
+
+def test_jobs(spark, tmp_path):
+    import json
+
+    from docketlake.sources import jobs
+
+    p = _write(tmp_path / "x.qfx", "<STMTTRN><DTPOSTED>20240106<TRNAMT>3<NAME>Q</STMTTRN>")
+    assert jobs.resolve("x.qfx", ["/nowhere", str(tmp_path)]) == tmp_path / "x.qfx" and jobs.resolve("no", []) is None
+    kind, rows = jobs.read_any(spark, p)
+    assert kind == "ofx" and rows.first().account == "x.qfx"
+    jobs.write_status(str(tmp_path / "s.json"), state="running")
+    assert json.loads((tmp_path / "s.json").read_text())["state"] == "running"
