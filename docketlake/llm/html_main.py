@@ -36,6 +36,7 @@ ROLES = frozenset("navigation contentinfo complementary search dialog alertdialo
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adsbygoogle sponsor sponsored sponsors promo promos promotion promoted banner banners cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup share sharing sharebar social socials related recommend recommended recommendations sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer foot comment comments commentlist disqus replies respond discussion login skip toolbar paywall hidden".split()
 )
+ARTICLE_WORDS = frozenset("hidden ad ads advert sponsored promo comment comments reply replies related recommended teaser".split())
 HEADS = frozenset("header masthead topbar".split())
 ITEM_PARENTS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 ITEM_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "thead": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}, "option": {"option"}}
@@ -159,8 +160,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
 
 def is_clutter(n: Node, in_article: bool) -> bool:
     """By what the page itself says of the element."""
-    if n.tag in ("html", "body", "main", "article", "#page"):
+    if n.tag in ("html", "body", "main", "#page"):
         return "hidden" in n.marks
+    if n.tag == "article":  # of an article, only words that name a kind of article count
+        return bool(n.marks & ARTICLE_WORDS)
     if n.tag in DROPPED or n.role in ROLES or n.marks & WORDS:
         return True
     return not in_article and (n.tag == "header" or n.role == "banner" or bool(n.marks & HEADS))
@@ -172,7 +175,7 @@ def find_article(nodes: list[Node]) -> Node | None:
     def clear(n: Node) -> bool:
         return not any(is_clutter(x, False) for x in n.up())
 
-    articles = [n for n in nodes if n.tag == "article" and n.chars and "comment" not in n.marks and "comments" not in n.marks and not any(x.tag == "article" for x in n.parent.up())]
+    articles = [n for n in nodes if n.tag == "article" and n.chars and not n.marks & ARTICLE_WORDS and not any(x.tag == "article" for x in n.parent.up())]
     open_ = [n for n in articles if clear(n)] or articles
     if len(open_) == 1:
         return open_[0]

@@ -36,6 +36,8 @@ def test_html_structure_rules():
     <p>One &amp; two<br>three <b>fo</b>ur &nbsp; five<p>Six<div id="comments"><p>bad</div><ul><li>a<li>b</ul><aside>no</aside><form>x <input></form>
     <table><tr><td>1<td>2</table><div style="display: none">no</div></article></main><footer>f</footer><script>if(a<b) "</p>"</script></body>"""
     assert html_main.main_text(page, "http://x.com/", lambda k: False) == "Title One & two three four five Six a b 1 2"
+    nested = "<article class=comment><p>first!</p></article><article><p>Body text.</p><article class='comment'><p>bad</p></article></article><article class='teaser card'><p>Much longer teaser text than the body</p></article>"
+    assert html_main.main_text(nested, None, lambda k: False) == "Body text."
     assert html_main.main_text("", None, lambda k: False) == ""
     assert html_main.main_text("plain & <b>x</b> < y", None, lambda k: False) == "plain & x < y"
     assert html_main.main_text("<p>" * 3000 + "deep" + "<div " + 'a="' * 50, None, lambda k: False).startswith("deep")
@@ -361,7 +363,5 @@ def test_mix_is_exact_and_stable(spark):
             mine = [x for x in out if x.source == s]
             assert sum(x.taken for x in mine) == math.floor(mine[0].target) and all(0 <= x.taken <= 3 * x["size"] for x in mine)
         runs.append(sorted((str(x.doc_id), str(x.source), x["size"], x.taken) for x in out))
-    totals = lambda rr: collections.Counter({})
-    del totals
     assert [x[:3] for x in runs[0]] == [x[:3] for x in runs[1]] and runs[0] == runs[1]
     assert mixing.mix(df.drop("_mx_bucket").limit(0), Scratch(spark, "t")).count() == 0
