@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import table
+from docketlake.llm.common import sized_broadcast, table
 
 #: Hash space of the shared weights.
 DIM = 1 << 18
@@ -20,6 +20,8 @@ DIM = 1 << 18
 PREFIXES = (5, 6, 7)
 #: Bound on the labelled rows that the weights are fitted on; they are the rows with the smallest hash.
 MAX_FIT_ROWS = 20_000
+#: Up to so many labels are sent to the tasks that read texts (about 40 MB); more are joined by a shuffle.
+BROADCAST_LABELS = 1_000_000
 #: A feature takes part if it is in so many labelled texts and tells the grades apart by this log-odds.
 MIN_DF, MIN_ODDS = 4, 0.5
 SMOOTH = 0.3
@@ -100,13 +102,16 @@ def fit_cumulative_link(at: np.ndarray, feature: np.ndarray, value: np.ndarray,
     return full, th
 
 
-def fit(graded: DataFrame, grades: int = 3, max_rows: int = MAX_FIT_ROWS) -> tuple[np.ndarray, np.ndarray] | None:
-    """Weights and thresholds from (doc_id, text, grade); None if fewer than two grades are seen.
+def fit(docs: DataFrame, rated: DataFrame, grades: int = 3, max_rows: int = MAX_FIT_ROWS) -> tuple[np.ndarray, np.ndarray] | None:
+    """Weights and thresholds from (doc_id, text) and (doc_id, grade); None if fewer than two grades are seen.
 
     Document frequencies per feature, below the top grade and in it, are counted over all labelled rows
     (at most one row per place of the hash space comes to the driver); features are scaled by their
-    log-odds. The weights are fitted on at most ``max_rows`` rows.
+    log-odds. The weights are fitted on at most ``max_rows`` rows, picked among the labels, so that only
+    their texts are read for it.
     """
+    n_rated = rated.count()
+    graded = docs.join(sized_broadcast(rated, n_rated, BROADCAST_LABELS), "doc_id").filter(F.col("text").isNotNull())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, df, n = Features(), np.zeros((2, DIM), np.int64), np.zeros(2, np.int64)
@@ -136,8 +141,8 @@ def fit(graded: DataFrame, grades: int = 3, max_rows: int = MAX_FIT_ROWS) -> tup
             yield pd.DataFrame({"grade": b["grade"], "f": [k.tobytes() for k, _ in kept], "v": [v.tobytes() for _, v in kept]})
 
     place = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) / 1_000_000
-    picked = graded.filter(place < min(1.0, max_rows / (n_low + n_top))).limit(max_rows)
-    rows = picked.select("text", "grade").mapInPandas(encode, "grade int, f binary, v binary").toPandas()
+    picked = rated.filter(place < min(1.0, max_rows / n_rated)).limit(max_rows)
+    rows = docs.join(F.broadcast(picked), "doc_id").filter(F.col("text").isNotNull()).select("text", "grade").mapInPandas(encode, "grade int, f binary, v binary").toPandas()
     if rows["grade"].nunique() < 2:
         return None
     feats = [np.frombuffer(x, np.int32) for x in rows["f"]]
@@ -159,7 +164,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -
     added = ["expected_grade", "p_top", "kept"]
     rated = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     rated = rated.select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade")).filter(F.col("grade").isNotNull())
-    model = fit(docs.select("doc_id", "text").join(rated, "doc_id").filter(F.col("text").isNotNull()))
+    model = fit(docs.select("doc_id", "text"), rated)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = Features()
