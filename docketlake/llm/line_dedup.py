@@ -103,7 +103,8 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -
     """``docs`` with ``n_lines_cut`` and with later copies of repeated runs cut from ``text``."""
     gone = scratch.put(repeated_lines(docs, scratch, min_words), "gone").withColumnsRenamed({"doc": "_d", "tag": "_t"})
     same = (F.coalesce(docs["doc_id"], F.lit(-(2**62))) == F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_t"))
-    out = docs.join(gone, same, "left")
+    # the decisions grow with the corpus: one plan at every size, which moves each text once
+    out = docs.join(gone.hint("merge"), same, "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("lines", i)), "\n")
     return out.withColumn("text", F.when(F.col("lines").isNotNull(), left).otherwise(F.col("text"))).withColumn("n_lines_cut", F.coalesce(F.size("lines"), F.lit(0)).cast("long")).drop("_d", "_t", "lines")
 
