@@ -97,8 +97,9 @@ def contaminated(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFra
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window."""
-    bad = scratch.put(contaminated(docs, items, scratch).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")), "bad")
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_th"))
+    bad = contaminated(docs, items, scratch).select(F.col("doc_id").alias("_dc_id"), F.col("text_hash").alias("_dc_hash"))
+    bad = scratch.put(bad, "bad")
+    same = docs["doc_id"].eqNullSafe(F.col("_dc_id")) & (F.xxhash64(docs["text"]) == F.col("_dc_hash"))
     return docs.join(bad, same, "left_anti")
 
 

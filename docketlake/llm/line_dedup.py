@@ -100,13 +100,19 @@ def _shortest_runs(rank: DataFrame, min_words: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with ``n_lines_cut`` and with later copies of repeated runs cut from ``text``."""
-    gone = scratch.put(repeated_lines(docs, scratch, min_words), "gone").withColumnsRenamed({"doc": "_d", "tag": "_t"})
-    same = (F.coalesce(docs["doc_id"], F.lit(-(2**62))) == F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_t"))
+    """``docs`` with ``n_lines_cut`` and with later copies of repeated runs cut from ``text``.
+
+    Rows that are equal in doc_id and text are one document: what is cut from one is cut from all. Rows
+    without a doc_id come first in the order. Null texts stay null with 0 lines cut; a text of which every
+    line is cut becomes empty; lines without a word are no part of a run and stay. Other columns stay, those named like an added one are replaced; an empty table gives no rows.
+    """
+    gone = scratch.put(repeated_lines(docs, scratch, min_words), "gone").withColumnsRenamed({"doc": "_ld_doc", "tag": "_ld_tag", "lines": "_ld_lines"})
+    same = (F.coalesce(docs["doc_id"], F.lit(-(2**62))) == F.col("_ld_doc")) & (F.xxhash64(docs["text"]) == F.col("_ld_tag"))
     # the decisions grow with the corpus: one plan at every size, which moves each text once
     out = docs.join(gone.hint("merge"), same, "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("lines", i)), "\n")
-    return out.withColumn("text", F.when(F.col("lines").isNotNull(), left).otherwise(F.col("text"))).withColumn("n_lines_cut", F.coalesce(F.size("lines"), F.lit(0)).cast("long")).drop("_d", "_t", "lines")
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_ld_lines", i)), "\n")
+    out = out.withColumn("text", F.when(F.col("_ld_lines").isNotNull(), left).otherwise(F.col("text")))
+    return out.withColumn("n_lines_cut", F.coalesce(F.size("_ld_lines"), F.lit(0)).cast("long")).drop("_ld_doc", "_ld_tag", "_ld_lines")
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -172,7 +172,7 @@ def test_decontamination_brute_force(spark, monkeypatch, limit):
     b = spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.contaminated(d, b, Scratch(spark, "t")).collect()}
     assert [got.get(i, (0, [])) for i in range(len(texts))] == _contaminated(texts, items)
-    kept = {r.doc_id for r in decontaminate.drop_contaminated(docs(spark, texts), b, Scratch(spark, "t")).collect()}
+    kept = {r.doc_id for r in decontaminate.drop_contaminated(docs(spark, texts).withColumns({"_id": F.lit(1), "_th": F.lit(2), "items": F.lit(3)}), b, Scratch(spark, "t")).collect()}
     assert kept == set(range(len(texts))) - set(got)
 
 
@@ -338,8 +338,9 @@ def test_line_runs_brute_force(spark):
 
 def test_line_dedup_keeps_rows(spark):
     t = "\n".join(f"line {i} of some ten words to fill it up well" for i in range(6))
+    clash = {c: F.lit("clash") for c in ("lines", "_d", "doc", "tag", "n_lines_cut")}
     df = spark.createDataFrame([(1, t), (2, "own line\n" + t + "\ntail"), (None, t), (None, t), (3, None)], "doc_id long, text string")
-    rows = collections.Counter((r.doc_id, r.text, r.n_lines_cut) for r in line_dedup.dedup_lines(df, Scratch(spark, "t")).collect())
+    rows = collections.Counter((r.doc_id, r.text, r.n_lines_cut) for r in line_dedup.dedup_lines(df.withColumns(clash), Scratch(spark, "t")).collect())
     # rows without an id come first in the order and are one document, so theirs is the copy that stays
     assert rows == {(None, t, 0): 2, (1, "", 6): 1, (2, "own line\ntail", 6): 1, (3, None, 0): 1}
     assert line_dedup.dedup_lines(df.limit(0), Scratch(spark, "t")).count() == 0
