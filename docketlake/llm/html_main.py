@@ -236,7 +236,7 @@ def main_text(page: str | None, url: str | None, is_template) -> str:
     return " ".join(out)
 
 
-def template_keys(pages: DataFrame) -> DataFrame:
+def template_keys(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """(key): template keys that recur on their host. Null and empty pages and pages without a host count
     for nothing."""
 
@@ -253,7 +253,7 @@ def template_keys(pages: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"host": [k[0] for k in n], "key": [k[1] for k in n], "n": list(n.values())})
 
     counts = pages.select("html", "url").mapInPandas(run, "host string, key bigint, n bigint").groupBy("host", "key").agg(F.sum("n").alias("n"))
-    many = counts.filter(F.col("n") >= MIN_PAGES)
+    many = scratch.put(counts.filter(F.col("n") >= MIN_PAGES), "counts")  # else pages are parsed for both of its uses
     sizes = many.filter(F.col("key") == 0).select("host", F.col("n").alias("pages"))
     return many.filter(F.col("key") != 0).join(sizes, "host").filter(F.col("n") >= MIN_SHARE * F.col("pages")).select("key")
 
@@ -268,7 +268,7 @@ def extract(pages: DataFrame, scratch: Scratch, limit: int = BROADCAST_HASHES) -
     each give a row; extra columns are ignored; an empty table gives no rows. Pages are read whole.
     """
     pages = pages.select("page_id", "url", "html")
-    keys = scratch.put(template_keys(pages), "templates")
+    keys = scratch.put(template_keys(pages, scratch), "templates")
     n = keys.count()
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint"
 
