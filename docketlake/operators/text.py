@@ -135,17 +135,24 @@ def sentence_around(text: Column, raw: Column, short: int = 50, wide: int = 200)
 
 def best_class(text: Column, lists: dict[str, list[str]], other: str, counted: bool = False) -> tuple[Column, Column, Column]:
     """(class, best score, total score) by keyword hits, or their counts; ties go to the first list. The
-    word lists are an array literal that a lambda runs over, which keeps the generated code small."""
+    word lists are an array literal that a lambda runs over, which keeps the generated code small; the
+    lowered text and the scores are bound once, as elements of one-element arrays."""
     names = F.array(*[F.lit(k) for k in lists])
     words = F.array(*[F.array(*[F.lit(w) for w in ws]) for ws in lists.values()])
-    t = F.lower(text)
-    if counted:
-        hits = lambda w: F.floor((F.length(t) - F.length(F.replace(t, w, F.lit("")))) / F.length(w)).cast("int")
-    else:
-        hits = lambda w: F.contains(t, w).cast("int")
-    scores = F.transform(words, lambda ws: F.aggregate(ws, F.lit(0), lambda a, w: a + hits(w)))
-    best = F.array_max(scores)
-    return F.when(best > 0, F.element_at(names, F.array_position(scores, best).cast("int"))).otherwise(other), best, F.aggregate(scores, F.lit(0), lambda a, x: a + x)
+
+    def hits(t: Column):
+        if counted:
+            return lambda a, w: a + F.floor((F.length(t) - F.length(F.replace(t, w, F.lit("")))) / F.length(w)).cast("int")
+        return lambda a, w: a + F.contains(t, w).cast("int")
+
+    def verdict(s: Column) -> Column:
+        best = F.array_max(s)
+        name = F.when(best > 0, F.element_at(names, F.array_position(s, best).cast("int"))).otherwise(other)
+        return F.struct(name.alias("name"), best.alias("best"), F.aggregate(s, F.lit(0), lambda a, x: a + x).alias("total"))
+
+    scores = F.transform(F.array(F.lower(text)), lambda t: F.transform(words, lambda ws: F.aggregate(ws, F.lit(0), hits(t))))
+    found = F.transform(scores, verdict)[0]
+    return found["name"], found["best"], found["total"]
 
 
 def event_type(text: Column) -> Column:
