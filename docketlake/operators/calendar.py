@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Jurisdictions and the days that a way of service adds.
@@ -84,12 +84,21 @@ def holidays(spark: SparkSession, first: int = 1990, last: int = 2035) -> DataFr
 
 def business_calendar(spark: SparkSession, first: str = "1990-01-01", last: str = "2035-12-31") -> DataFrame:
     """(day, is_business, next_business, seq): ``seq`` numbers business days; on other days it is the number
-    of the last one before."""
-    days = spark.sql(f"SELECT explode(sequence(DATE '{first}', DATE '{last}', INTERVAL 1 DAY)) AS day")
-    off = holidays(spark, int(first[:4]), int(last[:4])).select(F.col("holiday").alias("day"), F.lit(True).alias("off"))
-    days = days.join(F.broadcast(off), "day", "left").select("day", ((F.weekday("day") < 5) & F.col("off").isNull()).alias("is_business"))
-    on = Window.orderBy("day")
-    return days.select("day", "is_business", F.min(F.when(F.col("is_business"), F.col("day"))).over(on.rowsBetween(0, Window.unboundedFollowing)).alias("next_business"), F.sum(F.col("is_business").cast("long")).over(on).alias("seq"))
+    of the last one before. A few thousand rows, made by rule on the driver, so that no join works it out
+    again."""
+    start, end = dt.date.fromisoformat(first), dt.date.fromisoformat(last)
+    off = {d for d, _ in federal_holidays(range(start.year, end.year + 2))}
+    days = [start + dt.timedelta(i) for i in range((end - start).days + 1)]
+    open_ = [d.weekday() < 5 and d not in off for d in days]
+    seq, ahead = 0, None
+    numbers, following = [], []
+    for o in open_:
+        seq += o
+        numbers.append(seq)
+    for d, o in zip(reversed(days), reversed(open_)):
+        ahead = d if o else ahead
+        following.append(ahead)
+    return spark.createDataFrame(list(zip(days, open_, reversed(following), numbers)), "day date, is_business boolean, next_business date, seq long")
 
 
 def roll_forward(df: DataFrame, calendar: DataFrame, day: str, out: str) -> DataFrame:
