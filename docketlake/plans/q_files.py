@@ -2,6 +2,7 @@
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docketlake.functions.scratch import shared_folder
@@ -18,11 +19,25 @@ def _folder(df, kind):
     return f"{shared_folder(df.sparkSession)}/files-{kind}-{uuid.uuid4().hex}"
 
 
+#: Rows that go into one file, about.
+FILE_ROWS = 20_000
+
+
+def _spread(rows, key, *by):
+    """``file`` by ``by`` (all rows, if none) and a hash of ``key``, about FILE_ROWS rows each, however many rows there are."""
+    n = rows.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.count("*").alias("_n"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    part = F.pmod(F.xxhash64(key), F.ceil(F.col("_n") / FILE_ROWS)).cast("string")
+    return rows.join(n, same).withColumn("file", F.concat_ws("-", *by, part)).drop("_n", *[f"_{c}" for c in by])
+
+
 def _written(lines, kind, column="value"):
-    """Text of the lines (file, n, value), one file per ``file``."""
+    """Text of the lines (file, n, value), one file per ``file``; the files' names differ."""
     path = _folder(lines, kind)
     whole = lines.groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", column))), lambda x: x[column]), "\n").alias("value"))
-    whole.select("file", "value").write.partitionBy("file").text(path)
+    whole.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -34,43 +49,90 @@ def csv_billing(b):
     return x.groupBy("timekeeper").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("amount") * 100 + 0.5).cast("long")).alias("cents"))
 
 
+# Every row of the lens is written and read back. The queries whose SQL names a part return that part of
+# what was read; those that end in _whole return all of it.
+def _ledes(b):
+    rows = _spread(b, "entry_id").select("file", F.col("entry_id").alias("n"), F.concat_ws("|", F.date_format("date", "yyyyMMdd"), "timekeeper", F.col("hours").cast("string"), "entry_id", "matter", F.lit("[]")).alias("value"))
+    head = rows.select("file").distinct().select("file", F.lit("").alias("n"), F.lit("LEDES1998B[]\nLINE_ITEM_DATE|TIMEKEEPER_NAME|LINE_ITEM_HOURS|LINE_ITEM_DESCRIPTION|CLIENT_MATTER|[]").alias("value"))
+    x = T.billing(T.read_ledes(b.sparkSession, _written(rows.unionByName(head), "ledes")))
+    return x.select("description", "timekeeper", F.floor(F.col("hours") * 100 + 0.5).cast("long").alias("hours_cents"), "matter")
+
+
 @query("src3_ledes_billing", "billing", sql=f"SELECT entry_id AS description, timekeeper, {CENTS.format('hours')} AS hours_cents FROM :billing WHERE matter = 'M-7'")
 def ledes(b):
-    rows = b.filter("matter = 'M-7'").select(F.lit("f1").alias("file"), F.col("entry_id").alias("n"), F.concat_ws("|", F.date_format("date", "yyyyMMdd"), "timekeeper", F.col("hours").cast("string"), "entry_id", F.lit("[]")).alias("value"))
-    head = b.sparkSession.sql("SELECT 'f1' AS file, '' AS n, concat('LEDES1998B[]', chr(10), 'LINE_ITEM_DATE|TIMEKEEPER_NAME|LINE_ITEM_HOURS|LINE_ITEM_DESCRIPTION|[]') AS value")
-    x = T.billing(T.read_ledes(b.sparkSession, _written(rows.unionByName(head), "ledes")))
-    return x.select("description", "timekeeper", F.floor(F.col("hours") * 100 + 0.5).cast("long").alias("hours_cents"))
+    return _ledes(b).filter("matter = 'M-7'").drop("matter")
 
 
-@query("src4_ofx_statements", "txn", sql=f"SELECT account, {CENTS.format('amount')} AS cents, CAST(date AS DATE) AS day, 'V' || txn_id || ' - memo' AS description FROM :txn WHERE txn_id % 50 = 3")
-def ofx(t):
+query("src3_ledes_billing_whole", "billing", sql=f"SELECT entry_id AS description, timekeeper, {CENTS.format('hours')} AS hours_cents, matter FROM :billing")(_ledes)
+
+
+def _ofx(t):
     x = F.concat(F.lit("<STMTTRN><TRNTYPE>X<DTPOSTED>"), F.date_format("date", "yyyyMMdd"), F.lit("120000<TRNAMT>"), F.col("amount").cast("string"), F.lit("<NAME>V"), F.col("txn_id").cast("string"), F.lit("<MEMO>memo</STMTTRN>"))
-    rows = t.filter("txn_id % 50 = 3").select(F.replace("account", F.lit(" "), F.lit("_")).alias("file"), F.col("txn_id").alias("n"), F.concat(F.lit("<ACCTID>"), "account", F.lit("\n"), x).alias("value"))
+    rows = _spread(t, "txn_id", "account").select("file", F.col("txn_id").alias("n"), F.concat(F.lit("<ACCTID>"), "account", F.lit("\n"), x).alias("value"))
     got = T.read_ofx(t.sparkSession, _written(rows, "ofx"))
     return got.select("account", F.floor(F.col("amount") * 100 + 0.5).cast("long").alias("cents"), F.to_date("date").alias("day"), "description")
 
 
+@query("src4_ofx_statements", "txn", sql=f"SELECT account, {CENTS.format('amount')} AS cents, CAST(date AS DATE) AS day, 'V' || txn_id || ' - memo' AS description FROM :txn WHERE txn_id % 50 = 3")
+def ofx(t):
+    return _ofx(t).filter(F.regexp_extract("description", r"^V(\d+)", 1).cast("long") % 50 == 3)
+
+
+query("src4_ofx_statements_whole", "txn", sql=f"SELECT account, {CENTS.format('amount')} AS cents, CAST(date AS DATE) AS day, 'V' || txn_id || ' - memo' AS description FROM :txn")(_ofx)
+
+
+def _chat(c):
+    form = F.when(F.col("comm_id") % 40 < 20, F.concat(F.lit("["), F.date_format("datetime", "M/d/yyyy, h:mm a"), F.lit("] "), "sender", F.lit(": message "), F.col("comm_id").cast("string"))).otherwise(F.concat(F.date_format("datetime", "M/d/yy, HH:mm"), F.lit(" - "), "sender", F.lit(": message "), F.col("comm_id").cast("string"), F.lit("\ncontinued")))
+    rows = _spread(c, "comm_id").select("file", F.col("comm_id").alias("n"), form.alias("value"))
+    return T.read_chat(c.sparkSession, _written(rows, "chat")).select("sender", "recipient", "datetime", "content_preview")
+
+
 @query("src5_chat_export", "comm", sql="SELECT sender, 'Group' AS recipient, date_trunc('minute', datetime) AS datetime, 'message ' || comm_id AS content_preview FROM :comm WHERE comm_id % 20 = 1")
 def chat(c):
-    form = F.when(F.col("comm_id") % 40 == 1, F.concat(F.lit("["), F.date_format("datetime", "M/d/yyyy, h:mm a"), F.lit("] "), "sender", F.lit(": message "), F.col("comm_id").cast("string"))).otherwise(F.concat(F.date_format("datetime", "M/d/yy, HH:mm"), F.lit(" - "), "sender", F.lit(": message "), F.col("comm_id").cast("string"), F.lit("\ncontinued")))
-    rows = c.filter("comm_id % 20 = 1").select(F.lit("f").alias("file"), F.col("comm_id").alias("n"), form.alias("value"))
-    return T.read_chat(c.sparkSession, _written(rows, "chat")).select("sender", "recipient", "datetime", "content_preview")
+    return _chat(c).filter(F.regexp_extract("content_preview", r"(\d+)$", 1).cast("long") % 20 == 1)
+
+
+query("src5_chat_export_whole", "comm", sql="SELECT sender, 'Group' AS recipient, date_trunc('minute', datetime) AS datetime, 'message ' || comm_id AS content_preview FROM :comm")(_chat)
+
+
+def _blocks(b):
+    """Lines read back, with the document that the last heading of level 1 in their file names."""
+    lines = b.select("doc_id", F.struct("doc_id", "pos").alias("n"), F.when(F.col("text") == "ARTICLE IV", "## ARTICLE IV").otherwise(F.col("text")).alias("value"))
+    heads = b.select("doc_id").distinct().select("doc_id", F.struct("doc_id", F.lit(None).cast("long").alias("pos")).alias("n"), F.concat(F.lit("# "), F.col("doc_id").cast("string")).alias("value"))
+    got = T.read_text_blocks(b.sparkSession, _written(_spread(lines.unionByName(heads), "doc_id"), "text"))
+    ahead = Window.partitionBy("file").orderBy("pos")
+    return got.withColumn("doc_id", F.last(F.when(F.col("level") == 1, F.col("text").cast("long")), ignorenulls=True).over(ahead)).filter("level <> 1")
+
+
+def _headings(got):
+    return got.agg(F.count("*").alias("lines"), F.count(F.when((F.col("level") == 2) & (F.col("text") == "ARTICLE IV"), 1)).alias("headings"))
 
 
 @query("src11_text_blocks", "block", sql="SELECT count(*)::BIGINT AS lines, count(*) FILTER (WHERE text = 'ARTICLE IV')::BIGINT AS headings FROM :block WHERE doc_id < 40")
 def blocks(b):
-    rows = b.filter("doc_id < 40").select(F.col("doc_id").cast("string").alias("file"), F.col("pos").alias("n"), F.when(F.col("text") == "ARTICLE IV", "## ARTICLE IV").otherwise(F.col("text")).alias("value"))
-    got = T.read_text_blocks(b.sparkSession, _written(rows, "text"))
-    return got.agg(F.count("*").alias("lines"), F.count(F.when((F.col("level") == 2) & (F.col("text") == "ARTICLE IV"), 1)).alias("headings"))
+    return _headings(_blocks(b).filter("doc_id < 40"))
 
 
-@query("src12_json_intake", "intake", sql="SELECT 'client_id: ' || client_id || chr(10) || 'name: ' || name AS text FROM :intake WHERE client_id % 10 = 1")
-def json_intake(i):
+@query("src11_text_blocks_whole", "block", sql="SELECT doc_id, count(*)::BIGINT AS lines, count(*) FILTER (WHERE text = 'ARTICLE IV')::BIGINT AS headings FROM :block GROUP BY 1")
+def blocks_whole(b):
+    return _headings(_blocks(b).groupBy("doc_id"))
+
+
+def _json_intake(i):
     path = _folder(i, "json")
-    i.filter("client_id % 10 = 1").select("client_id", "name").groupBy().agg(F.to_json(F.collect_list(F.struct("client_id", "name"))).alias("value")).write.text(path)
+    rows = _spread(i, "client_id")
+    rows.groupBy("file").agg(F.to_json(F.collect_list(F.struct("client_id", "name"))).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
     return T.read_intake_json(i.sparkSession, path).select("text")
 
 
+@query("src12_json_intake", "intake", sql="SELECT 'client_id: ' || client_id || chr(10) || 'name: ' || name AS text FROM :intake WHERE client_id % 10 = 1")
+def json_intake(i):
+    return _json_intake(i).filter(F.regexp_extract("text", r"^client_id: (\d+)", 1).cast("long") % 10 == 1)
+
+
+query("src12_json_intake_whole", "intake", sql="SELECT 'client_id: ' || client_id || chr(10) || 'name: ' || name AS text FROM :intake")(_json_intake)
+
+
 @query("snk6_calendar_events", "txn")
 def calendar(t):
     s = t.sparkSession
