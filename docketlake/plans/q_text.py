@@ -60,9 +60,15 @@ def event_filter(c):
 
 @query("win3_chr5_event_gaps", "chron", sql="SELECT day, nx AS next_day, (nx - day)::BIGINT AS days, CASE WHEN nx - day >= 90 THEN 'high' WHEN nx - day >= 60 THEN 'medium' ELSE 'low' END AS severity FROM (SELECT day, lead(day) OVER (ORDER BY day) AS nx FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 97 = 5) d) q WHERE nx - day >= 30")
 def gaps(c):
+    """Of the documents that its SQL names; ``win3_chr5_event_gaps_whole`` is over all."""
     return TS.event_gaps(_dates(c.filter("doc_id % 97 = 5")).select("day"))
 
 
+@query("win3_chr5_event_gaps_whole", "chron", sql="SELECT day, nx AS next_day, (nx - day)::BIGINT AS days, CASE WHEN nx - day >= 90 THEN 'high' WHEN nx - day >= 60 THEN 'medium' ELSE 'low' END AS severity FROM (SELECT day, lead(day) OVER (ORDER BY day) AS nx FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders) d) q WHERE nx - day >= 30")
+def gaps_whole(c):
+    return TS.event_gaps(_dates(c).select("day"))
+
+
 @query("chr4_dedup_events", "chron")
 def dedup(c):
     return T.dedup_events(_dates(c).select(F.col("doc_id").alias("event_id"), "day", "text"))
