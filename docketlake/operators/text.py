@@ -195,17 +195,30 @@ def _close(a: str, b: str, threshold: float) -> bool:
     return m.quick_ratio() >= threshold and m.ratio() >= threshold
 
 
-def conflicts(events: DataFrame, threshold: float = 0.6, max_df: int = 1000) -> DataFrame:
+def _letters(t: Column) -> Column:
+    """How often each of 32 kinds of characters stands in the text: 26 letters, and the rest in six kinds."""
+    kinds = [F.length(t) - F.length(F.translate(t, c, "")) for c in "abcdefghijklmnopqrstuvwxyz"]
+    rest = F.translate(t, "abcdefghijklmnopqrstuvwxyz", "")
+    few = [F.length(rest) - F.length(F.translate(rest, c, "")) for c in (" ", "0123", "456789", ".,;:", "'()-/")]
+    return F.array(*kinds, *few, F.length(F.translate(rest, " 0123456789.,;:'()-/", "")))
+
+
+def conflicts(events: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Pairs of like events (event_id, doc_id, day, text) of different days and documents.
 
-    Texts are made distinct and compared if they share a word of four letters or more that at most
-    ``max_df`` texts have; then by similarity ratio. Equal texts are alike without comparison.
+    Texts are made distinct and all pairs of them compared, by bounds first (lengths, then counts of kinds
+    of characters: no ratio is above 2 * common / both lengths), then by similarity ratio. Nothing shorter
+    than a character need be shared at 0.6, so words do not serve as keys, and the pairs grow with the
+    square of the distinct texts. Equal texts are alike without comparison.
     """
     texts = events.groupBy("text").agg(F.sort_array(F.collect_set(F.struct("event_id", "doc_id", "day"))).alias("at"))
-    words = texts.select("text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]{4,}"), F.lit(0)))).alias("w"))
-    common = words.groupBy("w").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df").between(2, max_df))
-    keyed = words.join(common.drop("df"), "w")
-    pairs = keyed.join(keyed.select("w", F.col("text").alias("text2")), "w").filter("text < text2").select("text", "text2").distinct()
+    sides = texts.select("text", F.lower("text").alias("t")).select("text", F.length("t").alias("n"), _letters(F.col("t")).alias("kinds"))
+    spread = max(1, events.sparkSession.sparkContext.defaultParallelism)
+    a, b = sides.repartition(spread, "text"), sides.repartition(spread, "text").select(F.col("text").alias("text2"), F.col("n").alias("n2"), F.col("kinds").alias("kinds2"))
+    both = F.col("n") + F.col("n2")
+    allowed = (F.col("text") < F.col("text2")) & (2 * F.least("n", "n2") >= threshold * both)
+    common = F.aggregate(F.zip_with("kinds", "kinds2", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    pairs = a.crossJoin(b).filter(allowed).filter(2 * common >= threshold * both).select("text", "text2")
 
     @F.pandas_udf("boolean")
     def like(a: pd.Series, b: pd.Series) -> pd.Series:
