@@ -14,6 +14,11 @@ from docketlake.functions.scratch import Steps
 
 #: Edges up to which a whole graph may be sent to each task for shortest paths or communities (60 MB).
 MAX_LOCAL_EDGES = 1_000_000
+#: Nodes of the longest cycle that is searched: there are as many paths as cycles or more, and their number
+#: grows with the power of the length.
+LONGEST_CYCLE = 6
+#: Rounds of cutting off nodes that no cycle passes.
+CORE_ROUNDS = 20
 
 
 def flow_edges(txns: DataFrame) -> DataFrame:
@@ -47,6 +52,40 @@ def cycles4(edges: DataFrame, max_fan: int | None = None) -> DataFrame:
     return two.join(rest, ["a", "c"]).filter(F.col("b") != F.col("d")).select("a", "b", "c", "d", F.least("w1", "w2", "w3", "w4").alias("min_weight"))
 
 
+def _core(edges: DataFrame, steps: Steps) -> DataFrame:
+    """Edges that a cycle of three nodes or more can use: every node of it has an edge in, one out and two
+    neighbours. Whatever is left of after a number of rounds is right, only larger."""
+    n = edges.count()
+    for _ in range(CORE_ROUNDS):
+        ends = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit(1).alias("out")).unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit(0).alias("out")))
+        good = ends.groupBy("node").agg(F.min("out").alias("l"), F.max("out").alias("h"), F.min("other").alias("a"), F.max("other").alias("b")).filter("l < h and a < b")
+        edges = steps.keep(edges.join(good.select(F.col("node").alias("src")), "src", "left_semi").join(good.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", "weight"))
+        before, n = n, edges.count()
+        if n in (0, before):
+            break
+    return edges
+
+
+def cycles(edges: DataFrame, longest: int = LONGEST_CYCLE) -> DataFrame:
+    """(path, length, min_weight): simple directed cycles of 2 to ``longest`` nodes, each once, from its
+    smallest node on. Longer ones are not searched."""
+    steps = Steps(edges.sparkSession)
+    edges = edges.filter("src <> dst").select("src", "dst", "weight")
+    two = cycles2(edges).select(F.array("src", "dst").alias("path"), F.lit(2).alias("length"), "min_weight")
+    if longest < 3:
+        return two
+    core = _core(edges, steps)
+    back = core.select(F.col("src").alias("last"), F.col("dst").alias("first"), F.col("weight").alias("w"))
+    onward = core.select(F.col("src").alias("last"), F.col("dst").alias("next"), F.col("weight").alias("w"))
+    paths = core.filter("src < dst").select(F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"), F.col("weight").alias("low"))
+    out = two
+    for n in range(3, longest + 1):
+        paths = paths.join(onward, "last").filter("next > first and not array_contains(path, next)")
+        paths = steps.keep(paths.select("first", F.col("next").alias("last"), F.concat("path", F.array("next")).alias("path"), F.least("low", "w").alias("low")), 10_000)
+        out = out.unionByName(paths.join(back, ["last", "first"]).select("path", F.lit(n).alias("length"), F.least("low", "w").alias("min_weight")))
+    return out
+
+
 def contact_edges(rows: DataFrame, a: str = "sender", b: str = "recipient") -> DataFrame:
     """Undirected, without self-contacts and unknown ends; weight = rows."""
     ok = F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)) & (F.col(a) != "Unknown") & (F.col(b) != "Unknown")

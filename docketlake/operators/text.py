@@ -88,6 +88,7 @@ ENTITY_LABELS = ["PERSON", "ORG", "DATE", "MONEY", "GPE", "LAW", "NORP", "FAC",
 HONORIFICS = r"^(Mr\.|Mrs\.|Ms\.|Dr\.|Prof\.|Hon\.|Judge|Attorney|Atty\.)\s+"
 PHONE = r"(?:(?:\+?1[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)?\d{3}[-.\s]?\d{4})"
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+ADDRESS = r"(?i)\d+\s+[\w\s]+(?:Street|St|Avenue|Ave|Boulevard|Blvd|Drive|Dr|Road|Rd|Lane|Ln|Way|Court|Ct|Circle|Cir|Place|Pl)\.?(?:\s*(?:#|Apt|Suite|Ste|Unit)\s*\w+)?(?:\s*,\s*\w+(?:\s+\w+)*\s*,\s*[A-Z]{2}\s*\d{5}(?:-\d{4})?)?"
 SSN = r"\b\d{3}[-]?\d{2}[-]?\d{4}\b"
 
 
@@ -238,6 +239,12 @@ def contact_info(text: Column, most: int = 5) -> tuple[Column, Column]:
     return tuple(F.slice(F.sort_array(F.array_distinct(x)), 1, most) for x in (phones, mails))
 
 
+def street_addresses(text: Column, most: int = 3) -> Column:
+    """Street addresses in the text, sorted, then cut to ``most``."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(ADDRESS), F.lit(0)), strip)
+    return F.slice(F.sort_array(F.array_distinct(found)), 1, most)
+
+
 def matter_type(text: Column) -> tuple[Column, Column]:
     """(matter, confidence in hundredths): best list by counted words; its share of all hits."""
     name, best, total = best_class(text, MATTERS, "general", counted=True)

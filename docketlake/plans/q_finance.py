@@ -90,6 +90,15 @@ def cycles_two(t):
     return G.cycles2(G.flow_edges(t))
 
 
+_STEP = "SELECT f, e.dst AS l, list_append(path, e.dst) AS path, least(low, e.weight) AS low FROM r JOIN e ON e.src = r.l AND e.dst > r.f AND NOT list_contains(path, e.dst) AND len(path) < 6"
+
+
+@query("grf4_cycles_flow", "txn", sql=f"WITH RECURSIVE e AS ({EDGES}), r AS (SELECT src AS f, dst AS l, [src, dst] AS path, weight AS low FROM e WHERE src < dst UNION ALL {_STEP}) SELECT array_to_string(path, '|') AS nodes, len(path)::BIGINT AS length, least(low, e.weight) AS min_weight FROM r JOIN e ON e.src = r.l AND e.dst = r.f")
+def cycles_flow(t):
+    """Circular flows of up to six nodes."""
+    return G.cycles(G.flow_edges(t), 6).select(F.array_join("path", "|").alias("nodes"), F.col("length").cast("long").alias("length"), "min_weight")
+
+
 DIRECTED = "SELECT sender AS src, recipient AS dst, count(*)::BIGINT AS weight FROM :comm WHERE sender <> recipient AND recipient <> 'Unknown' GROUP BY 1, 2"
 
 
