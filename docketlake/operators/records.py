@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketlake.functions.scratch import Steps
 from docketlake.operators.text import KEY_MOMENTS, STOP_WORDS
 
 # Names of programs that edit images.
@@ -158,6 +159,20 @@ def tampering(photos: DataFrame) -> DataFrame:
     return photos.withColumn("indicators", reasons).filter(F.size("indicators") > 0)
 
 
+def dated_first(photos: DataFrame) -> DataFrame:
+    """(photo_id, place): photos (photo_id, exif_date) in order of date, undated last; by a range sort and
+    offsets per range, so that no task holds all photos."""
+    steps = Steps(photos.sparkSession)
+    order = [F.col("exif_date").asc_nulls_last(), F.col("photo_id").asc()]
+    rows = photos.select("photo_id", "exif_date").repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()  # the range above 33 bits, the row within it below
+    rows = steps.keep(rows.select("photo_id", at.alias("_at")).select("photo_id", F.shiftright("_at", 33).alias("_range"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_k")))
+    per = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
+    return rows.join(F.broadcast(per), "_range").select("photo_id", (F.col("_base") + F.col("_k") + 1).alias("place"))
+
+
 def filings(rows: DataFrame, forms: list[str], years: int, as_of: Column) -> DataFrame:
     return rows.filter(F.col("form_type").isin(forms) & (F.col("filing_date") >= F.date_sub(as_of, 365 * years)))
 

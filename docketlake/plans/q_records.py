@@ -88,6 +88,12 @@ def dated(p):
     return top.select("photo_id", F.row_number().over(Window.orderBy(F.col("camera").asc_nulls_last(), "photo_id")).cast("long").alias("place"))
 
 
+@query("srt2_dated_first_whole", "photo", sql="SELECT photo_id, row_number() OVER (ORDER BY CASE WHEN camera IS NOT NULL THEN exif_date END NULLS LAST, photo_id)::BIGINT AS place FROM :photo")
+def dated_whole(p):
+    """All photos; those without a camera count as undated."""
+    return R.dated_first(p.withColumn("exif_date", F.when(F.col("camera").isNotNull(), F.col("exif_date"))))
+
+
 @query("viz7_gps_centre", "photo", sql="SELECT CAST(floor(sum(CAST(floor(deg * 1000) AS BIGINT)) / count(*)) AS BIGINT) AS centre_milli FROM :photo")
 def centre(p):
     return p.agg(F.floor(F.sum(F.floor(F.col("deg") * 1000).cast("long")) / F.count("*")).cast("long").alias("centre_milli"))
