@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 import os
 from collections.abc import Iterator
 
@@ -41,6 +42,10 @@ n_repeat_words bigint, base_failed boolean, kept boolean, chars_per_piece double
 byte_share double, entropy_share double, band string"""
 
 
+#: Runs of characters whose letters count as Latin.
+LATIN = re.compile("[\\u0000-\\u024f\\u1e00-\\u1eff]+")
+
+
 class Words(dict):
     """Numbers words as they come and keeps the pieces of each under both vocabularies."""
 
@@ -86,9 +91,10 @@ class Words(dict):
 
 
 def script_of(text: str) -> str:
-    """"latin" if most of the first letters found in an even sample of the text are Latin."""
-    letters = [c for c in text[:: max(1, len(text) // 500)] if c.isalpha()]
-    return "latin" if letters and sum(ord(c) < 0x250 or 0x1E00 <= ord(c) < 0x1F00 for c in letters) * 2 >= len(letters) else "default"
+    """"latin" if most of the letters of the text, all of them counted, are Latin."""
+    rest = LATIN.sub("", text)
+    letters, other = sum(map(str.isalpha, text)), sum(map(str.isalpha, rest))
+    return "latin" if letters and (letters - other) * 2 >= letters else "default"
 
 
 def repeated_in_windows(ids: np.ndarray) -> int:
