@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,9 +38,12 @@ def count_words(text: Column) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is named."""
+    """The shared folder that the cluster names; a temporary one only where none is named and all tasks run
+    on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="docketlake-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -92,6 +96,27 @@ class Scratch:
             pass
 
 
+#: A key with so many rows is hot: its rows are dealt to ``HOT_PARTS`` tasks. At most ``HOT_KEYS`` keys are named hot.
+HOT_ROWS, HOT_PARTS, HOT_KEYS = 1000, 32, 50_000
+
+
+def join_hot(rows: DataFrame, counted: DataFrame, keys: list[str], spread: list[str], n: str) -> DataFrame:
+    """Inner join of ``rows`` with ``counted``, one row per value of ``keys`` with its number ``n`` of rows.
+
+    The rows of hot keys are dealt by a hash of ``spread`` and their row of ``counted`` is repeated for each
+    part, so that no key is one task's. Hot keys are those above ``HOT_ROWS`` and above the share of all rows
+    that at most ``HOT_KEYS`` of them can have, which bounds the list that is broadcast. ``counted`` is read
+    three times: give a written table. Keys are not null.
+    """
+    least = max(HOT_ROWS, (counted.agg(F.sum(n)).first()[0] or 0) // HOT_KEYS)
+    hot = counted.filter(F.col(n) > least).select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot"))
+    is_hot = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_hot_{k}") for k in keys])
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(HOT_PARTS)).cast("int")).otherwise(0)
+    dealt = rows.join(F.broadcast(hot), is_hot, "left").withColumn("_part", part).drop("_hot", *[f"_hot_{k}" for k in keys])
+    parts = F.when(F.col(n) > least, F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(counted.withColumn("_part", F.explode_outer(parts)), [*keys, "_part"]).drop("_part")
+
+
 def sized_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Mark ``df`` for broadcasting only if its counted rows are within ``limit``."""
     return F.broadcast(df) if rows <= limit else df
