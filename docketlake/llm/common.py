@@ -1,4 +1,8 @@
-"""Shared helpers: table access, scratch tables in the shared checkpoint folder, word rules."""
+"""Shared helpers: table access, scratch tables in the shared checkpoint folder, word rules.
+
+Python functions over texts rely on Spark's bound of 64 MB for an Arrow batch
+(``spark.sql.execution.arrow.maxBytesPerBatch``), which holds whatever the number of rows.
+"""
 
 from __future__ import annotations
 
@@ -63,17 +67,10 @@ class Scratch:
         self._paths: dict[int, tuple[DataFrame, str]] = {}
         atexit.register(self._quiet_remove, self.root)
 
-    def put(self, df: DataFrame, name: str = "t", batch: int | None = None) -> DataFrame:
-        """Write and reread ``df``. ``batch``: rows that its Python functions get at once, for wide rows."""
+    def put(self, df: DataFrame, name: str = "t") -> DataFrame:
+        """Write and reread ``df``."""
         path = f"{self.root}/{name}-{len(self._paths)}-{uuid.uuid4().hex[:8]}"
-        conf, key = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = conf.get(key)
-        if batch:
-            conf.set(key, str(min(batch, int(before)) if int(before) > 0 else batch))
-        try:
-            df.write.parquet(path)
-        finally:
-            conf.set(key, before)
+        df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = (out, path)
         return out

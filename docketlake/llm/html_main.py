@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,13 +15,18 @@ from pyspark.sql import functions as F
 
 from docketlake.llm.common import Scratch, table
 
-#: A subtree is part of a host's template if it stands on so many of its pages and on this share of them.
+#: A subtree is part of a host's template if it stands with so many different articles of the host and with
+#: this share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.02
-#: A subtree with more than this share of the article's text is never taken for a template.
-MOST_OF_ARTICLE = 0.5
+#: Inside of a marked article the share must be this: a licence line or a passage that many articles of a
+#: host share is their text (in the check tables some stand with an eighth of a host's articles).
+SHARE_INSIDE = 0.5
+#: A subtree with more than this share of a page's text is a template only from this share of the host's
+#: articles on; with more than it of a marked article, never.
+MOST, SHARE_OF_MOST = 0.5, 0.5
 #: Outside of a marked article, lists and boxes whose text is links by more than this share go.
 LINK_SHARE = 0.6
-#: Up to so many template hashes go to every worker as an array (4 MB); more are joined to the pages.
+#: Up to so many template hashes go to every worker as arrays (8 MB); more are joined to the pages.
 BROADCAST_HASHES = 500_000
 
 # Element names of the HTML standard by what they mean here.
@@ -33,53 +38,64 @@ BLOCKS = frozenset(
 CLOSES_P = BLOCKS - frozenset("button option optgroup select noscript".split())
 DROPPED = frozenset("head nav aside footer form noscript template svg math button select dialog menu canvas video audio object search".split())
 ROLES = frozenset("navigation contentinfo complementary search dialog alertdialog alert menu menubar toolbar tablist status".split())
+# Whole class names and ids, as a second voice beside the counts.
 WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adsbygoogle sponsor sponsored sponsors promo promos promotion promoted banner banners cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup share sharing sharebar social socials related recommend recommended recommendations sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer foot comment comments commentlist disqus replies respond discussion login skip toolbar paywall hidden".split()
+    "ad ads advert adverts advertisement advertising adsbygoogle ad-slot ad-container ad-banner sponsor sponsored promo promotion banner cookie cookies cookie-notice cookie-banner cookie-consent consent gdpr notice notification popup modal overlay newsletter newsletter-signup subscribe signup share social social-share share-buttons sharing related related-posts recommended recommendations sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer site-footer comment comments comment-list comments-area disqus_thread replies respond login toolbar paywall hidden".split()
 )
 ARTICLE_WORDS = frozenset("hidden ad ads advert sponsored promo comment comments reply replies related recommended teaser".split())
-HEADS = frozenset("header masthead topbar".split())
+HEADS = frozenset("header masthead topbar site-header".split())
 ITEM_PARENTS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 ITEM_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "thead": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}, "option": {"option"}}
 
-TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[!?/][^>]*>)", re.S)
-ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# A quoted value may hold ">"; "<" outside of quotes ends the attempt, so that no stretch is read again and again.
+TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/><\"']*)((?:[^\"'<>]|\"[^\"]*\"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[!?/][^>]*>)", re.S)
+ATTR = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden|style)(?![^\s=/>])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 HOST = re.compile(r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
-PARTS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "marks", "role", "chars", "links", "digest", "hash", "texts")
+    """A block element. What depends on its ancestors is told when it is opened, what depends on its subtree
+    when it is closed, so no walk up or down is needed later."""
+
+    __slots__ = ("tag", "parent", "marks", "role", "chars", "links", "digest", "hash", "nested", "shut")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str):
         self.tag, self.parent = tag, parent
         self.marks: set[str] = set()
         self.role = ""
-        self.chars = self.links = 0
+        self.chars = self.links = self.hash = 0
         self.digest = xxhash.xxh3_64(tag)
-        self.hash = 0
-        self.texts = 0
         if attrs:
             for m in ATTR.finditer(attrs):
                 name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
                 if name in ("class", "id"):
-                    self.marks.update(PARTS.findall(value))
+                    self.marks.update(value.split())
                 elif name == "role":
                     self.role = value.strip()
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
                     self.marks.add("hidden")
+        self.nested = parent is not None and (parent.nested or parent.tag == "article")
+        self.shut = is_clutter(self, False) or parent is not None and parent.shut
 
-    def up(self) -> Iterator[Node]:
-        at = self
-        while at is not None:
-            yield at
-            at = at.parent
+
+def is_clutter(n: Node, in_article: bool) -> bool:
+    """By what the page itself says of the element."""
+    if n.tag in ("html", "body", "main", "#page"):
+        return "hidden" in n.marks
+    if n.tag == "article":  # of an article, only words that name a kind of article count
+        return bool(n.marks & ARTICLE_WORDS)
+    if n.tag in DROPPED or n.role in ROLES or n.marks & WORDS:
+        return True
+    return not in_article and (n.tag == "header" or n.role == "banner" or bool(n.marks & HEADS))
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """Block elements and text blocks in page order. Inline tags vanish, a line break is white space,
-    unclosed elements end where the next one of their kind or their parent does."""
+    unclosed elements end where the next one of their kind or their parent does. Time is in proportion to
+    the page's length, however deep or broken it is."""
     root = Node("#page", None, "")
     nodes, blocks, stack = [root], [], [root]
+    places: dict[str, list[int]] = defaultdict(list)  # per element name, where it is open in the stack
     held: list[str] = []
     linked = 0
     in_link = False
@@ -93,9 +109,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 node = stack[-1]
                 blocks.append((node, text))
                 node.digest.update(text.encode("utf-8", "surrogatepass"))
-                for n in node.up():
-                    n.chars += len(text)
-                    n.links += min(linked, len(text))
+                node.chars += len(text)
+                node.links += min(linked, len(text))
         linked = 0
 
     def close(to: int) -> None:
@@ -103,12 +118,26 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             n = stack.pop()
             n.hash = n.digest.intdigest() >> 1
             if stack:
-                stack[-1].digest.update(n.hash.to_bytes(8, "little"))
+                places[n.tag].pop()
+                up = stack[-1]
+                up.digest.update(n.hash.to_bytes(8, "little"))
+                up.chars += n.chars
+                up.links += n.links
 
-    at = 0
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+    at, bracket = 0, -1
     while True:
-        m = TAG.search(page, at)
-        chunk = page[at : m.start()] if m else page[at:]
+        if bracket < at:
+            bracket = page.find(">", at)
+        if bracket < 0:  # no tag ends any more; an open comment takes the rest
+            bracket, m = len(page), None
+            end = page.find("<!--", at)
+            chunk = page[at:end] if end >= 0 else page[at:]
+        else:
+            m = TAG.search(page, at)
+            chunk = page[at : m.start()] if m else page[at:]
         if chunk:
             held.append(chunk)
             if in_link:
@@ -132,51 +161,31 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         elif tag in BLOCKS:
             flush()
             if ending:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        close(k)
-                        break
+                if places.get(tag):
+                    close(places[tag][-1])
                 continue
             if tag in ITEM_CLOSES:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in ITEM_PARENTS[tag]:
-                        break
-                    if stack[k].tag in ITEM_CLOSES[tag]:
-                        close(k)
-            if tag in CLOSES_P:
-                for k in range(len(stack) - 1, max(0, len(stack) - 3), -1):
-                    if stack[k].tag == "p":
-                        close(k)
-                        break
+                bound = last(ITEM_PARENTS[tag])
+                while (k := last(ITEM_CLOSES[tag])) > bound:
+                    close(k)
+            if tag in CLOSES_P and places.get("p") and places["p"][-1] >= len(stack) - 2:
+                close(places["p"][-1])
             if attrs.rstrip().endswith("/") and tag in ("svg", "canvas", "math", "object"):
                 continue
             node = Node(tag, stack[-1], attrs)
             nodes.append(node)
+            places[tag].append(len(stack))
             stack.append(node)
     flush()
     close(0)
     return nodes, blocks
 
 
-def is_clutter(n: Node, in_article: bool) -> bool:
-    """By what the page itself says of the element."""
-    if n.tag in ("html", "body", "main", "#page"):
-        return "hidden" in n.marks
-    if n.tag == "article":  # of an article, only words that name a kind of article count
-        return bool(n.marks & ARTICLE_WORDS)
-    if n.tag in DROPPED or n.role in ROLES or n.marks & WORDS:
-        return True
-    return not in_article and (n.tag == "header" or n.role == "banner" or bool(n.marks & HEADS))
-
-
 def find_article(nodes: list[Node]) -> Node | None:
-    """The marked article: the only one, or of several the main element, or the one with most text."""
-
-    def clear(n: Node) -> bool:
-        return not any(is_clutter(x, False) for x in n.up())
-
-    articles = [n for n in nodes if n.tag == "article" and n.chars and not n.marks & ARTICLE_WORDS and not any(x.tag == "article" for x in n.parent.up())]
-    open_ = [n for n in articles if clear(n)] or articles
+    """The marked article: the only one, or of several the main element, or the one with most text; of
+    equals the first."""
+    articles = [n for n in nodes if n.tag == "article" and n.chars and not n.nested and not n.marks & ARTICLE_WORDS]
+    open_ = [n for n in articles if not n.shut] or articles
     if len(open_) == 1:
         return open_[0]
     mains = [n for n in nodes if (n.tag == "main" or n.role == "main") and n.chars]
@@ -189,11 +198,20 @@ def find_article(nodes: list[Node]) -> Node | None:
     return best if best is not None and best.chars * 2 >= nodes[0].chars else None
 
 
+def around(top: Node) -> set[int]:
+    out = set()
+    at: Node | None = top
+    while at is not None:
+        out.add(id(at))
+        at = at.parent
+    return out
+
+
 def candidates(nodes: list[Node], article: Node | None) -> list[Node]:
-    """Subtrees that may be a template: boxes of any kind; single paragraphs only where no article is marked."""
-    above = set(map(id, article.up())) if article else {id(nodes[0])}
-    boxes = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "tr", "dt", "dd", "blockquote", "pre", "figcaption")
-    return [n for n in nodes if n.chars and id(n) not in above and n.tag not in ("html", "body", "#page") and (article is None or n.tag not in boxes)]
+    """Subtrees that may be a template: every block element with text, paragraphs and inner boxes included,
+    but what holds the article or the whole page."""
+    above = around(article or nodes[0])
+    return [n for n in nodes if n.chars and id(n) not in above and n.tag not in ("html", "body")]
 
 
 def host_of(url: str | None) -> str:
@@ -201,88 +219,107 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def host_key(host: str) -> int:
+    return xxhash.xxh3_64_intdigest(host) >> 1
+
+
 def template_key(host: str, node: Node) -> int:
     return xxhash.xxh3_64_intdigest(f"{host}\\0{node.hash}") >> 1
 
 
-def main_text(page: str | None, url: str | None, is_template) -> str:
-    """Text of one page. ``is_template``: tells for a template key whether it recurs on its host."""
+def main_text(page: str | None, url: str | None, share_of) -> str:
+    """Text of one page. ``share_of``: for a template key the share of the host's articles that it stands
+    with, 0 if it is none."""
     if not page:
         return ""
     nodes, blocks = parse(page)
     article = find_article(nodes)
     host = host_of(url)
     top = article or nodes[0]
-    above = set(map(id, top.up()))
-    gone = {id(n) for n in candidates(nodes, article) if n.chars <= MOST_OF_ARTICLE * top.chars and is_template(template_key(host, n))}
+    above = around(top)
     out = []
-    verdict: dict[int, bool] = {}
-
-    def stays(n: Node) -> bool:
-        known = verdict.get(id(n))
-        if known is None:
-            if id(n) in above:
-                known = n is top or article is None
-            else:
-                bad = id(n) in gone or is_clutter(n, article is not None)
-                bad = bad or article is None and n.tag in ("ul", "ol", "div", "td", "section") and n.links > LINK_SHARE * n.chars
-                known = not bad and stays(n.parent)
-            verdict[id(n)] = known
-        return known
-
+    stays: dict[int, bool] = {}
+    inside = {id(top)}
+    for n in nodes:  # an element comes after its parent
+        if id(n) in above:
+            stays[id(n)] = n is top or article is None
+            continue
+        if id(n.parent) in inside:
+            inside.add(id(n))
+        if not stays[id(n.parent)]:
+            stays[id(n)] = False
+            continue
+        bad = is_clutter(n, article is not None)
+        bad = bad or article is None and n.tag in ("ul", "ol", "div", "td", "section") and n.links > LINK_SHARE * n.chars
+        if not bad and n.chars and n.tag not in ("html", "body"):
+            share = share_of(template_key(host, n))
+            if share:
+                most = n.chars > MOST * top.chars
+                bad = share >= SHARE_INSIDE and not most if article is not None else not most or share >= SHARE_OF_MOST
+        stays[id(n)] = not bad
     for node, text in blocks:
-        if stays(node):
+        if stays[id(node)]:
             out.append(text)
     return " ".join(out)
 
 
-def template_keys(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key): template keys that recur on their host. Null and empty pages and pages without a host count
-    for nothing."""
+def template_shares(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, share): subtrees that recur on their host, and the share of its different articles (without a
+    marked one: pages) that they stand with. Copies of one article count once, so that mirrored pages are no
+    template. Null and empty pages and pages without a host count for nothing."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            n: Counter = Counter()
+            found: set[tuple[int, int, int]] = set()
             for page, url in zip(b["html"], b["url"]):
                 host = host_of(url)
                 if page and host:
                     nodes, _ = parse(page)
-                    n[(host, 0)] += 1
-                    n.update((host, k) for k in {template_key(host, x) for x in candidates(nodes, find_article(nodes))})
-            if n:
-                yield pd.DataFrame({"host": [k[0] for k in n], "key": [k[1] for k in n], "n": list(n.values())})
-
-    counts = pages.select("html", "url").mapInPandas(run, "host string, key bigint, n bigint").groupBy("host", "key").agg(F.sum("n").alias("n"))
+                    article = find_article(nodes)
+                    h, what = host_key(host), (article or nodes[0]).hash
+                    found.add((h, 0, what))
+                    found.update((h, template_key(host, x), what) for x in candidates(nodes, article))
+            if found:
+                yield pd.DataFrame(np.array(list(found), np.int64), columns=["host", "key", "what"])
+
+    seen = pages.select("html", "url").mapInPandas(run, "host bigint, key bigint, what bigint")
+    # two steps of partial sums: a hot host's menu is never one task's
+    counts = seen.distinct().groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
     many = scratch.put(counts.filter(F.col("n") >= MIN_PAGES), "counts")  # else pages are parsed for both of its uses
-    sizes = many.filter(F.col("key") == 0).select("host", F.col("n").alias("pages"))
-    return many.filter(F.col("key") != 0).join(sizes, "host").filter(F.col("n") >= MIN_SHARE * F.col("pages")).select("key")
+    sizes = many.filter(F.col("key") == 0).select("host", F.col("n").alias("articles"))
+    share = (F.col("n") / F.col("articles")).alias("share")
+    return many.filter(F.col("key") != 0).join(sizes, "host").select("key", share).filter(F.col("share") >= MIN_SHARE)
 
 
 def extract(pages: DataFrame, scratch: Scratch, limit: int = BROADCAST_HASHES) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html).
 
-    First the subtrees of block elements are hashed and counted per host; those on at least ``MIN_PAGES``
-    pages and ``MIN_SHARE`` of a host's pages are its template and are deleted. Of what is left, the
-    marked article stays (without one: the page) less what its markup names as menu, header, footer,
-    sidebar, notice, advert, form or comments. Null, empty and text-free pages give "". Repeated pages
-    each give a row; extra columns are ignored; an empty table gives no rows. Pages are read whole.
+    First the subtrees of block elements are hashed and counted per host; those that stand with at least
+    ``MIN_PAGES`` different articles and ``MIN_SHARE`` of them (``SHARE_INSIDE`` within a marked article) are
+    the host's template and are deleted. Of what is left, the marked article stays (without one: the page)
+    less what its markup names as menu, header, footer, sidebar, notice, advert, form or comments. A host
+    with fewer than ``MIN_PAGES`` articles has no template: there only the markup speaks. Null, empty and
+    text-free pages give "". Of equal articles the first is taken. Repeated pages each give a row; extra
+    columns are ignored; an empty table gives no rows. Pages are read whole, in time that grows with their
+    length only.
     """
     pages = pages.select("page_id", "url", "html")
-    keys = scratch.put(template_keys(pages, scratch), "templates")
+    keys = scratch.put(template_shares(pages, scratch), "templates")
     n = keys.count()
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint"
 
-    def rows(b: pd.DataFrame, cut) -> pd.DataFrame:
-        texts = [main_text(p, u, cut(i)) for i, (p, u) in enumerate(zip(b["html"], b["url"]))]
+    def rows(b: pd.DataFrame, share_of) -> pd.DataFrame:
+        texts = [main_text(p, u, share_of(i)) for i, (p, u) in enumerate(zip(b["html"], b["url"]))]
         return pd.DataFrame({"page_id": b["page_id"].to_numpy(), "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     if n <= limit:
-        known = np.sort(np.array([r[0] for r in keys.collect()], np.int64))  # at most ``limit`` numbers
+        got = keys.toPandas()  # at most ``limit`` rows of two numbers
+        known, shares = got["key"].to_numpy(np.int64), got["share"].to_numpy(np.float32)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held = set(known.tolist())
+            held = dict(zip(known.tolist(), shares.tolist()))
             for b in batches:
-                yield rows(b, lambda i: held.__contains__)
+                yield rows(b, lambda i: lambda key: held.get(key, 0))
 
         return pages.mapInPandas(run, schema)
 
@@ -296,14 +333,14 @@ def extract(pages: DataFrame, scratch: Scratch, limit: int = BROADCAST_HASHES) -
 
     named = pages.withColumn("_page", F.concat_ws(" ", F.xxhash64("page_id", "url", "html").cast("string"), F.crc32("html").cast("string")))
     each = named.select("_page", "html", "url").mapInPandas(find, "page string, keys array<bigint>").select("page", F.explode_outer("keys").alias("key"))
-    mine = each.join(keys, "key").groupBy("page").agg(F.collect_set("key").alias("_keys"))
+    mine = each.join(keys, "key").groupBy("page").agg(F.map_from_entries(F.collect_set(F.struct("key", "share"))).alias("_shares"))
 
     def run_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            held = [set(k.tolist()) if k is not None else set() for k in b["_keys"]]
-            yield rows(b, lambda i, held=held: held[i].__contains__)
+            held = [dict(s) if s is not None else {} for s in b["_shares"]]
+            yield rows(b, lambda i, held=held: lambda key: held[i].get(key, 0))
 
-    return named.join(mine, named["_page"] == mine["page"], "left").select("page_id", "url", "html", "_keys").mapInPandas(run_joined, schema)
+    return named.join(mine, named["_page"] == mine["page"], "left").select("page_id", "url", "html", "_shares").mapInPandas(run_joined, schema)
 
 
 def op1_main_text(spark, sf_dir: str) -> DataFrame:

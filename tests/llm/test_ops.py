@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -35,12 +36,12 @@ def test_html_structure_rules():
     page = """<html><body><header><h1>Site</h1></header><div class="menu">Home About</div><main><article><header><h1>Title</h1></header><div class="share">Share</div>
     <p>One &amp; two<br>three <b>fo</b>ur &nbsp; five<p>Six<div id="comments"><p>bad</div><ul><li>a<li>b</ul><aside>no</aside><form>x <input></form>
     <table><tr><td>1<td>2</table><div style="display: none">no</div></article></main><footer>f</footer><script>if(a<b) "</p>"</script></body>"""
-    assert html_main.main_text(page, "http://x.com/", lambda k: False) == "Title One & two three four five Six a b 1 2"
+    assert html_main.main_text(page, "http://x.com/", lambda k: 0) == "Title One & two three four five Six a b 1 2"
     nested = "<article class=comment><p>first!</p></article><article><p>Body text.</p><article class='comment'><p>bad</p></article></article><article class='teaser card'><p>Much longer teaser text than the body</p></article>"
-    assert html_main.main_text(nested, None, lambda k: False) == "Body text."
-    assert html_main.main_text("", None, lambda k: False) == ""
-    assert html_main.main_text("plain & <b>x</b> < y", None, lambda k: False) == "plain & x < y"
-    assert html_main.main_text("<p>" * 3000 + "deep" + "<div " + 'a="' * 50, None, lambda k: False).startswith("deep")
+    assert html_main.main_text(nested, None, lambda k: 0) == "Body text."
+    assert html_main.main_text("", None, lambda k: 0) == ""
+    assert html_main.main_text("plain & <b>x</b> < y", None, lambda k: 0) == "plain & x < y"
+    assert html_main.main_text("<p>" * 3000 + "deep" + "<div " + 'a="' * 50, None, lambda k: 0).startswith("deep")
 
 
 def test_html_templates(spark):
@@ -58,6 +59,57 @@ def test_html_templates(spark):
     assert html_main.extract(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_html_class_names_are_taken_whole():
+    keep = ["share-price", "ad-hoc notice-of-appeal", "content-hidden-gem"]
+    page = "<article>" + "".join(f'<div class="{c}">{i}</div>' for i, c in enumerate(keep)) + '<div class="x comments">no</div><div id=cookie-notice>no</div><div data-class="ad">yes</div></article>'
+    assert html_main.main_text(page, None, lambda k: 0) == "0 1 2 yes"
+
+
+@pytest.mark.parametrize("page", ['<div a="x' * 110_000, "<div>" * 100_000, "<div>a" * 100_000, '<x ">" ' * 120_000, "<a " * 300_000 + "<!--", "<ul>" * 30_000 + "<li></li>" * 30_000, "<p>" * 50_000 + "</section>" * 50_000, "< <b " * 200_000 + ">"])
+def test_html_of_a_megabyte_takes_no_time(page):
+    began = time.process_time()
+    html_main.main_text(page, "http://a.org/", lambda k: 0)
+    assert time.process_time() - began < 2
+
+
+def _host_pages():
+    """One host: an unnamed notice and a reader comment of every article, a passage that few share, mirrored pages."""
+    pages = []
+    for i in range(12):
+        quote = "<p>a quoted passage</p>" if i < 5 else ""
+        pages.append(f"<body><div>Menu</div><article><h1>T{i}</h1><div>Subscribers only: sign in</div><p>text of number {i} which is the longest of all here</p>{quote}<section><div>first!</div></section></article><div>Imprint</div></body>")
+    pages += [pages[0].replace("Menu", f"Menu {k}") for k in range(30)]  # copies of one article under other menus
+    return pages
+
+
+def test_html_templates_decide_inside_articles(spark, monkeypatch):
+    pages = _host_pages()
+    df = spark.createDataFrame([(i, "http://a.org/%d" % i, p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_main.extract(df, Scratch(spark, "t")).collect()}
+    off = {i: html_main.main_text(p, "http://a.org/", lambda k: 0) for i, p in enumerate(pages)}
+    for i in range(12):
+        quote = " a quoted passage" if i < 5 else ""
+        assert got[i] == f"T{i} text of number {i} which is the longest of all here{quote}"
+        assert off[i] == f"T{i} Subscribers only: sign in text of number {i} which is the longest of all here{quote} first!"
+    assert all(got[i] == got[0] for i in range(12, 42))  # the article of the 31 mirrors is not taken for a template
+    # the counts, by brute force
+    seen, articles = collections.defaultdict(set), collections.defaultdict(set)
+    for p in pages:
+        nodes, _ = html_main.parse(p)
+        what = html_main.find_article(nodes).hash
+        articles["a.org"].add(what)
+        for n in html_main.candidates(nodes, html_main.find_article(nodes)):
+            seen[html_main.template_key("a.org", n)].add(what)
+    want = {k: len(v) / 12 for k, v in seen.items() if len(v) >= html_main.MIN_PAGES}
+    assert {r.key: r.share for r in html_main.template_shares(df, Scratch(spark, "t")).collect()} == want and len(articles["a.org"]) == 12
+
+
+def test_html_notice_on_a_stub_page(spark):
+    rows = [(i, "http://a.org/", f"<div>Page of the archive, a long notice of every page</div><p>{'n' * (i % 7)}</p>") for i in range(14)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_main.extract(df, Scratch(spark, "t")).collect()} == {i: "n" * (i % 7) for i in range(14)}
+
+
 # ------------------------------------------------------------------ 2
 def _sets(texts, k):
     out = []
