@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import math
 import re
 import os
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketlake.llm.common import table
+from docketlake.llm.token_rollup import encoding, read_vocabulary
 
 VOCABULARIES = "/opt/tokenizers"
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
@@ -49,17 +49,12 @@ LATIN = re.compile("[\\u0000-\\u024f\\u1e00-\\u1eff]+")
 class Words(dict):
     """Numbers words as they come and keeps the pieces of each under both vocabularies."""
 
-    def __init__(self, folder: str):
+    def __init__(self, pieces: bytes, vocabulary: tuple[str, bytes, str]):
         super().__init__()
         import sentencepiece
-        import tiktoken
 
-        self._sp = sentencepiece.SentencePieceProcessor(model_file=os.path.join(folder, PIECES))
-        import public_tokenizers
-
-        with open(os.path.join(folder, BYTES), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._bpe = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._sp = sentencepiece.SentencePieceProcessor(model_proto=pieces)
+        self._bpe = encoding(vocabulary)
         self.n_pieces = self._sp.get_piece_size()
         self.is_byte = np.array([self._sp.is_byte(i) for i in range(self.n_pieces)])
         self.reset()
@@ -90,6 +85,12 @@ class Words(dict):
         return k
 
 
+def read_vocabularies(folder: str) -> tuple[bytes, tuple[str, bytes, str]]:
+    """Both vocabularies, which travel with the function that uses them (1.3 MB)."""
+    with open(os.path.join(folder, PIECES), "rb") as f:
+        return f.read(), read_vocabulary(folder, BYTES)
+
+
 def script_of(text: str) -> str:
     """"latin" if most of the letters of the text, all of them counted, are Latin."""
     rest = LATIN.sub("", text)
@@ -159,10 +160,10 @@ def quality_rules(docs: DataFrame, folder: str = VOCABULARIES, bands: dict | Non
     the band of the script. Long texts are measured whole. Repeated rows are measured each; extra
     columns are ignored; an empty table gives no rows.
     """
-    bands = BANDS | (bands or {})
+    bands, both = BANDS | (bands or {}), read_vocabularies(folder)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words(folder)
+        words = Words(*both)
         names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_piece", "chars_per_token", "byte_share", "entropy_share", "band"]
         for b in batches:
             rows = [measure(t, g, words, bands) for t, g in zip(b["text"], b["lang"])]

@@ -6,13 +6,14 @@ import base64
 import hashlib
 import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import checkpoint_dir, table
+from docketlake.llm.common import Scratch, table
 
 VOCABULARIES = "/opt/tokenizers"
 #: Tokenizer versions: name -> (file, kind).
@@ -24,13 +25,21 @@ MEASURES = ["n_docs", "n_tokens", "n_chars"]
 PIECE = 1_000_000
 
 
-def _load(folder: str, file: str):
+def read_vocabulary(folder: str, file: str) -> tuple[str, bytes, str]:
+    """Name, content and splitting pattern, read where the job is planned: they travel to the executors with
+    the function that uses them (under a megabyte), which so need no folder of their own."""
     import public_tokenizers
-    import tiktoken
 
     with open(os.path.join(folder, file), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(file, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return file, f.read(), public_tokenizers.PATTERN
+
+
+def encoding(vocabulary: tuple[str, bytes, str]):
+    import tiktoken
+
+    name, content, pattern = vocabulary
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
+    return tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def _pieces(text: str) -> Iterator[str]:
@@ -48,10 +57,10 @@ def _pieces(text: str) -> Iterator[str]:
 def count_tokens(docs: DataFrame, tokenizers: dict | None = None, folder: str = VOCABULARIES) -> DataFrame:
     """One row per row of ``docs`` and tokenizer: doc_id, source, lang, tokenizer, n_tokens, n_chars. Null
     and empty texts have no tokens; null source and lang are kept as values of their own."""
-    which = tokenizers or TOKENIZERS
+    which = {name: read_vocabulary(folder, file) for name, (file, _) in (tokenizers or TOKENIZERS).items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loaded = {name: _load(folder, file) for name, (file, _) in which.items()}
+        loaded = {name: encoding(v) for name, v in which.items()}
         for b in batches:
             texts = [t or "" for t in b["text"]]
             for name, enc in loaded.items():
@@ -77,65 +86,129 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
 class TokenRollup:
     """Additive totals by source, language and tokenizer version under ``path``.
 
-    Each batch of signed deltas is summed and written to a folder of its own, named after the batch,
-    before its mark of success exists. A batch whose mark exists is skipped, one that was cut off is
-    written over, so a replay never counts twice. Totals are sums over committed batches; ``compact``
-    folds them into one. Keys whose figures are all zero are left out.
+    * ``batches/<id>/<attempt>``: the summed deltas of a batch. An attempt counts from its mark of success on,
+      so one that was cut off never does; of several finished attempts at one batch (two writers, a writer
+      that lost its lease) the first by name counts and the others do not, so a batch is counted once.
+    * ``manifests/<number>``: the last one names the folded table (``bases/<name>``) and the batches in it. It
+      appears by one rename, so totals are those from before or those from after, never between.
+
+    ``compact`` writes a new folded table, publishes its manifest and only then removes what the manifest
+    has made needless; stopped anywhere, it can be run again. Run one compaction at a time. The table of the
+    manifest before stays until the next compaction, for readers under way. Repeated delta rows count
+    each time; no deltas commit an empty batch; other columns of the deltas are ignored; null keys are values
+    of their own. Keys whose figures are all zero are left out.
     """
 
+    SCHEMA = "source string, lang string, tokenizer string, " + ", ".join(f"{m} bigint" for m in MEASURES)
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _folder(self, batch_id: str) -> str:
-        return f"{self.path}/batches/{hashlib.sha256(batch_id.encode()).hexdigest()[:40]}"
+    @staticmethod
+    def _id(batch_id: str) -> str:
+        return hashlib.sha256(batch_id.encode()).hexdigest()[:40]
+
+    def _find(self, pattern: str) -> list[str]:
+        """Paths that match, relative to the rollup's own."""
+        found = self._fs.globStatus(self._path(f"{self.path}/{pattern}")) or []
+        depth = pattern.count("/") + 1
+        return sorted("/".join(s.getPath().toString().split("/")[-depth:]) for s in found)
+
+    def _manifest(self) -> tuple[int, str | None, set[str]]:
+        """Number, folded table and folded batches of the last manifest."""
+        names = [n.rsplit("/", 1)[-1] for n in self._find("manifests/*")]
+        names = [n for n in names if n.isdigit()]
+        if not names:
+            return 0, None, set()
+        base, *folded = (r[0] for r in self.spark.read.text(f"{self.path}/manifests/{names[-1]}").collect())
+        return int(names[-1]), base, set(folded)
+
+    def _attempts(self) -> dict[str, str]:
+        """Batch to the attempt that counts."""
+        out: dict[str, str] = {}
+        for mark in self._find("batches/*/*/_SUCCESS"):
+            _, batch, attempt, _ = mark.split("/")
+            out.setdefault(batch, f"batches/{batch}/{attempt}")
+        return out
 
     def committed(self, batch_id: str) -> bool:
-        return self._fs.exists(self._path(f"{self._folder(batch_id)}/_SUCCESS")) or self._fs.exists(self._path(f"{self.path}/folded/{hashlib.sha256(batch_id.encode()).hexdigest()[:40]}"))
+        return self._id(batch_id) in self._manifest()[2] or bool(self._find(f"batches/{self._id(batch_id)}/*/_SUCCESS"))
 
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
         """True if the batch was counted now, False if it had been before."""
         if self.committed(batch_id):
             return False
-        sums = deltas.groupBy(*KEYS).agg(*[F.sum(m).alias(m) for m in MEASURES])
-        sums.write.mode("overwrite").parquet(self._folder(batch_id))
+        self._sum(deltas).write.parquet(f"{self.path}/batches/{self._id(batch_id)}/{uuid.uuid4().hex}")
         return True
 
-    def _batches(self) -> list[str]:
-        top = self._path(f"{self.path}/batches")
-        if not self._fs.exists(top):
-            return []
-        return [s.getPath().toString() for s in self._fs.listStatus(top) if self._fs.exists(self._path(s.getPath().toString() + "/_SUCCESS"))]
+    @staticmethod
+    def _sum(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*KEYS).agg(*[F.sum(m).alias(m) for m in MEASURES])
+
+    def _table(self, parts: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/{p}" for p in parts]) if parts else self.spark.createDataFrame([], self.SCHEMA)
 
     def totals(self) -> DataFrame:
-        found = self._batches()
-        schema = "source string, lang string, tokenizer string, " + ", ".join(f"{m} bigint" for m in MEASURES)
-        rows = self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
-        sums = rows.groupBy(*KEYS).agg(*[F.sum(m).alias(m) for m in MEASURES])
-        return sums.filter(" OR ".join(f"{m} != 0" for m in MEASURES))
-
-    def compact(self, name: str) -> None:
-        """Fold all committed batches into one called ``name``; their ids stay known."""
-        old = self._batches()
-        target = self._folder(name)
-        if target in old or not old:
-            return
-        self.totals().coalesce(1).write.mode("overwrite").parquet(target + ".tmp")
-        for o in old:
-            self._fs.mkdirs(self._path(f"{self.path}/folded/{o.rsplit('/', 1)[-1]}"))
-        for o in old:
-            self._fs.delete(self._path(o), True)
-        self._fs.rename(self._path(target + ".tmp"), self._path(target))
+        _, base, folded = self._manifest()
+        parts = [f"bases/{base}"] if base else []
+        parts += [place for batch, place in self._attempts().items() if batch not in folded]
+        return self._sum(self._table(parts)).filter(" OR ".join(f"{m} != 0" for m in MEASURES))
+
+    def compact(self) -> None:
+        """Fold all committed batches into one table; their ids stay known."""
+        number, base, folded = self._manifest()
+        fresh = {batch: place for batch, place in self._attempts().items() if batch not in folded}
+        if fresh:
+            name = uuid.uuid4().hex
+            parts = ([f"bases/{base}"] if base else []) + list(fresh.values())
+            self._sum(self._table(parts)).write.parquet(f"{self.path}/bases/{name}")
+            self._publish(number + 1, [name, *sorted(folded | set(fresh))])
+        self._clean()
+
+    def _publish(self, number: int, lines: list[str]) -> None:
+        draft, target = self._path(f"{self.path}/drafts/{uuid.uuid4().hex}"), self._path(f"{self.path}/manifests/{number:012d}")
+        out = self._fs.create(draft)
+        out.write(bytearray("\n".join(lines).encode()))
+        out.close()
+        self._fs.mkdirs(target.getParent())
+        if self._fs.exists(target) or not self._fs.rename(draft, target):
+            raise RuntimeError(f"another compaction has published manifest {number}")
+
+    def _clean(self) -> None:
+        number, base, folded = self._manifest()
+        for n in (int(m.rsplit("/", 1)[-1]) for m in self._find("manifests/*")):
+            if n < number - 1:
+                self._delete(f"manifests/{n:012d}")
+        before = self._find(f"manifests/{number - 1:012d}")
+        kept = {base} | {r[0] for m in before for r in self.spark.read.text(f"{self.path}/{m}").limit(1).collect()}
+        for b in self._find("bases/*"):
+            if b.rsplit("/", 1)[-1] not in kept:
+                self._delete(b)
+        for b in self._find("batches/*"):
+            if b.rsplit("/", 1)[-1] in folded:
+                self._delete(b)
+        self._delete("drafts")
+
+    def _delete(self, place: str) -> None:
+        self._fs.delete(self._path(f"{self.path}/{place}"), True)
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
-    """Totals after the table's rows have been inserted in one batch, which is then replayed."""
-    import uuid
-
-    rollup = TokenRollup(spark, f"{checkpoint_dir(spark)}/docketlake-rollup-{uuid.uuid4().hex}")
-    deltas = inserts(count_tokens(table(spark, sf_dir, "documents")))
-    rollup.commit("documents-1", deltas)
-    rollup.commit("documents-1", deltas)
+    """Totals after four batches over the whole table: every document is inserted; documents without
+    a character are deleted again; those without a language are revised to ``und``; then the batches are
+    folded and two of them are sent once more, which changes nothing."""
+    scratch = Scratch(spark, "rollup")
+    counts = scratch.put(count_tokens(table(spark, sf_dir, "documents")), "counts")
+    rollup = TokenRollup(spark, f"{scratch.root}/totals")
+    rollup.commit("load", inserts(counts))
+    empty = deletes(counts.filter(F.col("n_chars") == 0))
+    rollup.commit("withdraw", empty)
+    unnamed = counts.filter(F.col("lang").isNull() & (F.col("n_chars") > 0))
+    rollup.commit("relabel", revisions(unnamed, unnamed.withColumn("lang", F.lit("und"))))
+    rollup.compact()
+    rollup.commit("load", inserts(counts))
+    rollup.commit("withdraw", empty)
     return rollup.totals()

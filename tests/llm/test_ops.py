@@ -250,7 +250,7 @@ def test_fertility_figures():
     sp = sentencepiece.SentencePieceProcessor(model_file=f"{fertility.VOCABULARIES}/{fertility.PIECES}")
     text = "The quick brown fox jumps over the lazy dog near the river bank. " * 3 + "漢字仮名"
     ids = [p for w in text.split() for p in sp.encode(w)]
-    _, _, _, _, _, _, _, per, _, share, ent, band = fertility.measure(text, "xx", fertility.Words(fertility.VOCABULARIES), fertility.BANDS)
+    _, _, _, _, _, _, _, per, _, share, ent, band = fertility.measure(text, "xx", fertility.Words(*fertility.read_vocabularies(fertility.VOCABULARIES)), fertility.BANDS)
     c = np.array(list(collections.Counter(ids).values())) / len(ids)
     assert abs(per - len(re.sub(r"\s", "", text)) / len(ids)) < 1e-9 and abs(share - sum(map(sp.is_byte, ids)) / len(ids)) < 1e-9
     assert abs(ent + (c * np.log2(c)).sum() / math.log2(len(ids))) < 1e-9 and band == "latin"
@@ -307,23 +307,90 @@ def test_reply_paths_of_a_long_thread(spark):
 def test_rollup(spark, tmp_path):
     r = token_rollup.TokenRollup(spark, str(tmp_path / "r"))
     assert r.totals().count() == 0
-    a = spark.createDataFrame([("s", "en", "v1", 5, 10), ("s", "en", "v1", 7, 20), (None, None, "v1", 1, 1)], "source string, lang string, tokenizer string, n_tokens long, n_chars long")
+    a = spark.createDataFrame([("s", "en", "v1", 5, 10), ("s", "en", "v1", 7, 20), (None, None, "v1", 1, 1)], "source string, lang string, tokenizer string, n_tokens long, n_chars long").withColumn("doc_id", F.lit("clash"))
     assert r.commit("a", token_rollup.inserts(a)) and not r.commit("a", token_rollup.inserts(a))
     old, new = a.filter("n_tokens = 5"), a.filter("n_tokens = 5").withColumn("n_tokens", F.lit(6).cast("long"))
     r.commit("b", token_rollup.revisions(old, new))
     r.commit("c", token_rollup.deletes(a.filter("source is null")))
+    r.commit("none", token_rollup.inserts(a.limit(0)))
     want = [("s", "en", "v1", 2, 13, 30)]
     assert [tuple(x) for x in r.totals().collect()] == want
-    (tmp_path / "r" / "batches" / hashlib.sha256(b"d").hexdigest()[:40]).mkdir()  # a commit that was cut off
+    cut = tmp_path / "r" / "batches" / r._id("d") / "attempt"
+    cut.mkdir(parents=True)  # a commit that was cut off
+    assert [tuple(x) for x in r.totals().collect()] == want and not r.committed("d")
+    second = f"{tmp_path}/r/batches/{r._id('a')}/ffff"  # a second writer of one batch that ended late
+    r._sum(token_rollup.inserts(a)).write.parquet(second)
     assert [tuple(x) for x in r.totals().collect()] == want
-    r.compact("all")
+    r.compact()
     assert [tuple(x) for x in r.totals().collect()] == want and not r.commit("b", token_rollup.inserts(a))
+    assert r.commit("d", token_rollup.inserts(a.filter("source is null")))
+    r.compact()
+    assert sorted(map(str, map(tuple, r.totals().collect()))) == sorted(map(str, [*want, (None, None, "v1", 1, 1, 1)]))
+    assert not r._find("batches/*") and len(r._find("bases/*")) == 2 and all(not r.commit(x, token_rollup.inserts(a)) for x in "abcd")
+
+
+class Stop(Exception):
+    pass
+
+
+def test_compaction_may_stop_anywhere(spark, tmp_path, monkeypatch):
+    a = spark.createDataFrame([("s", "en", "v1", 5, 10)], "source string, lang string, tokenizer string, n_tokens long, n_chars long")
+    for stop in range(1, 30):
+        r = token_rollup.TokenRollup(spark, str(tmp_path / f"r{stop}"))
+        r.commit("a", token_rollup.inserts(a))
+        r.compact()
+        r.commit("b", token_rollup.inserts(a))
+        steps = [0]
+
+        def counted(f):
+            def run(*args):
+                steps[0] += 1
+                if steps[0] == stop:
+                    raise Stop
+                return f(*args)
+
+            return run
+
+        class Fs:
+            def __getattr__(self, name, fs=r._fs):
+                return counted(getattr(fs, name)) if name in ("create", "mkdirs", "rename", "delete") else getattr(fs, name)
+
+        whole = r._fs
+        r._fs = Fs()
+        with monkeypatch.context() as m:
+            m.setattr(r, "_table", counted(r._table))
+            try:
+                r.compact()
+                ended = True
+            except Stop:
+                ended = False
+        r._fs = whole
+        assert [tuple(x) for x in r.totals().collect()] == [("s", "en", "v1", 2, 10, 20)]
+        r.compact()
+        assert [tuple(x) for x in r.totals().collect()] == [("s", "en", "v1", 2, 10, 20)] and not r._find("batches/*")
+        assert not r.commit("a", token_rollup.inserts(a)) and not r.commit("b", token_rollup.inserts(a))
+        if ended:
+            break
+    assert ended and stop > 5
+
+
+def test_token_totals_by_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("source", "lang", "text").collect()
+    want = collections.defaultdict(lambda: [0, 0, 0])
+    for name, (file, _) in token_rollup.TOKENIZERS.items():
+        enc = token_rollup.encoding(token_rollup.read_vocabulary(token_rollup.VOCABULARIES, file))
+        for r in rows:
+            if r.text:
+                w = want[r.source, r.lang or "und", name]
+                w[0], w[1], w[2] = w[0] + 1, w[1] + len(enc.encode_ordinary(r.text)), w[2] + len(r.text)
+    got = {(r.source, r.lang, r.tokenizer): [r.n_docs, r.n_tokens, r.n_chars] for r in token_rollup.op7_token_counts(spark, SF).collect()}
+    assert got == dict(want)
 
 
 def test_token_counts(spark, monkeypatch):
     texts = ["Hello  world,\n it's 12", "", None, "漢字 x" * 50, "word " * 400]
     whole = {r.doc_id: r.n_tokens for r in token_rollup.count_tokens(docs(spark, texts), {"byte_bpe_50k": token_rollup.TOKENIZERS["byte_bpe_50k"]}).collect()}
-    enc = token_rollup._load(token_rollup.VOCABULARIES, "byte_bpe_50k.tiktoken")
+    enc = token_rollup.encoding(token_rollup.read_vocabulary(token_rollup.VOCABULARIES, "byte_bpe_50k.tiktoken"))
     assert whole == {i: len(enc.encode_ordinary(t or "")) for i, t in enumerate(texts)}
     monkeypatch.setattr(token_rollup, "PIECE", 100)
     for t in texts:
