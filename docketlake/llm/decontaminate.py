@@ -1,62 +1,88 @@
-"""Benchmark decontamination by winnowed fingerprints and exact extension of hits. Native."""
+"""Benchmark decontamination by winnowed fingerprints whose hits are extended word by word. Native."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import Scratch, alnum_words, sized_broadcast, table
+from docketlake.llm.common import Scratch, alnum_words, own_name, sized_broadcast, table
 
 #: Words of a window that counts as a leak.
 SPAN = 10
-#: Words of a fingerprinted k-gram. Each run of SPAN - K + 1 k-grams gives its smallest hash, so two
-#: texts that share SPAN consecutive words share a fingerprint.
+#: Words of a fingerprinted k-gram. Of each SPAN - K + 1 adjacent k-grams the one with the smallest hash (the
+#: first of equals) is kept with its place, so two texts that share SPAN consecutive words share a fingerprint
+#: at the same place of the shared run.
 K = 5
-#: Up to so many rows a table of benchmark fingerprints or windows is broadcast (about 30 MB).
-BROADCAST_ROWS = 200_000
+#: A fingerprint is the upper bits of a hash with the place of its k-gram below: places up to 2^28 words.
+PLACE_BITS = 28
+#: Up to so many distinct fingerprints (long integers, 16 MB as a hash table) are broadcast.
+BROADCAST_PRINTS = 200_000
+#: Beyond that, each is repeated so often and documents are dealt over the repeats: no print is one task's.
+PARTS = 16
 
 
-def _grams(df: DataFrame, hashes: str, k: int, out: str) -> DataFrame:
-    """Add ``out``: hashes of all runs of ``k`` elements of array ``hashes``."""
-    rest = "".join(f", get({hashes}, i + {j})" for j in range(1, k))
-    return df.withColumn(out, F.expr(f"transform(slice({hashes}, 1, greatest(0, size({hashes}) - {k - 1})), (x, i) -> xxhash64(x{rest}))"))
+def _grams(df: DataFrame, hashes: str, k: int, out: str, salt: int | None = None) -> DataFrame:
+    """Add ``out``: hash and place (from 0) of all runs of ``k`` elements of array ``hashes``."""
+    rest = "".join(f", get({hashes}, i + {j})" for j in range(1, k)) + ("" if salt is None else f", {salt}")
+    kept = f"(xxhash64(x{rest}) & {-1 << PLACE_BITS}L) | i"
+    return df.withColumn(out, F.expr(f"transform(slice({hashes}, 1, greatest(0, size({hashes}) - {k - 1})), (x, i) -> {kept})"))
 
 
 def with_fingerprints(df: DataFrame, words: str, short: list[int], k: int = K, span: int = SPAN) -> DataFrame:
-    """Replace array ``words`` by ``_fp``: distinct fingerprints.
+    """Add ``_fp``: distinct fingerprints with places, of array ``words``.
 
-    Explode it with explode_outer: for explode, Spark infers a filter on the array's size and pushes it
-    down, which writes every step below out again inside the filter. The winnowed ones guarantee each shared run of ``span`` words. For each length in ``short`` (items
-    of fewer words) every run of that length is fingerprinted, salted with the length.
+    The winnowed ones guarantee each shared run of ``span`` words. For each length in ``short`` (items of
+    fewer words) every run of that length is fingerprinted, salted with the length. Explode it with
+    explode_outer: for explode, Spark infers a filter on the array's size and pushes it down, which writes
+    every step below out again inside the filter.
     """
     w = span - k + 1
-    df = df.withColumn("_wh", F.transform(words, lambda x: F.xxhash64(x))).drop(words)
+    df = df.withColumn("_wh", F.transform(words, lambda x: F.xxhash64(x)))
     df = _grams(df, "_wh", k, "_g")
     least = "least(x" + "".join(f", get(_g, i + {j})" for j in range(1, w)) + ")"
     parts = [f"transform(slice(_g, 1, greatest(0, size(_g) - {w - 1})), (x, i) -> {least})"]
     for n in short:
-        df = _grams(df, "_wh", n, f"_g{n}")
-        parts.append(f"transform(_g{n}, x -> xxhash64(x, {n}))")
+        df = _grams(df, "_wh", n, f"_g{n}", n)
+        parts.append(f"_g{n}")
     return df.withColumn("_fp", F.expr(f"array_distinct(concat({', '.join(parts)}))")).drop("_wh", "_g", *[f"_g{n}" for n in short])
 
 
-def _windows(words: str, sizes: list[int], whole: bool) -> Column:
-    """Array of (pos, n, win): all runs of each size, or for items (``whole``) those an item stands for."""
-    runs = []
-    for n in sizes:
-        run = f"transform(sequence(1, size({words}) - {n - 1}), p -> struct(p AS pos, {n} AS n, array_join(slice({words}, p, {n}), ' ') AS win))"
-        fits = f"size({words}) = {n}" if whole and n < SPAN else f"size({words}) >= {n}"
-        runs.append(f"if({fits}, {run}, array())")
-    return F.expr(f"concat({', '.join(runs)})")
+def _print(fp: str) -> Column:
+    return F.shiftright(fp, PLACE_BITS)
 
 
-def benchmark_windows(items: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[int]]:
-    """(item, n, win) of all items, and the lengths under SPAN that occur among them."""
+def _place(fp: str) -> Column:
+    return F.col(fp).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+
+
+def _before(words: str, at: str) -> Column:
+    """Up to SPAN - K words before place ``at`` (from 0), the nearest first."""
+    return F.expr(f"reverse(slice({words}, greatest(1, {at} - {SPAN - K - 1}), least({at}, {SPAN - K})))")
+
+
+def benchmark_prints(items: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[int]]:
+    """(print, gram, need, item, before, words): each fingerprint of each item with the words around it.
+
+    ``gram``: words of the fingerprint itself; ``need``: words of a run that counts, SPAN or those of an item
+    of fewer words. Also the lengths below SPAN that occur among items.
+    """
     rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), alnum_words(F.col("text")).alias("_w"))
-    rows = rows.withColumn("_win", F.explode_outer(_windows("_w", list(range(1, SPAN + 1)), True)))
-    rows = scratch.put(rows.select("item", "_win.n", "_win.win").filter(F.col("win").isNotNull()).distinct(), "windows")
-    short = sorted(r[0] for r in rows.select("n").distinct().filter(F.col("n").isin([*range(1, SPAN)])).collect())  # nine values at most
-    return rows, short
+    rows = scratch.put(rows.filter(F.size("_w") > 0), "items")
+    short = sorted(r[0] for r in rows.filter(F.size("_w") < SPAN).select(F.size("_w")).distinct().collect())  # nine values at most
+    of = [(K, SPAN, with_fingerprints(rows.filter(F.size("_w") >= SPAN), "_w", []))]
+    of += [(n, n, _grams(rows.filter(F.size("_w") == n).withColumn("_wh", F.transform("_w", lambda x: F.xxhash64(x))), "_wh", n, "_fp", n).drop("_wh")) for n in short]
+    out = None
+    for gram, need, found in of:
+        at = found.withColumn("fp", F.explode_outer("_fp")).withColumn("at", _place("fp"))
+        part = at.select(_print("fp").alias("print"), F.lit(gram).alias("gram"), F.lit(need).alias("need"), "item", _before("_w", "at").alias("before"), F.expr(f"slice(_w, at + 1, {SPAN})").alias("words"))
+        out = part if out is None else out.unionByName(part)
+    return scratch.put(out.distinct(), "prints"), short
+
+
+def _equal(a: str, b: str) -> str:
+    """SQL for the number of leading elements that two arrays share."""
+    same = f"zip_with({a}, {b}, (x, y) -> coalesce(x = y, false))"
+    return f"if(array_position({same}, false) = 0, size({same}), cast(array_position({same}, false) AS INT) - 1)"
 
 
 def contaminated(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
@@ -64,42 +90,56 @@ def contaminated(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFra
 
     Returns (doc_id, text_hash, n_hit, items): ``n_hit`` counts the words inside any occurrence of any
     window, ``items`` are the ids (as strings, sorted) of the items with occurring windows. A document
-    is named by doc_id and the hash of its text, so that repeated or null doc_ids are no trouble.
-    Documents without hits, with null text or without words are absent; null benchmark texts have no
-    windows; an item under SPAN words is one window.
+    is named by doc_id and the hash of its text, so that repeated or null doc_ids are no trouble; rows equal
+    in both are one document. Documents without hits, with null text or without words are absent; null
+    benchmark texts have no windows, a null item_id is "null"; an item under SPAN words is one window. Empty
+    tables give no rows; other columns are ignored. Texts are read whole.
+
+    Fingerprints of documents and items are joined by their hash. Each place of a document so found is
+    extended to both sides, comparing words, up to SPAN - K words: a window's own fingerprint lies in it, so
+    all windows are found by the extensions of all fingerprints, and none needs to go further.
     """
-    wins, short = benchmark_windows(items, scratch)
-    n_wins = wins.count()
-    held = items.select(alnum_words(F.col("text")).alias("_w"))
-    prints = with_fingerprints(held, "_w", [], K, SPAN).select(F.explode_outer("_fp").alias("fp"))
-    for n in short:
-        only = wins.filter(F.col("n") == n).select(F.split("win", " ").alias("_w")).withColumn("_wh", F.transform("_w", lambda x: F.xxhash64(x)))
-        prints = prints.unionByName(_grams(only, "_wh", n, "_g").select(F.explode_outer("_g").alias("fp")).select(F.expr(f"xxhash64(fp, {n})").alias("fp")))
-    prints = scratch.put(prints.filter(F.col("fp").isNotNull()).distinct(), "prints")
-    n_prints = prints.count()
+    prints, short = benchmark_prints(items, scratch)
+    kinds = scratch.put(prints.select("print").distinct(), "kinds")
+    n_kinds = kinds.count()
     named = docs.select("doc_id", F.col("text").alias("_text")).filter(F.col("_text").isNotNull()).withColumn("text_hash", F.xxhash64("_text"))
     marks = with_fingerprints(named.withColumn("_w", alnum_words(F.col("_text"))).drop("_text"), "_w", short)
-    marks = marks.select("doc_id", "text_hash", F.explode_outer("_fp").alias("fp"))
-    found = scratch.put(marks.join(sized_broadcast(prints, n_prints, BROADCAST_ROWS), "fp", "left_semi").select("doc_id", "text_hash").distinct(), "candidates")
-    # extension: every window of a candidate, compared as text
-    f = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"))
-    texts = named.join(f, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_th")), "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    runs = texts.select("doc_id", "text_hash", alnum_words(F.col("_text")).alias("_w")).withColumn("_win", F.explode_outer(_windows("_w", [*short, SPAN], False)))
-    runs = runs.select("doc_id", "text_hash", "_win.pos", "_win.n", "_win.win")
-    kinds = wins.select("n", "win").distinct()
-    hits = scratch.put(runs.join(sized_broadcast(kinds, n_wins, BROADCAST_ROWS), ["n", "win"], "left_semi"), "hits")
-    covered = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("pos", "n")), lambda h: F.sequence(h["pos"], h["pos"] + h["n"] - 1))))
-    n_hit = hits.groupBy("doc_id", "text_hash").agg(F.size(covered).cast("long").alias("n_hit"))
-    pairs = hits.select("doc_id", "text_hash", "n", "win").distinct().join(sized_broadcast(wins, n_wins, BROADCAST_ROWS), ["n", "win"])
-    ids = pairs.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).agg(F.sort_array(F.collect_set("item")).alias("items"))
-    return n_hit.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_th"))).drop("_id", "_th")
+    marks = marks.select("doc_id", "text_hash", F.explode_outer("_fp").alias("fp")).withColumn("print", _print("fp"))
+    if n_kinds <= BROADCAST_PRINTS:
+        found = marks.join(sized_broadcast(kinds, n_kinds, BROADCAST_PRINTS), "print", "left_semi")
+    else:
+        found = marks.withColumn("part", _dealt("fp")).join(_repeated(kinds), ["print", "part"], "left_semi")
+    found = scratch.put(found.groupBy("doc_id", "text_hash").agg(F.collect_set("fp").alias("fps")), "candidates")
+    # the words around each place found
+    f = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), "fps")
+    texts = named.join(f, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_th"))).drop("_id", "_th").dropDuplicates(["doc_id", "text_hash"])
+    near = texts.select("doc_id", "text_hash", alnum_words(F.col("_text")).alias("_w"), "fps")
+    p = f"cast(x & {(1 << PLACE_BITS) - 1}L AS INT)"
+    around = f"struct(x AS fp, reverse(slice(_w, greatest(1, {p} - {SPAN - K - 1}), least({p}, {SPAN - K}))) AS d_before, slice(_w, {p} + 1, {SPAN}) AS d_words)"
+    near = near.select("doc_id", "text_hash", F.explode_outer(F.expr(f"transform(fps, x -> {around})")).alias("a")).select("doc_id", "text_hash", "a.*")
+    near = near.withColumn("print", _print("fp")).withColumn("at", _place("fp")).withColumn("part", _dealt("fp")).drop("fp")
+    both = near.join(_repeated(prints), ["print", "part"]).filter(F.expr("slice(d_words, 1, gram) = slice(words, 1, gram)"))
+    both = both.withColumn("left", F.expr(_equal("d_before", "before"))).withColumn("right", F.when(F.col("need") < SPAN, 0).otherwise(F.expr(_equal(f"slice(d_words, {K + 1}, {SPAN})", f"slice(words, {K + 1}, {SPAN})"))))
+    both = both.withColumn("left", F.when(F.col("need") < SPAN, 0).otherwise(F.col("left"))).filter(F.col("left") + F.col("gram") + F.col("right") >= F.col("need"))
+    run = F.struct((F.col("at") - F.col("left")).alias("first"), (F.col("at") + F.col("gram") + F.col("right") - 1).alias("last"))
+    covered = F.array_distinct(F.flatten(F.transform(F.collect_set(run), lambda h: F.sequence(h["first"], h["last"]))))
+    return both.groupBy("doc_id", "text_hash").agg(F.size(covered).cast("long").alias("n_hit"), F.sort_array(F.collect_set("item")).alias("items"))
+
+
+def _dealt(fp: str) -> Column:
+    return F.pmod(F.xxhash64("doc_id", "text_hash", fp), F.lit(PARTS)).cast("int")
+
+
+def _repeated(prints: DataFrame) -> DataFrame:
+    return prints.withColumn("part", F.explode_outer(F.sequence(F.lit(0), F.lit(PARTS - 1))))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window."""
-    bad = contaminated(docs, items, scratch).select(F.col("doc_id").alias("_dc_id"), F.col("text_hash").alias("_dc_hash"))
-    bad = scratch.put(bad, "bad")
-    same = docs["doc_id"].eqNullSafe(F.col("_dc_id")) & (F.xxhash64(docs["text"]) == F.col("_dc_hash"))
+    """``docs`` without the documents that hold a benchmark window; columns of any name stay as they are."""
+    bad = scratch.put(contaminated(docs, items, scratch).select("doc_id", "text_hash"), "bad")
+    names = [own_name(docs, "_dc_id"), own_name(docs, "_dc_hash")]
+    bad = bad.toDF(*names)
+    same = docs["doc_id"].eqNullSafe(F.col(names[0])) & (F.xxhash64(docs["text"]) == F.col(names[1]))
     return docs.join(bad, same, "left_anti")
 
 

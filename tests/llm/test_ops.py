@@ -208,7 +208,7 @@ def _contaminated(texts, items):
 
 @pytest.mark.parametrize("limit", [200_000, 0])
 def test_decontamination_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(decontaminate, "BROADCAST_PRINTS", limit)
     r = random.Random(5)
     words = [f"t{i}" for i in range(60)]
     items = [(i, " ".join(r.choice(words) for _ in range(n))) for i, n in enumerate([30, 14, 10, 9, 5, 1])] + [(6, None), (7, ""), (8, "...")]
@@ -224,10 +224,24 @@ def test_decontamination_brute_force(spark, monkeypatch, limit):
     b = spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.contaminated(d, b, Scratch(spark, "t")).collect()}
     assert [got.get(i, (0, [])) for i in range(len(texts))] == _contaminated(texts, items)
-    kept = {r.doc_id for r in decontaminate.drop_contaminated(docs(spark, texts).withColumns({"_id": F.lit(1), "_th": F.lit(2), "items": F.lit(3)}), b, Scratch(spark, "t")).collect()}
+    clash = {c: F.lit(1) for c in ("_id", "_th", "items", "_dc_id", "_DC_HASH", "print", "part")}
+    kept = {r.doc_id for r in decontaminate.drop_contaminated(docs(spark, texts).withColumns(clash), b, Scratch(spark, "t")).collect()}
     assert kept == set(range(len(texts))) - set(got)
 
 
+def test_decontamination_odd_rows(spark):
+    span = " ".join(f"s{i}" for i in range(12))
+    long = " ".join(f"f{i % 97}" for i in range(300_000)) + " " + span + " " + "end " * 5
+    rows = [(None, span), (None, span), (1, "x " + span), (1, "x " + span), (1, "clean"), (2, long), (3, " ".join(span.split()[:9]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([(None, span), (None, span), (7, span + " more")], "item_id long, text string")
+    got = sorted((str(r.doc_id), r.n_hit, r["items"]) for r in decontaminate.contaminated(d, b, Scratch(spark, "t")).collect())
+    assert got == [("1", 12, ["7", "null"]), ("2", 12, ["7", "null"]), ("None", 12, ["7", "null"])]
+    assert sorted(str(r.doc_id) for r in decontaminate.drop_contaminated(d, b, Scratch(spark, "t")).collect()) == ["1", "3"]
+    assert decontaminate.contaminated(d, b.limit(0), Scratch(spark, "t")).count() == 0
+    assert decontaminate.contaminated(d.limit(0), b, Scratch(spark, "t")).count() == 0
+
+
 # ------------------------------------------------------------------ 4
 def test_base_rules_brute_force(spark):
     r = random.Random(1)
