@@ -27,28 +27,67 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def reply_paths(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Root-to-leaf paths of reply trees.
-
-    ``nodes`` has (tree_id, node_id, parent_id, ...). A node whose parent is null or missing is a
-    root. Ancestors are found by self-joins that double their reach, so a thread of n turns takes
-    log2(n) joins. Returns (tree_id, leaf_id, node_id, up): ``up`` counts steps from the leaf.
-    Repeated (tree_id, node_id) rows must be made distinct by the caller. Nodes that hang on a
-    cycle of parents have no root; the reach is bounded by the largest tree, and such paths are
-    cut there.
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """Nodes with keys without nulls, each key once: ``_t`` tree, ``_n`` node, ``_p`` parent.
+
+    A null tree_id is a tree of its own. A node without an id can have no answers and is told by its content.
+    Of several rows with one key the first by parent, role, text and score counts, so repeated rows are one.
     """
-    edges = nodes.select("tree_id", "node_id", "parent_id")
-    known = edges.select("tree_id", F.col("node_id").alias("parent_id"))
-    jumps = scratch.put(edges.join(known, ["tree_id", "parent_id"], "left_semi").select("tree_id", "node_id", F.col("parent_id").alias("to_id")), "jumps")
-    leaves = edges.join(jumps.select("tree_id", F.col("to_id").alias("node_id")).distinct(), ["tree_id", "node_id"], "left_anti")
-    paths = scratch.put(leaves.select("tree_id", F.col("node_id").alias("leaf_id"), "node_id", F.lit(0).cast("long").alias("up")), "paths")
-    most = edges.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 0
+    key = lambda c: F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(c).cast("string")))
+    alone = F.concat(F.lit("?"), F.sha2(F.concat_ws("\0", key("parent_id"), "role", "text", F.col("score").cast("string")), 256))
+    rows = nodes.withColumn("_t", key("tree_id")).withColumn("_n", F.when(F.col("node_id").isNull(), alone).otherwise(key("node_id"))).withColumn("_p", F.when(F.col("parent_id").isNotNull(), key("parent_id")))
+    rest = [c for c in rows.columns if c not in ("_t", "_n")]
+    first = F.min(F.struct("parent_id", "role", "text", "score", *[c for c in rest if c not in ("parent_id", "role", "text", "score")])).alias("m")
+    return rows.groupBy("_t", "_n").agg(first).select("_t", "_n", *[f"m.{c}" for c in rest])
+
+
+def _climb(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Per node of ``edges`` (_t, _n, _p, score; null _p: a root): ``total`` score and ``depth`` of the path from
+    its root. Self-joins double the reach, so a thread of n turns takes log2(n) joins of one row per node.
+    A node that never comes to a root (its parents go in a circle) keeps ``_p`` not null; ``least`` is then
+    the smallest of its forefathers."""
+    state = scratch.put(edges.select("_t", "_n", "_p", F.col("score").alias("total"), F.when(F.col("_p").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("_p").alias("least")), "climb")
+    most = edges.groupBy("_t").count().agg(F.max("count")).first()[0] or 0
     reach = 1
-    while reach < most and not jumps.isEmpty():
-        further = paths.join(jumps, ["tree_id", "node_id"]).select("tree_id", "leaf_id", F.col("to_id").alias("node_id"), (F.col("up") + reach).alias("up"))
+    while reach < 2 * most and not (going := state.filter(F.col("_p").isNotNull())).isEmpty():
+        up = state.select("_t", F.col("_n").alias("_p"), F.col("_p").alias("_further"), F.col("total").alias("_more"), F.col("depth").alias("_deeper"), F.col("least").alias("_less"))
+        moved = going.join(up, ["_t", "_p"]).select("_t", "_n", F.col("_further").alias("_p"), (F.col("total") + F.col("_more")).alias("total"), (F.col("depth") + F.col("_deeper")).alias("depth"), F.least("least", "_less").alias("least"))
+        grown = scratch.put(state.filter(F.col("_p").isNull()).unionByName(moved), "climb")
+        scratch.drop(state)
+        state, reach = grown, reach * 2
+    return state
+
+
+def reply_paths(nodes: DataFrame, scratch: Scratch, branches: int | None = None) -> DataFrame:
+    """Root-to-leaf paths of reply trees, of each tree the best ``branches`` (None: all).
+
+    ``nodes``: (_t, _n, _p, score), keys as of :func:`_keyed`. A node whose parent is null or missing is a root;
+    where parents go in a circle the smallest node of the circle is one. Leaves are ranked by the sum of
+    the scores of their path, then by key; only the paths that are chosen are listed, again by joins that
+    double their reach. Returns (_t, _leaf, branch, _n, pos): ``pos`` counts from 0 at the root.
+    """
+    known = nodes.select("_t", F.col("_n").alias("_p"), F.lit(True).alias("_known"))
+    edges = nodes.select("_t", "_n", "_p", "score").join(known, ["_t", "_p"], "left").withColumn("_p", F.when(F.col("_known"), F.col("_p"))).drop("_known")
+    edges = scratch.put(edges, "edges")
+    state = _climb(edges, scratch)
+    circle = state.filter(F.col("_p").isNotNull() & (F.col("least") == F.col("_n"))).select("_t", "_n", F.lit(True).alias("_cut"))
+    if not circle.isEmpty():
+        edges = scratch.put(edges.join(circle, ["_t", "_n"], "left").withColumn("_p", F.when(F.col("_cut").isNull(), F.col("_p"))).drop("_cut"), "edges")
+        state = _climb(edges, scratch)
+    inner = edges.filter(F.col("_p").isNotNull()).select("_t", F.col("_p").alias("_n")).distinct()
+    leaves = state.join(inner, ["_t", "_n"], "left_anti")
+    best = Window.partitionBy("_t").orderBy(F.col("total").desc(), "_n")
+    ranked = leaves.withColumn("branch", F.row_number().over(best))
+    if branches is not None:
+        ranked = ranked.filter(F.col("branch") <= branches)
+    paths = scratch.put(ranked.select("_t", F.col("_n").alias("_leaf"), "branch", "_n", F.col("depth").alias("pos")), "paths")
+    jumps = scratch.put(edges.filter(F.col("_p").isNotNull()).select("_t", "_n", F.col("_p").alias("_to")), "jumps")
+    reach, deepest = 1, (paths.agg(F.max("pos")).first()[0] or 0)
+    while reach <= deepest:
+        further = paths.join(jumps, ["_t", "_n"]).select("_t", "_leaf", "branch", F.col("_to").alias("_n"), (F.col("pos") - reach).alias("pos"))
         grown = scratch.put(paths.unionByName(further), "paths")
-        onward = jumps.select("tree_id", F.col("node_id").alias("to_id"), F.col("to_id").alias("_next"))
-        longer = scratch.put(jumps.join(onward, ["tree_id", "to_id"]).select("tree_id", "node_id", F.col("_next").alias("to_id")), "jumps")
+        onward = jumps.select("_t", F.col("_n").alias("_to"), F.col("_to").alias("_next"))
+        longer = scratch.put(jumps.join(onward, ["_t", "_to"]).select("_t", "_n", F.col("_next").alias("_to")), "jumps")
         scratch.drop(paths, jumps)
         paths, jumps, reach = grown, longer, reach * 2
     return paths
@@ -57,28 +96,29 @@ def reply_paths(nodes: DataFrame, scratch: Scratch) -> DataFrame:
 def format_threads(nodes: DataFrame, scratch: Scratch, branches: int = 1, loss_role: str = "assistant") -> DataFrame:
     """One formatted conversation per chosen path.
 
-    ``nodes``: (tree_id, node_id, parent_id, role, text, score). Paths of a tree are ranked by the
-    sum of their scores, then by leaf_id; the first ``branches`` are kept. Returns tree_id, leaf_id,
-    branch (rank), n_turns, formatted, loss_spans (array of start, length in code points of
-    ``formatted``, the escaped texts of ``loss_role``). Null texts and roles count as empty. An empty
-    table gives no rows; columns beyond the named ones are ignored.
+    ``nodes``: (tree_id, node_id, parent_id, role, text, score). Paths of a tree are ranked by the sum of
+    their scores, ties by the leaf's id as text; the first ``branches`` are kept. Returns tree_id, leaf_id, branch
+    (rank), n_turns, formatted, loss_spans (array of start, length in code points of ``formatted``, the
+    escaped texts of ``loss_role``). Null texts and roles count as empty, null scores as 0. A null tree_id is
+    a tree; a node without an id is one that nothing answers; rows that repeat a node are one (the first by
+    parent, role and text); a circle of parents starts at its smallest node, and each node stands in a path
+    once. Texts of any length are kept whole. An empty table gives no rows; columns beyond the named ones are
+    ignored.
     """
     nodes = nodes.select("tree_id", "node_id", "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score"), F.lit(0)).cast("double").alias("score"))
-    nodes = scratch.put(nodes, "nodes")
-    paths = reply_paths(nodes, scratch)
-    scored = paths.join(nodes.select("tree_id", "node_id", "score"), ["tree_id", "node_id"]).groupBy("tree_id", "leaf_id").agg(F.sum("score").alias("_score"), F.max("up").alias("_depth"))
-    best = Window.partitionBy("tree_id").orderBy(F.col("_score").desc(), "leaf_id")
-    chosen = scored.withColumn("branch", F.row_number().over(best)).filter(F.col("branch") <= branches).select("tree_id", "leaf_id", "branch", "_depth")
-    turns = paths.join(chosen, ["tree_id", "leaf_id"]).join(nodes.drop("score", "parent_id"), ["tree_id", "node_id"])
+    nodes = scratch.put(_keyed(nodes), "nodes")
+    paths = reply_paths(nodes, scratch, branches)
+    ids = nodes.select("_t", F.col("_n").alias("_leaf"), F.col("node_id").alias("leaf_id"))
+    turns = paths.join(nodes.drop("score", "parent_id", "_p", "node_id"), ["_t", "_n"])
     head = F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP))
     body = escape(F.col("text"))
-    turns = turns.select("tree_id", "leaf_id", "branch", (F.col("_depth") - F.col("up")).alias("pos"), "role", head.alias("head"), body.alias("body"))
+    turns = turns.select("_t", "_leaf", "tree_id", "branch", "pos", "role", head.alias("head"), body.alias("body"))
     turns = turns.withColumn("piece", F.concat("head", "body", F.lit(END)))
-    along = Window.partitionBy("tree_id", "leaf_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy("_t", "_leaf").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     turns = turns.withColumn("at", F.coalesce(F.sum(F.length("piece").cast("long")).over(along), F.lit(0)) + F.length("head"))
     span = F.when(F.col("role") == loss_role, F.struct(F.col("at").alias("start"), F.length("body").cast("long").alias("length")))
-    out = turns.groupBy("tree_id", "leaf_id").agg(F.min("branch").alias("branch"), F.count(F.lit(1)).alias("n_turns"), F.sort_array(F.collect_list(F.struct("pos", "piece"))).alias("_pieces"), F.array_sort(F.collect_list(span)).alias("loss_spans"))
-    return out.select("tree_id", "leaf_id", "branch", "n_turns", F.concat_ws("", F.col("_pieces.piece")).alias("formatted"), "loss_spans")
+    out = turns.groupBy("_t", "_leaf").agg(F.first("tree_id").alias("tree_id"), F.min("branch").alias("branch"), F.count(F.lit(1)).alias("n_turns"), F.sort_array(F.collect_list(F.struct("pos", "piece"))).alias("_pieces"), F.array_sort(F.collect_list(span)).alias("loss_spans"))
+    return out.join(ids, ["_t", "_leaf"]).select("tree_id", "leaf_id", "branch", "n_turns", F.concat_ws("", F.col("_pieces.piece")).alias("formatted"), "loss_spans")
 
 
 def read_back(formatted: Column) -> Column:

@@ -310,11 +310,48 @@ def test_chat_round_trip_and_branches(spark):
     assert chat.format_threads(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
+NODES = "tree_id string, node_id long, parent_id long, role string, text string, score double"
+
+
 def test_reply_paths_of_a_long_thread(spark):
     n = 300
-    df = spark.range(n).select(F.lit("t").alias("tree_id"), F.col("id").alias("node_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"))
-    got = chat.reply_paths(df, Scratch(spark, "t")).collect()
-    assert len(got) == n and {(r.node_id, r.up) for r in got} == {(i, n - 1 - i) for i in range(n)}
+    rows = [("t", i, i - 1 if i else None, "user", f"<{i}" + "x" * (100_000 if i == 7 else 0), 1.0) for i in range(n)]
+    out = chat.format_threads(spark.createDataFrame(rows, NODES), Scratch(spark, "t")).withColumn("back", chat.read_back(F.col("formatted"))).collect()
+    assert [[t.text for t in r.back] for r in out] == [[r[4] for r in rows]]
+
+
+def test_reply_trees_by_brute_force(spark):
+    r = random.Random(6)
+    rows = []
+    for t in range(25):
+        for i in range(r.randint(1, 12)):
+            rows.append((f"t{t}", i, r.randrange(i) if i and r.random() < 0.9 else None, "user", f"{t}.{i}", float(r.randint(0, 3))))
+    kids, by = collections.defaultdict(list), {(x[0], x[1]): x for x in rows}
+    for x in rows:
+        kids[x[0], x[2]].append(x)
+    want = {}
+    for t in {x[0] for x in rows}:
+        paths = []
+        for x in rows:
+            if x[0] == t and not kids[t, x[1]]:
+                path = [x]
+                while path[0][2] is not None:
+                    path.insert(0, by[t, path[0][2]])
+                paths.append((-sum(p[5] for p in path), "+" + str(x[1]), [p[4] for p in path]))
+        want |= {(t, k + 1): p[2] for k, p in enumerate(sorted(paths)[:3])}
+    out = chat.format_threads(spark.createDataFrame(rows + rows[::3], NODES), Scratch(spark, "t"), branches=3)
+    got = {(x.tree_id, x.branch): [t.text for t in x.back] for x in out.withColumn("back", chat.read_back(F.col("formatted"))).collect()}
+    assert got == want
+
+
+def test_reply_trees_odd_rows(spark):
+    rows = [("r", 1, None, "u", "a", 1.0), ("r", 2, 1, "u", "b", 1.0), ("r", 2, 1, "u", "b", 1.0), ("r", 2, 1, "u", "c", 9.0)]  # a node three times
+    rows += [(None, 1, None, "u", "x", None), (None, None, 1, "u", "no id", 0.0), (None, None, 1, "u", "no id", 0.0)]  # no tree, no node id
+    rows += [("c", 3, 1, "u", "3", 0.0), ("c", 1, 2, "u", "1", 0.0), ("c", 2, 3, "u", "2", 0.0), ("c", 0, 2, "u", "0", 0.0), ("c", 9, 9, "u", "self", 5.0)]  # circles
+    out = chat.format_threads(spark.createDataFrame(rows, NODES), Scratch(spark, "t"), branches=9).withColumn("back", chat.read_back(F.col("formatted"))).collect()
+    got = sorted((str(x.tree_id), str(x.leaf_id), [t.text for t in x.back]) for x in out)
+    # the circle 1 -> 2 -> 3 -> 1 starts at 1, whose answer is 3, whose answer is 2, which 0 answers
+    assert got == [("None", "None", ["x", "no id"]), ("c", "0", ["1", "3", "2", "0"]), ("c", "9", ["self"]), ("r", "2", ["a", "b"])]
 
 
 # ------------------------------------------------------------------ 7
