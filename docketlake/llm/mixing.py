@@ -50,9 +50,10 @@ def mix(docs: DataFrame, scratch: Scratch, size: Column | None = None, weights=W
     source with a third of all rows is spread over many tasks.
 
     Null or empty texts have size 0 and nothing is taken; null sources form one source, the last;
-    null or repeated doc_ids share a place in the order and rank by size; rows that are equal in
-    doc_id and size are interchangeable. An empty table gives an empty result. Other columns of
-    ``docs`` are kept, save those named like an added one, which are replaced.
+    null or repeated doc_ids are told apart by the hash of their text (if there is one), so that a source
+    without doc_ids is spread like any other; rows that are equal in doc_id, text and size are
+    interchangeable. An empty table gives an empty result. Other columns of ``docs`` are kept, whatever their
+    names, save those named like an added one, which are replaced.
     """
     added = ("size", "source_size", "target", "epochs", "taken")
     size = count_words(F.col("text")) if size is None else size

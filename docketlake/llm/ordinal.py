@@ -18,7 +18,9 @@ from docketlake.llm.common import sized_broadcast, table
 DIM = 1 << 18
 #: Lengths of hashed word beginnings (the word's own mark counts as its first letter).
 PREFIXES = (5, 6, 7)
-#: Bound on the labelled rows that the weights are fitted on; they are the rows with the smallest hash.
+#: Distances at which tokens are compared with earlier ones, and the shares of equal ones that are features.
+ECHOES, ECHO_SHARES = (1, 2), (1 / 16, 1 / 8, 1 / 4, 1 / 2)
+#: Bound on the labelled rows that the weights are fitted on; they are those with the smallest (hash, doc_id).
 MAX_FIT_ROWS = 20_000
 #: Up to so many labels are sent to the tasks that read texts (about 40 MB); more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
@@ -30,6 +32,7 @@ L2, STEPS, RATE = 1e-4, 200, 0.05
 KEEP_FROM = 0.6
 CACHE_WORDS = 300_000
 
+_ECHO = np.array([[xxhash.xxh3_64_intdigest(f"\0echo {d} {share}".encode()) % DIM for share in ECHO_SHARES] for d in ECHOES], np.int64)
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -58,18 +61,21 @@ class Features(dict):
         return k
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct features and values: log(1 + count) / log(1 + tokens)."""
+        """Features and values: log(1 + count) / log(1 + tokens) of tokens and beginnings; 1 for each share that
+        the tokens equal to the one before, or before that, reach."""
         words = _TOKEN.findall((text or "").lower())
         if not words:
             return np.zeros(0, np.int64), np.zeros(0)
         if len(self) > CACHE_WORDS:
             self.clear()
-        kinds, times = np.unique(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), return_counts=True)
+        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        echo = np.concatenate([_ECHO[j, [(ids[d:] == ids[:-d]).mean() >= share for share in ECHO_SHARES]] for j, d in enumerate(ECHOES) if len(ids) > d] or [np.zeros(0, np.int64)])
+        kinds, times = np.unique(ids, return_counts=True)
         f = self.table[kinds].ravel()
         n = np.repeat(times, self.table.shape[1])
         have = f >= 0
         found, at = np.unique(f[have], return_inverse=True)
-        return found, np.log1p(np.bincount(at, weights=n[have])) / math.log1p(len(words))
+        return np.append(found, echo), np.append(np.log1p(np.bincount(at, weights=n[have])) / math.log1p(len(words)), np.ones(len(echo)))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -148,11 +154,12 @@ def fit(docs: DataFrame, rated: DataFrame, grades: int = 3, max_rows: int = MAX_
         for b in batches:
             f = [seen.of(t) for t in b["text"]]
             kept = [(k[odds[k] > 0].astype(np.int32), v[odds[k] > 0].astype(np.float32)) for k, v in f]
-            yield pd.DataFrame({"grade": b["grade"], "f": [k.tobytes() for k, _ in kept], "v": [v.tobytes() for _, v in kept]})
+            yield pd.DataFrame({"id": b["doc_id"].astype(str), "grade": b["grade"], "f": [k.tobytes() for k, _ in kept], "v": [v.tobytes() for _, v in kept]})
 
-    place = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) / 1_000_000
-    picked = rated.filter(place < min(1.0, max_rows / n_rated)).limit(max_rows)
-    rows = docs.join(F.broadcast(picked), "doc_id").filter(F.col("text").isNotNull()).select("text", "grade").mapInPandas(encode, "grade int, f binary, v binary").toPandas()
+    place = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 40))
+    picked = rated.orderBy(place, "doc_id").limit(max_rows)
+    rows = docs.join(F.broadcast(picked), "doc_id").filter(F.col("text").isNotNull()).select("doc_id", "text", "grade").mapInPandas(encode, "id string, grade int, f binary, v binary").toPandas()
+    rows = rows.sort_values(["id", "grade", "f", "v"], ignore_index=True)  # sums in one order: reruns agree
     if rows["grade"].nunique() < 2:
         return None
     feats = [np.frombuffer(x, np.int32) for x in rows["f"]]
@@ -168,7 +175,8 @@ def fit(docs: DataFrame, rated: DataFrame, grades: int = 3, max_rows: int = MAX_
 def classify(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     """``docs`` with ``expected_grade``, ``p_top`` (probability of the top grade) and ``kept``.
 
-    ``labels``: (doc_id, quality, toxic); a doc_id labelled more than once counts by its worst labels.
+    ``labels``: (doc_id, quality, toxic); a doc_id labelled more than once counts by its worst labels. Documents
+    that repeat a labelled doc_id are taught each, so a row that is repeated weighs more.
     Texts without a token (null, empty, white space) have null figures and are not kept. Without labels of
     two grades nothing can be learned: figures are null and every text with a token is kept. Whole texts
     are read; columns named like an added one are replaced, others stay; an empty table gives no rows.
