@@ -17,7 +17,10 @@ K = 5
 PLACE_BITS = 28
 #: Up to so many distinct fingerprints (long integers, 16 MB as a hash table) are broadcast.
 BROADCAST_PRINTS = 200_000
-#: Beyond that, each is repeated so often and documents are dealt over the repeats: no print is one task's.
+#: Up to so many candidate documents are broadcast to pick their texts: an id and a hash each (40 MB).
+BROADCAST_DOCS = 1_000_000
+#: Prints beyond their limit are joined by a shuffle: each is repeated so often and documents are dealt over
+#: the repeats, so no print is one task's.
 PARTS = 16
 
 
@@ -112,7 +115,10 @@ def contaminated(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFra
     found = scratch.put(found.groupBy("doc_id", "text_hash").agg(F.collect_set("fp").alias("fps")), "candidates")
     # the words around each place found
     f = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), "fps")
-    texts = named.join(f, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_th"))).drop("_id", "_th").dropDuplicates(["doc_id", "text_hash"])
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_th"))
+    # ids first, so that only the texts of candidates are moved
+    texts = named.join(sized_broadcast(f.drop("fps"), found.count(), BROADCAST_DOCS), same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    texts = texts.join(f, same).drop("_id", "_th")
     near = texts.select("doc_id", "text_hash", alnum_words(F.col("_text")).alias("_w"), "fps")
     p = f"cast(x & {(1 << PLACE_BITS) - 1}L AS INT)"
     around = f"struct(x AS fp, reverse(slice(_w, greatest(1, {p} - {SPAN - K - 1}), least({p}, {SPAN - K}))) AS d_before, slice(_w, {p} + 1, {SPAN}) AS d_words)"
