@@ -34,6 +34,13 @@ def own_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def own_prefix(df: DataFrame, prefix: str) -> str:
+    """``prefix``, or a longer one that no column of ``df`` starts with."""
+    while any(c.lower().startswith(prefix.lower()) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower A-Z and nothing else."""
     return F.translate(text, _UPPER, _UPPER.lower())

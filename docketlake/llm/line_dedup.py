@@ -7,25 +7,21 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import Scratch, count_words, table
+from docketlake.llm.common import Scratch, count_words, join_hot, own_prefix, table
 
 #: A run of lines counts as repeated matter from so many words on.
 MIN_WORDS = 50
 
 
-def _named(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Add ``_first`` and ``_n`` of the class of ``key`` and keep classes of two or more.
+def _named(rows: DataFrame, key: list[str], scratch: Scratch) -> DataFrame:
+    """Add ``_first`` of the class of ``key`` and keep classes of two or more.
 
     ``_first`` = (doc, row tag, pos) of the earliest member: the class's name and the place of the
     copy that stays. Counting is done before the join, so that a line found in a third of all documents
-    is one row of the counted side, and the join can be split.
+    is one row of the counted side, and the rows of such a class are dealt over tasks.
     """
-    rank = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(F.min(F.struct("doc", "tag", "pos")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).drop("_n")
-    same = None
-    for i, k in enumerate(key):
-        c = F.col(k) == F.col(f"_k{i}")
-        same = c if same is None else same & c
-    return rows.join(rank, same).drop(*[f"_k{i}" for i in range(len(key))])
+    counted = rows.groupBy(*key).agg(F.min(F.struct("doc", "tag", "pos")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+    return join_hot(rows, scratch.put(counted, "classes"), key, ["doc", "tag", "pos"], "_n").drop("_n")
 
 
 def _name(first: Column) -> Column:
@@ -55,7 +51,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS
     upto = F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0))
     lines = scratch.put(lines.withColumn("c", upto.cast("long")), "lines")
     # names of single lines
-    rank = scratch.put(_named(lines.select("doc", "tag", "pos", "line", "w", "c", "h", "h2"), ["h", "h2"]).select("doc", "tag", "pos", "line", "w", "c", _name(F.col("_first")).alias("r0"), F.col("_first").alias("f0")), "rank0")
+    rank = scratch.put(_named(lines.select("doc", "tag", "pos", "line", "w", "c", "h", "h2"), ["h", "h2"], scratch).select("doc", "tag", "pos", "line", "w", "c", _name(F.col("_first")).alias("r0"), F.col("_first").alias("f0")), "rank0")
     # stretches of adjacent repeated lines bound what can be a repeated run
     within = Window.partitionBy("doc", "tag").orderBy("pos")
     rank = rank.withColumn("_new", F.when(F.col("pos") - F.lag("pos").over(within) == 1, 0).otherwise(1)).withColumn("isle", F.sum("_new").over(within)).drop("_new")
@@ -71,7 +67,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS
         half = 2 ** (j - 1)
         ahead = Window.partitionBy("doc", "tag", "isle").orderBy("pos").rangeBetween(half, half)
         pairs = ranks[-1].withColumn("r2", F.max("r").over(ahead)).filter(F.col("r2").isNotNull())
-        ranks.append(scratch.put(_named(pairs, ["r", "r2"]).select("doc", "tag", "isle", "pos", _name(F.col("_first")).alias("r")), f"rank{j}"))
+        ranks.append(scratch.put(_named(pairs, ["r", "r2"], scratch).select("doc", "tag", "isle", "pos", _name(F.col("_first")).alias("r")), f"rank{j}"))
     # rank pair of each run
     level = F.floor(F.log2(F.col("len").cast("double") + F.lit(1e-9))).cast("int")
     runs = runs.withColumn("j", level).withColumn("tail", F.expr("pos + len - cast(pow(2, j) as int)"))
@@ -82,7 +78,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS
     at = lambda place: (F.col("doc") == F.col("_d")) & (F.col("tag") == F.col("_t")) & (F.col("j") == F.col("_j")) & (F.col(place) == F.col("_p"))
     runs = runs.join(all_ranks.withColumnRenamed("r", "ra"), at("pos")).drop("_d", "_t", "_p", "_j")
     runs = runs.join(all_ranks.withColumnRenamed("r", "rb"), at("tail")).drop("_d", "_t", "_p", "_j")
-    again = _named(runs, ["len", "ra", "rb"]).filter((F.col("_first.doc") != F.col("doc")) | (F.col("_first.tag") != F.col("tag")) | (F.col("_first.pos") != F.col("pos")))
+    again = _named(scratch.put(runs, "pairs"), ["len", "ra", "rb"], scratch).filter((F.col("_first.doc") != F.col("doc")) | (F.col("_first.tag") != F.col("tag")) | (F.col("_first.pos") != F.col("pos")))
     covered = again.select("doc", "tag", F.explode_outer(F.sequence("pos", F.col("pos") + F.col("len") - 1)).alias("pos")).distinct()
     gone = covered.join(rank.select("doc", "tag", "pos", "line"), ["doc", "tag", "pos"])
     return gone.groupBy("doc", "tag").agg(F.sort_array(F.collect_list("line")).alias("lines"))
@@ -95,8 +91,11 @@ def _shortest_runs(rank: DataFrame, min_words: int) -> DataFrame:
     forward = "transform(s, (x, i) -> struct(x.pos AS pos, size(filter(slice(s, i + 1, {m}), y -> y.c < x.c - x.w + {m})) + 1 AS len))".replace("{m}", str(min_words))
     backward = "transform(s, (x, i) -> size(filter(slice(s, greatest(1, i + 2 - {m}), least(i + 1, {m})), y -> y.c - y.w > x.c - {m})) + 1)".replace("{m}", str(min_words))
     rows = grouped.withColumn("f", F.expr(forward)).withColumn("b", F.expr(backward))
-    rows = rows.withColumn("both", F.expr("concat(filter(transform(f, (x, i) -> if(i + x.len <= size(s), x, null)), x -> x is not null), filter(transform(b, (n, i) -> if(i + 1 - n >= 0, struct(s[i + 1 - n].pos AS pos, n AS len), null)), x -> x is not null))"))
-    return rows.select("doc", "tag", F.explode_outer(F.array_distinct("both")).alias("r")).select("doc", "tag", "r.pos", "r.len").filter(F.col("len").isNotNull())
+    # place and length as one number: arrays of structs are made distinct by comparing all pairs
+    one = str(min_words + 1)
+    rows = rows.withColumn("both", F.expr(f"concat(filter(transform(f, (x, i) -> if(i + x.len <= size(s), x.pos * {one}L + x.len, null)), x -> x is not null), filter(transform(b, (n, i) -> if(i + 1 - n >= 0, s[i + 1 - n].pos * {one}L + n, null)), x -> x is not null))"))
+    rows = rows.select("doc", "tag", F.explode_outer(F.array_distinct("both")).alias("r")).filter(F.col("r").isNotNull())
+    return rows.select("doc", "tag", F.expr(f"cast(r div {one} AS INT)").alias("pos"), F.expr(f"cast(r % {one} AS INT)").alias("len"))
 
 
 def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
@@ -106,13 +105,19 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -
     without a doc_id come first in the order. Null texts stay null with 0 lines cut; a text of which every
     line is cut becomes empty; lines without a word are no part of a run and stay. Other columns stay, those named like an added one are replaced; an empty table gives no rows.
     """
-    gone = scratch.put(repeated_lines(docs, scratch, min_words), "gone").withColumnsRenamed({"doc": "_ld_doc", "tag": "_ld_tag", "lines": "_ld_lines"})
-    same = (F.coalesce(docs["doc_id"], F.lit(-(2**62))) == F.col("_ld_doc")) & (F.xxhash64(docs["text"]) == F.col("_ld_tag"))
+    ld = own_prefix(docs, "_ld_")
+    gone = scratch.put(repeated_lines(docs, scratch, min_words), "gone").toDF(f"{ld}doc", f"{ld}tag", f"{ld}lines")
+    same = (F.coalesce(docs["doc_id"], F.lit(-(2**62))) == F.col(f"{ld}doc")) & (F.xxhash64(docs["text"]) == F.col(f"{ld}tag"))
     # the decisions grow with the corpus: one plan at every size, which moves each text once
     out = docs.join(gone.hint("merge"), same, "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_ld_lines", i)), "\n")
-    out = out.withColumn("text", F.when(F.col("_ld_lines").isNotNull(), left).otherwise(F.col("text")))
-    return out.withColumn("n_lines_cut", F.coalesce(F.size("_ld_lines"), F.lit(0)).cast("long")).drop("_ld_doc", "_ld_tag", "_ld_lines")
+    # what stays: the lines between one line that is cut and the next
+    ends = f"concat({ld}lines, array(size({ld}split)))"
+    stretch = f"slice({ld}split, if(i = 0, 1, get({ld}lines, i - 1) + 2), e - if(i = 0, 0, get({ld}lines, i - 1) + 1))"
+    left = F.expr(f"array_join(flatten(transform({ends}, (e, i) -> {stretch})), '\\n')")
+    out = out.withColumn(f"{ld}split", F.when(F.col(f"{ld}lines").isNotNull(), F.split("text", "\n")))
+    out = out.withColumn("text", F.when(F.col(f"{ld}lines").isNotNull(), left).otherwise(F.col("text")))
+    n_cut = F.coalesce(F.size(f"{ld}lines"), F.lit(0)).cast("long")
+    return out.withColumn("n_lines_cut", n_cut).drop(f"{ld}doc", f"{ld}tag", f"{ld}lines", f"{ld}split")
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

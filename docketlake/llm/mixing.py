@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import Scratch, count_words, sized_broadcast, table
+from docketlake.llm.common import Scratch, count_words, own_prefix, sized_broadcast, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -39,7 +39,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     return s.select("source", "source_size", "n_rows", target.alias("target"))
 
 
-def mix(docs: DataFrame, scratch: Scratch, size: Column | None = None, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def mix(docs: DataFrame, scratch: Scratch, size: Column | None = None, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, rows_per_bucket: int = ROWS_PER_BUCKET, tie: Column | None = None) -> DataFrame:
     """Every row of ``docs`` with what the mix takes of it.
 
     Adds ``size`` (words), ``source_size``, ``target``, ``epochs`` (whole passes over the source)
@@ -50,45 +50,49 @@ def mix(docs: DataFrame, scratch: Scratch, size: Column | None = None, weights=W
     source with a third of all rows is spread over many tasks.
 
     Null or empty texts have size 0 and nothing is taken; null sources form one source, the last;
-    null or repeated doc_ids are told apart by the hash of their text (if there is one), so that a source
-    without doc_ids is spread like any other; rows that are equal in doc_id, text and size are
-    interchangeable. An empty table gives an empty result. Other columns of ``docs`` are kept, whatever their
+    rows without a doc_id take ``tie`` (by default the hash of their text) for it, so that a source without
+    doc_ids is spread like any other; rows that repeat a doc_id share a place and rank by size and tie; rows
+    equal in all three are interchangeable. An empty table gives an empty result. Other columns of ``docs`` are kept, whatever their
     names, save those named like an added one, which are replaced.
     """
     added = ("size", "source_size", "target", "epochs", "taken")
+    mx = own_prefix(docs, "_mx_")
     size = count_words(F.col("text")) if size is None else size
-    rows = docs.withColumn("_mx_size", size.cast("long")).drop(*[c for c in added if c in docs.columns])
-    rows = rows.withColumnRenamed("_mx_size", "size")
-    rows = rows.withColumn("_mx_key", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
+    if tie is None:
+        tie = F.xxhash64("text") if "text" in docs.columns else F.xxhash64(size)
+    rows = docs.withColumn(f"{mx}size", size.cast("long")).withColumn(f"{mx}tie", tie).drop(*[c for c in added if c in docs.columns])
+    rows = rows.withColumnRenamed(f"{mx}size", "size")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.col(f"{mx}tie").cast("string")))
+    rows = rows.withColumn(f"{mx}key", F.md5(F.concat(F.lit(seed + ":"), name)))
     sums = scratch.put(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows")), "sources")
     n_sources = sums.count()
     per = source_targets(sums, weights, max_epochs)
-    per = per.withColumn("_mx_b", F.ceil(F.col("n_rows") / rows_per_bucket).cast("long"))
+    per = per.withColumn(f"{mx}b", F.ceil(F.col("n_rows") / rows_per_bucket).cast("long"))
     per = per.withColumn("epochs", F.coalesce(F.floor(F.expr("try_divide(target, source_size)")), F.lit(0)).cast("long"))
-    per = scratch.put(per.withColumn("_mx_rest", F.floor("target").cast("long") - F.col("epochs") * F.col("source_size")), "targets")
-    per = per.drop("n_rows").withColumnRenamed("source", "_mx_source")
-    rows = rows.join(sized_broadcast(per, n_sources, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_mx_source"))).drop("_mx_source")
-    place = F.conv(F.substring("_mx_key", 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    rows = rows.withColumn("_mx_bucket", F.floor(place * F.col("_mx_b")).cast("long"))
+    per = scratch.put(per.withColumn(f"{mx}rest", F.floor("target").cast("long") - F.col("epochs") * F.col("source_size")), "targets")
+    per = per.drop("n_rows").withColumnRenamed("source", f"{mx}source")
+    rows = rows.join(sized_broadcast(per, n_sources, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col(f"{mx}source"))).drop(f"{mx}source")
+    place = F.conv(F.substring(f"{mx}key", 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    rows = rows.withColumn(f"{mx}bucket", F.floor(place * F.col(f"{mx}b")).cast("long"))
     # null-safe parts of the key, the same for windows and join, so that whole rows are moved once
-    where = ["_mx_src", "_mx_none", "_mx_bucket"]
-    rows = rows.withColumn("_mx_src", F.coalesce("source", F.lit(""))).withColumn("_mx_none", F.col("source").isNull())
-    totals = rows.groupBy(*where).agg(F.sum("size").alias("_mx_sum"))
-    ahead = Window.partitionBy("_mx_src", "_mx_none").orderBy("_mx_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_mx_base", F.coalesce(F.sum("_mx_sum").over(ahead), F.lit(0))).drop("_mx_sum")
-    inside = Window.partitionBy(*where).orderBy("_mx_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_mx_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    where = [f"{mx}src", f"{mx}none", f"{mx}bucket"]
+    rows = rows.withColumn(where[0], F.coalesce("source", F.lit(""))).withColumn(where[1], F.col("source").isNull())
+    totals = rows.groupBy(*where).agg(F.sum("size").alias(f"{mx}sum"))
+    ahead = Window.partitionBy(*where[:2]).orderBy(where[2]).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn(f"{mx}base", F.coalesce(F.sum(f"{mx}sum").over(ahead), F.lit(0))).drop(f"{mx}sum")
+    inside = Window.partitionBy(*where).orderBy(f"{mx}key", "doc_id", "size", f"{mx}tie").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn(f"{mx}in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(totals, where)
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_mx_rest") - F.col("_mx_base") - F.col("_mx_in")))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col(f"{mx}rest") - F.col(f"{mx}base") - F.col(f"{mx}in")))
     rows = rows.withColumn("taken", (F.col("size") * F.col("epochs") + part).cast("long"))
-    return rows.drop(*[c for c in rows.columns if c.startswith("_mx_")])
+    return rows.drop(*[c for c in rows.columns if c.startswith(mx)])
 
 
 def op10_mix(spark, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "mix")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", count_words(F.col("text")).alias("words"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", count_words(F.col("text")).alias("words"), F.xxhash64("text").alias("text_hash"))
     docs = scratch.put(docs, "sizes")
-    return mix(docs, scratch, size=F.col("words")).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mix(docs, scratch, size=F.col("words"), tie=F.col("text_hash")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 OP10_SQL = r"""

@@ -526,7 +526,7 @@ def test_line_runs_brute_force(spark):
 
 def test_line_dedup_keeps_rows(spark):
     t = "\n".join(f"line {i} of some ten words to fill it up well" for i in range(6))
-    clash = {c: F.lit("clash") for c in ("lines", "_d", "doc", "tag", "n_lines_cut")}
+    clash = {c: F.lit("clash") for c in ("lines", "_d", "doc", "tag", "n_lines_cut", "_ld_doc", "_LD_LINES", "_ld_split")}
     df = spark.createDataFrame([(1, t), (2, "own line\n" + t + "\ntail"), (None, t), (None, t), (3, None)], "doc_id long, text string")
     rows = collections.Counter((r.doc_id, r.text, r.n_lines_cut) for r in line_dedup.dedup_lines(df.withColumns(clash), Scratch(spark, "t")).collect())
     # rows without an id come first in the order and are one document, so theirs is the copy that stays
@@ -534,6 +534,14 @@ def test_line_dedup_keeps_rows(spark):
     assert line_dedup.dedup_lines(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_line_dedup_of_many_lines(spark):
+    n = 20_000
+    text = "\n".join(f"number {i} of the lines" for i in range(n))
+    df = spark.createDataFrame([(1, text), (2, "\n\nhead\n" + text + "\n\ntail\n"), (3, "\n".join(["again and again"] * n))], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_lines_cut) for r in line_dedup.dedup_lines(df, Scratch(spark, "t")).collect()}
+    assert got == {1: (text, 0), 2: ("\n\nhead\n\ntail\n", n), 3: ("again and again", n - 1)}
+
+
 # ------------------------------------------------------------------ 10
 def test_targets_fill_up(spark):
     sizes = spark.createDataFrame([("a", 10, 1), ("b", 100, 1), ("c", 1000, 1), (None, 0, 1)], "source string, source_size long, n_rows long")
@@ -544,13 +552,24 @@ def test_targets_fill_up(spark):
 def test_mix_is_exact_and_stable(spark):
     r = random.Random(2)
     rows = [(i % 90 if i % 17 else None, " ".join("w" * (i % 40)), None if i % 11 == 0 else r.choice("aab"), 0) for i in range(300)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size long").withColumn("_mx_bucket", F.lit("x"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size long").withColumns({"_mx_bucket": F.lit("x"), "_MX_NOTE": F.col("doc_id"), "target": F.lit("y")})
     runs = []
     for per, parts in ((2000, 1), (7, 5)):
-        out = mixing.mix(df.drop("_mx_bucket").repartition(parts), Scratch(spark, "t"), rows_per_bucket=per).collect()
+        mixed = mixing.mix(df.repartition(parts), Scratch(spark, "t"), rows_per_bucket=per)
+        assert sorted(mixed.columns) == sorted([*df.columns, "source_size", "epochs", "taken"])
+        out = mixed.collect()
+        assert all(x["_mx_bucket"] == "x" and x["_MX_NOTE"] == x.doc_id for x in out)
         for s in ("a", "b", None):
             mine = [x for x in out if x.source == s]
             assert sum(x.taken for x in mine) == math.floor(mine[0].target) and all(0 <= x.taken <= 3 * x["size"] for x in mine)
         runs.append(sorted((str(x.doc_id), str(x.source), x["size"], x.taken) for x in out))
     assert [x[:3] for x in runs[0]] == [x[:3] for x in runs[1]] and runs[0] == runs[1]
-    assert mixing.mix(df.drop("_mx_bucket").limit(0), Scratch(spark, "t")).count() == 0
+    assert mixing.mix(df.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def test_mix_without_ids_is_spread(spark):
+    df = spark.createDataFrame([(None, f"w{i} x", "s") for i in range(400)], "doc_id long, text string, source string")
+    one = mixing.mix(df, Scratch(spark, "t"), rows_per_bucket=10, max_epochs=1, weights=(1.0,))
+    assert one.agg(F.sum("taken")).first()[0] == 800
+    keys = df.select(F.md5(F.concat(F.lit("mix-1:null"), F.xxhash64("text").cast("string"))).alias("k")).distinct().count()
+    assert keys == 400
