@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,54 @@ def cents(x: Column) -> Column:
     return F.floor(x * 100 + 0.5).cast("long")
 
 
+def ten_thousandths(x: Column) -> Column:
+    """Hours as whole ten-thousandths, half up; sums of quarter hours and tenths are exact in any order."""
+    return F.floor(x * 10_000 + 0.5).cast("long")
+
+
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcasting if it is counted to have at most so many rows; else as it is. For tables
+    of short rows (rules, caps, calendars): ten thousand of them are a few megabytes."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def exact_median(df: DataFrame, micros: Column) -> float | None:
+    """Median of whole microseconds, the mean of the two middle values of an even number.
+
+    The middle places are looked for by day, then by second, then by microsecond: each step counts per
+    bucket, so no task sorts all values and at most 86,400 or a million counts are added up at once.
+    """
+    values = df.select(micros.alias("v")).filter("v is not null")
+    n = values.count()
+    if not n:
+        return None
+    found = []
+    for place in {(n - 1) // 2, n // 2}:
+        inside, rest = values, place
+        for unit in (86_400_000_000, 1_000_000, 1):
+            counts = inside.groupBy(F.floor(F.col("v") / unit).cast("long").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+            upto = F.sum("c").over(Window.orderBy("b"))
+            at = counts.withColumn("upto", upto).filter(F.col("upto") > rest).orderBy("b").first()
+            rest -= at["upto"] - at["c"]
+            inside = inside.filter(F.floor(F.col("v") / unit) == at["b"])
+        found.append(at["b"])
+    return sum(found) / len(found)
+
+
+def numbered(df: DataFrame, by: str, out: str) -> DataFrame:
+    """Running numbers from 1 in the order of ``by``: rows are sorted by range, counted per range, and numbered
+    by offsets, so that no task holds all rows. ``df`` is written between the two passes."""
+    from docketlake.functions.scratch import Steps
+
+    rows = df.repartitionByRange(by).sortWithinPartitions(by)
+    at = F.monotonically_increasing_id()  # the range above 33 bits, the row within it below
+    rows = Steps(df.sparkSession).keep(rows.withColumn("_at", at))
+    rows = rows.withColumn("_range", F.shiftright("_at", 33)).withColumn("_k", F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at")
+    per = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    base = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(F.broadcast(per.select("_range", base.alias("_base"))), "_range").withColumn(out, F.col("_base") + F.col("_k") + 1).drop("_range", "_k", "_base")
+
+
 def strip(x: Column) -> Column:
     """Trim every kind of ASCII white space."""
     return F.regexp_replace(x, r"^\s+|\s+$", "")

@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.functions.core import cents, strip
+from docketlake.functions.core import cents, exact_median, small, strip, ten_thousandths
+from docketlake.functions.scratch import Steps
 
 # Patterns and phrases that decide flags.
 TASK_VERBS = "review|draft|prepare|attend|research|analyze|confer|discuss|telephone|email"
@@ -53,18 +54,18 @@ def excessive_single(df: DataFrame, most: float = 3.0) -> DataFrame:
 
 
 def excessive_daily(df: DataFrame, most: float = 10.0) -> DataFrame:
-    """Every row of a day and timekeeper whose summed hours exceed ``most``; tenths keep sums exact."""
+    """Every row of a day and timekeeper whose summed hours exceed ``most``; ten-thousandths keep sums exact."""
     day = F.to_date("date")
-    totals = df.filter(day.isNotNull()).groupBy(day.alias("_day"), F.col("timekeeper").alias("_tk")).agg(F.sum(F.floor(F.col("hours") * 10 + 0.5)).alias("_t"))
-    over = totals.filter(F.col("_t") > most * 10)
+    totals = df.filter(day.isNotNull()).groupBy(day.alias("_day"), F.col("timekeeper").alias("_tk")).agg(F.sum(ten_thousandths(F.col("hours"))).alias("_t"))
+    over = totals.filter(F.col("_t") > most * 10_000)
     return _flag(df.join(over, (F.to_date("date") == F.col("_day")) & (F.col("timekeeper") == F.col("_tk")), "left_semi"), "excessive_hours_daily", "HIGH")
 
 
 def rate_violation(df: DataFrame, caps: DataFrame) -> DataFrame:
-    """``caps``: (pos, name, cap), a small ordered list. The first cap whose name holds the timekeeper's, or
+    """``caps``: (pos, name, cap), an ordered list, all of it used. The first cap whose name holds the timekeeper's, or
     is held by it, decides."""
     a, b = F.lower("timekeeper"), F.lower("name")
-    who = df.select("timekeeper").distinct().join(F.broadcast(caps.limit(10_000)), a.contains(b) | b.contains(a))
+    who = df.select("timekeeper").distinct().join(small(caps), a.contains(b) | b.contains(a))
     first = who.groupBy(F.col("timekeeper").alias("_tk")).agg(F.min_by("cap", "pos").alias("_cap"))
     return _flag(df.join(first, F.col("timekeeper") == F.col("_tk")).filter(F.col("rate") > F.col("_cap")), "rate_violation", "HIGH")
 
@@ -116,8 +117,8 @@ def rounding_pattern(df: DataFrame, least: int = 5, share: float = 0.8) -> DataF
 def late_entry(df: DataFrame) -> DataFrame:
     """Days from the median date beyond twice their sample deviation, and beyond 30."""
     us = F.unix_micros("date")
-    mid = df.agg(F.median(us).alias("_mid"))
-    days = df.filter(F.col("date").isNotNull()).crossJoin(F.broadcast(mid)).withColumn("_d", F.floor((us - F.col("_mid")) / F.lit(86400e6)).cast("long"))
+    mid = exact_median(df, us)
+    days = df.filter(F.col("date").isNotNull()).withColumn("_d", F.floor((us - F.lit(mid).cast("double")) / F.lit(86400e6)).cast("long"))
     # deviation from whole sums, the same in any order
     n, s, q = F.count("_d"), F.sum("_d").cast("double"), F.sum(F.col("_d") * F.col("_d")).cast("double")
     dev = days.agg(F.when(n > 1, F.sqrt((q - s * s / n) / (n - 1))).alias("_sd"))
@@ -143,8 +144,15 @@ def row_rules(df: DataFrame, holidays: DataFrame, most: float = 3.0, senior_rate
     return days.select("row_id", F.explode_outer(flags).alias("f")).select("row_id", "f.rule", "f.severity").filter("rule is not null")
 
 
+def audited(df: DataFrame) -> DataFrame:
+    """The entries (row_id, date, timekeeper, hours, rate, amount, description, ...) written once, in columns: what
+    made them is worked out once, and each rule reads the columns it looks at."""
+    return Steps(df.sparkSession).keep(df)
+
+
 def all_flags(df: DataFrame, caps: DataFrame, holidays: DataFrame) -> DataFrame:
-    """All rules. Each gives a row at most one flag, so (row_id, rule) is unique without another shuffle."""
+    """All rules. Each gives a row at most one flag, so (row_id, rule) is unique without another shuffle. Rules
+    over groups read ``df`` once each: give entries as of :func:`audited`, not a plan that is dear."""
     parts = [row_rules(df, holidays), excessive_daily(df), rate_violation(df, caps), duplicate_entry(df), rounding_pattern(df), late_entry(df)]
     return reduce(DataFrame.unionByName, parts)
 
@@ -175,7 +183,7 @@ def with_amount(df: DataFrame) -> DataFrame:
 
 def spend_by(df: DataFrame, key: str, top: int = 20) -> DataFrame:
     rows = df.filter(F.col(key).isNotNull() & (F.col(key) != ""))
-    out = rows.groupBy(key).agg(F.coalesce(F.sum(cents(F.col("amount"))), F.lit(0)).alias("total_cents"), F.sum(F.floor(F.col("hours") * 10 + 0.5).cast("long")).alias("tenths"), F.floor(F.avg("rate") * 100 + 0.5).cast("long").alias("avg_rate_cents"), F.count(F.lit(1)).alias("entries"))
+    out = rows.groupBy(key).agg(F.coalesce(F.sum(cents(F.col("amount"))), F.lit(0)).alias("total_cents"), F.sum(ten_thousandths(F.col("hours"))).alias("hours_e4"), F.floor(F.avg("rate") * 100 + 0.5).cast("long").alias("avg_rate_cents"), F.count(F.lit(1)).alias("entries"))
     return out.orderBy(F.col("total_cents").desc(), key).limit(top)
 
 
@@ -183,6 +191,22 @@ def rate_level(rate: Column) -> Column:
     return F.when(rate > 500, "500+").when(rate > 350, "351-500").when(rate > 250, "251-350").when(rate > 150, "151-250").otherwise("up to 150")
 
 
+EXPLANATIONS = {
+    "excessive_hours_single": ("%,.2f hours billed in a single entry", "hours"),
+    "rate_violation": ("Rate of $%,.2f exceeds the agreed cap", "rate"),
+    "rounding_pattern": ("Entry of %,.2f hours at a half hour", "hours"),
+}
+
+
+def explained(df: DataFrame, flags: DataFrame) -> DataFrame:
+    """``flags`` with a sentence of why: figures with thousands separators, a name for rules without one."""
+    rows = flagged_entries(df, flags)
+    text = F.concat(F.initcap(F.regexp_replace("rule", "_", " ")), F.lit(" by "), F.col("timekeeper"))
+    for rule, (form, of) in EXPLANATIONS.items():
+        text = F.when(F.col("rule") == rule, F.format_string(form, F.col(of))).otherwise(text)
+    return rows.withColumn("explanation", text)
+
+
 def hours_band(hours: Column, bins: int = 30, most: float = 15.0) -> Column:
     return F.width_bucket(hours, F.lit(0.0), F.lit(most), F.lit(bins)).cast("long")
 

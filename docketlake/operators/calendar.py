@@ -74,17 +74,37 @@ def federal_holidays(years: range) -> list[tuple[dt.date, str]]:
     return sorted(set(out))
 
 
-def holidays(spark: SparkSession, first: int = 1990, last: int = 2035) -> DataFrame:
-    """(holiday, name): one row per date."""
+#: Years that a calendar may span. Dates wider apart are taken for errors and refused, not left without a date.
+MOST_YEARS = 1000
+
+
+def years_of(df: DataFrame, *days: str, ahead: int = 2) -> range:
+    """Years from the one before the earliest of the columns ``days`` to ``ahead`` after the latest."""
+    ends = df.agg(*[f(F.year(F.to_date(d))).alias(f"{n}{i}") for i, d in enumerate(days) for n, f in (("a", F.min), ("z", F.max))]).first()
+    found = [y for y in ends if y is not None]
+    first, last = (min(found) - 1, max(found) + ahead) if found else (2000, 2000)
+    if last - first > MOST_YEARS or first < 1 or last > 9998:
+        raise ValueError(f"dates from {first + 1} to {last - ahead} are too wide apart for one calendar")
+    return range(first, last + 1)
+
+
+def holidays(spark: SparkSession, years: range) -> DataFrame:
+    """(holiday, name): one row per date, for ``years``, as of :func:`years_of`."""
     days: dict[dt.date, str] = {}
-    for d, name in federal_holidays(range(first, last + 1)):
+    for d, name in federal_holidays(years):
         days.setdefault(d, name)
     return spark.createDataFrame(sorted(days.items()), "holiday date, name string")
 
 
-def business_calendar(spark: SparkSession, first: str = "1990-01-01", last: str = "2035-12-31") -> DataFrame:
+def calendar_of(df: DataFrame, *days: str) -> DataFrame:
+    """Business calendar about the dates in columns ``days`` of ``df``."""
+    years = years_of(df, *days)
+    return business_calendar(df.sparkSession, f"{years[0]:04d}-01-01", f"{years[-1]:04d}-12-31")
+
+
+def business_calendar(spark: SparkSession, first: str, last: str) -> DataFrame:
     """(day, is_business, next_business, seq): ``seq`` numbers business days; on other days it is the number
-    of the last one before. A few thousand rows, made by rule on the driver, so that no join works it out
+    of the last one before. A row per day, 365,000 at most, made by rule on the driver, so that no join works it out
     again."""
     start, end = dt.date.fromisoformat(first), dt.date.fromisoformat(last)
     off = {d for d, _ in federal_holidays(range(start.year, end.year + 2))}
@@ -129,17 +149,25 @@ def service_days(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(j, m, d) for j, by in SERVICE_DAYS.items() for m, d in by.items()], "jurisdiction string, service_method string, extra int")
 
 
-def deadlines(requests: DataFrame, calendar: DataFrame, steps: DataFrame, service: DataFrame) -> DataFrame:
-    """(request_id, step, name, due, rolled): all deadlines of requests (request_id, trigger_date,
-    jurisdiction, event_type, service_method).
+def deadlines(requests: DataFrame, calendar: DataFrame, steps: DataFrame, service: DataFrame, fallback: str = "federal") -> DataFrame:
+    """(request_id, step, name, due, rolled, rule): all deadlines of requests (request_id, trigger_date,
+    jurisdiction, event_type, service_method, and custom_deadlines if there are any).
 
     Calendar days are counted and rolled to a business day; business days are counted off. Days of
     service are added to steps that start at the trigger, then rolled again. A step from the previous one
     starts at that one's date; chains have five steps at most, so the fold is that many joins of a small
-    calendar. ``rolled`` tells whether the date was moved off a weekend or holiday.
+    calendar. ``rolled`` tells whether the date was moved off a weekend or holiday. Jurisdictions without
+    rows in ``steps`` or ``service`` follow ``fallback``. Custom deadlines come after the chain, with steps of
+    their own from 1000 on: a name (``Custom Deadline``), days (30) from the trigger, business days or not. A
+    request without a trigger date has deadlines without a date.
     """
+    def named(df: DataFrame, table: DataFrame, out: str) -> DataFrame:
+        known = table.select(F.col("jurisdiction").alias("_k")).distinct().withColumn("_own", F.lit(True))
+        return df.join(F.broadcast(known), F.col("jurisdiction") == F.col("_k"), "left").withColumn(out, F.when(F.col("_own"), F.col("jurisdiction")).otherwise(fallback)).drop("_k", "_own")
+
     longest = max(len(c) for c in [*FEDERAL_CHAINS.values(), *STATE_CHAINS.values()])
-    base = requests.join(F.broadcast(steps), ["jurisdiction", "event_type"]).join(F.broadcast(service), ["jurisdiction", "service_method"], "left")
+    base = named(named(requests, steps, "_j"), service, "_served")
+    base = base.join(F.broadcast(steps.withColumnRenamed("jurisdiction", "_j")), ["_j", "event_type"]).join(F.broadcast(service.withColumnRenamed("jurisdiction", "_served")), ["_served", "service_method"], "left")
     done = None
     previous = None
     for k in range(longest):
@@ -148,14 +176,25 @@ def deadlines(requests: DataFrame, calendar: DataFrame, steps: DataFrame, servic
             now = now.withColumn("_from", F.col("trigger_date"))
         else:
             now = now.join(previous, "request_id", "left").withColumn("_from", F.when(F.col("from_previous"), F.col("_prev")).otherwise(F.col("trigger_date"))).drop("_prev")
-        now = now.withColumn("_plain", F.date_add("_from", F.col("days")))
-        now = roll_forward(now, calendar, "_plain", "_calendar")
-        now = add_business_days(now, calendar, "_from", "days", "_business")
-        now = now.withColumn("_due", F.when(F.col("business_days"), F.col("_business")).otherwise(F.col("_calendar")))
+        now = _counted(now, calendar)
         extra = F.when(F.col("from_previous"), 0).otherwise(F.coalesce("extra", F.lit(0)))
         now = now.withColumn("_late", F.date_add("_due", extra))
         now = roll_forward(now, calendar, "_late", "due")
         now = now.select("request_id", "step", "name", "due", ((F.col("due") != F.col("_late")) | (~F.col("business_days") & (F.col("_calendar") != F.col("_plain")))).alias("rolled"), "rule")
         previous = now.select("request_id", F.col("due").alias("_prev"))
         done = now if done is None else done.unionByName(now)
+    if "custom_deadlines" in requests.columns:
+        own = requests.select("request_id", F.col("trigger_date").alias("_from"), F.posexplode("custom_deadlines").alias("_at", "_c"))
+        own = own.select("request_id", "_from", (F.col("_at") + 1000).alias("step"), F.coalesce("_c.name", F.lit("Custom Deadline")).alias("name"), F.coalesce("_c.days", F.lit(30)).alias("days"), F.coalesce("_c.business_days", F.lit(False)).alias("business_days"))
+        own = _counted(own, calendar)
+        moved = ~F.col("business_days") & (F.col("_calendar") != F.col("_plain"))
+        done = done.unionByName(own.select("request_id", "step", "name", F.col("_due").alias("due"), moved.alias("rolled"), F.lit("custom").alias("rule")))
     return done
+
+
+def _counted(rows: DataFrame, calendar: DataFrame) -> DataFrame:
+    """``_due``: ``days`` after ``_from``, counted off as business days or rolled to one."""
+    rows = rows.withColumn("_plain", F.date_add("_from", F.col("days")))
+    rows = roll_forward(rows, calendar, "_plain", "_calendar")
+    rows = add_business_days(rows, calendar, "_from", "days", "_business")
+    return rows.withColumn("_due", F.when(F.col("business_days"), F.col("_business")).otherwise(F.col("_calendar")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.functions.core import first_match, strip
+from docketlake.functions.core import first_match, numbered, strip
 from docketlake.operators.graph import components
 
 # Phrases that mark privileged mail, in the order in which they are tried.
@@ -52,15 +52,35 @@ def names(raw: Column) -> Column:
 
 
 def threads(mail: DataFrame) -> DataFrame:
-    """(email_idx, thread): mails joined by message ids and references; a thread is named by the first mail's
-    index. Threads that one mail connects are one."""
+    """(email_idx, thread, thread_id): mails joined by message ids, In-Reply-To and the ids of ``refs``
+    (References) if there is such a column; a thread is named by the first mail's index, and ``thread_id`` numbers
+    threads in that order as thread_0001. Threads that one mail connects are one."""
     bare = lambda c: F.regexp_replace(c, r"^\s*<|>\s*$", "")
-    own = mail.select("email_idx", F.explode(F.filter(F.array(bare(F.col("message_id")), bare(F.col("in_reply_to"))), lambda x: x.isNotNull() & (x != ""))).alias("ref"))
+    ids = F.array(bare(F.col("message_id")), bare(F.col("in_reply_to")))
+    if "refs" in mail.columns:
+        # ids in brackets, and bare words with an @
+        listed = F.split(F.regexp_replace(F.coalesce("refs", F.lit("")), r"[<>\s]+", " "), " ")
+        ids = F.concat(ids, F.filter(listed, lambda x: x.contains("@")))
+    own = mail.select("email_idx", F.explode(F.array_distinct(F.filter(ids, lambda x: x.isNotNull() & (x != "")))).alias("ref"))
     # the first mail of each id stands for it; ids link mails without pairs of mails
     firsts = own.groupBy("ref").agg(F.min("email_idx").alias("first"))
     links = own.join(firsts, "ref").filter("email_idx <> first").select(F.col("first").alias("src"), F.col("email_idx").alias("dst"), F.lit(1).alias("weight"))
     comp = components(links)
-    return mail.select("email_idx").join(comp.select(F.col("node").alias("email_idx"), "component"), "email_idx", "left").select("email_idx", F.coalesce("component", "email_idx").alias("thread"))
+    out = mail.select("email_idx").join(comp.select(F.col("node").alias("email_idx"), "component"), "email_idx", "left").select("email_idx", F.coalesce("component", "email_idx").alias("thread"))
+    named = numbered(out.select("thread").distinct(), "thread", "_no")
+    return out.join(named, "thread").select("email_idx", "thread", F.concat(F.lit("thread_"), F.when(F.col("_no") < 10_000, F.lpad(F.col("_no").cast("string"), 4, "0")).otherwise(F.col("_no").cast("string"))).alias("thread_id"))
+
+
+def thread_summary(mail: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Per thread: mails, first and last date, subject of its first mail by date."""
+    rows = mail.join(grouped, "email_idx")
+    return rows.groupBy("thread_id").agg(F.count(F.lit(1)).alias("mails"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.min_by("subject", F.struct("date", "email_idx")).alias("subject"))
+
+
+def format_counts(files: DataFrame) -> DataFrame:
+    """Mails per kind of file, by the ending of ``source_file``."""
+    kind = F.lower(F.regexp_extract(F.coalesce("source_file", F.lit("")), r"\.([^.]+)$", 1))
+    return files.groupBy(F.when(kind == "", "unknown").otherwise(kind).alias("format")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def privilege(mail: DataFrame, attorneys: list[str] = (), domains: list[str] = ()) -> DataFrame:

@@ -22,12 +22,13 @@ OBJECTIONS = {
 
 
 def case_flow(cases: DataFrame) -> DataFrame:
-    """Cases opened, closed and net per month, flagged when 25 % off the mean of months."""
+    """Cases opened, closed and net per month, active ones at its end, flagged when 25 % off the mean of months."""
     both = cases.select(F.trunc("opened", "month").alias("month"), F.lit(1).alias("o"), F.lit(0).alias("c")).unionByName(cases.filter("closed is not null").select(F.trunc("closed", "month").alias("month"), F.lit(0).alias("o"), F.lit(1).alias("c")))
     m = both.groupBy("month").agg(F.sum("o").alias("opened"), F.sum("c").alias("closed"))
     total = m.agg(F.sum("opened").alias("_s"), F.count(F.lit(1)).alias("_n"))
     off = F.abs(F.col("opened") * F.col("_n") - F.col("_s")) * 4 > F.col("_s")
-    return m.crossJoin(F.broadcast(total)).select("month", "opened", "closed", (F.col("opened") - F.col("closed")).alias("net"), off.alias("off_mean"))
+    net = F.col("opened") - F.col("closed")
+    return m.crossJoin(F.broadcast(total)).select("month", "opened", "closed", net.alias("net"), F.sum(net).over(Window.orderBy("month")).alias("active"), off.alias("off_mean"))
 
 
 def resolution_time(cases: DataFrame) -> DataFrame:
@@ -99,6 +100,23 @@ def stage_mix(cases: DataFrame) -> DataFrame:
     return s.crossJoin(F.broadcast(t)).select("stage", "n", F.floor(F.col("n") * 1000 / F.col("_t")).alias("share_milli"))
 
 
+def load_trend(cases: DataFrame, target_cents: int) -> DataFrame:
+    """Per month from the first opening to the last opening or closing: cases opened, open at its end, their load and
+    use of the target per attorney with open cases (per mille), with the change from the month before."""
+    w = weighted_cases(cases)
+    start = w.select(F.trunc("opened", "month").alias("month"), F.lit(1).alias("o"), F.lit(1).alias("n"), "load_cents", "attorney")
+    end = w.filter("closed is not null").select(F.trunc("closed", "month").alias("month"), F.lit(0).alias("o"), F.lit(-1).alias("n"), (-F.col("load_cents")).alias("load_cents"), "attorney")
+    moves = start.unionByName(end).groupBy("month", "attorney").agg(F.sum("o").alias("o"), F.sum("n").alias("n"), F.sum("load_cents").alias("l"))
+    months = moves.agg(F.min("month").alias("a"), F.max("month").alias("z")).select(F.explode(F.sequence("a", "z", F.expr("interval 1 month"))).alias("month"))
+    grid = months.crossJoin(F.broadcast(moves.select("attorney").distinct()))
+    so_far = Window.partitionBy("attorney").orderBy("month")
+    held = grid.join(moves, ["month", "attorney"], "left").fillna(0, ["o", "n", "l"]).withColumn("open", F.sum("n").over(so_far)).withColumn("load", F.sum("l").over(so_far))
+    by = held.groupBy("month").agg(F.sum("o").alias("opened"), F.sum("open").alias("open_cases"), F.sum("load").alias("load_cents"), F.count(F.when(F.col("open") > 0, 1)).alias("attorneys"))
+    by = by.withColumn("used_milli", F.expr(f"floor(load_cents * 1000 / nullif(attorneys * {target_cents}, 0))"))
+    along = Window.orderBy("month")
+    return by.withColumn("open_change", F.col("open_cases") - F.lag("open_cases").over(along)).withColumn("used_change", F.col("used_milli") - F.lag("used_milli").over(along))
+
+
 def call_score(scores: DataFrame, weights: dict = SCORE_WEIGHTS) -> DataFrame:
     """Weighted mean (in thousandths) of scores (call_id, category, score); missing scores do not count."""
     w = F.broadcast(scores.sparkSession.createDataFrame(list(weights.items()), "category string, weight int"))
@@ -120,11 +138,17 @@ def review_request(disposition: Column, relationship: Column, sensitive: Column)
     return ask, when
 
 
-def transitions(cases: DataFrame) -> DataFrame:
-    """Counts along the client's journey and conversion between stages (per mille)."""
-    f = funnel(cases)
-    steps = F.expr("stack(3, 'Consultation -> Retention', leads, retained, 'Retention -> Resolution', retained, resolved, 'Resolution -> Referral', resolved, favorable) as (transition, entered, moved_on)")
-    return f.select(steps).withColumn("conversion_milli", F.expr("floor(moved_on * 1000 / nullif(entered, 0))"))
+def transitions(cases: DataFrame, contacts: int | None = None) -> DataFrame:
+    """Counts along the client's journey and conversion between stages (per mille): first contacts (if their
+    number is not given, the cases themselves), consultations (cases with a stage past intake), retained (with a fee),
+    engaged (retained and past early discovery), resolved, and referred (resolved in the client's favour)."""
+    met = F.col("stage") != "Intake / pre-filing"
+    c = cases.agg(F.count(F.lit(1)).alias("leads"), F.count(F.when(met, 1)).alias("consulted"), F.count(F.when(met & F.col("fee").isNotNull(), 1)).alias("retained"),
+                  F.count(F.when(met & (F.col("stage") != "Early discovery") & F.col("fee").isNotNull(), 1)).alias("engaged"), F.count("closed").alias("resolved"), F.count(F.when(F.col("closed").isNotNull() & F.col("disposition").isin(FAVORABLE), 1)).alias("referred"))
+    if contacts is not None:
+        c = c.withColumn("leads", F.lit(contacts).cast("long"))
+    steps = F.expr("stack(4, 'First Contact -> Consultation', leads, consulted, 'Consultation -> Retention', consulted, retained, 'Retention -> Active Engagement', retained, engaged, 'Resolution -> Review/Referral', resolved, referred) as (transition, entered, moved_on)")
+    return c.select(steps).withColumn("conversion_milli", F.expr("floor(moved_on * 1000 / nullif(entered, 0))"))
 
 
 def instalments(plans: DataFrame) -> DataFrame:

@@ -130,6 +130,37 @@ def plan_frames(videos: DataFrame, step_ms: int = 5000) -> DataFrame:
     return videos.select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length_ms"), F.lit(step_ms).cast("long"))).alias("ts_ms"))
 
 
+def plan_dense(videos: DataFrame, scenes: DataFrame, step_ms: int = 500, around_ms: int = 3000) -> DataFrame:
+    """(video_id, ts_ms): closer frames within ``around_ms`` of scene changes (video_id, ts_ms). Windows that
+    overlap or touch are one, kept inside the video."""
+    w = scenes.join(videos, "video_id").select("video_id", F.greatest(F.lit(0).cast("long"), F.col("ts_ms") - around_ms).alias("s"), F.least("length_ms", F.col("ts_ms") + around_ms).alias("e")).filter("s <= e")
+    return merge_windows(w, "video_id", "s", "e").select("video_id", F.explode(F.sequence("s", "e", F.lit(step_ms).cast("long"))).alias("ts_ms"))
+
+
+def plan_offset(videos: DataFrame, step_ms: int = 5000, chapter_ms: int = 600_000) -> DataFrame:
+    """(video_id, ts_ms): frames half a step off the coarse ones, counted anew in each chapter."""
+    half = step_ms // 2
+    c = videos.select("video_id", "length_ms", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length_ms"), F.lit(chapter_ms).cast("long"))).alias("_c"))
+    ends = F.least(F.col("_c") + chapter_ms, "length_ms") - 1
+    return c.filter(F.col("_c") + half <= ends).select("video_id", F.explode(F.sequence(F.col("_c") + half, ends, F.lit(step_ms).cast("long"))).alias("ts_ms"))
+
+
+def plan_passes(videos: DataFrame, scenes: DataFrame, most: int = 2000, within: int = 100) -> DataFrame:
+    """(video_id, ts_ms, pass) of the coarse, dense and offset passes: a later pass leaves out frames within
+    ``within`` ms of an earlier one's, and a video has at most ``most`` frames, in order of pass and time: the
+    reader's own limit of frames, a parameter."""
+    coarse = plan_frames(videos)
+    dense = new_frames(plan_dense(videos, scenes), coarse, within + 1)
+    both = coarse.unionByName(dense)
+    offset = new_frames(plan_offset(videos), both, within + 1)
+    names = ["coarse", "dense", "offset"]
+    rows = [p.select("video_id", "ts_ms", F.lit(i).alias("_p")) for i, p in enumerate((coarse, dense, offset))]
+    rows = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    place = F.row_number().over(Window.partitionBy("video_id").orderBy("_p", "ts_ms"))
+    rows = rows.withColumn("_k", place).filter(F.col("_k") <= most)
+    return rows.select("video_id", "ts_ms", F.element_at(F.array(*map(F.lit, names)), F.col("_p") + 1).alias("pass"))
+
+
 def chapters(frames: DataFrame, length_ms: int = 600_000) -> DataFrame:
     return frames.groupBy("video_id", (F.floor(F.col("ts_ms") / length_ms) + 1).alias("chapter")).agg(F.count(F.lit(1)).alias("frames"), F.count(F.when(F.col("pass") == "click", 1)).alias("scene_changes"))
 
@@ -140,6 +171,12 @@ def confidence_report(pages: DataFrame) -> DataFrame:
     return d.withColumn("listed", F.col("mean_milli") < 850)
 
 
+def corpus_confidence(pages: DataFrame) -> DataFrame:
+    """Documents, pages, mean of the documents' means (in millionths, rounded down), and documents to report."""
+    d = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.floor(F.sum("confidence_milli") * 1000 / F.count(F.lit(1))).cast("long").alias("m"))
+    return d.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("pages"), F.lit(0)).alias("pages"), F.floor(F.sum("m") / F.count(F.lit(1))).cast("long").alias("mean_micro"), F.count(F.when(F.col("m") < 850_000, 1)).alias("to_report"))
+
+
 def decimal_degrees(deg: Column, minutes: Column, seconds: Column, ref: Column) -> Column:
     """In millionths of a degree, south and west negative."""
     x = F.floor((deg + minutes / 60 + seconds / 3600) * 1000000 + 0.5).cast("long")
@@ -177,6 +214,21 @@ def filings(rows: DataFrame, forms: list[str], years: int, as_of: Column) -> Dat
     return rows.filter(F.col("form_type").isin(forms) & (F.col("filing_date") >= F.date_sub(as_of, 365 * years)))
 
 
+def events_by_document(events: DataFrame) -> DataFrame:
+    """Events and days with events per document (document, day)."""
+    return events.groupBy("document").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("day").alias("days"))
+
+
+def filled(first: DataFrame, second: DataFrame, key: str = "path") -> DataFrame:
+    """Tags of one reader with the gaps filled by another: (key, tags map<string,string>) of both, the first
+    one's values where both have a tag."""
+    b = second.select(key, F.col("tags").alias("_t"))
+    none = F.expr("map()").cast("map<string,string>")
+    own = F.map_filter(F.coalesce("tags", none), lambda k, v: v.isNotNull())
+    rest = F.map_filter(F.coalesce("_t", none), lambda k, v: ~F.map_contains_key(own, k))
+    return first.join(b, key, "full").select(key, F.map_concat(own, rest).alias("tags"))
+
+
 def transcript_lines(lines: DataFrame) -> DataFrame:
     """Segments from numbered text lines (rec_id, line, text): ``[HH:MM:SS] Speaker: words``; lines without a
     time go to the segment before."""

@@ -94,8 +94,8 @@ SSN = r"\b\d{3}[-]?\d{2}[-]?\d{4}\b"
 
 # ------------------------------------------------------------------ chronology
 def dates_in(text: Column) -> Column:
-    """Array of (raw, day) of the dates in a text, in pattern order; years 1900 to 2100; a date that a
-    longer match holds is left out."""
+    """Array of (raw, day, at) of the dates in a text, in pattern order; ``at`` is the place (from 1) of this
+    occurrence of ``raw``; years 1900 to 2100; a date that a longer match holds is left out."""
     def found(pattern: str, order: tuple[int, int, int], month_names: bool) -> Column:
         raws = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
@@ -109,7 +109,15 @@ def dates_in(text: Column) -> Column:
                 month = number
             return F.try_to_date(F.concat_ws("-", part(order[0]), F.lpad(month, 2, "0"), F.lpad(part(order[2]), 2, "0")), "yyyy-MM-dd")
 
-        return F.transform(raws, lambda r: F.struct(r.alias("raw"), day(r).alias("day")))
+        # matches come in the order of the text: each is looked for behind the one before
+        start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<raw:string,day:date,at:int>>").alias("found"))
+
+        def place(held: Column, raw: Column) -> Column:
+            at = F.call_function("locate", raw, text, held["next"])
+            one = F.struct(raw.alias("raw"), day(raw).alias("day"), at.cast("int").alias("at"))
+            return F.struct((at + F.length(raw)).cast("int").alias("next"), F.concat(held["found"], F.array(one)).alias("found"))
+
+        return F.aggregate(raws, start, place, lambda held: held["found"])
 
     parts = [
         found(r"\b(\d{1,2})[/\-](\d{1,2})[/\-](\d{4})\b", (3, 1, 2), False),
@@ -121,9 +129,9 @@ def dates_in(text: Column) -> Column:
     return F.filter(whole, lambda d: d["day"].isNotNull() & F.year(d["day"]).between(1900, 2100))
 
 
-def sentence_around(text: Column, raw: Column, short: int = 50, wide: int = 200) -> Column:
-    """The sentence of a match: from the full stop before to the one after; if short, 200 characters about it."""
-    at = F.position(raw, text)
+def sentence_around(text: Column, raw: Column, at: Column, short: int = 50, wide: int = 200) -> Column:
+    """The sentence of the match at place ``at``: from the full stop before to the one after; if short, 200
+    characters about it."""
     head = F.substring(text, F.lit(1), at - 1)
     tail = F.substring(text, at, F.length(text))
     start = F.length(head) - F.length(F.substring_index(head, ".", -1))
@@ -134,6 +142,14 @@ def sentence_around(text: Column, raw: Column, short: int = 50, wide: int = 200)
     return F.when(F.length(sentence) < short, around).otherwise(sentence)
 
 
+def other_dates(found: Column, spans: Column) -> Column:
+    """Of ``spans`` (at, raw), such as a model's, those that no date of ``found`` (raw, day, at) overlaps."""
+    def free(s: Column) -> Column:
+        return ~F.exists(found, lambda d: (s["at"] < d["at"] + F.length(d["raw"])) & (s["at"] + F.length(s["raw"]) > d["at"]))
+
+    return F.filter(spans, free)
+
+
 def best_class(text: Column, lists: dict[str, list[str]], other: str, counted: bool = False) -> tuple[Column, Column, Column]:
     """(class, best score, total score) by keyword hits, or their counts; ties go to the first list. The
     word lists are an array literal that a lambda runs over, which keeps the generated code small; the
@@ -204,15 +220,25 @@ def _letters(t: Column) -> Column:
     return F.array(*kinds, *few, F.length(F.translate(rest, " 0123456789.,;:'()-/", "")))
 
 
+def conflict_classes(events: DataFrame) -> DataFrame:
+    """(event_id, class): events of one text and day are one class, named by its first event."""
+    first = events.groupBy("text", "day").agg(F.min("event_id").alias("class"))
+    same = F.col("text").eqNullSafe(F.col("_t")) & F.col("day").eqNullSafe(F.col("_d"))
+    return events.select("event_id", F.col("text").alias("_t"), F.col("day").alias("_d")).join(first, same).select("event_id", "class")
+
+
 def conflicts(events: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """Pairs of like events (event_id, doc_id, day, text) of different days and documents.
+    """Pairs of like classes (first, second) of events (event_id, doc_id, day, text): classes of different days,
+    two events of which stand in different documents. Events belong to classes as of :func:`conflict_classes`,
+    so that a statement made a thousand times over makes no million pairs.
 
     Texts are made distinct and all pairs of them compared, by bounds first (lengths, then counts of kinds
     of characters: no ratio is above 2 * common / both lengths), then by similarity ratio. Nothing shorter
     than a character need be shared at 0.6, so words do not serve as keys, and the pairs grow with the
     square of the distinct texts. Equal texts are alike without comparison.
     """
-    texts = events.groupBy("text").agg(F.sort_array(F.collect_set(F.struct("event_id", "doc_id", "day"))).alias("at"))
+    classes = events.filter(F.col("text").isNotNull() & F.col("day").isNotNull()).groupBy("text", "day").agg(F.min("event_id").alias("event_id"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
+    texts = classes.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("event_id", "day", "d0", "d1"))).alias("at"))
     sides = texts.select("text", F.lower("text").alias("t")).select("text", F.length("t").alias("n"), _letters(F.col("t")).alias("kinds"))
     spread = max(1, events.sparkSession.sparkContext.defaultParallelism)
     a, b = sides.repartition(spread, "text"), sides.repartition(spread, "text").select(F.col("text").alias("text2"), F.col("n").alias("n2"), F.col("kinds").alias("kinds2"))
@@ -228,7 +254,7 @@ def conflicts(events: DataFrame, threshold: float = 0.6) -> DataFrame:
     near = pairs.filter(like("text", "text2")).unionByName(texts.filter(F.size("at") > 1).select("text", F.col("text").alias("text2")))
     b = texts.select(F.col("text").alias("text2"), F.col("at").alias("at2"))
     rows = near.join(texts, "text").join(b, "text2").select("text", "text2", F.explode("at").alias("a"), "at2").select("text", "text2", "a", F.explode("at2").alias("b"))
-    rows = rows.filter("a.day <> b.day and a.doc_id <> b.doc_id and (text <> text2 or a.event_id < b.event_id)")
+    rows = rows.filter("a.day <> b.day and not (a.d0 = a.d1 and b.d0 = b.d1 and a.d0 = b.d0) and (text <> text2 or a.event_id < b.event_id)")
     return rows.select(F.least("a.event_id", "b.event_id").alias("first"), F.greatest("a.event_id", "b.event_id").alias("second"))
 
 
@@ -285,12 +311,104 @@ def limitation(matter: Column, jurisdiction: Column, incident: Column, as_of: Co
     return due, left, F.when(left < 0, "expired").when(left < 30, "urgent").when(left < 90, "caution").when(left >= 90, "ok")
 
 
-def document_checklist(intakes: DataFrame, checklist: DataFrame, generic: str = "general") -> DataFrame:
-    """Documents to ask for per intake (client_id, matter): its matter's rows of ``checklist`` (matter, tier,
-    document), a table of the firm's own, or those of ``generic`` where it has none."""
-    known = F.broadcast(checklist.select("matter").distinct().withColumn("_k", F.lit(True)))
-    rows = intakes.join(known, "matter", "left").withColumn("matter", F.when(F.col("_k"), F.col("matter")).otherwise(generic)).drop("_k")
-    return rows.join(F.broadcast(checklist), "matter").select("client_id", "matter", "tier", "document")
+# Documents to ask for by matter and tier.
+TIERS = ["critical", "important", "supplemental"]
+CHECKLISTS = {
+    "personal_injury": [
+        ["Medical records from all treating providers", "Police/incident report", "Insurance policy declarations page", "Photos of injuries and accident scene", "Emergency room records"],
+        ["Medical bills and payment records", "Proof of lost wages (pay stubs, employer letter)", "Health insurance EOBs", "Prescription records", "Physical therapy records", "Vehicle repair estimates/photos (if auto accident)", "Witness statements or contact information"],
+        ["Prior medical records (pre-existing conditions)", "Surveillance footage", "Expert medical opinions", "Life care plan (if severe injury)", "Tax returns (for lost income verification)"],
+    ],
+    "family_law": [
+        ["Marriage certificate", "Financial disclosure statements", "Most recent tax returns (3 years)", "Pay stubs (last 3 months)", "Bank statements (all accounts, last 6 months)"],
+        ["Property deeds and mortgage statements", "Vehicle titles and loan statements", "Retirement/pension account statements", "Existing prenuptial or postnuptial agreements", "Custody or visitation agreements (if any)", "Children's birth certificates", "Health insurance cards"],
+        ["Investment account statements", "Business ownership documents", "Debt statements (credit cards, loans)", "Social media evidence", "Communication records (texts, emails)", "School records for children"],
+    ],
+    "criminal_defense": [
+        ["Arrest report and charging documents", "Bail/bond information", "Prior criminal history (if known)", "Police body camera or dashcam footage", "Witness statements from police report"],
+        ["Employment verification", "Character reference letters", "Alibi evidence", "Medical records (if injury involved)", "Communication records relevant to charges", "Financial records (if financial crime)"],
+        ["Rehabilitation records", "Community involvement documentation", "Military service records", "Educational records"],
+    ],
+    "immigration": [
+        ["Valid passport (all pages)", "Current visa or immigration status documentation", "I-94 arrival/departure record", "Birth certificate with translation", "Employment authorization document (if applicable)"],
+        ["Prior immigration filings and receipts", "Employment verification letter", "Pay stubs (last 3 months)", "Tax returns (last 3 years)", "Marriage certificate (if family-based)", "Spouse's citizenship/residency proof"],
+        ["Educational diplomas and transcripts", "Professional certifications", "Photographs (passport-style)", "Affidavits of support", "Evidence of residence in the US", "Police clearance certificates"],
+    ],
+    "corporate": [
+        ["Articles of incorporation / formation documents", "Operating agreement or bylaws", "Shareholder/member agreements", "Current contracts relevant to the matter", "Board minutes and resolutions"],
+        ["Financial statements (last 3 years)", "Tax returns (business, last 3 years)", "Insurance policies (general liability, D&O)", "Employment agreements", "Non-compete/NDA agreements"],
+        ["Intellectual property registrations", "Regulatory filings and licenses", "Prior legal opinions or memoranda", "Correspondence related to the matter"],
+    ],
+    "real_estate": [
+        ["Property deed", "Purchase/sale agreement", "Title report or title insurance policy", "Mortgage documents", "Property survey"],
+        ["Lease agreements (if rental property)", "HOA documents and bylaws", "Property tax statements", "Insurance policy", "Inspection reports", "Zoning and permit records"],
+        ["Environmental reports", "Appraisal reports", "Correspondence with other parties", "Photos of property"],
+    ],
+    "employment": [
+        ["Employment agreement/offer letter", "Termination letter or documentation", "Pay stubs (last 12 months)", "Employee handbook/policies", "Performance reviews"],
+        ["Written warnings or disciplinary records", "Emails/communications about the dispute", "EEOC charge or complaint (if filed)", "Benefits documentation", "Non-compete or NDA agreements", "Company org chart"],
+        ["Witness contact information", "Severance agreement (if offered)", "Social media evidence", "Job postings (for replacement evidence)", "Comparable salary data"],
+    ],
+    "estate_planning": [
+        ["Existing will or trust documents", "List of all assets (real property, accounts, investments)", "List of all debts and liabilities", "Beneficiary designations (life insurance, retirement accounts)", "Government-issued ID"],
+        ["Existing power of attorney documents", "Healthcare directive / living will", "Deed to real property", "Recent tax returns", "Life insurance policies", "Retirement account statements"],
+        ["Business ownership documents", "Prenuptial/postnuptial agreements", "Divorce decrees", "Special needs trust documentation (if applicable)", "Charitable giving intentions"],
+    ],
+    "bankruptcy": [
+        ["List of all creditors with amounts owed", "Bank statements (all accounts, last 6 months)", "Tax returns (last 2 years)", "Pay stubs (last 6 months)", "List of all assets and property"],
+        ["Mortgage statements", "Vehicle loan statements", "Credit card statements (last 6 months)", "Collection letters and lawsuits", "Proof of expenses (utilities, rent, etc.)", "Previous bankruptcy filings (if any)"],
+        ["Loan modifications or hardship letters", "Property appraisals", "Medical bills contributing to debt", "Retirement account statements"],
+    ],
+    "intellectual_property": [
+        ["Registration certificates (patent, trademark, copyright)", "Application filings and correspondence", "Evidence of creation/invention (dates, records)", "Evidence of infringement", "Licensing agreements"],
+        ["Prior art search results (patents)", "Market evidence (for damages)", "Correspondence with infringing party", "Business plans showing IP value", "Domain registration records"],
+        ["Expert opinions or analyses", "Industry standards and practices", "International filings", "Social media evidence of infringement"],
+    ],
+    "general": [["Government-issued identification", "All relevant contracts and agreements", "Correspondence related to the matter"], ["Financial records", "Timeline of events", "Contact information for relevant parties"], []],
+}
+INCIDENT_WORDS = ["accident", "incident", "injury", "occurred", "happened", "event", "arrest", "terminated", "fired"]
+OPPOSING_WORDS = ["against", "defendant", "opposing", "respondent", "vs", "versus"]
+OPPOSING_FIELDS = ["opposing_party", "defendant", "respondent", "adverse_party"]
+
+
+def checklist_rows() -> list[tuple[str, str, int, str]]:
+    """(matter, tier, position, document) of the fixed lists."""
+    return [(m, t, k, d) for m, tiers in CHECKLISTS.items() for t, docs in zip(TIERS, tiers) for k, d in enumerate(docs)]
+
+
+def document_checklist(intakes: DataFrame, generic: str = "general") -> DataFrame:
+    """Documents to ask for per intake (client_id, matter): (client_id, matter, tier, position, document) of its
+    matter, or of ``generic`` where there is no list for it."""
+    matter = F.when(F.col("matter").isin(list(CHECKLISTS)), F.col("matter")).otherwise(generic)
+    rows = intakes.sparkSession.createDataFrame(checklist_rows(), "matter string, tier string, position int, document string")
+    return intakes.select("client_id", matter.alias("matter")).join(F.broadcast(rows), "matter").select("client_id", "matter", "tier", "position", "document")
+
+
+def incident_date(text: Column, as_of: Column) -> Column:
+    """The date of the incident: the first date of the text whose sentence names one, else the first date
+    before ``as_of``; dates count in the order in which they stand."""
+    found = F.array_sort(F.transform(dates_in(text), lambda d: F.struct(d["at"].alias("at"), d["day"].alias("day"), F.lower(sentence_around(text, d["raw"], d["at"])).alias("said"))))
+    named = F.filter(found, lambda d: d["said"].rlike("|".join(INCIDENT_WORDS)))
+    past = F.filter(found, lambda d: d["day"] < as_of)
+    return F.coalesce(F.try_element_at(named, F.lit(1))["day"], F.try_element_at(past, F.lit(1))["day"])
+
+
+def opposing_parties(persons: Column, client: Column, fields: Column | None = None) -> Column:
+    """Distinct names, sorted: of ``persons`` (name, context) those but the client in whose context a word of
+    opposition stands, and the values of the named fields of ``fields``, a map of strings."""
+    out = F.transform(F.filter(persons, lambda p: F.lower(p["context"]).rlike("|".join(OPPOSING_WORDS)) & (p["name"] != client)), lambda p: p["name"])
+    if fields is not None:
+        out = F.concat(out, F.filter(F.array(*[F.try_element_at(fields, F.lit(f)) for f in OPPOSING_FIELDS]), lambda x: x.isNotNull() & (x != "")))
+    return F.sort_array(F.array_distinct(out))
+
+
+def conflict_list(names: DataFrame) -> DataFrame:
+    """Names to check per client: (client_id, place, name, kind) of (client_id, at, name, kind): persons first, then
+    organisations, each in order of ``at``; of names that differ in case only the first; two characters at least."""
+    rows = names.withColumn("name", strip(F.col("name"))).filter(F.length("name") >= 2).withColumn("_k", F.when(F.col("kind") == "PERSON", 0).otherwise(1))
+    first = rows.groupBy("client_id", F.lower("name").alias("_l")).agg(F.min(F.struct("_k", "at", "name", "kind")).alias("m"))
+    w = Window.partitionBy("client_id").orderBy("m._k", "m.at", "m.name")
+    return first.select("client_id", F.row_number().over(w).cast("long").alias("place"), "m.name", "m.kind")
 
 
 # ------------------------------------------------------------------ structure and chunks
@@ -332,6 +450,11 @@ def boundaries(blocks: DataFrame) -> DataFrame:
     return rows.filter("confidence > 0").select("doc_id", "pos", clean_heading(F.substring("_t", 1, 120)).alias("heading"), F.col("_l").cast("long").alias("level"), F.col("confidence").cast("long").alias("confidence"))
 
 
+def worth_chunking(docs: DataFrame, least: int = 50) -> DataFrame:
+    """Documents (doc_id, text) of ``least`` characters or more, white space at the ends not counted."""
+    return docs.filter(F.length(strip(F.col("text"))) >= least)
+
+
 def chunk_mode(bounds: DataFrame, least: int = 3) -> DataFrame:
     return bounds.groupBy("doc_id").agg(F.sum((F.col("confidence") >= 70).cast("long")).alias("strong")).withColumn("mode", F.when(F.col("strong") >= least, "structure").otherwise("tokens"))
 
@@ -376,6 +499,18 @@ def chunk_documents(docs: DataFrame, most: int = 4000, overlap: int = 200) -> Da
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, chunk bigint, text string, tokens bigint")
 
 
+def page_estimates(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """Chunks (doc_id, chunk, text) of documents of so many ``pages`` (doc_id, pages, n_chars) with an estimate
+    of the pages that they stand on, by the characters before them."""
+    before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("doc_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
+    rows = chunks.withColumn("_before", before).withColumn("_n", n).join(pages, "doc_id")
+    per = F.greatest(F.lit(1), F.floor(F.col("pages") / F.col("_n")))
+    start = F.greatest(F.lit(1), F.floor(F.col("_before") * F.col("pages") / F.greatest(F.col("n_chars"), F.lit(1))) + 1)
+    rows = rows.withColumn("start_page", start.cast("long")).withColumn("end_page", F.least(F.col("start_page") + per, F.col("pages")).cast("long"))
+    return rows.drop("_before", "_n", "pages", "n_chars")
+
+
 def structure_chunks(sections: DataFrame, most: int = 4000, small: int = 100) -> DataFrame:
     """Sections (doc_id, pos, heading, text) merged while small or while the sum stays under 0.8 of ``most``;
     larger ones are split at sentences. Order is per document."""
@@ -465,6 +600,31 @@ def diff_documents(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair_id", "old", "new").mapInPandas(run, "pair_id bigint, type string, old_index bigint, new_index bigint, old_text string, new_text string, word_changes bigint")
 
 
+def change_sections(changes: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """``changes`` (pair_id, old_index, new_index, ...) with ``section``: that of the old paragraph with this index,
+    else of the new one, else ``Unknown``. ``old``, ``new``: (pair_id, index, section)."""
+    o = old.select("pair_id", F.col("index").alias("old_index"), F.col("section").alias("_o"))
+    n = new.select("pair_id", F.col("index").alias("new_index"), F.col("section").alias("_n"))
+    rows = changes.join(o, ["pair_id", "old_index"], "left").join(n, ["pair_id", "new_index"], "left")
+    return rows.withColumn("section", F.coalesce("_o", "_n", F.lit("Unknown"))).drop("_o", "_n")
+
+
+def section_stats(changes: DataFrame) -> DataFrame:
+    """Per pair and section: additions, deletions, modifications, total, and ``place`` in order of total (ties by
+    name); the most changed sections are those of the first places."""
+    kinds = {"additions": "added", "deletions": "deleted", "modifications": "modified"}
+    by = changes.groupBy("pair_id", "section").agg(*[F.count(F.when(F.col("type") == k, 1)).alias(n) for n, k in kinds.items()], F.count(F.lit(1)).alias("total"))
+    return by.withColumn("place", F.row_number().over(Window.partitionBy("pair_id").orderBy(F.col("total").desc(), "section")).cast("long"))
+
+
+def percent_changed(changes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pair_id, changes, changed_milli): changes per thousand of the longer side's paragraphs; 0 of none."""
+    n = changes.groupBy("pair_id").agg(F.count(F.lit(1)).alias("changes"))
+    most = F.greatest(F.size("old"), F.size("new"))
+    rows = pairs.select("pair_id", most.alias("_m")).join(n, "pair_id", "left").fillna(0, ["changes"])
+    return rows.select("pair_id", "changes", F.when(F.col("_m") > 0, F.floor(F.col("changes") * 1000 / F.col("_m") + 0.5)).otherwise(0).cast("long").alias("changed_milli"))
+
+
 def word_changes(old: str, new: str) -> Iterator[tuple[str, list[str], list[str]]]:
     a, b = old.split(), new.split()
     for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
@@ -491,9 +651,25 @@ def mentions(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("label").isin(ENTITY_LABELS)).withColumn("name", normal_name(F.col("raw_name"))).filter("name <> ''")
 
 
-def entity_index(m: DataFrame, least: int = 1) -> DataFrame:
-    """Per (name, label): mentions, documents, first context (by document, paragraph, text)."""
-    return m.groupBy("name", "label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("documents"), F.min(F.struct("doc_id", "paragraph_index", "context")).alias("f")).filter(F.col("n") >= least).select("name", "label", "n", "documents", F.col("f.context").alias("first_context"))
+def entity_index(m: DataFrame, least: int = 1, contexts: int = 5) -> DataFrame:
+    """Per (name, label): mentions, documents, first context and the first ``contexts`` of them (by document,
+    paragraph, text). Contexts are ranked within a bounded number per key, so a name of every page is no
+    large group."""
+    by = m.groupBy("name", "label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("documents"), F.min(F.struct("doc_id", "paragraph_index", "context")).alias("f")).filter(F.col("n") >= least)
+    rank = F.row_number().over(Window.partitionBy("name", "label").orderBy("doc_id", "paragraph_index", "context"))
+    top = m.select("name", "label", "doc_id", "paragraph_index", "context").withColumn("k", rank).filter(F.col("k") <= contexts)
+    top = top.groupBy("name", "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", F.coalesce("context", F.lit("")).alias("c")))), lambda x: x["c"]).alias("contexts"))
+    return by.join(top, ["name", "label"]).select("name", "label", "n", "documents", F.col("f.context").alias("first_context"), "contexts")
+
+
+def top_entities(m: DataFrame, most: int = 20) -> DataFrame:
+    """The ``most`` names with most mentions, ties by name and label."""
+    return m.groupBy("name", "label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "name", "label").limit(most)
+
+
+def extracts(m: DataFrame, label: str) -> DataFrame:
+    """All mentions of one label (such as DATE or MONEY) with context and document."""
+    return m.filter(F.col("label") == label).select("name", "context", "doc_id", "paragraph_index")
 
 
 def cooccurrence(m: DataFrame) -> DataFrame:

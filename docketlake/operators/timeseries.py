@@ -28,13 +28,25 @@ def silent_periods(days: DataFrame, least: int = 3, by: list[str] | None = None)
     return gaps.select(*(by or []), F.date_add("day", 1).alias("gap_start"), F.date_sub("_n", 1).alias("gap_end"), F.col("days").cast("long").alias("days"))
 
 
-def event_gaps(days: DataFrame, least: int = 30) -> DataFrame:
-    """Gaps between consecutive distinct dates."""
-    w = Window.orderBy("day")
-    g = days.select("day").distinct().withColumn("next_day", F.lead("day").over(w)).withColumn("days", F.datediff("next_day", "day").cast("long")).filter(F.col("days") >= least)
+def event_gaps(days: DataFrame, least: int = 30, by: list[str] | None = None) -> DataFrame:
+    """Gaps between consecutive distinct dates, of all rows or per key."""
+    by = by or []
+    w = Window.partitionBy(*by).orderBy("day")
+    g = days.select(*by, "day").distinct().withColumn("next_day", F.lead("day").over(w)).withColumn("days", F.datediff("next_day", "day").cast("long")).filter(F.col("days") >= least)
     return g.withColumn("severity", F.when(F.col("days") >= 90, "high").when(F.col("days") >= 60, "medium").otherwise("low"))
 
 
+def gap_context(events: DataFrame, least: int = 30, by: list[str] | None = None, most: int = 200) -> DataFrame:
+    """Gaps of events (event_id, day, text, and the keys) with ``event_before`` and ``event_after``: the first
+    event, by id, of the day before the gap and of the day after it, cut to ``most`` characters."""
+    by = by or []
+    firsts = events.groupBy(*by, "day").agg(F.min_by(F.substring(F.coalesce("text", F.lit("")), 1, most), "event_id").alias("said"))
+    gaps = event_gaps(events, least, by)
+    before = firsts.withColumnRenamed("said", "event_before")
+    after = firsts.withColumnsRenamed({"day": "next_day", "said": "event_after"})
+    return gaps.join(before, [*by, "day"]).join(after, [*by, "next_day"])
+
+
 def key_date_study(rows: DataFrame, key_dates: DataFrame, around: int = 30, names: int = 20) -> DataFrame:
     """Mean volume of active days and participants before and after each key date (day), the day itself
     left out; lists sorted, then cut to ``names``. ``key_dates`` is a short list."""

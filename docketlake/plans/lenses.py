@@ -14,7 +14,7 @@ LENSES = {
 SELECT l.l_orderkey || '-' || l.l_linenumber || '-' || l.l_partkey || '-' || l.l_suppkey || '-' || CAST(CAST(l.l_shipdate AS DATE) AS STRING) AS entry_id,
   CASE WHEN l.l_partkey % 97 = 0 THEN CAST(l.l_shipdate AS TIMESTAMP) + INTERVAL 10 YEAR ELSE CAST(l.l_shipdate AS TIMESTAMP) END AS date,
   CASE WHEN l.l_suppkey % 10 = 0 THEN 'Partner ' || s.s_name ELSE s.s_name END AS timekeeper,
-  CASE WHEN l.l_suppkey % 10 = 3 THEN CAST(ceil(l.l_quantity / 10) AS DOUBLE) ELSE l.l_quantity / 10 END AS hours,
+  CASE WHEN l.l_suppkey % 10 = 3 THEN CAST(ceil(l.l_quantity / 10) AS DOUBLE) WHEN l.l_suppkey % 10 = 7 THEN floor(l.l_quantity / 2) * 0.25e0 ELSE l.l_quantity / 10 END AS hours,
   CAST(100 + (l.l_partkey % 50) * 10 AS DOUBLE) AS rate,
   CASE WHEN l.l_linenumber % 4 = 0 THEN NULL ELSE CAST(floor(l.l_extendedprice * 100 / 40) AS DOUBLE) / 100 END AS amount,
   CASE l.l_orderkey % 8 WHEN 0 THEN 'Review' WHEN 1 THEN 'Draft motion; attend hearing for client' WHEN 2 THEN 'Document review of ' || p.p_name || ' production set'
@@ -33,14 +33,15 @@ SELECT event_id AS comm_id, 'U' || user_id AS sender, CASE WHEN event_id % 97 =
 FROM {events} WHERE CAST(ts AS DATE) NOT BETWEEN DATE '2024-01-12' AND DATE '2024-01-15'""",
     "mail": """
 SELECT conv_id * 1000 + turn AS email_idx, '<' || conv_id || '.' || turn || '@x.org>' AS message_id,
-  CASE WHEN turn > 0 THEN '<' || conv_id || '.' || (turn - 1) || '@x.org>' END AS in_reply_to,
+  CASE WHEN turn > 0 AND turn % 3 <> 2 THEN '<' || conv_id || '.' || (turn - 1) || '@x.org>' END AS in_reply_to,
+  CASE WHEN turn > 1 AND turn % 3 = 2 THEN '<' || conv_id || '.0@x.org> ' || conv_id || '.' || (turn - 1) || '@x.org' END AS refs, CASE conv_id % 3 WHEN 0 THEN 'box.mbox' WHEN 1 THEN 'a.EML' ELSE 'scan' END AS source_file,
   TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 DAY * CAST(conv_id % 28 AS INT) AS date,
   'Person ' || (conv_id % 17) || ' <p' || (conv_id % 17) || '@a.org>' AS sender, '<R' || ((conv_id + turn) % 13) || '@B.org>, S <s' || (turn % 5) || '@c.org>' AS recipients,
   'Thread ' || conv_id || CASE WHEN conv_id % 9 = 0 THEN ' Attorney-Client matter' ELSE '' END AS subject,
   CASE WHEN conv_id % 7 = 3 AND turn = 1 THEN 'Please see the legal advice.' ELSE text END AS body
 FROM {conversations}
 UNION ALL
-SELECT 900000000 + conv_id * 1000 + turn, CASE WHEN turn = 0 THEN '<' || conv_id || '.' || turn || '@x.org>' ELSE '<copy.' || conv_id || '.' || turn || '@x.org>' END, NULL,
+SELECT 900000000 + conv_id * 1000 + turn, CASE WHEN turn = 0 THEN '<' || conv_id || '.' || turn || '@x.org>' ELSE '<copy.' || conv_id || '.' || turn || '@x.org>' END, NULL, NULL, 'copies.mbox',
   TIMESTAMP '2024-02-01 00:00:00', 'Person ' || (conv_id % 17) || ' <p' || (conv_id % 17) || '@a.org>', '<other@b.org>', 'Copy ' || conv_id, '  ' || upper(text) || '  '
 FROM {conversations} WHERE conv_id % 10 = 0""",
     "segment": """
@@ -92,6 +93,8 @@ SELECT l_orderkey AS doc_id, l_linenumber AS paragraph_index, CASE WHEN l_suppke
 FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey""",
     "ocr_page": """
 SELECT l_orderkey AS doc_id, l_linenumber * 100000 + l_partkey AS page, CAST(CAST(floor(l_discount * 1000) AS BIGINT) * 9 + (l_partkey % 11) AS BIGINT) AS confidence_milli FROM {lineitem}""",
+    "case_event": """
+SELECT o_custkey AS case_id, o_orderkey AS event_id, CAST(o_orderdate AS DATE) AS day, 'Order ' || o_orderkey || ' with priority ' || o_orderpriority AS text FROM {orders}""",
     "filing": """
 SELECT o_orderkey AS accession, CASE o_orderkey % 5 WHEN 0 THEN '10-K' WHEN 1 THEN '10-Q' WHEN 2 THEN '8-K' WHEN 3 THEN 'DEF 14A' ELSE '4' END AS form_type, CAST(o_orderdate AS DATE) AS filing_date,
   'Signed by John Q. Smith, Chief Executive Officer and Mary Jones - Treasurer of unit ' || o_custkey AS text FROM {orders}""",

@@ -17,8 +17,8 @@ def _caps():
     return B.rate_caps(SparkSession.active(), CAPS)
 
 
-def _holidays():
-    return C.holidays(SparkSession.active())
+def _holidays(b):
+    return C.holidays(b.sparkSession, C.years_of(b, "date"))
 
 
 def _days_sql() -> str:
@@ -29,7 +29,7 @@ BLOCK = r"(?:\band\b.*\band\b)|(?:;\s*\w)|(?:(?:{0})\w*.*(?:{0}))".format(B.TASK
 F_BLOCK = f"SELECT entry_id AS row_id, 'block_billing' AS rule, 'HIGH' AS severity FROM :billing WHERE length(description) >= 10 AND regexp_matches(lower(description), '{BLOCK}')"
 F_VAGUE = f"SELECT entry_id AS row_id, 'vague_description' AS rule, 'MEDIUM' AS severity FROM :billing WHERE length(trim(description)) < 15 OR regexp_matches(trim(description), '{B.VAGUE}')"
 F_SINGLE = "SELECT entry_id AS row_id, 'excessive_hours_single' AS rule, 'MEDIUM' AS severity FROM :billing WHERE hours > 3"
-F_DAILY = "SELECT entry_id AS row_id, 'excessive_hours_daily' AS rule, 'HIGH' AS severity FROM (SELECT entry_id, sum(CAST(floor(hours * 10 + 0.5e0) AS BIGINT)) OVER (PARTITION BY CAST(date AS DATE), timekeeper) AS t FROM :billing) q WHERE t > 100"
+F_DAILY = "SELECT entry_id AS row_id, 'excessive_hours_daily' AS rule, 'HIGH' AS severity FROM (SELECT entry_id, sum(CAST(floor(hours * 10000 + 0.5e0) AS BIGINT)) OVER (PARTITION BY CAST(date AS DATE), timekeeper) AS t FROM :billing) q WHERE t > 100000"
 F_RATE = "SELECT entry_id AS row_id, 'rate_violation' AS rule, 'HIGH' AS severity FROM (SELECT entry_id, rate, (SELECT min_by(cap, pos) FROM (VALUES (0, 'partner', 450e0), (1, 'supplier#000000003', 300e0), (2, 'supplier', 520e0)) c(pos, name, cap) WHERE contains(lower(timekeeper), name) OR contains(name, lower(timekeeper))) AS cap FROM :billing) q WHERE rate > cap"
 F_DUP = """SELECT row_id, 'duplicate_entry' AS rule, severity FROM (
  SELECT b.entry_id AS row_id, CASE WHEN contains(a.d, b.d) OR contains(b.d, a.d) THEN 'HIGH' ELSE 'MEDIUM' END AS severity, row_number() OVER (PARTITION BY b.entry_id ORDER BY a.entry_id) AS k
@@ -51,7 +51,7 @@ for _name, _f, _sql in [
     ("bil4_excessive_daily", lambda b: B.excessive_daily(_rows(b)), F_DAILY),
     ("bil5_rate_violation", lambda b: B.rate_violation(_rows(b), _caps()), F_RATE),
     ("bil6_duplicate_entry", lambda b: B.duplicate_entry(_rows(b)), F_DUP),
-    ("bil7_weekend_holiday", lambda b: B.weekend_holiday(_rows(b), _holidays()), F_WEEKEND),
+    ("bil7_weekend_holiday", lambda b: B.weekend_holiday(_rows(b), _holidays(b)), F_WEEKEND),
     ("bil8_staffing_level", lambda b: B.staffing_level(_rows(b)), F_STAFF),
     ("bil9_rounding_pattern", lambda b: B.rounding_pattern(_rows(b)), F_ROUND),
     ("bil10_late_entry", lambda b: B.late_entry(_rows(b)), F_LATE),
@@ -60,27 +60,29 @@ for _name, _f, _sql in [
 
 
 def _flags(b):
-    return B.all_flags(_rows(b), _caps(), _holidays())
+    """(entries, flags): the lens is worked out once."""
+    rows = B.audited(_rows(b))
+    return rows, B.all_flags(rows, _caps(), _holidays(rows))
 
 
 @query("bil_flag_counts", "billing", sql=f"SELECT severity, rule, count(*)::BIGINT AS flags FROM ({ALL}) f GROUP BY severity, rule")
 def flag_counts(b):
-    return _flags(b).groupBy("severity", "rule").agg(F.count("*").alias("flags"))
+    return _flags(b)[1].groupBy("severity", "rule").agg(F.count("*").alias("flags"))
 
 
 @query("bil11_all_flags", "billing", sql=f"SELECT row_id, rule, min(severity) AS severity FROM ({ALL}) f GROUP BY row_id, rule")
 def all_flags(b):
-    return _flags(b)
+    return _flags(b)[1]
 
 
 @query("bil12_flagged_entries", "billing", sql=f"SELECT entry_id AS row_id, timekeeper, rule, severity, CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END AS severity_rank FROM :billing JOIN ({ALL}) f ON entry_id = f.row_id")
 def flagged(b):
-    return B.flagged_entries(_rows(b), _flags(b)).select("row_id", "timekeeper", "rule", "severity", "severity_rank").orderBy("severity_rank", "row_id", "rule")
+    return B.flagged_entries(*_flags(b)).select("row_id", "timekeeper", "rule", "severity", "severity_rank").orderBy("severity_rank", "row_id", "rule")
 
 
 @query("bil13_savings", "billing", sql=f"SELECT sum(CAST(floor(amount * 100 + 0.5e0) AS BIGINT) * n)::BIGINT AS savings_cents, sum(CAST(floor(amount * 100 + 0.5e0) AS BIGINT))::BIGINT AS savings_distinct_cents, sum(n)::BIGINT AS n_high_flags FROM :billing JOIN (SELECT row_id, count(*) AS n FROM ({ALL}) f WHERE severity = 'HIGH' GROUP BY row_id) g ON entry_id = row_id")
 def savings(b):
-    return B.savings(_rows(b), _flags(b))
+    return B.savings(*_flags(b))
 
 
 A = "(SELECT *, coalesce(amount, hours * rate) AS amt FROM :billing) a"
@@ -98,7 +100,7 @@ def total(b):
 
 
 for _name, _key in [("bag2_by_matter", "matter"), ("bag3_by_timekeeper", "timekeeper")]:
-    query(_name, "billing", sql=f"SELECT {_key}, {CENTS} AS total_cents, sum(CAST(floor(hours * 10 + 0.5e0) AS BIGINT))::BIGINT AS tenths, CAST(floor(avg(rate) * 100 + 0.5e0) AS BIGINT) AS avg_rate_cents, count(*)::BIGINT AS entries FROM {A} WHERE {_key} <> '' GROUP BY {_key} ORDER BY total_cents DESC, {_key} LIMIT 20")(lambda b, k=_key: B.spend_by(B.with_amount(b), k))
+    query(_name, "billing", sql=f"SELECT {_key}, {CENTS} AS total_cents, sum(CAST(floor(hours * 10000 + 0.5e0) AS BIGINT))::BIGINT AS hours_e4, CAST(floor(avg(rate) * 100 + 0.5e0) AS BIGINT) AS avg_rate_cents, count(*)::BIGINT AS entries FROM {A} WHERE {_key} <> '' GROUP BY {_key} ORDER BY total_cents DESC, {_key} LIMIT 20")(lambda b, k=_key: B.spend_by(B.with_amount(b), k))
 
 
 @query("bag4_by_month", "billing", sql=f"SELECT CAST(date_trunc('month', date) AS DATE) AS month, {CENTS} AS total_cents, count(*)::BIGINT AS entries FROM {A} WHERE date IS NOT NULL GROUP BY 1")
@@ -128,4 +130,12 @@ def histogram(b):
 
 @query("viz6_timekeeper_severity", "billing", sql=f"SELECT timekeeper, severity, count(*)::BIGINT AS n FROM :billing JOIN ({ALL}) f ON entry_id = f.row_id GROUP BY 1, 2")
 def viz6(b):
-    return B.flagged_entries(_rows(b), _flags(b)).groupBy("timekeeper", "severity").agg(F.count("*").alias("n"))
+    return B.flagged_entries(*_flags(b)).groupBy("timekeeper", "severity").agg(F.count("*").alias("n"))
+
+
+_EXP = "CASE rule WHEN 'excessive_hours_single' THEN printf('%.2f', hours) || ' hours billed in a single entry' WHEN 'rate_violation' THEN 'Rate of $' || printf('%.2f', rate) || ' exceeds the agreed cap' WHEN 'rounding_pattern' THEN 'Entry of ' || printf('%.2f', hours) || ' hours at a half hour' ELSE upper(substr(rule, 1, 1)) || array_to_string(list_transform(string_split(substr(rule, 2), '_'), lambda x, i: CASE WHEN i = 1 THEN x ELSE upper(substr(x, 1, 1)) || substr(x, 2) END), ' ') || ' by ' || timekeeper END"
+
+
+@query("prj2_explanations", "billing", sql=f"SELECT entry_id AS row_id, rule, {_EXP} AS explanation FROM :billing JOIN ({ALL}) f ON entry_id = f.row_id")
+def explanations(b):
+    return B.explained(*_flags(b)).select("row_id", "rule", "explanation")

@@ -20,13 +20,33 @@ def dups(m):
     return M.duplicates(m).filter("duplicate_of IS NOT NULL").select("email_idx", "duplicate_of")
 
 
-@query("eml1_threads", "mail", sql=r"""WITH RECURSIVE r AS (SELECT email_idx, regexp_replace(ref, '^\s*<|>\s*$', '', 'g') AS ref FROM (SELECT email_idx, message_id AS ref FROM :mail UNION ALL SELECT email_idx, in_reply_to FROM :mail WHERE in_reply_to IS NOT NULL) q),
+THREADS = r"""WITH RECURSIVE r AS (SELECT email_idx, regexp_replace(ref, '^\s*<|>\s*$', '', 'g') AS ref FROM (SELECT email_idx, message_id AS ref FROM :mail UNION ALL SELECT email_idx, in_reply_to FROM :mail WHERE in_reply_to IS NOT NULL
+ UNION ALL SELECT email_idx, unnest(string_split(refs, ' ')) FROM :mail WHERE refs IS NOT NULL) q),
 f AS (SELECT ref, min(email_idx) AS first FROM r GROUP BY ref), l AS (SELECT r.email_idx AS a, first AS b FROM r JOIN f ON r.ref = f.ref WHERE r.email_idx <> first), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-t AS (SELECT email_idx, email_idx AS seen FROM :mail UNION SELECT t.email_idx, e.b FROM t JOIN e ON e.a = t.seen) SELECT email_idx, min(seen) AS thread FROM t GROUP BY email_idx""")
+t AS (SELECT email_idx, email_idx AS seen FROM :mail UNION SELECT t.email_idx, e.b FROM t JOIN e ON e.a = t.seen), g AS (SELECT email_idx, min(seen) AS thread FROM t GROUP BY email_idx),
+y AS (SELECT email_idx, thread, printf('thread_%04d', dense_rank() OVER (ORDER BY thread)) AS thread_id FROM g)"""
+
+
+@query("eml1_threads", "mail", sql=f"{THREADS} SELECT email_idx, thread, thread_id FROM y")
 def threads(m):
     return M.threads(m)
 
 
+@query("eml1_thread_summary", "mail", sql=f"{THREADS} SELECT thread_id, count(*)::BIGINT AS mails, min(date) AS first_date, max(date) AS last_date, min_by(subject, (date, email_idx)) AS subject FROM :mail JOIN y USING (email_idx) GROUP BY thread_id")
+def thread_summary(m):
+    return M.thread_summary(m, M.threads(m))
+
+
+@query("eag1_mail_formats", "mail", sql="SELECT CASE WHEN contains(source_file, '.') THEN lower(string_split(source_file, '.')[-1]) ELSE 'unknown' END AS format, count(*)::BIGINT AS n FROM :mail GROUP BY 1")
+def formats(m):
+    return M.format_counts(m)
+
+
+@query("eml5_names", "mail", sql=r"SELECT email_idx, '|' || lower(regexp_extract(string_split(recipients, ', ')[1], '<(.*)>', 1)) || CASE WHEN len(string_split(recipients, ', ')) > 1 THEN ';' || regexp_extract(string_split(recipients, ', ')[2], '^(.*) <', 1) || '|' || lower(regexp_extract(string_split(recipients, ', ')[2], '<(.*)>', 1)) ELSE '' END AS names FROM :mail")
+def names(m):
+    return m.select("email_idx", F.array_join(F.transform(M.names(F.col("recipients")), lambda x: F.concat(x["name"], F.lit("|"), x["address"])), ";").alias("names"))
+
+
 _KW = " ".join(f"WHEN contains(t, '{k}') THEN 'Keyword: ''{k}'''" for k in M.PRIVILEGE)
 
 

@@ -7,7 +7,7 @@ FAV = ", ".join(f"'{d}'" for d in P.FAVORABLE)
 NOW = ", ".join(f"'{d}'" for d in P.AT_ONCE)
 
 
-@query("kpi1_case_flow", "case_file", sql="WITH m AS (SELECT month, sum(o)::BIGINT AS opened, sum(c)::BIGINT AS closed FROM (SELECT CAST(date_trunc('month', opened) AS DATE) AS month, 1 AS o, 0 AS c FROM :case_file UNION ALL SELECT CAST(date_trunc('month', closed) AS DATE), 0, 1 FROM :case_file WHERE closed IS NOT NULL) q GROUP BY month) SELECT month, opened, closed, opened - closed AS net, abs(opened * (SELECT count(*) FROM m) - (SELECT sum(opened) FROM m)) * 4 > (SELECT sum(opened) FROM m) AS off_mean FROM m")
+@query("kpi1_case_flow", "case_file", sql="WITH m AS (SELECT month, sum(o)::BIGINT AS opened, sum(c)::BIGINT AS closed FROM (SELECT CAST(date_trunc('month', opened) AS DATE) AS month, 1 AS o, 0 AS c FROM :case_file UNION ALL SELECT CAST(date_trunc('month', closed) AS DATE), 0, 1 FROM :case_file WHERE closed IS NOT NULL) q GROUP BY month) SELECT month, opened, closed, opened - closed AS net, sum(opened - closed) OVER (ORDER BY month)::BIGINT AS active, abs(opened * (SELECT count(*) FROM m) - (SELECT sum(opened) FROM m)) * 4 > (SELECT sum(opened) FROM m) AS off_mean FROM m")
 def flow(c):
     return P.case_flow(c)
 
@@ -92,7 +92,15 @@ def reviews(c):
     return c.select("case_id", a.alias("ask"), w.alias("timing"))
 
 
-@query("jrn1_transitions", "case_file", sql=f"SELECT transition, entered, moved_on, moved_on * 1000 // entered AS conversion_milli FROM (SELECT 'Consultation -> Retention' AS transition, leads AS entered, retained AS moved_on FROM ({FUN}) a UNION ALL SELECT 'Retention -> Resolution', retained, resolved FROM ({FUN}) b UNION ALL SELECT 'Resolution -> Referral', resolved, favorable FROM ({FUN}) c) q")
+_J = "SELECT count(*)::BIGINT AS leads, count(*) FILTER (WHERE stage <> 'Intake / pre-filing')::BIGINT AS consulted, count(*) FILTER (WHERE stage <> 'Intake / pre-filing' AND fee IS NOT NULL)::BIGINT AS retained, count(*) FILTER (WHERE stage NOT IN ('Intake / pre-filing', 'Early discovery') AND fee IS NOT NULL)::BIGINT AS engaged, count(closed)::BIGINT AS resolved, count(*) FILTER (WHERE closed IS NOT NULL AND disposition IN (" + FAV + "))::BIGINT AS referred FROM :case_file"
+
+
+@query("wrk5_load_trend", "case_file", sql=f"WITH w AS (SELECT attorney, opened, closed, CASE case_type {' '.join(f"WHEN '{k}' THEN {round(v * 10)}" for k, v in P.TYPE_WEIGHTS.items())} ELSE 10 END * CASE stage {' '.join(f"WHEN '{k}' THEN {round(v * 10)}" for k, v in P.STAGE_MULTIPLIERS.items())} ELSE 10 END AS l FROM :case_file), m AS (SELECT CAST(date_trunc('month', opened) AS DATE) AS month, attorney, 1 AS o, 1 AS n, l FROM w UNION ALL SELECT CAST(date_trunc('month', closed) AS DATE), attorney, 0, -1, -l FROM w WHERE closed IS NOT NULL), g AS (SELECT * FROM (SELECT CAST(unnest(generate_series((SELECT min(month) FROM m), (SELECT max(month) FROM m), INTERVAL 1 MONTH)) AS DATE) AS month) a, (SELECT DISTINCT attorney FROM m) b), h AS (SELECT g.month, g.attorney, coalesce(sum(o), 0) AS o, coalesce(sum(n), 0) AS n, coalesce(sum(l), 0) AS l FROM g LEFT JOIN m ON g.month = m.month AND g.attorney = m.attorney GROUP BY 1, 2), r AS (SELECT month, o, sum(n) OVER (PARTITION BY attorney ORDER BY month) AS open, sum(l) OVER (PARTITION BY attorney ORDER BY month) AS load FROM h), y AS (SELECT month, sum(o)::BIGINT AS opened, sum(open)::BIGINT AS open_cases, sum(load)::BIGINT AS load_cents, count(*) FILTER (WHERE open > 0)::BIGINT AS attorneys FROM r GROUP BY 1), z AS (SELECT *, CAST(floor(load_cents * 1000e0 / nullif(attorneys * 4000, 0)) AS BIGINT) AS used_milli FROM y) SELECT *, open_cases - lag(open_cases) OVER (ORDER BY month) AS open_change, used_milli - lag(used_milli) OVER (ORDER BY month) AS used_change FROM z")
+def load_trend(c):
+    return P.load_trend(c, 4000)
+
+
+@query("jrn1_transitions", "case_file", sql=f"WITH j AS ({_J}) SELECT transition, entered, moved_on, moved_on * 1000 // entered AS conversion_milli FROM (SELECT 'First Contact -> Consultation' AS transition, leads AS entered, consulted AS moved_on FROM j UNION ALL SELECT 'Consultation -> Retention', consulted, retained FROM j UNION ALL SELECT 'Retention -> Active Engagement', retained, engaged FROM j UNION ALL SELECT 'Resolution -> Review/Referral', resolved, referred FROM j) q")
 def journey(c):
     return P.transitions(c)
 

@@ -80,16 +80,8 @@ def cameras(p):
     return p.groupBy(F.coalesce("camera", F.lit("unknown")).alias("camera")).agg(F.count("*").alias("n"), F.min("exif_date").alias("first_date"), F.max("exif_date").alias("last_date"))
 
 
-@query("srt2_dated_first", "photo", sql="SELECT photo_id, row_number() OVER (ORDER BY camera NULLS LAST, photo_id)::BIGINT AS place FROM :photo QUALIFY place <= 50")
+@query("srt2_dated_first", "photo", sql="SELECT photo_id, row_number() OVER (ORDER BY CASE WHEN camera IS NOT NULL THEN exif_date END NULLS LAST, photo_id)::BIGINT AS place FROM :photo")
 def dated(p):
-    top = p.orderBy(F.col("camera").asc_nulls_last(), "photo_id").limit(50)
-    from pyspark.sql import Window
-
-    return top.select("photo_id", F.row_number().over(Window.orderBy(F.col("camera").asc_nulls_last(), "photo_id")).cast("long").alias("place"))
-
-
-@query("srt2_dated_first_whole", "photo", sql="SELECT photo_id, row_number() OVER (ORDER BY CASE WHEN camera IS NOT NULL THEN exif_date END NULLS LAST, photo_id)::BIGINT AS place FROM :photo")
-def dated_whole(p):
     """All photos; those without a camera count as undated."""
     return R.dated_first(p.withColumn("exif_date", F.when(F.col("camera").isNotNull(), F.col("exif_date"))))
 
@@ -128,3 +120,34 @@ def fresh(f):
 @query("vid1_coarse_plan", "frame", sql="SELECT video_id, unnest(range(0, max(ts_ms) + 1, 5000)) AS ts_ms FROM :frame GROUP BY video_id")
 def plan(f):
     return R.plan_frames(f.groupBy("video_id").agg(F.max("ts_ms").alias("length_ms")))
+
+
+@query("oag1_corpus_mean", "ocr_page", sql="SELECT count(*)::BIGINT AS documents, sum(n)::BIGINT AS pages, CAST(floor(sum(m) / count(*)) AS BIGINT) AS mean_micro, count(*) FILTER (WHERE m < 850000)::BIGINT AS to_report FROM (SELECT count(*) AS n, CAST(floor(sum(confidence_milli) * 1000 / count(*)) AS BIGINT) AS m FROM :ocr_page GROUP BY doc_id) q")
+def corpus_mean(p):
+    return R.corpus_confidence(p)
+
+
+_PLAN = """WITH v AS (SELECT video_id, max(ts_ms) AS len FROM :frame GROUP BY 1), co AS (SELECT video_id, unnest(range(0, len + 1, 5000)) AS ts_ms FROM v),
+w AS (SELECT video_id, greatest(0, ts_ms - 3000) AS s, least(len, ts_ms + 3000) AS e FROM :frame JOIN v USING (video_id) WHERE pass = 'click'),
+m AS (SELECT video_id, min(s) AS s, max(e) AS e FROM (SELECT *, sum(n) OVER (PARTITION BY video_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY video_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM w) a) b GROUP BY video_id, g),
+de AS (SELECT video_id, ts_ms FROM (SELECT video_id, unnest(range(s, e + 1, 500)) AS ts_ms FROM m) x WHERE NOT EXISTS (SELECT 1 FROM co WHERE co.video_id = x.video_id AND abs(co.ts_ms - x.ts_ms) <= 100)),
+cd AS (SELECT * FROM co UNION ALL SELECT * FROM de),
+oo AS (SELECT video_id, unnest(range(c + 2500, least(c + 600000, len), 5000)) AS ts_ms FROM (SELECT video_id, len, unnest(range(0, len + 1, 600000)) AS c FROM v) y),
+o AS (SELECT video_id, ts_ms FROM oo x WHERE NOT EXISTS (SELECT 1 FROM cd WHERE cd.video_id = x.video_id AND abs(cd.ts_ms - x.ts_ms) <= 100)),
+u AS (SELECT *, 0 AS p FROM co UNION ALL SELECT *, 1 FROM de UNION ALL SELECT *, 2 FROM o)
+SELECT video_id, ts_ms, CASE p WHEN 0 THEN 'coarse' WHEN 1 THEN 'dense' ELSE 'offset' END AS pass FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY p, ts_ms) AS k FROM u) z WHERE k <= 2000"""
+
+
+@query("vid1_three_passes", "frame", sql=_PLAN)
+def passes(f):
+    videos = f.groupBy("video_id").agg(F.max("ts_ms").alias("length_ms"))
+    return R.plan_passes(videos, f.filter("pass = 'click'").select("video_id", "ts_ms"))
+
+
+@query("jon18_filled_tags", "photo", sql="SELECT photo_id, CASE WHEN camera IS NULL THEN 'second' ELSE camera END || '|' || CASE WHEN photo_id % 3 = 0 THEN 'first' ELSE 'second' END AS tags FROM :photo")
+def filled(p):
+    tags = lambda **kv: F.map_from_arrays(F.array(*map(F.lit, kv)), F.array(*kv.values()))
+    first = p.select("photo_id", tags(camera=F.col("camera"), lens=F.when(F.col("photo_id") % 3 == 0, "first")).alias("tags"))
+    second = p.select("photo_id", tags(camera=F.lit("second"), lens=F.lit("second")).alias("tags"))
+    t = F.col("tags")
+    return R.filled(first, second, "photo_id").select("photo_id", F.concat_ws("|", t["camera"], t["lens"]).alias("tags"))

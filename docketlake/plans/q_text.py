@@ -1,3 +1,4 @@
+from pyspark.sql import Window as _Window
 from pyspark.sql import functions as F
 
 from docketlake.operators import records as R
@@ -35,11 +36,17 @@ def by_type(c):
     return c.groupBy(T.event_type(F.col("text")).alias("event_type")).agg(F.count("*").alias("n"))
 
 
+@query("hag1_events_by_document", "filing", sql="SELECT form_type, count(*)::BIGINT AS n, count(DISTINCT filing_date)::BIGINT AS days FROM :filing GROUP BY 1")
+def by_document(f):
+    """Events per document: the filings of a form are its events."""
+    return R.events_by_document(f.select(F.col("form_type").alias("document"), F.col("filing_date").alias("day"))).withColumnRenamed("document", "form_type")
+
+
 _DATES = r"""SELECT o_orderkey AS doc_id, CAST(o_orderdate AS DATE) AS day FROM orders"""
 
 
 def _dates(c):
-    return c.select("doc_id", "text", F.explode_outer(T.dates_in(F.col("text"))).alias("d")).select("doc_id", "text", "d.raw", "d.day").filter("day is not null")
+    return c.select("doc_id", "text", F.explode_outer(T.dates_in(F.col("text"))).alias("d")).select("doc_id", "text", "d.raw", "d.day", "d.at").filter("day is not null")
 
 
 @query("chr1_dates", "chron", sql=_DATES)
@@ -49,7 +56,7 @@ def dates(c):
 
 @query("chr2_sentences", "chron", sql=r"SELECT doc_id, CASE WHEN length(s) < 50 THEN text ELSE s END AS sentence FROM (SELECT doc_id, text, regexp_extract(text, '\. (On .*)\. Later', 1) || '.' AS s FROM :chron) q")
 def sentences(c):
-    return _dates(c).select("doc_id", T.sentence_around(F.col("text"), F.col("raw")).alias("sentence"))
+    return _dates(c).select("doc_id", T.sentence_around(F.col("text"), F.col("raw"), F.col("at")).alias("sentence"))
 
 
 @query("flt2_flt6_event_filter", "chron", sql=f"SELECT doc_id FROM ({EVENT}) e JOIN orders ON o_orderkey = doc_id WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1995-12-31' AND event_type IN ('filing', 'payment')")
@@ -58,15 +65,27 @@ def event_filter(c):
     return _dates(c).filter(F.col("day").between("1995-01-01", "1995-12-31")).select("doc_id").join(typed, "doc_id").select("doc_id")
 
 
-@query("win3_chr5_event_gaps", "chron", sql="SELECT day, nx AS next_day, (nx - day)::BIGINT AS days, CASE WHEN nx - day >= 90 THEN 'high' WHEN nx - day >= 60 THEN 'medium' ELSE 'low' END AS severity FROM (SELECT day, lead(day) OVER (ORDER BY day) AS nx FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 97 = 5) d) q WHERE nx - day >= 30")
+@query("win3_chr5_event_gaps", "chron", sql="SELECT day, nx AS next_day, (nx - day)::BIGINT AS days, CASE WHEN nx - day >= 90 THEN 'high' WHEN nx - day >= 60 THEN 'medium' ELSE 'low' END AS severity FROM (SELECT day, lead(day) OVER (ORDER BY day) AS nx FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders) d) q WHERE nx - day >= 30")
 def gaps(c):
-    """Of the documents that its SQL names; ``win3_chr5_event_gaps_whole`` is over all."""
-    return TS.event_gaps(_dates(c.filter("doc_id % 97 = 5")).select("day"))
+    return TS.event_gaps(_dates(c).select("day"))
 
 
-@query("win3_chr5_event_gaps_whole", "chron", sql="SELECT day, nx AS next_day, (nx - day)::BIGINT AS days, CASE WHEN nx - day >= 90 THEN 'high' WHEN nx - day >= 60 THEN 'medium' ELSE 'low' END AS severity FROM (SELECT day, lead(day) OVER (ORDER BY day) AS nx FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders) d) q WHERE nx - day >= 30")
-def gaps_whole(c):
-    return TS.event_gaps(_dates(c).select("day"))
+#: Events of a case: a customer's orders.
+_CASE = "SELECT o_custkey AS case_id, o_orderkey AS event_id, CAST(o_orderdate AS DATE) AS day, 'Order ' || o_orderkey || ' with priority ' || o_orderpriority AS text FROM orders"
+
+
+@query("jon15_gap_context", "case_event", sql=f"WITH e AS ({_CASE}), f AS (SELECT case_id, day, min_by(text, event_id) AS said FROM e GROUP BY 1, 2), g AS (SELECT *, lead(day) OVER (PARTITION BY case_id ORDER BY day) AS next_day, lead(said) OVER (PARTITION BY case_id ORDER BY day) AS event_after FROM f) SELECT case_id, day, next_day, (next_day - day)::BIGINT AS days, CASE WHEN next_day - day >= 90 THEN 'high' WHEN next_day - day >= 60 THEN 'medium' ELSE 'low' END AS severity, said AS event_before, event_after FROM g WHERE next_day - day >= 30")
+def gap_context(e):
+    return TS.gap_context(e, by=["case_id"])
+
+
+@query("jon7_other_dates", "chron", sql="SELECT doc_id, 'Later' AS raw FROM :chron")
+def other(c):
+    """A model's spans: one inside of the date that the rules find, which goes, and one elsewhere, which stays."""
+    t = F.col("text")
+    rows = c.withColumn("d", T.dates_in(t))
+    spans = F.array(F.struct((F.col("d")[0]["at"] + 1).alias("at"), F.substring(F.col("d")[0]["raw"], 2, 3).alias("raw")), F.struct(F.locate("Later", t).alias("at"), F.lit("Later").alias("raw")))
+    return rows.select("doc_id", F.explode(T.other_dates(F.col("d"), spans)).alias("s")).select("doc_id", "s.raw")
 
 
 @query("chr4_dedup_events", "chron")
@@ -76,8 +95,8 @@ def dedup(c):
 
 @query("chr6_conflicts", "clause")
 def conflicts(c):
-    """Like statements under different days: the clauses of documents, dated by their number."""
-    e = c.select(F.col("change_id").alias("event_id"), "doc_id", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 5).cast("int")).alias("day"), F.col("old_text").alias("text")).dropDuplicates(["text", "day"])
+    """Like statements under different days, as pairs of classes: the clauses of documents, dated by their number."""
+    e = c.select(F.col("change_id").alias("event_id"), "doc_id", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 5).cast("int")).alias("day"), F.col("old_text").alias("text"))
     return T.conflicts(e)
 
 
@@ -116,19 +135,37 @@ def roles(i):
     return i.select("client_id", T.infer_role(F.col("name"), F.col("text")).alias("role"))
 
 
-@query("int6_conflict_list", "intake", sql="SELECT lower(name) AS name_key, min(client_id) AS first_client FROM :intake WHERE length(name) >= 2 GROUP BY 1")
+@query("int1_street_addresses", "intake", sql="SELECT client_id, client_id || ' Oak Tree Lane, Springfield, IL 62704' AS addresses FROM :intake")
+def addresses(i):
+    t = F.concat(F.lit("Lives at: "), F.col("client_id").cast("string"), F.lit(" Oak Tree Lane, Springfield, IL 62704."))
+    return i.select("client_id", F.array_join(T.street_addresses(t), "|").alias("addresses"))
+
+
+#: Names said at an intake: the client twice, once in capitals, an adviser, a firm and an initial.
+_SAID = [("ORG", 0, "'Acme ' || jurisdiction || ' LLC'"), ("PERSON", 5, "name"), ("PERSON", 9, "upper(name)"), ("PERSON", 7, "'Ann Lee'"), ("ORG", 8, "'ann lee'"), ("PERSON", 6, "' X '")]
+_SAID_SQL = " UNION ALL ".join(f"SELECT client_id, {at} AS spot, {x} AS name, '{k}' AS kind FROM :intake" for k, at, x in _SAID)
+
+
+@query("int6_conflict_list", "intake", sql=f"WITH s AS ({_SAID_SQL}), f AS (SELECT client_id, trim(name) AS name, kind, spot, row_number() OVER (PARTITION BY client_id, lower(trim(name)) ORDER BY CASE kind WHEN 'PERSON' THEN 0 ELSE 1 END, spot) AS k FROM s WHERE length(trim(name)) >= 2) SELECT client_id, row_number() OVER (PARTITION BY client_id ORDER BY CASE kind WHEN 'PERSON' THEN 0 ELSE 1 END, spot)::BIGINT AS place, name, kind FROM f WHERE k = 1")
 def conflict_list(i):
-    return i.filter(F.length("name") >= 2).groupBy(F.lower("name").alias("name_key")).agg(F.min("client_id").alias("first_client"))
+    said = F.array(*[F.struct(F.lit(at).alias("at"), F.expr(x).alias("name"), F.lit(k).alias("kind")) for k, at, x in _SAID])
+    return T.conflict_list(i.select("client_id", F.explode(said).alias("s")).select("client_id", "s.*"))
 
 
-_LIST = [("personal_injury", "required", "Medical records"), ("personal_injury", "helpful", "Photos"), ("family_law", "required", "Marriage certificate"), ("general", "required", "Identification")]
-_LV = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _LIST)
+_LV = ", ".join("('{}', '{}', {}, '{}')".format(m, t, k, d.replace("'", "''")) for m, t, k, d in T.checklist_rows())
 
 
-@query("int7_checklist", "intake", sql=f"WITH l AS (SELECT * FROM (VALUES {_LV}) v(matter, tier, document)), m AS (SELECT client_id, CASE WHEN matter IN (SELECT matter FROM l) THEN matter ELSE 'general' END AS matter FROM ({MATTER}) x) SELECT client_id, matter, tier, document FROM m JOIN l USING (matter)")
+@query("int7_checklist", "intake", sql=f"WITH l AS (SELECT * FROM (VALUES {_LV}) v(matter, tier, position, document)), m AS (SELECT client_id, CASE WHEN matter IN (SELECT matter FROM l) THEN matter ELSE 'general' END AS matter FROM ({MATTER}) x) SELECT client_id, matter, tier, position, document FROM m JOIN l USING (matter)")
 def checklist(i):
-    table = i.sparkSession.createDataFrame(_LIST, "matter string, tier string, document string")
-    return T.document_checklist(i.select("client_id", T.matter_type(F.col("text"))[0].alias("matter")), table)
+    return T.document_checklist(i.select("client_id", T.matter_type(F.col("text"))[0].alias("matter")))
+
+
+@query("int8_incident_date", "intake", sql="SELECT client_id, CASE WHEN client_id % 3 = 0 THEN incident_date ELSE DATE '2021-03-04' END AS incident FROM :intake")
+def incidents(i):
+    """The date that stands with the incident, else the first one past."""
+    word = F.when(F.col("client_id") % 3 == 0, "it happened").otherwise("they met again")
+    t = F.concat(F.lit("A long contract on the sale of the old mill was made on 3/4/2021 by both of them. In the morning of "), F.date_format("incident_date", "MMMM d, yyyy"), F.lit(" "), word, F.lit(" in the rain and the cold. Nothing else was said here."))
+    return i.select("client_id", T.incident_date(t, F.lit("2026-01-01").cast("date")).alias("incident"))
 
 
 _Y = "CASE jurisdiction " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in T.LIMITATION_YEARS["personal_injury"].items() if k != "default") + " ELSE 2 END"
@@ -140,9 +177,13 @@ def limits(i):
     return i.select("client_id", d.alias("due"), n.alias("days_left"), lv.alias("level"))
 
 
-@query("int9_opposing", "intake", sql="SELECT client_id FROM :intake WHERE contains(lower(text), 'defendant') OR contains(lower(text), 'landlord')")
+@query("int9_opposing", "intake", sql="SELECT client_id, CASE client_id % 3 WHEN 0 THEN 'Bob Roe|Zed Co' WHEN 1 THEN 'Bob Roe' ELSE '' END AS parties FROM :intake")
 def opposing(i):
-    return i.filter(F.lower("text").rlike("defendant|landlord")).select("client_id")
+    person = lambda n, c: F.struct(F.lit(n).alias("name") if isinstance(n, str) else n.alias("name"), c.alias("context"))
+    said = F.when(F.col("client_id") % 3 < 2, "a claim against Bob Roe").otherwise("spoke to Bob Roe")
+    people = F.array(person("Bob Roe", said), person(F.col("name"), F.lit("the defendant is a client")), person("Bob Roe", F.lit("Bob Roe again")))
+    fields = F.when(F.col("client_id") % 3 == 0, F.create_map(F.lit("adverse_party"), F.lit("Zed Co"), F.lit("judge"), F.lit("no")))
+    return i.select("client_id", F.array_join(T.opposing_parties(people, F.col("name"), F.coalesce(fields, F.expr("map()").cast("map<string,string>"))), "|").alias("parties"))
 
 
 _B = " ".join(f"WHEN regexp_matches(trim(text), '{p}') THEN {c}" for p, c in T.BOUNDARIES)
@@ -200,6 +241,22 @@ def para_chunks(s):
     return s.select("rec_id", "id", F.size(T.paragraph_chunks(F.col("text"), 500)).cast("long").alias("chunks"))
 
 
+@query("chk5_page_estimates", "block", sql="SELECT doc_id, k AS chunk, greatest(1, (k * 40 * 7) // (n * 40) + 1)::BIGINT AS start_page, least(greatest(1, (k * 40 * 7) // (n * 40) + 1) + greatest(1, 7 // n), 7)::BIGINT AS end_page FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM :block) q")
+def page_estimates(b):
+    """Blocks as chunks of 40 characters, of documents of seven pages."""
+    from pyspark.sql import Window
+
+    chunks = b.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1).cast("long").alias("chunk"), F.repeat(F.lit("x"), F.lit(40)).alias("text"))
+    pages = b.groupBy("doc_id").agg(F.lit(7).alias("pages"), (F.count("*") * 40).alias("n_chars"))
+    return T.page_estimates(chunks, pages).select("doc_id", "chunk", "start_page", "end_page")
+
+
+@query("chk7_worth_chunking", "block", sql="SELECT doc_id FROM :block GROUP BY doc_id HAVING length(trim(string_agg(text, ' ' ORDER BY pos))) >= 50")
+def worth_chunking(b):
+    whole = b.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text"))
+    return T.worth_chunking(whole).select("doc_id")
+
+
 _BOTH = "lower(old_text || ' ' || new_text)"
 _HI, _ME = "|".join(T.HIGH_RISK), "|".join(T.MEDIUM_RISK)
 _W = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '\s+'), lambda x: x <> ''))"
@@ -219,8 +276,8 @@ def risk(c):
 
 @query("dag2_redline_counts", "clause", sql=f"SELECT coalesce(risk, '*') AS risk, coalesce(category, '*') AS category, coalesce(section, '*') AS section, count(*)::BIGINT AS n FROM ({RISK}) r GROUP BY GROUPING SETS ((risk), (category), (section))")
 def redline(c):
-    _risk(c).createOrReplaceTempView("_redline")
-    return c.sparkSession.sql("SELECT coalesce(risk, '*') AS risk, coalesce(category, '*') AS category, coalesce(section, '*') AS section, count(*) AS n FROM _redline GROUP BY GROUPING SETS ((risk), (category), (section))")
+    sql = "SELECT coalesce(risk, '*') AS risk, coalesce(category, '*') AS category, coalesce(section, '*') AS section, count(*) AS n FROM {r} GROUP BY GROUPING SETS ((risk), (category), (section))"
+    return c.sparkSession.sql(sql, r=_risk(c))
 
 
 @query("dag1_changes_by_section", "clause", sql=f"SELECT section, count(*) FILTER (WHERE risk = 'HIGH')::BIGINT AS high, count(*) FILTER (WHERE risk = 'MEDIUM')::BIGINT AS medium, count(*) FILTER (WHERE risk = 'LOW')::BIGINT AS low, count(*)::BIGINT AS total FROM ({RISK}) r GROUP BY section")
@@ -229,10 +286,45 @@ def by_section(c):
     return p.select("section", F.col("HIGH").alias("high"), F.col("MEDIUM").alias("medium"), F.col("LOW").alias("low"), (F.col("HIGH") + F.col("MEDIUM") + F.col("LOW")).alias("total"))
 
 
+def _pairs(c):
+    """Documents as pairs of old and new paragraphs."""
+    return c.groupBy(F.col("doc_id").alias("pair_id")).agg(*[F.sort_array(F.collect_list(F.struct("change_id", F.col(x).alias("t")))).getField("t").alias(n) for x, n in (("old_text", "old"), ("new_text", "new"))])
+
+
 @query("dif1_dif2_paragraph_diff", "clause")
 def diff(c):
-    pairs = c.groupBy(F.col("doc_id").alias("pair_id")).agg(*[F.sort_array(F.collect_list(F.struct("change_id", F.col(x).alias("t")))).getField("t").alias(n) for x, n in (("old_text", "old"), ("new_text", "new"))])
-    return T.diff_documents(pairs)
+    return T.diff_documents(_pairs(c))
+
+
+def _changes(c):
+    """Changes of the pairs by index, where each paragraph of the old side that differs is a change of its own."""
+    w = c.select("doc_id", "change_id", "section", "old_text", "new_text")
+    n = F.row_number().over(_Window.partitionBy("doc_id").orderBy("change_id")) - 1
+    rows = w.withColumn("n", n.cast("long"))
+    kind = F.when(F.col("n") % 3 == 0, "modified").when(F.col("n") % 3 == 1, "deleted").otherwise("added")
+    old = rows.select(F.col("doc_id").alias("pair_id"), F.col("n").alias("index"), "section").filter("index % 7 <> 6")
+    new = rows.select(F.col("doc_id").alias("pair_id"), F.col("n").alias("index"), F.concat(F.lit("New "), "section").alias("section"))
+    changes = rows.select(F.col("doc_id").alias("pair_id"), kind.alias("type"), F.when(kind != "added", F.col("n")).alias("old_index"), F.when(kind != "deleted", F.col("n")).alias("new_index"))
+    return changes, old, new
+
+
+_CH = """WITH n AS (SELECT doc_id AS pair_id, section, row_number() OVER (PARTITION BY doc_id ORDER BY change_id) - 1 AS n FROM :clause),
+c AS (SELECT pair_id, n, CASE n % 3 WHEN 0 THEN 'modified' WHEN 1 THEN 'deleted' ELSE 'added' END AS type, CASE WHEN n % 3 <> 2 AND n % 7 <> 6 THEN section WHEN n % 3 <> 1 THEN 'New ' || section ELSE 'Unknown' END AS section FROM n)"""
+
+
+@query("jon12_change_sections", "clause", sql=f"{_CH} SELECT pair_id, n AS place, type, section FROM c")
+def change_sections(c):
+    return T.change_sections(*_changes(c)).select("pair_id", F.coalesce("old_index", "new_index").alias("place"), "type", "section")
+
+
+@query("dag1_section_stats", "clause", sql=f"{_CH}, g AS (SELECT pair_id, section, count(*) FILTER (WHERE type = 'added')::BIGINT AS additions, count(*) FILTER (WHERE type = 'deleted')::BIGINT AS deletions, count(*) FILTER (WHERE type = 'modified')::BIGINT AS modifications, count(*)::BIGINT AS total FROM c GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY total DESC, section)::BIGINT AS place FROM g")
+def section_stats(c):
+    return T.section_stats(T.change_sections(*_changes(c)))
+
+
+@query("dag1_percent_changed", "clause", sql=f"{_CH} SELECT pair_id, count(*)::BIGINT AS changes, 1000::BIGINT AS changed_milli FROM c GROUP BY 1")
+def percent_changed(c):
+    return T.percent_changed(_changes(c)[0], _pairs(c))
 
 
 @query("dif5_similarity", "clause")
@@ -260,9 +352,19 @@ def normal(m):
     return T.mentions(m).select("label", "raw_name", "name").distinct()
 
 
-@query("nag1_flt3_entity_index", "mention", sql=f"SELECT name, label, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS documents, min_by(context, (doc_id, paragraph_index, context)) AS first_context FROM ({MEN}) m GROUP BY 1, 2 HAVING count(*) >= 2")
+@query("nag1_flt3_entity_index", "mention", sql=f"SELECT name, label, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS documents, min_by(context, (doc_id, paragraph_index, context)) AS first_context, array_to_string(list(context ORDER BY doc_id, paragraph_index, context)[1:5], '|') AS contexts FROM ({MEN}) m GROUP BY 1, 2 HAVING count(*) >= 2")
 def index(m):
-    return T.entity_index(T.mentions(m), 2)
+    return T.entity_index(T.mentions(m), 2).withColumn("contexts", F.array_join("contexts", "|"))
+
+
+@query("nag2_top_entities", "mention", sql=f"SELECT name, label, count(*)::BIGINT AS n FROM ({MEN}) m GROUP BY 1, 2 ORDER BY n DESC, name, label LIMIT 20")
+def top_entities(m):
+    return T.top_entities(T.mentions(m))
+
+
+@query("nag2_extracts", "mention", sql=f"SELECT name, context, doc_id, paragraph_index FROM ({MEN}) m WHERE label = 'GPE'")
+def extracts(m):
+    return T.extracts(T.mentions(m), "GPE")
 
 
 @query("nag2_type_totals", "mention", sql=f"SELECT label, count(*)::BIGINT AS n, count(DISTINCT name)::BIGINT AS names FROM ({MEN}) m GROUP BY label")

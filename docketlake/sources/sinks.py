@@ -16,10 +16,11 @@ def write_sorted(df: DataFrame, path: str, *order, fmt: str = "parquet") -> None
 
 
 def calendar_events(deadlines: DataFrame, alarm_days: int = 2) -> DataFrame:
-    """(request_id, value): one iCalendar event per deadline (request_id, step, name, due, rule)."""
+    """(request_id, value): one iCalendar event per deadline (request_id, step, name, due, rule). A deadline
+    without a date keeps its row, with a null value: no event can stand for it."""
     safe = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"([,;\\])", r"\\$1")
     value = F.concat_ws("\r\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), F.col("request_id").cast("string"), F.lit("-"), F.col("step").cast("string")), F.concat(F.lit("DTSTART;VALUE=DATE:"), F.date_format("due", "yyyyMMdd")), F.concat(F.lit("DTEND;VALUE=DATE:"), F.date_format(F.date_add("due", 1), "yyyyMMdd")), F.concat(F.lit("SUMMARY:"), safe(F.col("name"))), F.concat(F.lit("DESCRIPTION:"), safe(F.col("rule"))), F.lit("BEGIN:VALARM"), F.lit(f"TRIGGER:-P{alarm_days}D"), F.lit("ACTION:DISPLAY"), F.concat(F.lit("DESCRIPTION:"), safe(F.col("name"))), F.lit("END:VALARM"), F.lit("END:VEVENT"))
-    return deadlines.filter("due is not null").select("request_id", value.alias("value"))
+    return deadlines.select("request_id", F.when(F.col("due").isNotNull(), value).alias("value"))
 
 
 def write_calendars(deadlines: DataFrame, path: str) -> None:

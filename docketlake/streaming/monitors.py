@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketlake.functions.core import ten_thousandths
+
 
 def daily_volume(stream: DataFrame, ts: str = "datetime", late: str = "1 day") -> DataFrame:
     """Messages per day; closed days are final."""
@@ -13,8 +15,8 @@ def daily_volume(stream: DataFrame, ts: str = "datetime", late: str = "1 day") -
 
 def long_days(stream: DataFrame, most: float = 10.0, late: str = "2 days") -> DataFrame:
     """Timekeepers whose hours of a day exceed ``most``, once the day is closed."""
-    hours = stream.withWatermark("date", late).groupBy(F.window("date", "1 day"), "timekeeper").agg(F.sum(F.floor(F.col("hours") * 10 + 0.5)).alias("tenths"))
-    return hours.filter(F.col("tenths") > most * 10).select(F.to_date("window.start").alias("day"), "timekeeper", "tenths")
+    hours = stream.withWatermark("date", late).groupBy(F.window("date", "1 day"), "timekeeper").agg(F.sum(ten_thousandths(F.col("hours"))).alias("hours_e4"))
+    return hours.filter(F.col("hours_e4") > most * 10_000).select(F.to_date("window.start").alias("day"), "timekeeper", "hours_e4")
 
 
 def silences(stream: DataFrame, gap: str = "3 days", late: str = "1 day") -> DataFrame:

@@ -86,7 +86,7 @@ def test_holidays_by_rule():
 
 def test_deadline_rolls_and_service(spark):
     req = spark.createDataFrame([(1, dt.date(2024, 6, 13), "federal", "complaint_served", "mail"), (2, dt.date(2024, 6, 13), "CA", "motion_filed", "personal")], "request_id long, trigger_date date, jurisdiction string, event_type string, service_method string")
-    got = {(r.request_id, r.step): r.due for r in C.deadlines(req, C.business_calendar(spark), C.chains(spark), C.service_days(spark)).collect()}
+    got = {(r.request_id, r.step): r.due for r in C.deadlines(req, C.calendar_of(req, 'trigger_date'), C.chains(spark), C.service_days(spark)).collect()}
     assert got[1, 0] == dt.date(2024, 7, 8)  # 4 July is a holiday: 5 July, and 3 days of mail to a Monday
     assert got[2, 0] == dt.date(2024, 6, 27)  # nine court days, Juneteenth left out
     assert got[2, 1] == dt.date(2024, 7, 5)
