@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of texts that a Python function gets, and rows that it hands on, at once.
+TEXTS, SLICE = 1000, 500
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` (for mapInPandas) with its frames handed on in slices of ``SLICE`` rows, and its memory given back when
+    a partition is done: Python workers wait for their next task with what they held at most, beside stages
+    that need it."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            for frame in run(batches):
+                for at in range(0, len(frame), SLICE):
+                    yield frame.iloc[at : at + SLICE]
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow
+
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except OSError:  # another C library keeps its own ways
+                pass
+
+    return wrapped
+
+
 def own_name(df: DataFrame, name: str) -> str:
     """``name``, or one like it that no column of ``df`` has, whatever the case."""
     taken = {c.lower() for c in df.columns}
@@ -82,10 +113,18 @@ class Scratch:
         self._paths: dict[int, tuple[DataFrame, str]] = {}
         atexit.register(self._quiet_remove, self.root)
 
-    def put(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write and reread ``df``."""
+    def put(self, df: DataFrame, name: str = "t", batch: int | None = None) -> DataFrame:
+        """Write and reread ``df``. ``batch``: rows that its Python functions get at once while it is written, for
+        rows of texts; beside it, Spark's bound of 64 MB for an Arrow batch holds."""
         path = f"{self.root}/{name}-{len(self._paths)}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        conf, key = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(key)
+        if batch:
+            conf.set(key, str(min(batch, int(before)) if int(before) > 0 else batch))
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(key, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = (out, path)
         return out

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import table
+from docketlake.llm.common import lean, table
 from docketlake.llm.token_rollup import encoding, read_vocabulary
 
 VOCABULARIES = "/opt/tokenizers"
@@ -173,7 +173,7 @@ def quality_rules(docs: DataFrame, folder: str = VOCABULARIES, bands: dict | Non
 
     schema = SCHEMA.replace("_row struct<doc_id: bigint>", f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    return docs.select("doc_id", "text", lang.alias("lang")).mapInPandas(run, schema)
+    return docs.select("doc_id", "text", lang.alias("lang")).mapInPandas(lean(run), schema)
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import Scratch, table
+from docketlake.llm.common import TEXTS, Scratch, lean, table
 
 #: A subtree is part of a host's template if it stands with so many different articles of the host and with
 #: this share of them.
@@ -282,10 +282,10 @@ def template_shares(pages: DataFrame, scratch: Scratch) -> DataFrame:
             if found:
                 yield pd.DataFrame(np.array(list(found), np.int64), columns=["host", "key", "what"])
 
-    seen = pages.select("html", "url").mapInPandas(run, "host bigint, key bigint, what bigint")
+    seen = pages.select("html", "url").mapInPandas(lean(run), "host bigint, key bigint, what bigint")
     # two steps of partial sums: a hot host's menu is never one task's
     counts = seen.distinct().groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
-    many = scratch.put(counts.filter(F.col("n") >= MIN_PAGES), "counts")  # else pages are parsed for both of its uses
+    many = scratch.put(counts.filter(F.col("n") >= MIN_PAGES), "counts", TEXTS)  # else pages are parsed for both of its uses
     sizes = many.filter(F.col("key") == 0).select("host", F.col("n").alias("articles"))
     share = (F.col("n") / F.col("articles")).alias("share")
     return many.filter(F.col("key") != 0).join(sizes, "host").select("key", share).filter(F.col("share") >= MIN_SHARE)
@@ -321,7 +321,7 @@ def extract(pages: DataFrame, scratch: Scratch, limit: int = BROADCAST_HASHES) -
             for b in batches:
                 yield rows(b, lambda i: lambda key: held.get(key, 0))
 
-        return pages.mapInPandas(run, schema)
+        return pages.mapInPandas(lean(run), schema)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -332,7 +332,7 @@ def extract(pages: DataFrame, scratch: Scratch, limit: int = BROADCAST_HASHES) -
             yield pd.DataFrame({"page": b["_page"], "keys": found})
 
     named = pages.withColumn("_page", F.concat_ws(" ", F.xxhash64("page_id", "url", "html").cast("string"), F.crc32("html").cast("string")))
-    each = named.select("_page", "html", "url").mapInPandas(find, "page string, keys array<bigint>").select("page", F.explode_outer("keys").alias("key"))
+    each = named.select("_page", "html", "url").mapInPandas(lean(find), "page string, keys array<bigint>").select("page", F.explode_outer("keys").alias("key"))
     mine = each.join(keys, "key").groupBy("page").agg(F.map_from_entries(F.collect_set(F.struct("key", "share"))).alias("_shares"))
 
     def run_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -340,7 +340,7 @@ def extract(pages: DataFrame, scratch: Scratch, limit: int = BROADCAST_HASHES) -
             held = [dict(s) if s is not None else {} for s in b["_shares"]]
             yield rows(b, lambda i, held=held: lambda key: held[i].get(key, 0))
 
-    return named.join(mine, named["_page"] == mine["page"], "left").select("page_id", "url", "html", "_shares").mapInPandas(run_joined, schema)
+    return named.join(mine, named["_page"] == mine["page"], "left").select("page_id", "url", "html", "_shares").mapInPandas(lean(run_joined), schema)
 
 
 def op1_main_text(spark, sf_dir: str) -> DataFrame:

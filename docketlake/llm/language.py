@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import table
+from docketlake.llm.common import lean, table
 
 #: n-grams of one to so many letters, words padded by one space on each side.
 MAX_N = 3
@@ -77,7 +77,7 @@ def fit_profiles(docs: DataFrame, top: int = PROFILE) -> DataFrame:
         for lang, [(codes, n)] in held.items():
             yield pd.DataFrame({"lang": lang, "code": codes, "n": n})
 
-    counts = docs.select("lang", "text").dropna().mapInPandas(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = docs.select("lang", "text").dropna().mapInPandas(lean(count), "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "code")
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("lang", "code", "rank")
 
@@ -119,7 +119,7 @@ def identify(docs: DataFrame, profiles: pd.DataFrame, top: int = DOC_PROFILE) ->
 
     rest = [f for f in docs.schema if f.name not in ("text", "lang_pred", "score")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    return docs.select(*[f"`{f.name}`" for f in rest], "text").mapInPandas(run, f"{schema}, lang_pred string, score double")
+    return docs.select(*[f"`{f.name}`" for f in rest], "text").mapInPandas(lean(run), f"{schema}, lang_pred string, score double")
 
 
 def op5_language(spark, sf_dir: str) -> DataFrame:

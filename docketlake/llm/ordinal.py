@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import sized_broadcast, table
+from docketlake.llm.common import lean, sized_broadcast, table
 
 #: Hash space of the shared weights.
 DIM = 1 << 18
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, rated: DataFrame, grades: int = 3, max_rows: int = MAX_
         used = np.flatnonzero(df.sum(axis=0))
         yield pd.DataFrame({"f": np.append(used, DIM), "low": np.append(df[0, used], n[0]), "top": np.append(df[1, used], n[1])})
 
-    counts = graded.select("text", "grade").mapInPandas(count, "f bigint, low bigint, top bigint").groupBy("f").agg(F.sum("low").alias("low"), F.sum("top").alias("top")).toPandas()
+    counts = graded.select("text", "grade").mapInPandas(lean(count), "f bigint, low bigint, top bigint").groupBy("f").agg(F.sum("low").alias("low"), F.sum("top").alias("top")).toPandas()
     n = counts[counts["f"] == DIM]
     n_low, n_top = (int(n["low"].iloc[0]), int(n["top"].iloc[0])) if len(n) else (0, 0)
     if not n_low or not n_top:
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, rated: DataFrame, grades: int = 3, max_rows: int = MAX_
 
     place = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 40))
     picked = rated.orderBy(place, "doc_id").limit(max_rows)
-    rows = docs.join(F.broadcast(picked), "doc_id").filter(F.col("text").isNotNull()).select("doc_id", "text", "grade").mapInPandas(encode, "id string, grade int, f binary, v binary").toPandas()
+    rows = docs.join(F.broadcast(picked), "doc_id").filter(F.col("text").isNotNull()).select("doc_id", "text", "grade").mapInPandas(lean(encode), "id string, grade int, f binary, v binary").toPandas()
     rows = rows.sort_values(["id", "grade", "f", "v"], ignore_index=True)  # sums in one order: reruns agree
     if rows["grade"].nunique() < 2:
         return None
@@ -201,7 +201,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -
 
     rest = docs.drop(*[c for c in added if c in docs.columns])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    return rest.mapInPandas(run, f"{schema}, expected_grade double, p_top double, kept boolean")
+    return rest.mapInPandas(lean(run), f"{schema}, expected_grade double, p_top double, kept boolean")
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:

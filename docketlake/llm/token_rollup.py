@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import Scratch, table
+from docketlake.llm.common import TEXTS, Scratch, lean, table
 
 VOCABULARIES = "/opt/tokenizers"
 #: Tokenizer versions: name -> (file, kind).
@@ -67,7 +67,7 @@ def count_tokens(docs: DataFrame, tokenizers: dict | None = None, folder: str =
                 n = [sum(len(enc.encode_ordinary(x)) for x in _pieces(t)) for t in texts]
                 yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "lang": b["lang"], "tokenizer": name, "n_tokens": n, "n_chars": [len(t) for t in texts]})
 
-    return docs.select("doc_id", "source", "lang", "text").mapInPandas(run, "doc_id bigint, source string, lang string, tokenizer string, n_tokens bigint, n_chars bigint")
+    return docs.select("doc_id", "source", "lang", "text").mapInPandas(lean(run), "doc_id bigint, source string, lang string, tokenizer string, n_tokens bigint, n_chars bigint")
 
 
 def inserts(counts: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def op7_token_counts(spark, sf_dir: str) -> DataFrame:
     a character are deleted again; those without a language are revised to ``und``; then the batches are
     folded and two of them are sent once more, which changes nothing."""
     scratch = Scratch(spark, "rollup")
-    counts = scratch.put(count_tokens(table(spark, sf_dir, "documents")), "counts")
+    counts = scratch.put(count_tokens(table(spark, sf_dir, "documents")), "counts", TEXTS)
     rollup = TokenRollup(spark, f"{scratch.root}/totals")
     rollup.commit("load", inserts(counts))
     empty = deletes(counts.filter(F.col("n_chars") == 0))
