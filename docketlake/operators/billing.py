@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketlake.functions.core import cents, exact_median, small, strip, ten_thousandths
@@ -211,3 +211,24 @@ def hours_band(hours: Column, bins: int = 30, most: float = 15.0) -> Column:
     return F.width_bucket(hours, F.lit(0.0), F.lit(most), F.lit(bins)).cast("long")
 
 
+
+
+def audit_summary(df: DataFrame, flags: DataFrame, top: int = 5) -> DataFrame:
+    """(n, line): the audit in words: totals, flags by severity and rule, amounts under HIGH flags, timekeepers by
+    spend. Every figure is an aggregate of a few rows."""
+    from docketlake.sources.sinks import summary
+
+    line = lambda form, *cols: F.format_string(form, *cols)
+    dollars = lambda c: F.col(c) / F.lit(100.0)
+    totals = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(cents(F.col("amount"))), F.lit(0)).alias("c"))
+    by_sev = flags.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+    by_rule = flags.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).withColumn("place", F.row_number().over(Window.orderBy(F.col("n").desc(), "rule")))
+    who = spend_by(df, "timekeeper", top).withColumn("place", F.row_number().over(Window.orderBy(F.col("total_cents").desc(), "timekeeper")))
+    saved = savings(df, flags).select(F.coalesce("savings_cents", F.lit(0)).alias("c"))
+    return summary([
+        ("BILLING AUDIT SUMMARY", totals.select(F.lit(0).alias("place"), line("Total entries reviewed: %,d", F.col("n")).alias("line")).unionByName(totals.select(F.lit(1).alias("place"), line("Total spend analyzed: $%,.2f", dollars("c")).alias("line")))),
+        ("FLAGS BY SEVERITY:", by_sev.select(severity_rank(F.col("severity")).alias("place"), line("  %s: %,d", F.col("severity"), F.col("n")).alias("line"))),
+        ("SAVINGS:", saved.select(F.lit(0).alias("place"), line("Estimated savings (HIGH flags): $%,.2f", dollars("c")).alias("line"))),
+        ("FLAGS BY RULE:", by_rule.select("place", line("  %s: %,d", F.col("rule"), F.col("n")).alias("line"))),
+        ("TOP TIMEKEEPERS BY SPEND:", who.select("place", line("  %s: $%,.2f (%,.2fh)", F.col("timekeeper"), dollars("total_cents"), F.col("hours_e4") / F.lit(10000.0)).alias("line"))),
+    ])

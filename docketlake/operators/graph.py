@@ -218,9 +218,10 @@ def shortest_path_centrality(edges: DataFrame, weighted: bool = True, share: flo
     return got.groupBy("node").agg((F.sum("b") * scale).alias("betweenness"), F.max("c").alias("closeness"))
 
 
-def louvain(rows: list[tuple], rounds: int = 20) -> dict:
+def louvain(rows: list[tuple], rounds: int = 20, activity: dict | None = None) -> dict:
     """Communities by local moves and contraction, nodes in name order, so the same edges give the same
-    communities."""
+    communities. A community is named by its member with most ``activity`` (by default the weights of its edges);
+    of equals by the first."""
     member = {n: n for a, b, _ in rows for n in (a, b)}
     graph: dict = defaultdict(lambda: defaultdict(float))
     for a, b, w in rows:
@@ -255,20 +256,27 @@ def louvain(rows: list[tuple], rounds: int = 20) -> dict:
             for b, w in x.items():
                 folded[com[a]][com[b]] += w
         graph = folded
+    if activity is None:
+        activity = defaultdict(float)
+        for a, b, w in rows:
+            activity[a] += w
+            activity[b] += w
     names: dict = {}
-    for n in sorted(member):
+    for n in sorted(member, key=lambda n: (-activity.get(n, 0), n)):
         names.setdefault(member[n], n)
     return {n: names[c] for n, c in member.items()}
 
 
 def communities(edges: DataFrame, weighted: bool = True) -> DataFrame:
-    """(node, community): community is named by its first node. One task; the edge list is of checked size."""
+    """(node, community): community is named by its most active node, by the weights of its edges. One task; the
+    edge list is of checked size."""
     if edges.count() > MAX_LOCAL_EDGES:
         raise ValueError(f"communities take up to {MAX_LOCAL_EDGES} edges; use components() first")
-    one = edges.select("src", "dst", (F.col("weight") if weighted else F.lit(1)).cast("double").alias("weight"))
+    one = edges.select("src", "dst", (F.col("weight") if weighted else F.lit(1)).cast("double").alias("weight"), F.col("weight").cast("double").alias("_active"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = louvain(list(pdf[["src", "dst", "weight"]].itertuples(index=False, name=None)))
+        active = pd.concat([pdf.groupby("src")["_active"].sum(), pdf.groupby("dst")["_active"].sum()]).groupby(level=0).sum()
+        found = louvain(list(pdf[["src", "dst", "weight"]].itertuples(index=False, name=None)), activity=active.to_dict())
         return pd.DataFrame({"node": list(found), "community": list(found.values())})
 
     return one.withColumn("_all", F.lit(True)).groupBy("_all").applyInPandas(run, "node string, community string")

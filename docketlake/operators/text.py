@@ -680,21 +680,22 @@ def cooccurrence(m: DataFrame) -> DataFrame:
 
 
 def canonical_names(m: DataFrame, least: int = 3) -> DataFrame:
-    """(label, name, canonical): longest first, a shorter name held by a canonical one joins it. Names are
-    made distinct first; labels are the groups."""
-    names = m.groupBy("label", "name").agg(F.count(F.lit(1)).alias("n"))
+    """(label, name, canonical): longest first, a shorter name held by a canonical one joins it.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[str] = []
-        out = []
-        for name in sorted(pdf["name"], key=lambda x: (-len(x), x)):
-            home = next((c for c in kept if len(name) >= least and name.lower() in c.lower()), None)
-            if home is None:
-                kept.append(name)
-            out.append((pdf["label"].iloc[0], name, home or name))
-        return pd.DataFrame(out, columns=["label", "name", "canonical"])
-
-    return names.groupBy("label").applyInPandas(one, "label string, name string, canonical string")
+    What is held by a name that is itself held, is held by the outer one too, so the canonical name is the
+    first, longest first, of all names that hold it. Names are made distinct; a name is compared with those
+    that have its rarest run of three letters, so no label is one task's.
+    """
+    names = m.select("label", "name").distinct().withColumn("low", F.lower("name"))
+    runs = F.when(F.length("low") >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("low") - 2), lambda i: F.substring(F.col("low"), i, F.lit(3)))))
+    grams = names.withColumn("gram", F.explode(runs))
+    often = grams.groupBy("label", "gram").agg(F.count(F.lit(1)).alias("k"))
+    rare = grams.filter(F.length("name") >= least).join(often, ["label", "gram"]).groupBy("label", "name").agg(F.min(F.struct("k", "gram")).alias("r"), F.first("low").alias("low")).select("label", "name", "low", F.col("r.gram").alias("gram"))
+    outer = grams.select("label", "gram", F.col("name").alias("other"), F.col("low").alias("other_low"))
+    longer = (F.length("other") > F.length("name")) | ((F.length("other") == F.length("name")) & (F.col("other") < F.col("name")))
+    held = rare.join(outer, ["label", "gram"]).filter(longer & F.col("other_low").contains(F.col("low")))
+    home = held.groupBy("label", "name").agg(F.min(F.struct((-F.length("other")).alias("n"), F.col("other").alias("o"))).alias("h"))
+    return names.select("label", "name").join(home, ["label", "name"], "left").select("label", "name", F.coalesce("h.o", "name").alias("canonical"))
 
 
 RULES = {"MONEY": r"\$\s?\d[\d,]*(?:\.\d+)?", "DATE": rf"\b(?:{MONTHS})\s+\d{{1,2}},?\s+\d{{4}}\b|\b\d{{1,2}}/\d{{1,2}}/\d{{4}}\b", "ORG": r"\b(?:[A-Z][\w&]+\s+)+(?:Inc|LLC|LLP|Corp|Ltd|Company)\b\.?", "PERSON": r"\b(?:Mr|Mrs|Ms|Dr|Judge)\.?\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?"}

@@ -139,3 +139,27 @@ _EXP = "CASE rule WHEN 'excessive_hours_single' THEN printf('%.2f', hours) || '
 @query("prj2_explanations", "billing", sql=f"SELECT entry_id AS row_id, rule, {_EXP} AS explanation FROM :billing JOIN ({ALL}) f ON entry_id = f.row_id")
 def explanations(b):
     return B.explained(*_flags(b)).select("row_id", "rule", "explanation")
+
+
+_SUM = f"""WITH b AS (SELECT *, coalesce(amount, hours * rate) AS amt FROM :billing), f AS ({ALL}), u AS (
+SELECT 0 AS part, 0 AS place, 'BILLING AUDIT SUMMARY' AS line UNION ALL SELECT 0, 1, format('Total entries reviewed: {{:,}}', count(*)) FROM b UNION ALL SELECT 0, 2, format('Total spend analyzed: ${{:,.2f}}', sum(CAST(floor(amt * 100 + 0.5e0) AS BIGINT)) / 100e0) FROM b
+UNION ALL SELECT 1, 0, 'FLAGS BY SEVERITY:' UNION ALL SELECT 1, 1 + CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END, format('  {{}}: {{:,}}', severity, count(*)) FROM f GROUP BY severity
+UNION ALL SELECT 2, 0, 'SAVINGS:' UNION ALL SELECT 2, 1, format('Estimated savings (HIGH flags): ${{:,.2f}}', sum(CAST(floor(amt * 100 + 0.5e0) AS BIGINT)) / 100e0) FROM b JOIN f ON entry_id = row_id WHERE severity = 'HIGH'
+UNION ALL SELECT 3, 0, 'FLAGS BY RULE:' UNION ALL SELECT 3, row_number() OVER (ORDER BY count(*) DESC, rule), format('  {{}}: {{:,}}', rule, count(*)) FROM f GROUP BY rule
+UNION ALL SELECT 4, 0, 'TOP TIMEKEEPERS BY SPEND:' UNION ALL SELECT 4, k, line FROM (SELECT row_number() OVER (ORDER BY c DESC, timekeeper) AS k, format('  {{}}: ${{:,.2f}} ({{:,.2f}}h)', timekeeper, c / 100e0, h / 10000e0) AS line FROM (SELECT timekeeper, sum(CAST(floor(amt * 100 + 0.5e0) AS BIGINT)) AS c, sum(CAST(floor(hours * 10000 + 0.5e0) AS BIGINT)) AS h FROM b GROUP BY 1) x) y WHERE k <= 5)
+SELECT row_number() OVER (ORDER BY part, place)::BIGINT AS n, line FROM u"""
+
+
+@query("snk3_audit_summary", "billing", sql=_SUM)
+def audit_summary(b):
+    """Written as text and read back."""
+    import uuid
+
+    from docketlake.functions.scratch import shared_folder
+    from docketlake.sources import sinks
+
+    rows, flags = _flags(B.with_amount(b))
+    path = f"{shared_folder(b.sparkSession)}/files-summary-{uuid.uuid4().hex}"
+    sinks.write_text(B.audit_summary(rows, flags), path)
+    lines = b.sparkSession.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("n", "line"))
+    return lines.select((F.col("n") + 1).cast("long").alias("n"), "line")

@@ -52,7 +52,7 @@ def service(t):
 
 _STEPS = ", ".join("({}, {}, {}, '{}', {}, {}, {})".format(i, k, n, s[0].replace("'", "''"), s[1], s[2], s[3]) for i, j in enumerate(PLACES) for k, e in enumerate(C.FEDERAL_CHAINS) for n, s in enumerate(C.STATE_CHAINS.get((j, e), C.FEDERAL_CHAINS[e])))
 _EXTRA = ", ".join(f"({i}, {j}, {C.SERVICE_DAYS[_rules(jur)][m]})" for i, jur in enumerate(PLACES) for j, m in enumerate(["mail", "electronic", "personal"]))
-_RANK = f"s AS (SELECT * FROM (VALUES {_STEPS}) v(j, e, step, name, days, biz, prev)), x AS (SELECT * FROM (VALUES {_EXTRA}) w(j, m, extra)), q AS (SELECT txn_id, CAST(date AS DATE) AS d FROM :txn)"
+RANK = f"s AS (SELECT * FROM (VALUES {_STEPS}) v(j, e, step, name, days, biz, prev)), x AS (SELECT * FROM (VALUES {_EXTRA}) w(j, m, extra)), q AS (SELECT txn_id, CAST(date AS DATE) AS d FROM :txn)"
 
 
 def _step(k: int) -> str:
@@ -63,7 +63,11 @@ def _step(k: int) -> str:
  LEFT JOIN c c0 ON c0.day = f LEFT JOIN c c1 ON c1.day = f + days LEFT JOIN c c2 ON c2.bd AND c2.seq = c0.seq + days) y LEFT JOIN c c3 ON c3.day = late)"""
 
 
-@query("dln6_deadlines", "txn", sql=f"WITH {CAL}, {_RANK}, {', '.join(_step(k) for k in range(5))} " + " UNION ALL ".join(f"SELECT request_id, step, name, due FROM d{k}" for k in range(5)))
+STEPS = ", ".join(_step(k) for k in range(5))
+DUE = " UNION ALL ".join(f"SELECT request_id, step, name, due FROM d{k}" for k in range(5))
+
+
+@query("dln6_deadlines", "txn", sql=f"WITH {CAL}, {RANK}, {STEPS} {DUE}")
 def deadlines(t):
     s = SparkSession.active()
     return C.deadlines(_requests(t), C.calendar_of(t, "date"), C.chains(s), C.service_days(s)).select("request_id", "step", "name", "due")

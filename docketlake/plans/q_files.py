@@ -10,7 +10,7 @@ from docketlake.operators import calendar as C
 from docketlake.sources import sinks as S
 from docketlake.sources import tables as T
 from docketlake.plans.catalog import query
-from docketlake.plans.q_calendar import _requests
+from docketlake.plans.q_calendar import CAL, DUE, PLACES, RANK, STEPS, _requests
 
 CENTS = "CAST(floor({} * 100 + 0.5e0) AS BIGINT)"
 
@@ -107,7 +107,14 @@ def _json_intake(i):
 query("src12_json_intake", "intake", sql="SELECT 'client_id: ' || client_id || chr(10) || 'name: ' || name AS text FROM :intake")(_json_intake)
 
 
-@query("snk6_calendar_events", "txn")
+_SAFE = r"regexp_replace({}, '([,;\\\\])', '\\\\\\1', 'g')".replace("\\\\", "\\")
+_RULES = ", ".join("({}, {}, {}, '{}')".format(i, k, n, x[4].replace("'", "''")) for i, j in enumerate(PLACES) for k, e in enumerate(C.FEDERAL_CHAINS) for n, x in enumerate(C.STATE_CHAINS.get((j, e), C.FEDERAL_CHAINS[e])))
+_EVENTS = f"""WITH {CAL}, {RANK}, {STEPS}, dl AS ({DUE}), ru AS (SELECT * FROM (VALUES {_RULES}) rr(j, e, step, rule))
+SELECT request_id, array_to_string(['BEGIN:VEVENT', 'UID:' || request_id || '-' || dl.step, 'DTSTART;VALUE=DATE:' || strftime(due, '%Y%m%d'), 'DTEND;VALUE=DATE:' || strftime(due + 1, '%Y%m%d'), 'SUMMARY:' || {_SAFE.format('name')}, 'DESCRIPTION:' || {_SAFE.format('rule')}, 'BEGIN:VALARM', 'TRIGGER:-P2D', 'ACTION:DISPLAY', 'DESCRIPTION:' || {_SAFE.format('name')}, 'END:VALARM', 'END:VEVENT'], chr(13) || chr(10)) AS value
+FROM dl JOIN ru ON ru.j = request_id % 7 AND ru.e = request_id % 5 AND ru.step = dl.step"""
+
+
+@query("snk6_calendar_events", "txn", sql=_EVENTS)
 def calendar(t):
     s = t.sparkSession
     return S.calendar_events(C.deadlines(_requests(t), C.calendar_of(t, "date"), C.chains(s), C.service_days(s)))
@@ -118,6 +125,15 @@ def chunk_ids(b):
     return S.global_chunk_ids(b, "doc_id", "pos").select("pos", F.col("global_id").cast("long").alias("global_id"))
 
 
+@query("snk7_chunk_files", "block", sql="SELECT doc_id, count(*)::BIGINT AS chunks, sum(length(text) // 4)::BIGINT AS tokens, min(g)::BIGINT AS first_id, max(g)::BIGINT AS last_id FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id, pos) AS g FROM :block) q GROUP BY 1")
+def chunk_files(b):
+    """Chunks and their metadata are written as files; the metadata are read back."""
+    path = _folder(b, "chunks")
+    chunks = b.select("doc_id", F.col("pos").alias("chunk"), "text")
+    S.write_chunks(chunks, path)
+    return b.sparkSession.read.schema("doc_id long, chunks long, tokens long, first_id long, last_id long").json(f"{path}/metadata")
+
+
 @query("set1_union_sources", "billing", "txn", sql="SELECT kind, count(*)::BIGINT AS n FROM (SELECT 'billing' AS kind FROM :billing UNION ALL SELECT 'txn' FROM :txn) q GROUP BY 1")
 def union(b, t):
     return T.union_all([b.select(F.lit("billing").alias("kind"), "entry_id"), t.select(F.lit("txn").alias("kind"), "account")]).groupBy("kind").agg(F.count("*").alias("n"))

@@ -44,9 +44,12 @@ def codes(s):
     return s.select("rec_id", "id", R.timecode(F.col("start_s")).alias("at"))
 
 
-@query("src25_transcript_lines", "segment", sql="SELECT rec_id, id + 1 AS id, '00:00:10' AS at, 'Q' AS speaker, 'word one and more' AS text FROM :segment")
+@query("src25_transcript_lines", "segment", sql="SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY id)::BIGINT AS id, printf('%02d:%02d:%02d', CAST(start_s AS BIGINT) // 3600, CAST(start_s AS BIGINT) % 3600 // 60, CAST(start_s AS BIGINT) % 60) AS at, CASE WHEN id % 2 = 0 THEN 'Q' END AS speaker, 'word ' || id || ' and more ' || rec_id AS text FROM :segment")
 def lines(s):
-    two = s.select("rec_id", (F.col("id") * 2).alias("line"), F.lit("[00:00:10] Q: word one").alias("text")).unionByName(s.select("rec_id", (F.col("id") * 2 + 1).alias("line"), F.lit("and more").alias("text")))
+    """Transcript text made of the segments: every second line names a speaker, all go on in a line of their own."""
+    who = F.when(F.col("id") % 2 == 0, "Q: ").otherwise("")
+    head = F.concat(F.lit("["), R.timecode(F.col("start_s")), F.lit("] "), who, F.lit("word "), F.col("id").cast("string"))
+    two = s.select("rec_id", (F.col("id") * 2).alias("line"), head.alias("text")).unionByName(s.select("rec_id", (F.col("id") * 2 + 1).alias("line"), F.concat(F.lit("and more "), F.col("rec_id").cast("string")).alias("text")))
     return R.transcript_lines(two).withColumn("id", F.col("id").cast("long"))
 
 

@@ -122,9 +122,11 @@ def ssn(i):
     return i.select("client_id", F.regexp_count("text", F.lit(T.SSN)).cast("long").alias("n"))
 
 
-@query("int4_name_variations", "intake", sql="SELECT client_id, 'John Q ' || name || '|' || name || '|John ' || name || '|J. ' || name || '|' || name || ', John|John Q. ' || name AS names FROM :intake")
+@query("int4_name_variations", "intake", sql="SELECT client_id, CASE client_id % 3 WHEN 0 THEN 'John Q ' || name || '|' || name || '|John ' || name || '|J. ' || name || '|' || name || ', John|John Q. ' || name WHEN 1 THEN name || ' Roe|Roe|' || substr(name, 1, 1) || '. Roe|Roe, ' || name ELSE name END AS names FROM :intake")
 def names(i):
-    return i.select("client_id", F.array_join(T.name_variations(F.concat(F.lit("John Q "), "name")), "|").alias("names"))
+    """Names of three, two and one parts."""
+    full = F.when(F.col("client_id") % 3 == 0, F.concat(F.lit("John Q "), "name")).when(F.col("client_id") % 3 == 1, F.concat("name", F.lit(" Roe"))).otherwise(F.col("name"))
+    return i.select("client_id", F.array_join(T.name_variations(full), "|").alias("names"))
 
 
 _R = " ".join("WHEN " + " OR ".join(f"contains(s, '{w}')" for w in ws) + f" THEN '{r}'" for r, ws in T.ROLES.items())
@@ -384,20 +386,24 @@ def entity_communities(m):
     return G.communities(T.cooccurrence(T.mentions(m)), weighted=False)
 
 
-@query("ent4_canonical", "mention")
+@query("ent4_canonical", "mention", sql=f"WITH n AS (SELECT DISTINCT label, name FROM ({MEN}) m), h AS (SELECT a.label, a.name, first(b.name ORDER BY length(b.name) DESC, b.name) AS home FROM n a JOIN n b ON a.label = b.label AND length(a.name) >= 3 AND contains(lower(b.name), lower(a.name)) AND (length(b.name) > length(a.name) OR (length(b.name) = length(a.name) AND b.name < a.name)) GROUP BY 1, 2) SELECT n.label, n.name, coalesce(home, n.name) AS canonical FROM n LEFT JOIN h ON n.label = h.label AND n.name = h.name")
 def canonical(m):
     return T.canonical_names(T.mentions(m))
 
 
-@query("ent1_rule_entities", "filing")
+_ENT_TEXT = "'Acme Trading ' || (accession % 7) || ' and Acme Trading LLC paid $' || (accession % 900) || ',000.50 to Dr. Jane Roe on 3/' || (1 + accession % 28) || '/2021. ' || text"
+
+
+@query("ent1_rule_entities", "filing", sql=f"WITH t AS (SELECT accession AS doc_id, accession FROM :filing) SELECT doc_id, raw_name, label FROM (SELECT doc_id, 'Acme Trading LLC' AS raw_name, 'ORG' AS label FROM t UNION ALL SELECT doc_id, '$' || (accession % 900) || ',000.50', 'MONEY' FROM t UNION ALL SELECT doc_id, 'Dr. Jane Roe', 'PERSON' FROM t UNION ALL SELECT doc_id, '3/' || (1 + accession % 28) || '/2021', 'DATE' FROM t) q")
 def rule_entities(f):
-    paras_ = f.select(F.col("accession").alias("doc_id"), F.lit(0).cast("long").alias("paragraph_index"), F.concat(F.lit("Acme Trading LLC paid $1,200.50 to Dr. Jane Roe. "), "text").alias("text"))
-    return T.extract_entities(paras_)
+    paras_ = f.select(F.col("accession").alias("doc_id"), F.lit(0).cast("long").alias("paragraph_index"), F.expr(_ENT_TEXT).alias("text"))
+    return T.extract_entities(paras_).select("doc_id", "raw_name", "label")
 
 
-@query("off1_officers", "filing", sql="SELECT accession, 'John Q. Smith:Chief Executive Officer|Mary Jones:Treasurer' AS officers FROM :filing")
+@query("off1_officers", "filing", sql="SELECT accession, CASE accession % 3 WHEN 0 THEN 'John Q. Smith:Chief Executive Officer|Mary Jones:Treasurer' WHEN 1 THEN 'Ann Lee:CFO' ELSE '' END AS officers FROM :filing")
 def officers(f):
-    return f.select("accession", F.array_join(F.transform(T.officers(F.col("text")), lambda o: F.concat(o["name"], F.lit(":"), o["title"])), "|").alias("officers"))
+    text = F.when(F.col("accession") % 3 == 0, F.col("text")).when(F.col("accession") % 3 == 1, "Ann Lee, CFO, Ann Lee, CFO again").otherwise("no officer here, CFO")
+    return f.select("accession", F.array_join(F.transform(T.officers(text), lambda o: F.concat(o["name"], F.lit(":"), o["title"])), "|").alias("officers"))
 
 
 _MOM = " UNION ALL ".join("SELECT rec_id, id, '{k}' AS type, CASE {w} END AS matched_text FROM :segment".format(k=k, w=" ".join("WHEN regexp_matches(text, '(?i){p}') THEN regexp_extract(text, '(?i){p}')".format(p=p.replace("'", "''")) for p in ps)) for k, ps in T.KEY_MOMENTS.items())

@@ -150,10 +150,96 @@ def read_with(spark: SparkSession, path: str, pattern: str, extractors: list[Cal
     return parsed(binary(spark, path, pattern), parse, "file string, text string")
 
 
-def read_images(spark: SparkSession, path: str, read: Callable[[bytes], dict] | None = None) -> DataFrame:
-    """(path, size, modified, md5, sha256, exif): hashes by Spark; ``read`` gives tags where it is supplied."""
+def parse_attachments(name: str, data: bytes) -> list[tuple]:
+    """(source_file, email_idx, filename, type, content) of the attachments of a mail file or mailbox."""
+    import email
+    from email import policy
+
+    mails = re.split(rb"(?m)(?:\A|(?<=\n\n)|(?<=\r\n\r\n))From [^\n]*\n", data) if name.lower().endswith(".mbox") else [data]
+    out = []
+    for i, part in enumerate(x for x in mails if x.strip()):
+        for p in email.message_from_bytes(part, policy=policy.default).iter_attachments():
+            out.append((name, i, re.sub(r"[^\w.\- ]", "_", p.get_filename() or "attachment"), p.get_content_type(), p.get_payload(decode=True) or b""))
+    return out
+
+
+def read_attachments(spark: SparkSession, path: str, pattern: str = "*.{eml,mbox}") -> DataFrame:
+    return parsed(binary(spark, path, pattern), parse_attachments, "source_file string, email_idx bigint, filename string, type string, content binary")
+
+
+# Tags of the EXIF standard that are read, by directory.
+EXIF_TAGS = {
+    "image": {0x010F: "make", 0x0110: "model", 0x0112: "orientation", 0x0131: "software", 0x0132: "date"},
+    "exif": {0x829A: "exposure_time", 0x829D: "f_number", 0x8827: "iso", 0x9003: "date_original"},
+    "gps": {0x0001: "gps_lat_ref", 0x0002: "gps_lat", 0x0003: "gps_lon_ref", 0x0004: "gps_lon", 0x0006: "gps_altitude"},
+}
+
+
+def exif_tags(data: bytes) -> dict[str, str]:
+    """Tags of a JPEG's EXIF block; none if there is no such block or it is broken. Rational numbers are written as
+    decimals, several values with commas."""
+    import struct
+
+    at = 2
+    block = b""
+    while data[:2] == b"\xff\xd8" and at + 4 <= len(data) and data[at] == 0xFF:
+        size = int.from_bytes(data[at + 2 : at + 4], "big")
+        if data[at + 1] == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
+            block = data[at + 10 : at + 2 + size]
+            break
+        at += 2 + size
+    if block[:2] not in (b"II", b"MM"):
+        return {}
+    e = "<" if block[:2] == b"II" else ">"
+    sizes, codes = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}, {1: "B", 3: "H", 4: "I", 9: "i"}
+    out: dict[str, str] = {}
+    todo, seen = [(struct.unpack_from(e + "I", block, 4)[0], "image")] if len(block) >= 8 else [], set()
+    while todo:
+        start, kind = todo.pop()
+        if start in seen or start + 2 > len(block):
+            continue
+        seen.add(start)
+        for i in range(struct.unpack_from(e + "H", block, start)[0]):
+            p = start + 2 + 12 * i
+            if p + 12 > len(block):
+                break
+            tag, form, n = struct.unpack_from(e + "HHI", block, p)
+            if tag in (0x8769, 0x8825):
+                todo.append((struct.unpack_from(e + "I", block, p + 8)[0], "exif" if tag == 0x8769 else "gps"))
+                continue
+            name, length = EXIF_TAGS[kind].get(tag), sizes.get(form, 0) * n
+            place = p + 8 if length <= 4 else struct.unpack_from(e + "I", block, p + 8)[0]
+            if name is None or not length or place + length > len(block):
+                continue
+            if form in (2, 7):
+                value = block[place : place + length].split(b"\0")[0].decode("latin-1").strip()
+            elif form in (5, 10):
+                pairs = [struct.unpack_from(e + ("II" if form == 5 else "ii"), block, place + 8 * k) for k in range(n)]
+                value = ",".join(f"{a / b:.10g}" if b else "0" for a, b in pairs)
+            else:
+                value = ",".join(map(str, struct.unpack_from(f"{e}{n}{codes[form]}", block, place)))
+            out[name] = value
+    return out
+
+
+def read_images(spark: SparkSession, path: str, readers: list[Callable[[bytes], dict]] | None = None) -> DataFrame:
+    """(path, size, modified, md5, sha256, exif): hashes by Spark; tags by the first reader (the library's own unless
+    others are given), gaps filled by the ones after it. A reader that fails on a file gives nothing for it."""
+    use = readers or [exif_tags]
+
+    @F.pandas_udf("map<string,string>")
+    def tags(content: pd.Series) -> pd.Series:
+        def one(b: bytes) -> dict[str, str]:
+            out: dict[str, str] = {}
+            for read in use:
+                try:
+                    found = read(bytes(b)) or {}
+                except Exception:  # a broken image has no tags of this reader
+                    found = {}
+                out = {str(k): str(v) for k, v in found.items() if v is not None} | out
+            return out
+
+        return content.map(one)
+
     df = binary(spark, path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"), "content")
-    if read is None:
-        return df.drop("content").withColumn("exif", F.lit(None).cast("map<string,string>"))
-    tags = F.udf(lambda b: {str(k): str(v) for k, v in (read(bytes(b)) or {}).items()}, "map<string,string>")
     return df.withColumn("exif", tags("content")).drop("content")

@@ -40,5 +40,32 @@ def global_chunk_ids(chunks: DataFrame, file: str = "doc_id", local: str = "chun
     return chunks.withColumn("_k", within).join(per, file).withColumn("global_id", F.col("_base") + F.col("_k")).drop("_base", "_k")
 
 
+def chunk_metadata(chunks: DataFrame) -> DataFrame:
+    """Per document: chunks, tokens (a quarter of the characters) and the first and last global id."""
+    tokens = F.floor(F.length("text") / 4).cast("long")
+    return chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(tokens).alias("tokens"), F.min("global_id").alias("first_id"), F.max("global_id").alias("last_id"))
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    global_chunk_ids(chunks).write.mode("overwrite").partitionBy("doc_id").json(path)
+    """``chunks/doc_id=.../``: the chunks of each document with their global ids; ``metadata/``: a line per document."""
+    numbered = global_chunk_ids(chunks)
+    numbered.write.mode("overwrite").partitionBy("doc_id").json(f"{path}/chunks")
+    stored = chunks.sparkSession.read.schema(numbered.schema).json(f"{path}/chunks")
+    chunk_metadata(stored).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+
+
+def summary(parts: list[tuple[str, DataFrame | None]]) -> DataFrame:
+    """(n, line) of a text summary: each part is a heading and, or no, a frame (place, line) of its lines, which
+    come from small aggregates."""
+    spark = next(df for _, df in parts if df is not None).sparkSession
+    out = spark.createDataFrame([(i, 0, h) for i, (h, _) in enumerate(parts)], "part int, place long, line string")
+    for i, (_, df) in enumerate(parts):
+        if df is not None:
+            out = out.unionByName(df.select(F.lit(i).alias("part"), (F.col("place") + 1).cast("long").alias("place"), "line"))
+    return out.select(F.row_number().over(Window.orderBy("part", "place")).cast("long").alias("n"), "line")
+
+
+def write_text(lines: DataFrame, path: str) -> None:
+    """One text file of (n, line), in order."""
+    one = lines.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("value"))
+    one.write.mode("overwrite").text(path)

@@ -91,10 +91,24 @@ def communications(df: DataFrame) -> DataFrame:
     return x.select(*[F.coalesce(F.nullif(strip(F.col(c)), F.lit("")), F.lit("Unknown")).alias(c) for c in ("sender", "recipient")], any_date(F.col("datetime")).alias("datetime"), F.substring(F.coalesce("content_preview", F.lit("")), 1, 500).alias("content_preview"), F.coalesce("type", F.lit("")).alias("type"), _number("duration").alias("duration"), *[c for c in ("_source_file", "_line") if c in x.columns])
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", recursive: bool = True) -> DataFrame:
-    """CSV files as strings with ``_source_file``; rows that do not fit are dropped."""
-    df = spark.read.option("header", True).option("mode", "DROPMALFORMED").option("encoding", encoding).option("recursiveFileLookup", recursive).option("multiLine", True).option("escape", '"').csv(path)
-    return df.withColumn("_source_file", F.col("_metadata.file_name"))
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None, recursive: bool = True, multi_line: bool = True) -> DataFrame:
+    """CSV files as strings with ``_source_file``; rows that do not fit are dropped. Without ``encoding``, files
+    are read as UTF-8 and those that are not UTF-8 as Latin-1. Files whose quoted fields hold no line breaks are
+    split among tasks with ``multi_line`` off."""
+    def read(enc: str) -> DataFrame:
+        r = spark.read.option("header", True).option("mode", "DROPMALFORMED").option("encoding", enc).option("recursiveFileLookup", recursive).option("multiLine", multi_line).option("escape", '"')
+        return r.csv(path).withColumn("_source_file", F.col("_metadata.file_name")).withColumn("_source_path", F.col("_metadata.file_path"))
+
+    if encoding:
+        return read(encoding).drop("_source_path")
+    # bytes that are no UTF-8 come out as the replacement character
+    lines = spark.read.option("recursiveFileLookup", recursive).text(path)
+    odd = lines.filter(F.col("value").contains("\ufffd")).select(F.col("_metadata.file_path").alias("_source_path")).distinct()
+    plain = read("UTF-8")
+    if odd.isEmpty():
+        return plain.drop("_source_path")
+    latin = read("ISO-8859-1").join(odd, "_source_path", "left_semi")
+    return plain.join(odd, "_source_path", "left_anti").unionByName(latin, allowMissingColumns=True).drop("_source_path")
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
@@ -103,14 +117,16 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, text): lines numbered within their file, from whole-file rows."""
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    return whole.select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("line", "text"))
+    """(file, line, text): lines numbered from 0 within their file. Files are split among tasks; a line's place is
+    that of its split and its number there."""
+    at = F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    rows = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), at.alias("at"), F.regexp_replace("value", r"\r$", "").alias("text"))
+    return rows.select("file", (F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1).alias("line"), "text")
 
 
 def read_ledes(spark: SparkSession, path: str) -> DataFrame:
-    """LEDES 1998B: first pipe row of a file is its header; short rows are padded, long ones cut. The fields are
-    put in a map and read out by alias."""
+    """LEDES 1998B: first pipe row of a file is its header; short rows are padded, long ones cut; of equal headers
+    the first counts. The fields are put in a map and read out by alias."""
     # rows end in an empty bracket pair, and often in a pipe before it
     rows = _lines(spark, path).withColumn("t", strip(F.col("text"))).filter((F.col("t") != "") & ~F.upper("t").startswith("LEDES1998B"))
     cells = F.split(F.regexp_replace("t", r"\[\]$", ""), r"\|", -1)
@@ -119,7 +135,8 @@ def read_ledes(spark: SparkSession, path: str) -> DataFrame:
     head = rows.groupBy("file").agg(F.min_by(F.transform("cells", lambda c: F.replace(F.lower(c), F.lit(" "), F.lit("_"))), "line").alias("head"), F.min("line").alias("first"))
     body = rows.join(head, "file").filter("line > first")
     padded = F.slice(F.concat("cells", F.array_repeat(F.lit(""), F.size("head"))), F.lit(1), F.size("head"))
-    body = body.withColumn("m", F.map_from_entries(F.arrays_zip(F.col("head").alias("k"), padded.alias("v"))))
+    named = F.filter(F.arrays_zip(F.col("head").alias("k"), padded.alias("v")), lambda e, i: F.array_position("head", e["k"]) == i + 1)
+    body = body.withColumn("m", F.map_from_entries(named))
     wanted = sorted({n for names in BILLING.values() for n in names.split()})
     return body.select(*[F.nullif(F.try_element_at("m", F.lit(n)), F.lit("")).alias(n) for n in wanted], F.col("file").alias("_source_file"), F.col("line").cast("long").alias("_line"))
 

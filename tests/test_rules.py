@@ -63,7 +63,7 @@ def test_duplicates_flag_the_later_row(spark):
     d = _t(2)
     rows = [(k, d, "T", 1.0, 1.0, 1.0, t) for k, t in [("1", "call with bob"), ("2", "call with bob"), ("3", "long call with bob about it"), ("4", "about it call with bob long day"), ("5", "nothing else here")]]
     got = {r.row_id: r.severity for r in B.duplicate_entry(spark.createDataFrame(rows, BILL)).collect()}
-    assert got == {"2": "HIGH", "3": "HIGH", "4": "HIGH"} or got == {"2": "HIGH", "3": "HIGH", "4": "MEDIUM"}
+    assert got == {"2": "HIGH", "3": "HIGH", "4": "HIGH"}  # 4 holds the whole text of 1
 
 
 def test_rate_caps_first_in_order(spark):
