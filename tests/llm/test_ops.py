@@ -270,6 +270,25 @@ def test_fertility_figures():
     assert abs(ent + (c * np.log2(c)).sum() / math.log2(len(ids))) < 1e-9 and band == "latin"
 
 
+def test_bands_reject_and_keep(spark):
+    """Prose of each language stays; text of symbols, of broken bytes or of one word over and over goes by its band."""
+    docs_ = spark.read.parquet(f"{SF}/documents.parquet").filter("lang is not null").select("doc_id", "text", "lang")
+    out = fertility.quality_rules(docs_).join(docs_, "doc_id").collect()
+    prose = [r for r in out if not r.base_failed and sum(c.isalpha() or c in " .,\n" for c in r.text) > 0.95 * len(r.text)]
+    assert len(prose) > 80 and all(r.kept for r in prose) and {r.band for r in prose} == {"en", "de", "fr", "es"}
+    symbols = " ".join(f"#{i}|{i * 7 % 13}$<{i}>&*%" for i in range(120))
+    odd = " ".join(chr(0x13000 + i) + chr(0x12000 + 3 * i) for i in range(120))
+    same = " ".join(f"{w} of" for w in ("und", "der") * 40)
+    rows = [(1, symbols, "en"), (2, odd, "de"), (3, odd, None), (4, same, "de"), (5, "漢字仮名交じり文を書く。" * 3 + " " + " ".join("日本語の文章%d" % i for i in range(80)), None)]
+    got = {r.doc_id: r for r in fertility.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not got[1].base_failed and not got[1].kept and got[1].chars_per_piece < fertility.BANDS["en"][0]
+    assert not got[2].base_failed and not got[2].kept and got[2].byte_share > fertility.BANDS["de"][4]
+    assert got[3].band == "default" and not got[3].base_failed and not got[4].kept and got[5].kept
+    strict = fertility.quality_rules(spark.createDataFrame(rows[4:], "doc_id long, text string, lang string"), bands={"default": (9.0, 9.9, 9.0, 9.9, 0.0, 0.9)}).first()
+    assert not strict.kept and not strict.base_failed
+    assert fertility.quality_rules(docs_.limit(0)).count() == 0
+
+
 # ------------------------------------------------------------------ 5
 def test_language_held_out_accuracy(spark):
     from docketlake.llm.common import table
@@ -280,6 +299,53 @@ def test_language_held_out_accuracy(spark):
     assert sum(r.lang_pred == r.lang for r in held) / len(held) > 0.97
 
 
+def _grams(text):
+    """n-grams of 1 to 3 letters of a text, words padded by a space; all but letters are spaces."""
+    padded = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+    n = collections.Counter(c for c in padded if c != " ")
+    if n:
+        n.update(padded[i : i + 2] for i in range(len(padded) - 1))
+        n.update(padded[i : i + 3] for i in range(len(padded) - 2) if padded[i + 1] != " ")
+    return n
+
+
+def _code(gram):
+    c = 0
+    for ch in gram:
+        c = c << 21 | ord(ch)
+    return c
+
+
+@pytest.mark.parametrize("piece", [1_000_000, 50])
+def test_profiles_and_distances_by_brute_force(spark, monkeypatch, piece):
+    """Ranks of the profiles and out-of-place distances against a plain version; ``piece``: long texts are cut."""
+    if piece == 50:  # a cut may part a word: only texts without letters about the cuts are the same
+        monkeypatch.setattr(language, "PIECE", piece)
+    r = random.Random(8)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(1, 4)))
+    texts = [(i, " ".join(word("abcé" if i % 2 else "bcdñ") for _ in range(r.randint(1, 30)))[:49].ljust(50) * (3 if i % 5 == 0 else 1), "x" if i % 2 else "y") for i in range(40)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    if piece == 50:  # learn as ever, predict in pieces
+        monkeypatch.setattr(language, "PIECE", 1_000_000)
+    p = language.fit_profiles(df, 30).toPandas()
+    want = {}
+    for lang in "xy":
+        n = collections.Counter()
+        for _, t, g in texts:
+            if g == lang:
+                n += _grams(t)
+        want[lang] = [_code(g) for g in sorted(n, key=lambda g: (-n[g], _code(g)))][:30]
+    assert {lang: list(p[p["lang"] == lang].sort_values("rank")["code"]) for lang in "xy"} == want
+    monkeypatch.setattr(language, "PIECE", piece)
+    got = {x.doc_id: (x.lang_pred, x.score) for x in language.identify(df, p, 20).collect()}
+    for i, t, _ in texts:
+        n = _grams(t)
+        mine = [_code(g) for g in sorted(n, key=lambda g: (-n[g], _code(g)))][:20]
+        away = {lang: sum(min(abs(want[lang].index(c) - k), language.PROFILE) if c in want[lang] else language.PROFILE for k, c in enumerate(mine)) for lang in "xy"}
+        best = min("xy", key=lambda lang: (away[lang], lang))
+        assert got[i][0] == best and abs(got[i][1] - (1 - away[best] / (language.PROFILE * len(mine)))) < 1e-12
+
+
 def test_language_counts_and_odd_rows(spark):
     text = "Äb c-ab!"
     padded = " äb c ab "
