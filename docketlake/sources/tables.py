@@ -101,9 +101,8 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, recurs
 
     if encoding:
         return read(encoding).drop("_source_path")
-    # bytes that are no UTF-8 come out as the replacement character
     lines = spark.read.option("recursiveFileLookup", recursive).text(path)
-    odd = lines.filter(F.col("value").contains("\ufffd")).select(F.col("_metadata.file_path").alias("_source_path")).distinct()
+    odd = lines.filter(~F.is_valid_utf8("value")).select(F.col("_metadata.file_path").alias("_source_path")).distinct()
     plain = read("UTF-8")
     if odd.isEmpty():
         return plain.drop("_source_path")
