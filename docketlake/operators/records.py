@@ -183,6 +183,13 @@ def decimal_degrees(deg: Column, minutes: Column, seconds: Column, ref: Column)
     return F.when(ref.isin("S", "W"), -x).otherwise(x)
 
 
+def gps_centre(places: DataFrame) -> DataFrame:
+    """Centre of places (lat, lon) for a map, in thousandths of a degree, both axes known."""
+    milli = lambda c: F.floor(F.col(c) * 1000).cast("long")
+    known = places.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    return known.agg(*[F.floor(F.sum(milli(c)) / F.count(F.lit(1))).cast("long").alias(f"{c}_milli") for c in ("lat", "lon")])
+
+
 def tampering(photos: DataFrame) -> DataFrame:
     """``indicators``: reasons to look again at a photo."""
     from docketlake.functions.core import floor_days

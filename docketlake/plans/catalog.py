@@ -7,7 +7,7 @@ from importlib import import_module
 
 from docketlake.plans.lenses import lens, with_lenses
 
-MODULES = ["billing", "finance", "network", "mail", "calendar", "text", "records", "practice", "files"]
+MODULES = ["billing", "finance", "network", "mail", "calendar", "text", "records", "practice", "files", "formats"]
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}

@@ -89,9 +89,10 @@ def dated(p):
     return R.dated_first(p.withColumn("exif_date", F.when(F.col("camera").isNotNull(), F.col("exif_date"))))
 
 
-@query("viz7_gps_centre", "photo", sql="SELECT CAST(floor(sum(CAST(floor(deg * 1000) AS BIGINT)) / count(*)) AS BIGINT) AS centre_milli FROM :photo")
+@query("viz7_gps_centre", "photo", sql="SELECT CAST(floor(sum(CAST(floor(deg * 1000) AS BIGINT)) / count(*)) AS BIGINT) AS lat_milli, CAST(floor(sum(CAST(floor(minutes * 1000) AS BIGINT) * CASE WHEN ref = 'W' THEN -1 ELSE 1 END) / count(*)) AS BIGINT) AS lon_milli FROM :photo")
 def centre(p):
-    return p.agg(F.floor(F.sum(F.floor(F.col("deg") * 1000).cast("long")) / F.count("*")).cast("long").alias("centre_milli"))
+    lon = F.when(F.col("ref") == "W", -F.col("minutes")).otherwise(F.col("minutes"))
+    return R.gps_centre(p.select(F.col("deg").alias("lat"), lon.alias("lon")))
 
 
 @query("flt4_filings", "filing", sql="SELECT accession FROM :filing WHERE form_type IN ('10-K', '8-K') AND filing_date >= DATE '1998-08-02' - 1095")

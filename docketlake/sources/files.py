@@ -19,20 +19,29 @@ MAIL_SCHEMA = (
 )
 
 
-def binary(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+def binary(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).load(path)
+
+
+def _body(msg) -> str:
+    """Plain parts that are no attachments, joined by line ends; without any, the text of the HTML parts."""
+    def parts(kind: str) -> list[str]:
+        return [p.get_content() for p in msg.walk() if p.get_content_type() == kind and p.get_content_disposition() != "attachment"]
+
+    plain = parts("text/plain")
+    if plain:
+        return "\n".join(plain)
+    return re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", "\n".join(parts("text/html")))).strip()
+
+
+def _attached(msg) -> list:
+    return [p for p in msg.walk() if p.get_content_disposition() == "attachment" or p.get_filename()]
 
 
 def _mail_row(name: str, index: int, msg) -> tuple:
-    body = msg.get_body(preferencelist=("plain",)) if hasattr(msg, "get_body") else None
-    if body is not None:
-        text = body.get_content()
-    else:
-        rich = msg.get_body(preferencelist=("html",)) if hasattr(msg, "get_body") else None
-        text = re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", rich.get_content())).strip() if rich is not None else ""
-    files = [(re.sub(r"[^\w.\- ]", "_", p.get_filename() or "attachment"), len(p.get_payload(decode=True) or b""), p.get_content_type()) for p in msg.iter_attachments()]
+    files = [(re.sub(r"[^\w.\- ]", "_", p.get_filename() or "attachment"), len(p.get_payload(decode=True) or b""), p.get_content_type()) for p in _attached(msg)]
     h = lambda k: str(msg[k]) if msg[k] is not None else None
-    return (name, index, h("Message-ID"), h("Date"), h("From"), h("To"), h("Cc"), h("Bcc"), h("Subject"), text, h("In-Reply-To"), h("References"), files)
+    return (name, index, h("Message-ID"), h("Date"), h("From"), h("To"), h("Cc"), h("Bcc"), h("Subject"), _body(msg), h("In-Reply-To"), h("References"), files)
 
 
 def parse_eml(name: str, data: bytes) -> list[tuple]:
@@ -136,6 +145,11 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_with(spark: SparkSession, path: str, pattern: str, extractors: list[Callable[[bytes], str]], least: int = 100) -> DataFrame:
+    """:func:`extracted` of the files of a folder."""
+    return extracted(binary(spark, path, pattern), extractors, least)
+
+
+def extracted(files: DataFrame, extractors: list[Callable[[bytes], str]], least: int = 100) -> DataFrame:
     """(file, text) by the first of several extractors that gives more than ``least`` characters; for PDF and
     other formats whose readers are installed on the cluster."""
 
@@ -147,19 +161,28 @@ def read_with(spark: SparkSession, path: str, pattern: str, extractors: list[Cal
                 break
         return [(name, best)]
 
-    return parsed(binary(spark, path, pattern), parse, "file string, text string")
+    return parsed(files, parse, "file string, text string")
 
 
 def parse_attachments(name: str, data: bytes) -> list[tuple]:
-    """(source_file, email_idx, filename, type, content) of the attachments of a mail file or mailbox."""
+    """(source_file, email_idx, filename, type, content) of the attachments of a mail file or mailbox; of equal names
+    in a file the later ones get a number before their ending."""
     import email
     from email import policy
 
     mails = re.split(rb"(?m)(?:\A|(?<=\n\n)|(?<=\r\n\r\n))From [^\n]*\n", data) if name.lower().endswith(".mbox") else [data]
-    out = []
+    out: list[tuple] = []
+    taken: set[str] = set()
     for i, part in enumerate(x for x in mails if x.strip()):
-        for p in email.message_from_bytes(part, policy=policy.default).iter_attachments():
-            out.append((name, i, re.sub(r"[^\w.\- ]", "_", p.get_filename() or "attachment"), p.get_content_type(), p.get_payload(decode=True) or b""))
+        for p in _attached(email.message_from_bytes(part, policy=policy.default)):
+            plain = re.sub(r"[^\w.\- ]", "_", p.get_filename() or "attachment")
+            stem, dot, end = plain.rpartition(".")
+            own, k = plain, 0
+            while own in taken:
+                k += 1
+                own = f"{stem}_{k}.{end}" if dot else f"{plain}_{k}"
+            taken.add(own)
+            out.append((name, i, own, p.get_content_type(), p.get_payload(decode=True) or b""))
     return out
 
 
@@ -223,6 +246,11 @@ def exif_tags(data: bytes) -> dict[str, str]:
 
 
 def read_images(spark: SparkSession, path: str, readers: list[Callable[[bytes], dict]] | None = None) -> DataFrame:
+    """:func:`image_records` of the files of a folder."""
+    return image_records(binary(spark, path), readers)
+
+
+def image_records(files: DataFrame, readers: list[Callable[[bytes], dict]] | None = None) -> DataFrame:
     """(path, size, modified, md5, sha256, exif): hashes by Spark; tags by the first reader (the library's own unless
     others are given), gaps filled by the ones after it. A reader that fails on a file gives nothing for it."""
     use = readers or [exif_tags]
@@ -241,5 +269,5 @@ def read_images(spark: SparkSession, path: str, readers: list[Callable[[bytes],
 
         return content.map(one)
 
-    df = binary(spark, path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"), "content")
+    df = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"), "content")
     return df.withColumn("exif", tags("content")).drop("content")

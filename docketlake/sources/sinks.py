@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,75 @@ def write_calendars(deadlines: DataFrame, path: str) -> None:
     events.select("request_id", text.alias("value")).write.mode("overwrite").partitionBy("request_id").text(path)
 
 
+def workbook_bytes(rows: list[list[str | None]]) -> bytes:
+    """A workbook of one sheet: strings in line, numbers as numbers, gaps left out."""
+    import io
+    import re
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    def letters(i: int) -> str:
+        out = ""
+        while i >= 0:
+            out, i = chr(65 + i % 26) + out, i // 26 - 1
+        return out
+
+    def cell(r: int, c: int, v: str | None) -> str:
+        if v is None:
+            return ""
+        if re.fullmatch(r"-?(0|[1-9]\d{0,14})(\.\d+)?", v):
+            return f'<c r="{letters(c)}{r}"><v>{v}</v></c>'
+        return f'<c r="{letters(c)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>'
+
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    sheet = "".join(f'<row r="{r}">{"".join(cell(r, c, v) for c, v in enumerate(row))}</row>' for r, row in enumerate(rows, 1))
+    parts = {
+        "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Sheet1" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData>{sheet}</sheetData></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(zipfile.ZipInfo(name), text)
+    return out.getvalue()
+
+
+#: Rows that a sheet can have, its header counted.
+SHEET_ROWS = 1_048_576
+
+
+def workbooks(df: DataFrame, key: str, *order, rows: int = SHEET_ROWS - 1) -> DataFrame:
+    """(path, content): a workbook per value of ``key`` and ``rows`` rows, in ``order``, with the columns' names as first
+    row; each is made by one task, which the size of a sheet bounds."""
+    cols = [c for c in df.columns if c != key]
+    part = F.floor((F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1) / rows).cast("int")
+    numbered = df.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).withColumn("_part", part)
+    cells = F.struct("_k", F.array(*[F.col(c).cast("string") for c in cols]).alias("c"))
+    whole = numbered.groupBy(key, "_part").agg(F.transform(F.sort_array(F.collect_list(cells)), lambda x: x["c"]).alias("rows"))
+
+    @F.pandas_udf("binary")
+    def book(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda r: workbook_bytes([cols, *map(list, r)]))
+
+    return whole.select(F.concat(F.col(key).cast("string"), F.lit("-"), F.col("_part").cast("string"), F.lit(".xlsx")).alias("path"), book("rows").alias("content"))
+
+
+def write_workbook(df: DataFrame, path: str, *order) -> None:
+    """One workbook of a report in ``order``; more rows than a sheet has are refused."""
+    n = df.limit(SHEET_ROWS).count()
+    if n >= SHEET_ROWS:
+        raise ValueError("a sheet takes 1,048,575 rows; use workbooks() or another format")
+    content = workbooks(df.withColumn("_all", F.lit("all")), "_all", *order).first()
+    jvm = df.sparkSession.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    out.write(content["content"] if content else bytearray(workbook_bytes([df.columns])))
+    out.close()
+
+
 def global_chunk_ids(chunks: DataFrame, file: str = "doc_id", local: str = "chunk") -> DataFrame:
     """``global_id``: running number over files and local numbers, from counts per file, so that no task holds
     all chunks."""

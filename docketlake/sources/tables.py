@@ -185,18 +185,32 @@ def read_intake_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("text"))
 
 
-def read_requests(spark: SparkSession, path: str) -> DataFrame:
+def read_requests(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Deadline requests: a file per request, or a line per request with ``multi_line`` off."""
     schema = "trigger_date date, jurisdiction string, state string, event_type string, service_method string, case_caption string, custom_deadlines array<struct<name: string, days: int, business_days: boolean>>"
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
+
+
+# Kinds of files by their endings.
+ENDINGS = {"csv": "csv", "tsv": "csv", "ofx": "ofx", "qfx": "ofx", "xlsx": "xlsx", "xlsm": "xlsx", "eml": "eml", "mbox": "mbox", "docx": "docx", "txt": "text", "md": "text", "json": "json"}
+CHAT_LINE = r"^\[?\d{1,2}/\d{1,2}/\d{2,4},"
+
+
+def kind_of(name: Column, first_line: Column) -> Column:
+    """Kind of a file by its first line and, where that tells nothing, by its name's ending."""
+    line = strip(F.coalesce(first_line, F.lit("")))
+    ending = F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"\.([^.]*)$", 1))
+    table = F.create_map(*[F.lit(x) for pair in ENDINGS.items() for x in pair])
+    return F.when(F.upper(line).startswith("LEDES1998B"), "ledes").when(line.rlike(CHAT_LINE), "chat").otherwise(F.coalesce(F.try_element_at(table, ending), F.lit("unknown")))
 
 
 def sniff(first_line: str, name: str) -> str:
-    """Kind of a file by its name and first line."""
+    """:func:`kind_of` for one file, on the driver."""
     import re
 
-    ext = name.rsplit(".", 1)[-1].lower() if "." in name else ""
-    if first_line.strip().upper().startswith("LEDES1998B"):
+    line = first_line.strip()
+    if line.upper().startswith("LEDES1998B"):
         return "ledes"
-    if re.match(r"^\[?\d{1,2}/\d{1,2}/\d{2,4},", first_line.strip()):
+    if re.match(CHAT_LINE, line):
         return "chat"
-    return {"csv": "csv", "tsv": "csv", "ofx": "ofx", "qfx": "ofx", "xlsx": "xlsx", "xlsm": "xlsx", "eml": "eml", "mbox": "mbox", "docx": "docx", "txt": "text", "md": "text", "json": "json"}.get(ext, "unknown")
+    return ENDINGS.get(name.rsplit(".", 1)[-1].lower() if "." in name else "", "unknown")
