@@ -111,6 +111,60 @@ def test_attachments_are_taken_out(spark, tmp_path):
     assert got == [(f, *x) for f in ("box.mbox", "one.eml") for x in one]
 
 
+def compound(streams, cutoff=4096):
+    """A compound file of streams (path to bytes); those under ``cutoff`` bytes lie in the small sectors."""
+    folders = sorted({p.split("/")[0] for p in streams if "/" in p})
+    names = ["Root Entry", *folders, *streams]
+    sectors, mini, mini_fat, fat = [], b"", [], []
+
+    def put(data, table, size, store):
+        at, n = len(table), max(1, -(-len(data) // size))
+        table += [*range(at + 1, at + n), 0xFFFFFFFE]
+        store.append(data.ljust(n * size, b"\0"))
+        return at
+
+    small = []
+    place = {p: put(d, mini_fat, 64, small) if len(d) < cutoff else put(d, fat, 512, sectors) for p, d in streams.items()}
+    mini = b"".join(small)
+    at_mini = put(mini, fat, 512, sectors) if mini else 0xFFFFFFFE
+    at_mini_fat = put(struct.pack(f"<{len(mini_fat)}I", *mini_fat), fat, 512, sectors) if mini_fat else 0xFFFFFFFE
+    rows = []
+    for i, n in enumerate(names):
+        own = n.split("/")[-1].encode("utf-16-le")
+        siblings = [k for k, m in enumerate(names) if k and m not in folders and "/" not in m] + [names.index(f) for f in folders] if i == 0 or "/" not in n else []
+        kids = siblings if i == 0 else [k for k, m in enumerate(names) if m.startswith(n + "/")]
+        peers = [k for k, m in enumerate(names) if k and m.rpartition("/")[0] == n.rpartition("/")[0]]
+        after = next((k for k in peers if k > i), 0xFFFFFFFF) if i else 0xFFFFFFFF
+        child = min(kids) if kids and (i == 0 or n in folders) else 0xFFFFFFFF
+        start, size = (at_mini, len(mini)) if i == 0 else (place.get(n, 0), len(streams.get(n, b"")))
+        rows.append(own.ljust(64, b"\0") + struct.pack("<HBBIII", len(own) + 2, 5 if i == 0 else 1 if n in folders else 2, 1, 0xFFFFFFFF, after, child) + bytes(36) + struct.pack("<IQ", start, size))
+    at_dir = put(b"".join(rows), fat, 512, sectors)
+    body = b"".join(sectors)
+    n_fat = -(-(len(fat) + len(fat) // 100 + 2) // 128)
+    first_fat = len(fat)
+    fat += [0xFFFFFFFD] * n_fat
+    body += struct.pack(f"<{n_fat * 128}I", *fat, *[0xFFFFFFFF] * (n_fat * 128 - len(fat)))
+    head = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + bytes(16) + struct.pack("<HHHHH", 62, 3, 0xFFFE, 9, 6) + bytes(10) + struct.pack("<IIIIIIIII", n_fat, at_dir, 0, cutoff, at_mini_fat, 1 if mini_fat else 0, 0xFFFFFFFE, 0, first_fat)
+    head += b"".join(struct.pack("<I", first_fat + k if k < n_fat else 0xFFFFFFFF) for k in range(1, 109))
+    return head.ljust(512, b"\0") + body
+
+
+@pytest.mark.parametrize("cutoff", [0, 4096])
+def test_outlook_messages(spark, tmp_path, cutoff):
+    wide = lambda t: t.encode("utf-16-le")
+    when = (dt.datetime(2024, 1, 5, 12) - dt.datetime(1601, 1, 1)) // dt.timedelta(microseconds=1) * 10
+    streams = {"__substg1.0_0037001F": wide("Sübject"), "__substg1.0_1000001F": wide("long body " * 900), "__substg1.0_0C1A001E": b"Ann", "__substg1.0_0C1F001F": wide("ann@x.org"), "__substg1.0_0E04001F": wide("Bob"), "__substg1.0_1035001F": wide("<1@x>"), "__substg1.0_1042001F": wide("<0@x>"),
+               "__properties_version1.0": bytes(32) + struct.pack("<IIQ", 0x00390040, 6, when), "__attach_version1.0_#00000000/__substg1.0_3707001F": wide("a/b.pdf"), "__attach_version1.0_#00000000/__substg1.0_37010102": b"12345", "__attach_version1.0_#00000000/__substg1.0_370E001F": wide("application/pdf")}
+    (tmp_path / "a.msg").write_bytes(compound(streams, cutoff))
+    (tmp_path / "b.msg").write_bytes(b"broken")
+    (tmp_path / "c.msg").write_bytes(compound({"__substg1.0_007D001F": wide("Message-ID: <9@x>\nFrom: c@x.org\nDate: Fri, 05 Jan 2024 12:00:00 +0000\n\n"), "__substg1.0_10130102": b"<p>only  <b>rich</b></p>"}, cutoff))
+    got = {r.source_file: r for r in Fi.read_msg(spark, str(tmp_path)).collect()}
+    a, c = got["a.msg"], got["c.msg"]
+    assert (a.message_id, a.in_reply_to, a.sender, a.recipients, a.subject, a.body, a.date) == ("<1@x>", "<0@x>", "Ann <ann@x.org>", "Bob", "Sübject", "long body " * 900, "Fri, 05 Jan 2024 12:00:00 +0000")
+    assert [tuple(x) for x in a.attachments] == [("a_b.pdf", 5, "application/pdf")]
+    assert (c.message_id, c.sender, c.body) == ("<9@x>", "c@x.org", "only rich") and got["b.msg"]._error.startswith("ValueError")
+
+
 def test_hooks_take_the_first_long_text(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"abc")
     short, long = (lambda b: "s" * len(b)), (lambda b: "long " * 40)
