@@ -70,23 +70,65 @@ def rate_violation(df: DataFrame, caps: DataFrame) -> DataFrame:
     return _flag(df.join(first, F.col("timekeeper") == F.col("_tk")).filter(F.col("rate") > F.col("_cap")), "rate_violation", "HIGH")
 
 
-def duplicate_entry(df: DataFrame, similar: float = 0.7) -> DataFrame:
+#: Days of a timekeeper with more distinct texts than this are not paired out: their texts are looked up by index.
+PAIRED_TEXTS = 100
+
+
+def _similar_texts(texts: DataFrame, similar: float, paired: int) -> DataFrame:
+    """Pairs (day, timekeeper, d, d2) of different texts (day, timekeeper, d, w) that may be nested or alike.
+
+    Days of few texts give all their pairs. Of others, a text can be held only by one that has its rarest run of
+    three characters (of all its characters, if fewer); and word sets with a Jaccard similarity above
+    ``similar`` share one of the first n - ceil(similar * n) + 1 words of each in any one order: here long words
+    first, which are rare.
+    """
+    key = ["day", "timekeeper"]
+    many = texts.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > paired).select(*key)
+    many = Steps(texts.sparkSession).keep(many)
+    b = texts.select(*key, F.col("d").alias("d2"), F.col("w").alias("w2"))
+    if many.isEmpty():
+        return texts.select(*key, "d").join(b.select(*key, "d2"), key).filter("d <> d2")
+    few = texts.join(many, key, "left_anti")
+    pairs = few.select(*key, "d").join(b.select(*key, "d2"), key).filter("d <> d2")
+    hot = texts.join(many, key, "left_semi")
+    hot_b = hot.select(*key, F.col("d").alias("d2"), F.col("w").alias("w2"))
+    # nested: d holds d2
+    runs = lambda c, n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(F.col(c), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    grams = hot.select(*key, "d", F.explode(F.array_distinct(F.concat(runs("d", 1), runs("d", 2), runs("d", 3)))).alias("g"))
+    own = hot_b.select(*key, "d2", F.explode(F.array_distinct(F.when(F.length("d2") >= 3, runs("d2", 3)).otherwise(F.array("d2")))).alias("g"))
+    often = grams.groupBy(*key, "g").agg(F.count(F.lit(1)).alias("k"))
+    rare = own.join(often, [*key, "g"]).groupBy(*key, "d2").agg(F.min_by("g", F.struct("k", "g")).alias("g"))
+    nested = rare.join(grams, [*key, "g"]).filter(F.col("d").contains(F.col("d2")) & (F.col("d") != F.col("d2"))).select(*key, "d", "d2")
+    # alike: a shared word among the first
+    def first_words(df: DataFrame, d: str, w: str) -> DataFrame:
+        ordered = F.transform(F.array_sort(F.transform(F.col(w), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda y: y["x"])
+        kept = F.slice(ordered, 1, (F.size(w) - F.ceil(F.lit(similar) * F.size(w)) + 1).cast("int"))
+        return df.filter(F.size(w) > 2).select(*key, d, F.explode(kept).alias("x"))
+
+    alike = first_words(hot, "d", "w").join(first_words(hot_b, "d2", "w2"), [*key, "x"]).filter("d <> d2").select(*key, "d", "d2")
+    both = nested.unionByName(nested.select(*key, F.col("d2").alias("d"), F.col("d").alias("d2"))).unionByName(alike).distinct()
+    return pairs.unionByName(both)
+
+
+def duplicate_entry(df: DataFrame, similar: float = 0.7, paired: int = PAIRED_TEXTS) -> DataFrame:
     """Later row of a pair of one day and timekeeper with equal or nested descriptions (HIGH), or with word
     sets of more than two words and a Jaccard similarity above ``similar`` (MEDIUM); the first earlier
     row decides. Equal descriptions are compared once: pairs are formed between distinct texts, each
-    represented by its first row, so a day of identical entries makes no square of pairs."""
+    represented by its first row, so a day of identical entries makes no square of pairs; days of more than
+    ``paired`` distinct texts find their pairs by index, with the same result."""
     rows = df.select("row_id", F.to_date("date").alias("day"), "timekeeper", strip(F.lower(F.coalesce("description", F.lit("")))).alias("d")).filter(F.col("day").isNotNull() & (F.col("d") != ""))
     firsts = rows.groupBy("day", "timekeeper", "d").agg(F.min("row_id").alias("first"))
     words = F.array_distinct(F.filter(F.split("d", r"\s+"), lambda x: x != ""))
-    firsts = firsts.withColumn("w", words)
-    b = firsts.select("day", "timekeeper", F.col("d").alias("d2"), F.col("w").alias("w2"), F.col("first").alias("f2"))
+    firsts = Steps(df.sparkSession).keep(firsts.withColumn("w", words))
+    key = ["day", "timekeeper"]
+    pairs = _similar_texts(firsts.select(*key, "d", "w"), similar, paired)
     nested = F.col("d").contains(F.col("d2")) | F.col("d2").contains(F.col("d"))
     jaccard = (F.size("w") > 2) & (F.size("w2") > 2) & (F.size(F.array_intersect("w", "w2")) > similar * F.size(F.array_union("w", "w2")))
-    like = b.join(firsts, ["day", "timekeeper"]).filter((F.col("d") != F.col("d2")) & (nested | jaccard))
+    like = pairs.join(firsts, [*key, "d"]).join(firsts.select(*key, F.col("d").alias("d2"), F.col("w").alias("w2")), [*key, "d2"]).filter(nested | jaccard)
     # per text: similar texts with their first rows and verdict
-    like = like.groupBy("day", "timekeeper", F.col("d2").alias("d")).agg(F.min(F.struct(F.col("first").alias("at"), F.when(nested, "HIGH").otherwise("MEDIUM").alias("sev"))).alias("other"))
-    same = firsts.select("day", "timekeeper", "d", "first")
-    out = rows.join(same, ["day", "timekeeper", "d"]).join(like, ["day", "timekeeper", "d"], "left")
+    like = like.groupBy(*key, F.col("d2").alias("d")).agg(F.min(F.struct(F.col("first").alias("at"), F.when(nested, "HIGH").otherwise("MEDIUM").alias("sev"))).alias("other"))
+    same = firsts.select(*key, "d", "first")
+    out = rows.join(same, [*key, "d"]).join(like, [*key, "d"], "left")
     equal = F.when(F.col("first") < F.col("row_id"), F.struct(F.col("first").alias("at"), F.lit("HIGH").alias("sev")))
     other = F.when(F.col("other.at") < F.col("row_id"), F.col("other"))
     best = F.least(equal, other)

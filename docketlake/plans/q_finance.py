@@ -99,6 +99,12 @@ def cycles_flow(t):
     return G.cycles(G.flow_edges(t), 6).select(F.array_join("path", "|").alias("nodes"), F.col("length").cast("long").alias("length"), "min_weight")
 
 
+@query("grf4_first_cycles", "txn", sql=f"WITH RECURSIVE e AS ({EDGES}), r AS (SELECT src AS f, dst AS l, [src, dst] AS path, weight AS low FROM e WHERE src < dst UNION ALL {_STEP}) SELECT array_to_string(path, '|') AS nodes, len(path)::BIGINT AS length, least(low, e.weight) AS min_weight FROM r JOIN e ON e.src = r.l AND e.dst = r.f ORDER BY length, nodes LIMIT 20")
+def first_cycles(t):
+    """The report's twenty cycles, short ones first."""
+    return cycles_flow(t).orderBy("length", "nodes").limit(20)
+
+
 DIRECTED = "SELECT sender AS src, recipient AS dst, count(*)::BIGINT AS weight FROM :comm WHERE sender <> recipient AND recipient <> 'Unknown' GROUP BY 1, 2"
 
 

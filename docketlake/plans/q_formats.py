@@ -116,7 +116,6 @@ def attachments(m):
 
 
 # ------------------------------------------------------------------ documents
-@F.pandas_udf("binary")
 def _docx(paras: pd.Series) -> pd.Series:
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
@@ -133,7 +132,7 @@ def _docx(paras: pd.Series) -> pd.Series:
 @query("src10_docx_files", "block", sql="SELECT doc_id || '.docx' AS file, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS pos, text, CASE WHEN starts_with(text, 'ARTICLE') THEN 2 ELSE 0 END::BIGINT AS level FROM :block UNION ALL SELECT doc_id || '.docx', count(*), '[TABLE]' || chr(10) || 'a | b' || chr(10) || '[/TABLE]', 0 FROM :block GROUP BY doc_id")
 def docx(b):
     whole = b.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("t"))
-    return Fi.parsed(whole.select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), _docx("t").alias("content")), Fi.parse_docx, "file string, pos bigint, text string, level bigint").drop("_error")
+    return Fi.parsed(whole.select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), F.pandas_udf(_docx, "binary")("t").alias("content")), Fi.parse_docx, "file string, pos bigint, text string, level bigint").drop("_error")
 
 
 @query("src9_text_of_first_reader", "filing", sql="SELECT accession || '.pdf' AS file, CASE WHEN length(text) > 80 THEN text ELSE repeat('second reader ', 9) END AS text FROM :filing")
@@ -163,7 +162,6 @@ def requests(t):
 
 
 # ------------------------------------------------------------------ images
-@F.pandas_udf("binary")
 def _jpeg(camera: pd.Series) -> pd.Series:
     def one(make: str | None) -> bytes:
         if make is None:
@@ -178,7 +176,7 @@ def _jpeg(camera: pd.Series) -> pd.Series:
 @query("src16_image_tags", "photo", sql="SELECT photo_id || '.jpg' AS path, coalesce(camera, 'unknown maker') AS make, CASE WHEN camera IS NULL THEN 4 ELSE 41 + length(camera) END::BIGINT AS size FROM :photo")
 def image_tags(p):
     """Images with and without a block of tags; a second reader fills the gap."""
-    rows = p.select(F.concat(F.col("photo_id").cast("string"), F.lit(".jpg")).alias("path"), _jpeg("camera").alias("content"))
+    rows = p.select(F.concat(F.col("photo_id").cast("string"), F.lit(".jpg")).alias("path"), F.pandas_udf(_jpeg, "binary")("camera").alias("content"))
     x = Fi.image_records(rows.withColumn("length", F.length("content").cast("long")).withColumn("modificationTime", F.lit(None).cast("timestamp")), [Fi.exif_tags, lambda b: {"make": "unknown maker"}])
     return x.select("path", F.col("exif")["make"].alias("make"), "size")
 

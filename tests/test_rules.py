@@ -66,6 +66,28 @@ def test_duplicates_flag_the_later_row(spark):
     assert got == {"2": "HIGH", "3": "HIGH", "4": "HIGH"}  # 4 holds the whole text of 1
 
 
+def test_duplicates_by_pairs_and_by_index(spark):
+    import random
+
+    r = random.Random(9)
+    words = ["call", "with", "bob", "re", "motion", "a", "é", "draft", "of", "to"]
+    rows = [(f"{i:03d}", _t(2 + i % 2), "T", 1.0, 1.0, 1.0, " ".join(r.choice(words) for _ in range(r.randint(1, 6)))) for i in range(160)]
+    rows += [("900", _t(2), "T", 1.0, 1.0, 1.0, "o"), ("901", _t(2), "T", 1.0, 1.0, 1.0, "b re")]
+    want = {}
+    for k, day, *_, t in sorted(rows):
+        for k2, day2, *_, t2 in sorted(rows):
+            if k2 < k and day2 == day and k not in want:
+                a, b = set(t.split()), set(t2.split())
+                if t in t2 or t2 in t:
+                    want[k] = "HIGH"
+                elif len(a) > 2 and len(b) > 2 and len(a & b) > 0.7 * len(a | b):
+                    want[k] = "MEDIUM"
+    df = spark.createDataFrame(rows, BILL)
+    for paired in (1000, 0):
+        assert {x.row_id: x.severity for x in B.duplicate_entry(df, paired=paired).collect()} == want
+    assert set(want.values()) == {"HIGH", "MEDIUM"}
+
+
 def test_rate_caps_first_in_order(spark):
     df = spark.createDataFrame([("a", _t(2), "Jane Partner", 1.0, 400.0, 1.0, "x")], BILL)
     assert ids(B.rate_violation(df, B.rate_caps(spark, '{"partner": 300, "jane": 500}'))) == ["a"]
