@@ -157,9 +157,12 @@ def join_hot(rows: DataFrame, counted: DataFrame, keys: list[str], spread: list[
     The rows of hot keys are dealt by a hash of ``spread`` and their row of ``counted`` is repeated for each
     part, so that no key is one task's. Hot keys are those above ``HOT_ROWS`` and above the share of all rows
     that at most ``HOT_KEYS`` of them can have, which bounds the list that is broadcast. ``counted`` is read
-    three times: give a written table. Keys are not null.
+    three times: give a written table. Keys are not null. Without a hot key it is a plain join.
     """
-    least = max(HOT_ROWS, (counted.agg(F.sum(n)).first()[0] or 0) // HOT_KEYS)
+    total, most = counted.agg(F.sum(n), F.max(n)).first()
+    least = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    if (most or 0) <= least:
+        return rows.join(counted, keys)
     hot = counted.filter(F.col(n) > least).select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot"))
     is_hot = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_hot_{k}") for k in keys])
     part = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(HOT_PARTS)).cast("int")).otherwise(0)

@@ -30,7 +30,8 @@ SMOOTH = 0.3
 L2, STEPS, RATE = 1e-4, 200, 0.05
 #: A text stays if the probability of the top grade is at least this.
 KEEP_FROM = 0.6
-CACHE_WORDS = 300_000
+#: Words whose hashes a worker keeps; then it starts anew. Bounds its memory.
+CACHE_WORDS = 100_000
 
 _ECHO = np.array([[xxhash.xxh3_64_intdigest(f"\0echo {d} {share}".encode()) % DIM for share in ECHO_SHARES] for d in ECHOES], np.int64)
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -68,6 +69,7 @@ class Features(dict):
             return np.zeros(0, np.int64), np.zeros(0)
         if len(self) > CACHE_WORDS:
             self.clear()
+            self.table.fill(-1)  # a short word has no beginnings: none may be left of the word that had its number
         ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         echo = np.concatenate([_ECHO[j, [(ids[d:] == ids[:-d]).mean() >= share for share in ECHO_SHARES]] for j, d in enumerate(ECHOES) if len(ids) > d] or [np.zeros(0, np.int64)])
         kinds, times = np.unique(ids, return_counts=True)

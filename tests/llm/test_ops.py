@@ -544,6 +544,15 @@ def test_classifier_features():
     assert not set(ordinal._ECHO.ravel()) & set(seen.of(long)[0].tolist()) and seen.of("a")[0].size == 1
 
 
+def test_classifier_cache_starts_anew(monkeypatch):
+    monkeypatch.setattr(ordinal, "CACHE_WORDS", 3)
+    seen = ordinal.Features()
+    for text in ("alphabetical beginnings considered", "a b c", "longestwords everywhere again", "x y"):
+        f, v = seen.of(text)
+        g, w = ordinal.Features().of(text)
+        assert sorted(zip(f, v)) == sorted(zip(g, w))
+
+
 def test_classifier_odd_rows(spark):
     d = docs(spark, ["good text here", None, "", "bad words"], extra=True)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
