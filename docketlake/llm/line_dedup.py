@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlake.llm.common import Scratch, count_words, join_hot, own_prefix, table
@@ -14,31 +14,30 @@ MIN_WORDS = 50
 
 
 def _named(rows: DataFrame, key: list[str], scratch: Scratch) -> DataFrame:
-    """Add ``_first`` of the class of ``key`` and keep classes of two or more.
+    """Add ``_rank`` and ``_first`` of the class of ``key`` and keep classes of two or more.
 
-    ``_first`` = (doc, row tag, pos) of the earliest member: the class's name and the place of the
-    copy that stays. Counting is done before the join, so that a line found in a third of all documents
-    is one row of the counted side, and the rows of such a class are dealt over tasks.
+    ``_rank`` numbers the classes in the order of ``key``, by a range sort of the classes: of single lines in the
+    order of their ids, of pairs of ranks so that ranks stay in lexicographic order. ``_first`` = (doc, row
+    tag, pos) of the earliest member: the place of the copy that stays. Counting is done before the join, so
+    that a line found in a third of all documents is one row of the counted side, and the rows of such a class
+    are dealt over tasks.
     """
     counted = rows.groupBy(*key).agg(F.min(F.struct("doc", "tag", "pos")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
-    return join_hot(rows, scratch.put(counted, "classes"), key, ["doc", "tag", "pos"], "_n").drop("_n")
+    ordered = scratch.put(counted, "classes").repartitionByRange(*key).sortWithinPartitions(*key)
+    ranked = scratch.put(ordered.withColumn("_rank", F.monotonically_increasing_id()), "ranked")
+    return join_hot(rows, ranked, key, ["doc", "tag", "pos"], "_n").drop("_n")
 
 
-def _name(first: Column) -> Column:
-    return F.xxhash64(first["doc"], first["tag"], first["pos"])
-
-
-def repeated_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, tag, lines): line numbers (from 0) that belong to later copies of repeated runs.
+def _later_copies(docs: DataFrame, scratch: Scratch, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """(doc, tag, pos, len, _first) of the shortest runs of ``min_words`` words that occur earlier, and the places
+    (doc, tag, pos, line) of the stretches that they lie in.
 
     A document's sequence holds the ids of its lines with a word. Ranks are doubled: rank j of a place
-    names the run of 2^j lines that starts there by its earliest occurrence in the order of (doc_id, text
-    hash, line), so equal ranks are the suffix array's intervals of common prefixes of at least 2^j
-    lines; places whose rank is theirs alone drop out. A run of l lines has the rank pair of its first and
-    last 2^j lines, 2^j <= l. A run counts from ``min_words`` words. Every maximal repeated run of
-    that size is the union of the shortest such runs that start, and that end, at each of its lines;
-    so those are looked up, and the lines of any that occurs earlier are returned. Runs do not cross
-    documents. Copies within one document count too. Null texts have no lines.
+    is that of the run of 2^j lines that starts there in the lexicographic order of all such runs, so equal ranks
+    are the suffix array's intervals of common prefixes of at least 2^j lines; places whose rank is theirs alone
+    drop out. A run of l lines has the rank pair of its first and last 2^j lines, 2^j <= l: an interval of common
+    prefixes of l lines. Every maximal repeated run of ``min_words`` words is the union of the shortest such
+    runs that start, and that end, at each of its lines; so the intervals of those are looked up.
     """
     base = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("tag"), "text").filter(F.col("text").isNotNull())
     base = base.filter(F.length("text") >= 2 * min_words - 1)
@@ -51,7 +50,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS
     upto = F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0))
     lines = scratch.put(lines.withColumn("c", upto.cast("long")), "lines")
     # names of single lines
-    rank = scratch.put(_named(lines.select("doc", "tag", "pos", "line", "w", "c", "h", "h2"), ["h", "h2"], scratch).select("doc", "tag", "pos", "line", "w", "c", _name(F.col("_first")).alias("r0"), F.col("_first").alias("f0")), "rank0")
+    rank = scratch.put(_named(lines.select("doc", "tag", "pos", "line", "w", "c", "h", "h2"), ["h", "h2"], scratch).select("doc", "tag", "pos", "line", "w", "c", F.col("_rank").alias("r0")), "rank0")
     # stretches of adjacent repeated lines bound what can be a repeated run
     within = Window.partitionBy("doc", "tag").orderBy("pos")
     rank = rank.withColumn("_new", F.when(F.col("pos") - F.lag("pos").over(within) == 1, 0).otherwise(1)).withColumn("isle", F.sum("_new").over(within)).drop("_new")
@@ -67,7 +66,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS
         half = 2 ** (j - 1)
         ahead = Window.partitionBy("doc", "tag", "isle").orderBy("pos").rangeBetween(half, half)
         pairs = ranks[-1].withColumn("r2", F.max("r").over(ahead)).filter(F.col("r2").isNotNull())
-        ranks.append(scratch.put(_named(pairs, ["r", "r2"], scratch).select("doc", "tag", "isle", "pos", _name(F.col("_first")).alias("r")), f"rank{j}"))
+        ranks.append(scratch.put(_named(pairs, ["r", "r2"], scratch).select("doc", "tag", "isle", "pos", F.col("_rank").alias("r")), f"rank{j}"))
     # rank pair of each run
     level = F.floor(F.log2(F.col("len").cast("double") + F.lit(1e-9))).cast("int")
     runs = runs.withColumn("j", level).withColumn("tail", F.expr("pos + len - cast(pow(2, j) as int)"))
@@ -79,11 +78,35 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS
     runs = runs.join(all_ranks.withColumnRenamed("r", "ra"), at("pos")).drop("_d", "_t", "_p", "_j")
     runs = runs.join(all_ranks.withColumnRenamed("r", "rb"), at("tail")).drop("_d", "_t", "_p", "_j")
     again = _named(scratch.put(runs, "pairs"), ["len", "ra", "rb"], scratch).filter((F.col("_first.doc") != F.col("doc")) | (F.col("_first.tag") != F.col("tag")) | (F.col("_first.pos") != F.col("pos")))
+    return again.select("doc", "tag", "pos", "len", "_first"), rank.select("doc", "tag", "pos", "line")
+
+
+def repeated_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc, tag, lines): line numbers (from 0) that belong to later copies of repeated runs of ``min_words`` words
+    or more. Runs do not cross documents. Copies within one document count too; of equal copies the first by
+    (doc_id, text hash, line) stays. Null texts have no lines; an empty table gives no rows."""
+    again, places = _later_copies(docs, scratch, min_words)
     covered = again.select("doc", "tag", F.explode_outer(F.sequence("pos", F.col("pos") + F.col("len") - 1)).alias("pos")).distinct()
-    gone = covered.join(rank.select("doc", "tag", "pos", "line"), ["doc", "tag", "pos"])
+    gone = covered.join(places, ["doc", "tag", "pos"])
     return gone.groupBy("doc", "tag").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
+def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc, tag, line, last_line, n_lines, first_doc, first_tag, first_line): maximal runs of lines with a word that
+    repeat the run of ``n_lines`` such lines from ``first_line`` of an earlier place on. Shortest runs that
+    repeat one earlier document at one distance, and overlap or touch, are one run."""
+    again, places = _later_copies(docs, scratch, min_words)
+    key = ["doc", "tag", "_fd", "_ft", "_gap"]
+    rows = again.select("doc", "tag", "pos", (F.col("pos") + F.col("len") - 1).alias("end"), F.col("_first.doc").alias("_fd"), F.col("_first.tag").alias("_ft"), (F.col("pos") - F.col("_first.pos")).alias("_gap"))
+    w = Window.partitionBy(*key).orderBy("pos", "end")
+    far = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_new", F.when(F.col("pos") <= far + 1, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
+    runs = rows.groupBy(*key, "_run").agg(F.min("pos").alias("pos"), F.max("end").alias("end"))
+    at = lambda d, t, p, name: places.select(F.col("doc").alias(d), F.col("tag").alias(t), F.col("pos").alias(p), F.col("line").alias(name))
+    runs = runs.withColumn("_fp", F.col("pos") - F.col("_gap")).join(at("doc", "tag", "pos", "line"), ["doc", "tag", "pos"]).join(at("doc", "tag", "end", "last_line"), ["doc", "tag", "end"]).join(at("_fd", "_ft", "_fp", "first_line"), ["_fd", "_ft", "_fp"])
+    return runs.select("doc", "tag", "line", "last_line", (F.col("end") - F.col("pos") + 1).alias("n_lines"), F.col("_fd").alias("first_doc"), F.col("_ft").alias("first_tag"), "first_line")
+
+
 def _shortest_runs(rank: DataFrame, min_words: int) -> DataFrame:
     """(doc, tag, pos, len): shortest runs of ``min_words`` words from each line on and up to each line,
     within stretches. Running sums are strictly increasing, so the bound is found in the sorted sums."""

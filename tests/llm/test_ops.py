@@ -597,6 +597,15 @@ def test_line_runs_brute_force(spark):
         d = docs(spark, texts, extra=True).withColumn("pos", F.lit(1)).withColumn("lines", F.lit("clash")).drop("lines")
         got = {r.doc: r["lines"] for r in line_dedup.repeated_lines(d, Scratch(spark, "t"), least).collect()}
         assert got == _cut(texts, least)
+        # maximal runs: each repeats an earlier one line by line, and together they are what is cut
+        covered = collections.defaultdict(set)
+        for x in line_dedup.repeated_runs(d, Scratch(spark, "t"), least).collect():
+            full = lambda doc, a: [(i, t) for i, t in enumerate(texts[doc].split("\n")) if i >= a and re.search(WS, t)]
+            mine, first = full(x.doc, x.line)[: x.n_lines], full(x.first_doc, x.first_line)[: x.n_lines]
+            assert [t for _, t in mine] == [t for _, t in first] and mine[-1][0] == x.last_line
+            assert (x.first_doc, x.first_line) < (x.doc, x.line) and sum(len(re.findall(WS, t)) for _, t in mine) >= least
+            covered[x.doc].update(i for i, _ in mine)
+        assert {k: sorted(v) for k, v in covered.items()} == got
 
 
 def test_line_dedup_keeps_rows(spark):
