@@ -180,6 +180,17 @@ def test_near_groups_odd_rows(spark):
     assert near_dedup.near_groups(df.limit(0), Scratch(spark, "t"), 4).count() == 0
 
 
+def test_near_groups_of_long_texts(spark):
+    long = [f"w{i * 7919 % 100_003}" for i in range(150_000)]
+    near, far = list(long), list(long)
+    near[::5000] = ["x"] * len(near[::5000])
+    far[::8] = ["y"] * len(far[::8])
+    rows = [(1, " ".join(long)), (2, "\n".join(near)), (3, " ".join(far)), (4, "w" * 400_000), (5, " ".join(long).upper())]
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t"), 4).collect()}
+    assert {d: c for d, (c, _) in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1}
+    assert all(got[d][1] == len(_sets([t], 4)[0]) for d, t in rows)
+
+
 def test_components_of_a_path(spark):
     e = spark.createDataFrame([(i + 1, i) for i in range(50)] + [(100, 101), (100, 100), (7, 3)], "a long, b long")
     got = {r.id: r.component for r in graph.components(e, Scratch(spark, "t")).collect()}
