@@ -105,40 +105,41 @@ def degree(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): smallest node name reachable. Each round hooks every node to its smallest
-    neighbour and contracts the graph, about log(n) rounds."""
+    neighbour and contracts the graph, about log(n) rounds. A round writes three tables and reads those of the
+    round before; older ones are deleted."""
     spark = edges.sparkSession
     steps = Steps(spark)
-    live = steps.keep(edges.filter("src <> dst").select("src", "dst").distinct(), 10_000)
+    live = steps.keep(edges.filter("src <> dst").select("src", "dst").distinct(), 6)
     if live.isEmpty():
         return live.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     labels = None
     while True:
         ends = live.unionByName(live.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        hook = steps.keep(ends.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("to")), 10_000)
+        hook = steps.keep(ends.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("to")), 6)
         if labels is None:
             labels = hook.withColumnRenamed("to", "component")
         else:
             labels = labels.join(hook.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        labels = steps.keep(labels, 10_000)
+        labels = steps.keep(labels, 6)
         a, b = hook.select(F.col("node").alias("src"), F.col("to").alias("a")), hook.select(F.col("node").alias("dst"), F.col("to").alias("b"))
-        live = steps.keep(live.join(a, "src").join(b, "dst").filter("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), 10_000)
+        live = steps.keep(live.join(a, "src").join(b, "dst").filter("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), 6)
         if live.isEmpty():
             return labels
 
 
 def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 40) -> DataFrame:
     """Weighted, undirected edges both ways, a fixed number of rounds."""
-    steps = Steps(edges.sparkSession)
+    fixed, steps = Steps(edges.sparkSession), Steps(edges.sparkSession)
     e = both_ways(edges)
     out = e.groupBy("src").agg(F.sum("weight").alias("total"))
-    e = steps.keep(e.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")), 10_000)
+    e = fixed.keep(e.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")))
     n = out.count()
-    ranks = steps.keep(out.select(F.col("src").alias("node"), F.lit(1.0 / max(1, n)).alias("rank")), 10_000)
+    ranks = steps.keep(out.select(F.col("src").alias("node"), F.lit(1.0 / max(1, n)).alias("rank")), 2)
     for k in range(rounds):
         got = e.join(ranks, e["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("s"))
         ranks = got.select(F.col("dst").alias("node"), (F.lit((1 - alpha) / max(1, n)) + F.lit(alpha) * F.col("s")).alias("rank"))
         if k % 10 == 9 or k == rounds - 1:
-            ranks = steps.keep(ranks, 10_000)
+            ranks = steps.keep(ranks, 2)
     return ranks
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docketlake.functions.core import small
+
 # Weights of case types and multipliers of stages, weights of scored categories.
 TYPE_WEIGHTS = {
     "Simple contract / collections": 1.0, "Misdemeanor / traffic": 1.0, "DUI (first offense)": 1.0, "DUI with priors or injury": 1.5, "Family law (uncontested)": 1.2, "Family law (contested custody)": 2.5,
@@ -108,7 +110,7 @@ def load_trend(cases: DataFrame, target_cents: int) -> DataFrame:
     end = w.filter("closed is not null").select(F.trunc("closed", "month").alias("month"), F.lit(0).alias("o"), F.lit(-1).alias("n"), (-F.col("load_cents")).alias("load_cents"), "attorney")
     moves = start.unionByName(end).groupBy("month", "attorney").agg(F.sum("o").alias("o"), F.sum("n").alias("n"), F.sum("load_cents").alias("l"))
     months = moves.agg(F.min("month").alias("a"), F.max("month").alias("z")).select(F.explode(F.sequence("a", "z", F.expr("interval 1 month"))).alias("month"))
-    grid = months.crossJoin(F.broadcast(moves.select("attorney").distinct()))
+    grid = months.crossJoin(small(moves.select("attorney").distinct(), 100_000))
     so_far = Window.partitionBy("attorney").orderBy("month")
     held = grid.join(moves, ["month", "attorney"], "left").fillna(0, ["o", "n", "l"]).withColumn("open", F.sum("n").over(so_far)).withColumn("load", F.sum("l").over(so_far))
     by = held.groupBy("month").agg(F.sum("o").alias("opened"), F.sum("open").alias("open_cases"), F.sum("load").alias("load_cents"), F.count(F.when(F.col("open") > 0, 1)).alias("attorneys"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketlake.functions.core import small
+
 
 def daily_volume(rows: DataFrame, ts: str = "datetime") -> DataFrame:
     return rows.filter(F.col(ts).isNotNull()).groupBy(F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("n"))
@@ -50,7 +52,7 @@ def gap_context(events: DataFrame, least: int = 30, by: list[str] | None = None,
 def key_date_study(rows: DataFrame, key_dates: DataFrame, around: int = 30, names: int = 20) -> DataFrame:
     """Mean volume of active days and participants before and after each key date (day), the day itself
     left out; lists sorted, then cut to ``names``. ``key_dates`` is a short list."""
-    k = F.broadcast(key_dates.select(F.col("day").alias("key_date")))
+    k = small(key_dates.select(F.col("day").alias("key_date")))
     days = daily_volume(rows).join(k, F.col("day").between(F.date_sub("key_date", around), F.date_add("key_date", around)) & (F.col("day") != F.col("key_date")))
     side = F.when(F.col("day") < F.col("key_date"), "before").otherwise("after")
     vol = days.groupBy("key_date").agg(*[F.coalesce(F.sum(F.when(side == s, F.col("n"))), F.lit(0)).alias(f"sum_{s}") for s in ("before", "after")], *[F.count(F.when(side == s, 1)).alias(f"days_{s}") for s in ("before", "after")])
