@@ -107,8 +107,12 @@ class Scratch:
     when the session ends.
     """
 
+    #: All that are open, in the order of their making.
+    opened: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        Scratch.opened.append(self)
         self.root = f"{checkpoint_dir(spark)}/docketlake-{label}-{uuid.uuid4().hex}"
         self._paths: dict[int, tuple[DataFrame, str]] = {}
         atexit.register(self._quiet_remove, self.root)
@@ -129,6 +133,13 @@ class Scratch:
         self._paths[id(out)] = (out, path)
         return out
 
+    def close(self) -> None:
+        """Remove all tables, once nothing reads them any more."""
+        self._paths.clear()
+        if self in Scratch.opened:
+            Scratch.opened.remove(self)
+        self._remove(self.root)
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             _, path = self._paths.pop(id(t), (None, None))
