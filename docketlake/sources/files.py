@@ -202,19 +202,31 @@ def parse_xlsx(name: str, data: bytes) -> list[tuple]:
     return out
 
 
+#: Rows of parsed files that are handed on at once.
+ROWS_AT_ONCE = 1000
+
+
 def parsed(files: DataFrame, parse: Callable[[str, bytes], list[tuple]], schema: str) -> DataFrame:
     """Rows of ``parse`` over binary files (path, content), and ``_error`` for files that it fails on."""
     names = [c.strip().split(" ")[0] for c in re.split(r",(?![^<]*>)", schema)]
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[*names, "_error"]).astype({n: "Int64" for n in names if f"{n} bigint" in schema})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            held: list[tuple] = []
             for path, content in zip(b["path"], b["content"]):
+                name = path.rsplit("/", 1)[-1]
                 try:
-                    rows = [(*r, None) for r in parse(path.rsplit("/", 1)[-1], bytes(content))]
+                    held += [(*r, None) for r in parse(name, bytes(content))]
                 except Exception as e:  # one bad file does not end the job: it is reported as a row
-                    rows = [(path.rsplit("/", 1)[-1], *[None] * (len(names) - 1), f"{type(e).__name__}: {e}")]
-                out = pd.DataFrame(rows, columns=[*names, "_error"])
-                yield out.astype({n: "Int64" for n in names if f"{n} bigint" in schema})
+                    held.append((name, *[None] * (len(names) - 1), f"{type(e).__name__}: {e}"))
+                if len(held) >= ROWS_AT_ONCE:
+                    yield frame(held)
+                    held = []
+            if held:
+                yield frame(held)
 
     return files.select("path", "content").mapInPandas(run, f"{schema}, _error string")
 

@@ -119,7 +119,7 @@ def chunk_metadata(chunks: DataFrame) -> DataFrame:
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """``chunks/doc_id=.../``: the chunks of each document with their global ids; ``metadata/``: a line per document."""
     numbered = global_chunk_ids(chunks)
-    numbered.write.mode("overwrite").partitionBy("doc_id").json(f"{path}/chunks")
+    numbered.repartition("doc_id").write.mode("overwrite").partitionBy("doc_id").json(f"{path}/chunks")
     stored = chunks.sparkSession.read.schema(numbered.schema).json(f"{path}/chunks")
     chunk_metadata(stored).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
 
