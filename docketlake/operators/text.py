@@ -698,7 +698,9 @@ def canonical_names(m: DataFrame, least: int = 3) -> DataFrame:
     return names.select("label", "name").join(home, ["label", "name"], "left").select("label", "name", F.coalesce("h.o", "name").alias("canonical"))
 
 
-RULES = {"MONEY": r"\$\s?\d[\d,]*(?:\.\d+)?", "DATE": rf"\b(?:{MONTHS})\s+\d{{1,2}},?\s+\d{{4}}\b|\b\d{{1,2}}/\d{{1,2}}/\d{{4}}\b", "ORG": r"\b(?:[A-Z][\w&]+\s+)+(?:Inc|LLC|LLP|Corp|Ltd|Company)\b\.?", "PERSON": r"\b(?:Mr|Mrs|Ms|Dr|Judge)\.?\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?"}
+RULES = {"MONEY": r"\$\s?\d[\d,]*(?:\.\d+)?", "DATE": rf"\b(?:{MONTHS})\s+\d{{1,2}},?\s+\d{{4}}\b|\b\d{{1,2}}/\d{{1,2}}/\d{{4}}\b", "ORG": r"\b(?:[A-Z][\w&]+\s+)+(?:Inc|LLC|LLP|Corp|Ltd|Company)\b\.?", "PERSON": r"\b(?:Mr|Mrs|Ms|Dr|Judge)\.?\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?",
+         "LAW": r"\b\d+\s+U\.?S\.?C\.?\s+(?:§+\s*)?\d+[\w()]*|\bSection\s+\d+[\w()]*\s+of\s+the\s+(?:[A-Z]\w+\s+)+Act\b",
+         "GPE": r"\b[A-Z][a-z]+(?:\s[A-Z][a-z]+)*,\s(?:A[LKZR]|C[AOT]|D[CE]|FL|GA|HI|I[ADLN]|K[SY]|LA|M[ADEINOST]|N[CDEHJMVY]|O[HKR]|PA|RI|S[CD]|T[NX]|UT|V[AT]|W[AIVY])\b"}
 
 
 def _labelled(kind: str):

@@ -391,10 +391,10 @@ def canonical(m):
     return T.canonical_names(T.mentions(m))
 
 
-_ENT_TEXT = "'Acme Trading ' || (accession % 7) || ' and Acme Trading LLC paid $' || (accession % 900) || ',000.50 to Dr. Jane Roe on 3/' || (1 + accession % 28) || '/2021. ' || text"
+_ENT_TEXT = "'Acme Trading ' || (accession % 7) || ' and Acme Trading LLC paid $' || (accession % 900) || ',000.50 to Dr. Jane Roe on 3/' || (1 + accession % 28) || '/2021 in Austin, TX under 15 U.S.C. § ' || (accession % 80) || '. ' || text"
 
 
-@query("ent1_rule_entities", "filing", sql=f"WITH t AS (SELECT accession AS doc_id, accession FROM :filing) SELECT doc_id, raw_name, label FROM (SELECT doc_id, 'Acme Trading LLC' AS raw_name, 'ORG' AS label FROM t UNION ALL SELECT doc_id, '$' || (accession % 900) || ',000.50', 'MONEY' FROM t UNION ALL SELECT doc_id, 'Dr. Jane Roe', 'PERSON' FROM t UNION ALL SELECT doc_id, '3/' || (1 + accession % 28) || '/2021', 'DATE' FROM t) q")
+@query("ent1_rule_entities", "filing", sql=f"WITH t AS (SELECT accession AS doc_id, accession FROM :filing) SELECT doc_id, raw_name, label FROM (SELECT doc_id, 'Acme Trading LLC' AS raw_name, 'ORG' AS label FROM t UNION ALL SELECT doc_id, '$' || (accession % 900) || ',000.50', 'MONEY' FROM t UNION ALL SELECT doc_id, 'Dr. Jane Roe', 'PERSON' FROM t UNION ALL SELECT doc_id, 'Austin, TX', 'GPE' FROM t UNION ALL SELECT doc_id, '15 U.S.C. § ' || (accession % 80), 'LAW' FROM t UNION ALL SELECT doc_id, '3/' || (1 + accession % 28) || '/2021', 'DATE' FROM t) q")
 def rule_entities(f):
     paras_ = f.select(F.col("accession").alias("doc_id"), F.lit(0).cast("long").alias("paragraph_index"), F.expr(_ENT_TEXT).alias("text"))
     return T.extract_entities(paras_).select("doc_id", "raw_name", "label")
