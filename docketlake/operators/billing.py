@@ -30,7 +30,7 @@ SENIOR_TITLES = ["partner", r"senior\s+counsel", r"of\s+counsel", "shareholder",
 #: Rules in the order in which a row's flags are made.
 RULES = ["block_billing", "vague_description", "excessive_hours_single", "excessive_hours_daily", "rate_violation", "duplicate_entry", "weekend_billing", "holiday_billing", "staffing_level", "rounding_pattern", "late_entry"]
 
-VAGUE = "(?i)" + "|".join(rf"^{p}\s*$" for p in VAGUE_PHRASES)
+VAGUE = rf"(?i)^(?:{'|'.join(VAGUE_PHRASES)})\s*$"
 JUNIOR, SENIOR = "(?i)" + "|".join(JUNIOR_TASKS), "(?i)" + "|".join(SENIOR_TITLES)
 
 
@@ -75,7 +75,7 @@ PAIRED_TEXTS = 100
 
 
 def _similar_texts(texts: DataFrame, similar: float, paired: int) -> DataFrame:
-    """Pairs (day, timekeeper, d, d2) of different texts (day, timekeeper, d, w) that may be nested or alike.
+    """Pairs of different texts (day, timekeeper, d, w, first) that may be nested or alike, with d2 and w2 of the other.
 
     Days of few texts give all their pairs. Of others, a text can be held only by one that has its rarest run of
     three characters (of all its characters, if fewer); and word sets with a Jaccard similarity above
@@ -83,13 +83,12 @@ def _similar_texts(texts: DataFrame, similar: float, paired: int) -> DataFrame:
     first, which are rare.
     """
     key = ["day", "timekeeper"]
-    many = texts.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > paired).select(*key)
-    many = Steps(texts.sparkSession).keep(many)
     b = texts.select(*key, F.col("d").alias("d2"), F.col("w").alias("w2"))
+    many = Steps(texts.sparkSession).keep(texts.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > paired).select(*key))
     if many.isEmpty():
-        return texts.select(*key, "d").join(b.select(*key, "d2"), key).filter("d <> d2")
+        return texts.join(b, key).filter("d <> d2")
     few = texts.join(many, key, "left_anti")
-    pairs = few.select(*key, "d").join(b.select(*key, "d2"), key).filter("d <> d2")
+    pairs = few.join(b, key).filter("d <> d2")
     hot = texts.join(many, key, "left_semi")
     hot_b = hot.select(*key, F.col("d").alias("d2"), F.col("w").alias("w2"))
     # nested: d holds d2
@@ -107,7 +106,8 @@ def _similar_texts(texts: DataFrame, similar: float, paired: int) -> DataFrame:
 
     alike = first_words(hot, "d", "w").join(first_words(hot_b, "d2", "w2"), [*key, "x"]).filter("d <> d2").select(*key, "d", "d2")
     both = nested.unionByName(nested.select(*key, F.col("d2").alias("d"), F.col("d").alias("d2"))).unionByName(alike).distinct()
-    return pairs.unionByName(both)
+    found = both.join(hot, [*key, "d"]).join(hot_b, [*key, "d2"])
+    return pairs.unionByName(found)
 
 
 def duplicate_entry(df: DataFrame, similar: float = 0.7, paired: int = PAIRED_TEXTS) -> DataFrame:
@@ -116,15 +116,17 @@ def duplicate_entry(df: DataFrame, similar: float = 0.7, paired: int = PAIRED_TE
     row decides. Equal descriptions are compared once: pairs are formed between distinct texts, each
     represented by its first row, so a day of identical entries makes no square of pairs; days of more than
     ``paired`` distinct texts find their pairs by index, with the same result."""
-    rows = df.select("row_id", F.to_date("date").alias("day"), "timekeeper", strip(F.lower(F.coalesce("description", F.lit("")))).alias("d")).filter(F.col("day").isNotNull() & (F.col("d") != ""))
-    firsts = rows.groupBy("day", "timekeeper", "d").agg(F.min("row_id").alias("first"))
-    words = F.array_distinct(F.filter(F.split("d", r"\s+"), lambda x: x != ""))
-    firsts = Steps(df.sparkSession).keep(firsts.withColumn("w", words))
     key = ["day", "timekeeper"]
-    pairs = _similar_texts(firsts.select(*key, "d", "w"), similar, paired)
+    said = df.select("row_id", F.to_date("date").alias("day"), "timekeeper", "description").filter(F.col("day").isNotNull() & F.col("description").rlike(r"\S"))
+    # most rows are alone on their day: texts are looked at where there are several
+    several = said.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*key)
+    steps = Steps(df.sparkSession)
+    rows = steps.keep(said.join(several, key, "left_semi").select("row_id", *key, strip(F.lower("description")).alias("d")))
+    words = F.array_distinct(F.filter(F.split("d", r"\s+"), lambda x: x != ""))
+    firsts = rows.groupBy(*key, "d").agg(F.min("row_id").alias("first")).withColumn("w", words)
     nested = F.col("d").contains(F.col("d2")) | F.col("d2").contains(F.col("d"))
     jaccard = (F.size("w") > 2) & (F.size("w2") > 2) & (F.size(F.array_intersect("w", "w2")) > similar * F.size(F.array_union("w", "w2")))
-    like = pairs.join(firsts, [*key, "d"]).join(firsts.select(*key, F.col("d").alias("d2"), F.col("w").alias("w2")), [*key, "d2"]).filter(nested | jaccard)
+    like = _similar_texts(firsts, similar, paired).filter(nested | jaccard)
     # per text: similar texts with their first rows and verdict
     like = like.groupBy(*key, F.col("d2").alias("d")).agg(F.min(F.struct(F.col("first").alias("at"), F.when(nested, "HIGH").otherwise("MEDIUM").alias("sev"))).alias("other"))
     same = firsts.select(*key, "d", "first")
