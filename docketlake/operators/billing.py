@@ -269,6 +269,7 @@ def audit_summary(df: DataFrame, flags: DataFrame, top: int = 5) -> DataFrame:
     by_rule = flags.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).withColumn("place", F.row_number().over(Window.orderBy(F.col("n").desc(), "rule")))
     who = spend_by(df, "timekeeper", top).withColumn("place", F.row_number().over(Window.orderBy(F.col("total_cents").desc(), "timekeeper")))
     saved = savings(df, flags).select(F.coalesce("savings_cents", F.lit(0)).alias("c"))
+    # fixed values: the report's labels
     return summary([
         ("BILLING AUDIT SUMMARY", totals.select(F.lit(0).alias("place"), line("Total entries reviewed: %,d", F.col("n")).alias("line")).unionByName(totals.select(F.lit(1).alias("place"), line("Total spend analyzed: $%,.2f", dollars("c")).alias("line")))),
         ("FLAGS BY SEVERITY:", by_sev.select(severity_rank(F.col("severity")).alias("place"), line("  %s: %,d", F.col("severity"), F.col("n")).alias("line"))),
