@@ -16,6 +16,7 @@ ENTRIES = {
     "op8_quality_classifier": ("ordinal", "op8_quality_classifier", None),
     "op9_line_dedup": ("line_dedup", "op9_line_dedup", "OP9_SQL"),
     "op10_mix": ("mixing", "op10_mix", "OP10_SQL"),
+    "op11_manifest": ("manifest", "op11_manifest", "OP11_SQL"),
     "op13_fill_in_middle": ("infill", "op13_fill_in_middle", "OP13_SQL"),
 }
 
