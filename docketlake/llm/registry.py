@@ -17,6 +17,7 @@ ENTRIES = {
     "op9_line_dedup": ("line_dedup", "op9_line_dedup", "OP9_SQL"),
     "op10_mix": ("mixing", "op10_mix", "OP10_SQL"),
     "op11_manifest": ("manifest", "op11_manifest", "OP11_SQL"),
+    "op12_embedding_dedup": ("vectors", "op12_embedding_dedup", "OP12_SQL"),
     "op13_fill_in_middle": ("infill", "op13_fill_in_middle", "OP13_SQL"),
 }
 
