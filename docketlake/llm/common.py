@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,6 +102,52 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_batch_lock = threading.Lock()
+#: Per session: how many writes bound the rows of a batch just now, and the setting before the first of them.
+_batch_users: dict[int, list] = {}
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Python functions get at most so many rows at once. Writes of several threads may overlap: the setting comes back
+    with the last of them. No result depends on it."""
+    if not rows:
+        yield
+        return
+    me = id(spark)
+    with _batch_lock:
+        user = _batch_users.setdefault(me, [0, spark.conf.get(_BATCH)])
+        user[0] += 1
+        now = int(spark.conf.get(_BATCH))
+        spark.conf.set(_BATCH, str(min(rows, now) if now > 0 else rows))
+    try:
+        yield
+    finally:
+        with _batch_lock:
+            user[0] -= 1
+            if not user[0]:
+                spark.conf.set(_BATCH, user[1])
+                del _batch_users[me]
+
+
+#: Scratch objects made inside of :func:`own_tables`, in this thread.
+_mine: ContextVar[list[Scratch] | None] = ContextVar("scratches", default=None)
+
+
+@contextmanager
+def own_tables() -> Iterator[None]:
+    """Removes at its end the tables of all scratch objects that this thread made inside of it."""
+    made: list[Scratch] = []
+    before = _mine.set(made)
+    try:
+        yield
+    finally:
+        _mine.reset(before)
+        for scratch in made:
+            scratch.close()
+
+
 class Scratch:
     """Tables written under the shared checkpoint folder to cut lineage.
 
@@ -107,12 +156,10 @@ class Scratch:
     when the session ends.
     """
 
-    #: All that are open, in the order of their making.
-    opened: list[Scratch] = []
-
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        Scratch.opened.append(self)
+        if (made := _mine.get()) is not None:
+            made.append(self)
         self.root = f"{checkpoint_dir(spark)}/docketlake-{label}-{uuid.uuid4().hex}"
         self._paths: dict[int, tuple[DataFrame, str]] = {}
         atexit.register(self._quiet_remove, self.root)
@@ -121,14 +168,8 @@ class Scratch:
         """Write and reread ``df``. ``batch``: rows that its Python functions get at once while it is written, for
         rows of texts; beside it, Spark's bound of 64 MB for an Arrow batch holds."""
         path = f"{self.root}/{name}-{len(self._paths)}-{uuid.uuid4().hex[:8]}"
-        conf, key = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = conf.get(key)
-        if batch:
-            conf.set(key, str(min(batch, int(before)) if int(before) > 0 else batch))
-        try:
+        with batches_of(self.spark, batch):
             df.write.parquet(path)
-        finally:
-            conf.set(key, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = (out, path)
         return out
@@ -136,8 +177,6 @@ class Scratch:
     def close(self) -> None:
         """Remove all tables, once nothing reads them any more."""
         self._paths.clear()
-        if self in Scratch.opened:
-            Scratch.opened.remove(self)
         self._remove(self.root)
 
     def drop(self, *tables: DataFrame) -> None:
