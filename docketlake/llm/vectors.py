@@ -27,7 +27,7 @@ RECALL, SIMULATED = 0.9999, 4000
 #: standard deviations.
 SIGNS, DEVIATIONS = 128, 6.0
 #: Rows of a bucket that are compared in one task; larger buckets are compared by pairs of parts.
-UNIT = 512
+UNIT = 256
 #: Up to so many large buckets are broadcast (about 5 MB).
 BROADCAST_BUCKETS = 50_000
 #: Pairs whose products are taken at once, and numbers that are rotated at once: both bound a task's memory.
