@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +15,8 @@ from docketlake.functions.scratch import Steps
 
 #: Edges up to which a whole graph may be sent to each task for shortest paths or communities (60 MB).
 MAX_LOCAL_EDGES = 1_000_000
-#: Nodes of the longest cycle that is searched: there are as many paths as cycles or more, and their number
-#: grows with the power of the length.
-LONGEST_CYCLE = 6
-#: Rounds of cutting off nodes that no cycle passes.
-CORE_ROUNDS = 20
+#: States of an iteration that are kept until the driver ends.
+KEPT = 10_000
 
 
 def flow_edges(txns: DataFrame) -> DataFrame:
@@ -52,40 +50,108 @@ def cycles4(edges: DataFrame, max_fan: int | None = None) -> DataFrame:
     return two.join(rest, ["a", "c"]).filter(F.col("b") != F.col("d")).select("a", "b", "c", "d", F.least("w1", "w2", "w3", "w4").alias("min_weight"))
 
 
-def _core(edges: DataFrame, steps: Steps) -> DataFrame:
-    """Edges that a cycle of three nodes or more can use: every node of it has an edge in, one out and two
-    neighbours. Whatever is left of after a number of rounds is right, only larger."""
-    n = edges.count()
-    for _ in range(CORE_ROUNDS):
-        ends = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit(1).alias("out")).unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit(0).alias("out")))
-        good = ends.groupBy("node").agg(F.min("out").alias("l"), F.max("out").alias("h"), F.min("other").alias("a"), F.max("other").alias("b")).filter("l < h and a < b")
-        edges = steps.keep(edges.join(good.select(F.col("node").alias("src")), "src", "left_semi").join(good.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", "weight"))
-        before, n = n, edges.count()
-        if n in (0, before):
-            break
-    return edges
+def _smallest_above(edges: DataFrame, steps: Steps) -> DataFrame:
+    """(node, m): the smallest node from which ``node`` can be reached, itself included, for every end of ``edges``.
+
+    Each round takes the least of a node's own value, those of its predecessors, and the value of its value (what
+    reaches m reaches the node too), so a path or ring of n nodes takes about log(n) rounds, not n.
+    """
+    ends = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    at = steps.keep(ends.select("node", F.col("node").alias("m")))
+
+    def turn(at: DataFrame) -> DataFrame:
+        over = edges.join(at, edges["src"] == at["node"]).select(F.col("dst").alias("node"), "m")
+        jump = at.join(at.select(F.col("node").alias("m"), F.col("m").alias("c")), "m").select("node", F.col("c").alias("m"))
+        return at.unionByName(over).unionByName(jump).groupBy("node").agg(F.min("m").alias("m"))
+
+    while True:
+        new = steps.keep(turn(turn(at)))
+        if new.join(at, ["node", "m"], "left_anti").isEmpty():
+            return new
+        at = new
+
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node of the strongly connected component, for nodes that a cycle passes.
 
-def cycles(edges: DataFrame, longest: int = LONGEST_CYCLE) -> DataFrame:
-    """(path, length, min_weight): simple directed cycles of 2 to ``longest`` nodes, each once, from its
-    smallest node on. Longer ones are not searched."""
+    Forward colours give each node the smallest node that reaches it; among nodes of one colour, those that reach that
+    node as well are its component. What is left, less the edges between colours, goes into the next turn. An
+    edge between components is in no cycle; loops and repeated edges do no harm.
+    """
+    steps, kept = Steps(edges.sparkSession), Steps(edges.sparkSession)
+    found = []
+    live = kept.keep(edges.filter("src <> dst").select("src", "dst").distinct(), KEPT)
+    none = live.select(F.col("src").alias("node"), F.col("dst").alias("component")).limit(0)
+    while not live.isEmpty():
+        colour = kept.keep(_smallest_above(live, steps), KEPT)
+        a, b = colour.select(F.col("node").alias("src"), F.col("m").alias("a")), colour.select(F.col("node").alias("dst"), F.col("m").alias("b"))
+        same = kept.keep(live.join(a, "src").join(b, "dst").filter("a = b").select("src", "dst"), KEPT)
+        # the smallest node that a node reaches inside of its colour is the colour itself, if any path leads there
+        back = _smallest_above(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), steps)
+        part = kept.keep(colour.join(back.select("node", F.col("m").alias("back")), "node").filter("m = back").select("node", F.col("m").alias("component")), KEPT)
+        several = part.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        found.append(part.join(several, "component", "left_semi").select("node", "component"))
+        live = same.join(part.select(F.col("node").alias("src")), "src", "left_anti").join(part.select(F.col("node").alias("dst")), "dst", "left_anti")
+        live = kept.keep(live, KEPT)
+    return reduce(DataFrame.unionByName, found) if found else none
+
+
+def _circular(edges: DataFrame, steps: Steps) -> DataFrame:
+    """Edges (src, dst, weight) inside of strongly connected components, and the component's number of nodes ``size``."""
+    parts = strong_components(edges)
+    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    a = parts.join(sizes, "component").select(F.col("node").alias("src"), F.col("component").alias("ca"), "size")
+    b = parts.select(F.col("node").alias("dst"), F.col("component").alias("cb"))
+    return steps.keep(edges.join(a, "src").join(b, "dst").filter("ca = cb").select("src", "dst", "weight", "size"), KEPT)
+
+
+def _cycles_by_length(edges: DataFrame) -> Iterator[tuple[int, DataFrame, bool]]:
+    """For 2, 3 and more nodes: (length, the cycles of that length, may there be longer ones). Paths start at the cycle's
+    smallest node, stay inside of their component and are no longer than it."""
     steps = Steps(edges.sparkSession)
-    edges = edges.filter("src <> dst").select("src", "dst", "weight")
-    two = cycles2(edges).select(F.array("src", "dst").alias("path"), F.lit(2).alias("length"), "min_weight")
-    if longest < 3:
-        return two
-    core = _core(edges, steps)
-    back = core.select(F.col("src").alias("last"), F.col("dst").alias("first"), F.col("weight").alias("w"))
-    onward = core.select(F.col("src").alias("last"), F.col("dst").alias("next"), F.col("weight").alias("w"))
-    paths = core.filter("src < dst").select(F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"), F.col("weight").alias("low"))
-    out = two
-    for n in range(3, longest + 1):
-        paths = paths.join(onward, "last").filter("next > first and not array_contains(path, next)")
-        paths = steps.keep(paths.select("first", F.col("next").alias("last"), F.concat("path", F.array("next")).alias("path"), F.least("low", "w").alias("low")), 10_000)
-        out = out.unionByName(paths.join(back, ["last", "first"]).select("path", F.lit(n).alias("length"), F.least("low", "w").alias("min_weight")))
+    live = _circular(edges.filter("src <> dst").select("src", "dst", "weight"), steps)
+    back = live.select(F.col("src").alias("last"), F.col("dst").alias("first"), F.col("weight").alias("w"))
+    onward = live.select(F.col("src").alias("last"), F.col("dst").alias("next"), F.col("weight").alias("w"))
+    paths = live.filter("src < dst").select("size", F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"), F.col("weight").alias("low"))
+    n = 2
+    while True:
+        closed = paths.join(back, ["last", "first"]).select("path", F.lit(n).alias("length"), F.least("low", "w").alias("min_weight"))
+        longer = paths.filter(F.col("size") > n)
+        more = not longer.isEmpty()
+        yield n, closed, more
+        if not more:
+            return
+        n += 1
+        longer = longer.join(onward, "last").filter("next > first and not array_contains(path, next)")
+        paths = steps.keep(longer.select("size", "first", F.col("next").alias("last"), F.concat("path", F.array("next")).alias("path"), F.least("low", "w").alias("low")), KEPT)
+
+
+def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
+    """(path, length, min_weight): simple directed cycles, each once, from its smallest node on.
+
+    Edges between strongly connected components are cut first, so no path is followed that can't come back. Without
+    ``longest``, cycles of any length are found; a component of n nodes has none longer than n, but may have as many as n!
+    of them: for dense graphs give a length or take :func:`first_cycles`.
+    """
+    out = None
+    for n, closed, _ in _cycles_by_length(edges):
+        if longest is not None and n > longest:
+            break
+        out = closed if out is None else out.unionByName(closed)
     return out
 
 
+def first_cycles(edges: DataFrame, most: int = 20) -> DataFrame:
+    """The ``most`` shortest cycles, of equal length the first by their nodes joined by bars. Lengths are deepened only until there are
+    enough, or none longer can be."""
+    out = None
+    for _, closed, _ in _cycles_by_length(edges):
+        out = closed if out is None else out.unionByName(closed)
+        if out.limit(most).count() >= most:
+            break
+    return out.orderBy("length", F.array_join("path", "|")).limit(most)
+
+
 def contact_edges(rows: DataFrame, a: str = "sender", b: str = "recipient") -> DataFrame:
     """Undirected, without self-contacts and unknown ends; weight = rows."""
     ok = F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)) & (F.col(a) != "Unknown") & (F.col(b) != "Unknown")

@@ -27,6 +27,13 @@ SELECT o_orderkey AS txn_id, CAST(o_orderdate AS TIMESTAMP) AS date, 'POS ' || o
   CAST((CASE WHEN o_orderkey % 5 IN (0, 1) THEN -1 ELSE 1 END) * (CASE WHEN o_orderkey % 11 = 0 THEN CAST(floor(o_totalprice / 1000) AS BIGINT) * 100 ELSE CAST(floor(o_totalprice / 10) AS BIGINT) END) AS DOUBLE) AS amount,
   CAST(o_orderkey % 1000 AS DOUBLE) AS balance, o_orderstatus AS category
 FROM {orders}""",
+    "ring": """
+SELECT 'N' || (1000000 + 9 * b + p) AS src, 'N' || (1000000 + 9 * b + CASE WHEN p >= l - 1 THEN 0 ELSE p + 1 END) AS dst, CAST(100 + k % 50 AS BIGINT) AS weight
+FROM (SELECT c_custkey AS k, CAST(floor(c_custkey / 9) AS BIGINT) AS b, c_custkey % 9 AS p, 3 + CAST(floor(c_custkey / 9) AS BIGINT) % 7 AS l FROM {customer}) x
+UNION ALL
+SELECT 'N' || (1000000 + c_custkey - 1), 'N' || (1000000 + 9 * (1 + CAST(floor(c_custkey / 9) AS BIGINT))), CAST(7 AS BIGINT) FROM {customer} WHERE c_custkey % 36 = 10
+UNION ALL
+SELECT 'N' || (1000000 + c_custkey), 'N' || (1000000 + c_custkey + 2), CAST(9 AS BIGINT) FROM {customer} WHERE c_custkey % 45 = 18""",
     "comm": """
 SELECT event_id AS comm_id, 'U' || user_id AS sender, CASE WHEN event_id % 97 = 0 THEN 'Unknown' ELSE 'U' || ((user_id * 7 + event_id % 5) % 150) END AS recipient,
   CAST(ts AS TIMESTAMP) AS datetime, event_type AS type, value AS duration

@@ -96,13 +96,42 @@ _STEP = "SELECT f, e.dst AS l, list_append(path, e.dst) AS path, least(low, e.we
 @query("grf4_cycles_flow", "txn", sql=f"WITH RECURSIVE e AS ({EDGES}), r AS (SELECT src AS f, dst AS l, [src, dst] AS path, weight AS low FROM e WHERE src < dst UNION ALL {_STEP}) SELECT array_to_string(path, '|') AS nodes, len(path)::BIGINT AS length, least(low, e.weight) AS min_weight FROM r JOIN e ON e.src = r.l AND e.dst = r.f")
 def cycles_flow(t):
     """Circular flows of up to six nodes."""
-    return G.cycles(G.flow_edges(t), 6).select(F.array_join("path", "|").alias("nodes"), F.col("length").cast("long").alias("length"), "min_weight")
+    return _named(G.cycles(G.flow_edges(t), 6))
+
+
+def _named(rows):
+    return rows.select(F.array_join("path", "|").alias("nodes"), F.col("length").cast("long").alias("length"), "min_weight")
 
 
 @query("grf4_first_cycles", "txn", sql=f"WITH RECURSIVE e AS ({EDGES}), r AS (SELECT src AS f, dst AS l, [src, dst] AS path, weight AS low FROM e WHERE src < dst UNION ALL {_STEP}) SELECT array_to_string(path, '|') AS nodes, len(path)::BIGINT AS length, least(low, e.weight) AS min_weight FROM r JOIN e ON e.src = r.l AND e.dst = r.f ORDER BY length, nodes LIMIT 20")
 def first_cycles(t):
     """The report's twenty cycles, short ones first."""
-    return cycles_flow(t).orderBy("length", "nodes").limit(20)
+    return _named(G.first_cycles(G.flow_edges(t)))
+
+
+RING = "SELECT src, dst, sum(weight)::BIGINT AS weight FROM :ring GROUP BY 1, 2"
+ROUND = f"WITH RECURSIVE e AS ({RING}), r AS (SELECT src AS f, dst AS l, [src, dst] AS path, weight AS low FROM e WHERE src < dst UNION ALL SELECT f, e.dst, list_append(path, e.dst), least(low, e.weight) FROM r JOIN e ON e.src = r.l AND e.dst > r.f AND NOT list_contains(path, e.dst)) SELECT array_to_string(path, '|') AS nodes, len(path)::BIGINT AS length, least(low, e.weight) AS min_weight FROM r JOIN e ON e.src = r.l AND e.dst = r.f"
+
+
+def _ring(r):
+    return r.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+
+
+@query("grf4_ring_components", "ring", sql=f"WITH RECURSIVE e AS ({RING}), r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b) SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
+def ring_components(r):
+    """Strongly connected components of transfers among rings of three to nine accounts."""
+    return G.strong_components(_ring(r))
+
+
+@query("grf4_ring_cycles", "ring", sql=ROUND)
+def ring_cycles(r):
+    """Circular flows of every length."""
+    return _named(G.cycles(_ring(r)))
+
+
+@query("grf4_ring_first", "ring", sql=f"{ROUND} ORDER BY length, nodes LIMIT 20")
+def ring_first(r):
+    return _named(G.first_cycles(_ring(r)))
 
 
 DIRECTED = "SELECT sender AS src, recipient AS dst, count(*)::BIGINT AS weight FROM :comm WHERE sender <> recipient AND recipient <> 'Unknown' GROUP BY 1, 2"
