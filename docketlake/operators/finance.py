@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlake.functions.core import cents, floor_days, strip
+from docketlake.functions.scan import before
 
 # Prefixes and codes that are not part of a payee's name.
 PREFIXES = [
@@ -68,10 +69,10 @@ def rapid_in_out(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def escalating(df: DataFrame, least: float = 100.0, n: int = 4, share: float = 0.7) -> DataFrame:
-    """Last row of an entity whose amounts rise at ``share`` of its rows or more."""
-    w = Window.partitionBy("entity").orderBy("date", "row_id")
+    """Last row of an entity whose amounts rise at ``share`` of its rows or more. A row's predecessor comes from a
+    scan by ranges, so a hot entity is many tasks."""
     rows = df.filter((F.abs("amount") > least) & F.col("date").isNotNull()).select("row_id", "entity", "date", F.abs("amount").alias("a"))
-    rows = rows.withColumn("up", (F.col("a") > F.lag("a").over(w)).cast("int"))
+    rows = before(rows, ["entity"], ["date", "row_id"], prev=("last", F.col("a"))).withColumn("up", (F.col("a") > F.col("prev")).cast("int"))
     by = rows.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("up", F.lit(0))).alias("ups"), F.max_by("row_id", F.struct("date", "row_id")).alias("row_id"))
     return _flag(by.filter((F.col("n") >= n) & (F.col("ups") >= share * F.col("n"))), "escalating_amounts", "MEDIUM")
 

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import re
+import textwrap
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketlake.functions.scan import before, chained, following
 from docketlake.functions.scratch import Steps
 from docketlake.operators.text import KEY_MOMENTS, STOP_WORDS
 
 # Names of programs that edit images.
 EDITORS = ["photoshop", "gimp", "lightroom", "snapseed", "vsco", "afterlight", "pixelmator", "affinity", "capture one", "darktable", "rawtherapee", "adobe", "paint.net", "corel", "acdsee"]
 
+#: The id of the segment before a recording's first one.
+NOWHERE = -(2**62)
+
 
 def label_speakers(segments: DataFrame, turns: DataFrame, bucket: float = 30.0, unknown: str | None = None) -> DataFrame:
     """Each segment (rec_id, id, start_s, end_s) with the speaker of the turn (rec_id, pos, start_s, end_s,
@@ -54,43 +57,42 @@ def key_moments(segments: DataFrame) -> DataFrame:
 
 
 def topic_windows(segments: DataFrame, least: float = 60.0, terms: int = 5) -> DataFrame:
-    """Windows of at least ``least`` seconds with their most frequent words; a fold in order per recording."""
-    stop = frozenset(STOP_WORDS)
-
-    def label(texts: list[str]) -> str:
-        n = Counter(w for w in re.findall(r"\b[a-zA-Z]{3,}\b", " ".join(texts).lower()) if w not in stop)
-        return ", ".join(w.title() for w, _ in n.most_common(terms)) or "General Discussion"
-
-    def one(rec: pd.DataFrame) -> pd.DataFrame:
-        out, texts, start = [], [], None
-        last = None
-        for s, e, t in rec.sort_values("id")[["start_s", "end_s", "text"]].itertuples(index=False):
-            start = s if start is None else start
-            texts.append(t or "")
-            last = e
-            if e - start >= least:
-                out.append((start, e, len(texts), label(texts)))
-                texts, start = [], e
-        if texts:
-            out.append((start, last, len(texts), label(texts)))
-        r = rec["rec_id"].iloc[0]
-        return pd.DataFrame([(r, i, *o) for i, o in enumerate(out)], columns=["rec_id", "window", "start_s", "end_s", "segments", "topic"])
-
-    return segments.select("rec_id", "id", "start_s", "end_s", "text").groupBy("rec_id").applyInPandas(one, "rec_id bigint, window bigint, start_s double, end_s double, segments bigint, topic string")
+    """Windows (rec_id, window, start_s, end_s, segments, topic) of at least ``least`` seconds with their most frequent
+    words, of equal ones the first.
+
+    A window ends with the first segment that ends ``least`` seconds or more after the window's start, and the next one
+    starts there. So each segment has one possible successor as the end of a window, which is looked up by range, and the
+    ends are the chain from the first one; a long recording is many tasks. Ends ascend with ``id``, as a
+    transcript's do.
+    """
+    rows = segments.select("rec_id", F.col("id").cast("long").alias("id"), "start_s", "end_s", "text")
+    first = rows.groupBy("rec_id").agg(F.min_by("start_s", "id").alias("s"))
+    # the way starts at a segment before the first, which "ends" where the first one starts
+    reach = rows.select("rec_id", "id", (F.col("end_s") + least).alias("reach")).unionByName(first.select("rec_id", F.lit(NOWHERE).alias("id"), (F.col("s") + least).alias("reach")))
+    links = following(rows.select("rec_id", "id", F.col("end_s").alias("v")), ["rec_id"], reach)
+    ends = chained(links, first.select("rec_id", F.lit(NOWHERE).alias("id")), ["rec_id"]).filter(F.col("id") != NOWHERE)
+    rows = rows.join(ends.withColumn("_end", F.lit(1)), ["rec_id", "id"], "left")
+    rows = before(rows, ["rec_id"], ["id"], window=("sum", F.coalesce("_end", F.lit(0)).cast("long")), _from=("last", F.when(F.col("_end") == 1, F.col("end_s"))))
+    rows = Steps(segments.sparkSession).keep(rows)
+    spans = rows.groupBy("rec_id", "window").agg(F.coalesce(F.max("_from"), F.min_by("start_s", "id")).alias("start_s"), F.max_by("end_s", "id").alias("end_s"), F.count(F.lit(1)).alias("segments"))
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?<![\p{L}\p{N}_])[a-z]{3,}(?![\p{L}\p{N}_])"), F.lit(0))
+    said = rows.select("rec_id", "window", "id", F.posexplode(words).alias("p", "w")).filter(~F.col("w").isin(list(STOP_WORDS)))
+    said = said.groupBy("rec_id", "window", "w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "p")).alias("at"))
+    best = said.withColumn("k", F.row_number().over(Window.partitionBy("rec_id", "window").orderBy(F.col("n").desc(), "at"))).filter(F.col("k") <= terms)
+    topics = best.groupBy("rec_id", "window").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "w"))), lambda x: F.initcap(x["w"])), ", ").alias("topic"))
+    return spans.join(topics, ["rec_id", "window"], "left").select("rec_id", "window", "start_s", "end_s", "segments", F.coalesce("topic", F.lit("General Discussion")).alias("topic"))
 
 
 def page_layout(segments: DataFrame, lines: int = 25, width: int = 65) -> DataFrame:
-    """(rec_id, id, page, line) where each segment starts when texts are set in lines of ``width`` characters."""
-    import textwrap
+    """(rec_id, id, page, line) where each segment starts when texts are set in lines of ``width`` characters: a
+    running sum of line counts, which are a matter of each row alone."""
 
-    def one(rec: pd.DataFrame) -> pd.DataFrame:
-        at, out = 0, []
-        for i, t in rec.sort_values("id")[["id", "text"]].itertuples(index=False):
-            out.append((rec["rec_id"].iloc[0], i, at // lines + 1, at % lines + 1))
-            at += max(1, len(textwrap.wrap(t or "", width)))
-        return pd.DataFrame(out, columns=["rec_id", "id", "page", "line"])
+    @F.pandas_udf("bigint")
+    def height(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: max(1, len(textwrap.wrap(t or "", width)))).astype("int64")
 
-    return segments.select("rec_id", "id", "text").groupBy("rec_id").applyInPandas(one, "rec_id bigint, id bigint, page bigint, line bigint")
+    rows = before(segments.select("rec_id", "id", height("text").alias("n")), ["rec_id"], ["id"], at=("sum", F.col("n")))
+    return rows.select("rec_id", "id", (F.floor(F.col("at") / lines) + 1).cast("long").alias("page"), (F.col("at") % lines + 1).cast("long").alias("line"))
 
 
 def shown_speaker(labelled: DataFrame) -> DataFrame:
@@ -125,6 +127,16 @@ def new_frames(frames: DataFrame, existing: DataFrame, within: int = 100) -> Dat
     return f.join(e, near, "left_anti").drop("_b")
 
 
+def spaced_frames(frames: DataFrame, within: int = 100) -> DataFrame:
+    """Of ``frames`` (video_id, frame_id, ts_ms) those that a pass in order of time keeps: the first one, and each that is
+    ``within`` ms or more after the last one kept; of equal times the smallest frame_id."""
+    rows = frames.select("video_id", F.col("frame_id").cast("long").alias("id"), F.col("ts_ms").alias("v"))
+    links = following(rows, ["video_id"], rows.select("video_id", "id", (F.col("v") + within).alias("reach")))
+    first = rows.groupBy("video_id").agg(F.min(F.struct("v", "id")).alias("m")).select("video_id", F.col("m.id").alias("id"))
+    kept = chained(links, first, ["video_id"]).select("video_id", F.col("id").alias("frame_id"))
+    return frames.join(kept, ["video_id", "frame_id"], "left_semi")
+
+
 def plan_frames(videos: DataFrame, step_ms: int = 5000) -> DataFrame:
     """(video_id, ts_ms) of a coarse pass over videos (video_id, length_ms)."""
     return videos.select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length_ms"), F.lit(step_ms).cast("long"))).alias("ts_ms"))

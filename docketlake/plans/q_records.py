@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from docketlake.operators import records as R
@@ -63,7 +65,7 @@ def degrees(p):
     return p.select("photo_id", R.decimal_degrees(F.col("deg"), F.col("minutes"), F.col("seconds"), F.col("ref")).alias("micro_degrees"))
 
 
-_ED = "|".join(R.re.escape(e) for e in R.EDITORS)
+_ED = "|".join(re.escape(e) for e in R.EDITORS)
 TAMPER = rf"""SELECT photo_id, concat_ws('|', CASE WHEN regexp_matches(lower(software), '{_ED}') THEN 'editing software' END, CASE WHEN abs(floor((epoch_us(mtime) - epoch_us(exif_date)) / 86400e6)) > 365 THEN 'date mismatch' END,
 CASE WHEN format = 'JPEG' AND camera IS NULL THEN 'no camera' END, CASE WHEN greatest(width, height)::DOUBLE / least(width, height) > 4 THEN 'aspect ratio' END) AS indicators FROM :photo"""
 
@@ -121,6 +123,12 @@ def fresh(f):
     return R.new_frames(f.filter("pass = 'view'"), f.filter("pass <> 'view'"), 20000).select("video_id", "frame_id")
 
 
+@query("jon11_spaced_frames", "frame", sql="WITH RECURSIVE f AS (SELECT video_id, ts_ms, min(frame_id) AS frame_id FROM :frame GROUP BY 1, 2), r AS (SELECT video_id, min(ts_ms) AS ts_ms FROM f GROUP BY 1 UNION ALL SELECT r.video_id, min(f.ts_ms) FROM r JOIN f ON f.video_id = r.video_id AND f.ts_ms >= r.ts_ms + 20000 GROUP BY r.video_id) SELECT video_id, frame_id FROM r JOIN f USING (video_id, ts_ms)")
+def spaced(f):
+    """Frames that a pass keeps, each 20 seconds or more after the one before."""
+    return R.spaced_frames(f, 20000).select("video_id", "frame_id")
+
+
 @query("vid1_coarse_plan", "frame", sql="SELECT video_id, unnest(range(0, max(ts_ms) + 1, 5000)) AS ts_ms FROM :frame GROUP BY video_id")
 def plan(f):
     return R.plan_frames(f.groupBy("video_id").agg(F.max("ts_ms").alias("length_ms")))

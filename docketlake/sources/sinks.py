@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketlake.functions.scan import before
+
 
 def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
@@ -101,13 +103,9 @@ def write_workbook(df: DataFrame, path: str, *order) -> None:
 
 
 def global_chunk_ids(chunks: DataFrame, file: str = "doc_id", local: str = "chunk") -> DataFrame:
-    """``global_id``: running number over files and local numbers, from counts per file, so that no task holds
-    all chunks."""
-    per = chunks.groupBy(file).agg(F.count(F.lit(1)).alias("_n"))
-    ahead = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_base", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
-    within = F.row_number().over(Window.partitionBy(file).orderBy(local))
-    return chunks.withColumn("_k", within).join(per, file).withColumn("global_id", F.col("_base") + F.col("_k")).drop("_base", "_k")
+    """``global_id``: running number over files and local numbers, by a scan over ranges, so that no task holds all chunks
+    or all documents."""
+    return before(chunks, [], [file, local], _k=("sum", F.lit(1).cast("long"))).withColumn("global_id", F.col("_k") + 1).drop("_k")
 
 
 def chunk_metadata(chunks: DataFrame) -> DataFrame:
@@ -116,12 +114,14 @@ def chunk_metadata(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(tokens).alias("tokens"), F.min("global_id").alias("first_id"), F.max("global_id").alias("last_id"))
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """``chunks/doc_id=.../``: the chunks of each document with their global ids; ``metadata/``: a line per document."""
+def write_chunks(chunks: DataFrame, path: str, rows: int = 100_000) -> None:
+    """``chunks/``: chunks in the order of their global ids, at most ``rows`` in a file, many documents a file;
+    ``metadata/``: a line per document, with the first and the last file that hold it."""
     numbered = global_chunk_ids(chunks)
-    numbered.repartition("doc_id").write.mode("overwrite").partitionBy("doc_id").json(f"{path}/chunks")
-    stored = chunks.sparkSession.read.schema(numbered.schema).json(f"{path}/chunks")
-    chunk_metadata(stored).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+    numbered.repartitionByRange("global_id").sortWithinPartitions("global_id").write.mode("overwrite").option("maxRecordsPerFile", rows).json(f"{path}/chunks")
+    stored = chunks.sparkSession.read.schema(numbered.schema).json(f"{path}/chunks").withColumn("_file", F.col("_metadata.file_name"))
+    files = stored.groupBy("doc_id").agg(F.min_by("_file", "global_id").alias("first_file"), F.max_by("_file", "global_id").alias("last_file"))
+    chunk_metadata(stored).join(files, "doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").json(f"{path}/metadata")
 
 
 def summary(parts: list[tuple[str, DataFrame | None]]) -> DataFrame:
