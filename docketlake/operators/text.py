@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlake.functions.core import strip
+from docketlake.functions.scratch import Steps
+from docketlake.operators.similarity import first_of_each, lowered, similar_pairs
 
 # ------------------------------------------------------------------ fixed values
 # Patterns, word lists and weights that decide classes.
@@ -181,43 +183,14 @@ def _ratio(a: str, b: str) -> float:
 
 
 def dedup_events(events: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """Per day, in order of event_id, an event is kept unless its text is like a kept one's. ``events``:
-    (event_id, day, text). The days are the groups; identical texts are compared once."""
-
-    def one(day: pd.DataFrame) -> pd.DataFrame:
-        kept: list[str] = []
-        known: dict[str, bool] = {}
-        keep = []
-        for text in day.sort_values("event_id")["text"].fillna("").str.lower():
-            if text not in known:
-                known[text] = False
-                if not any(_close(text, k, threshold) for k in kept):
-                    kept.append(text)
-                    keep.append(True)
-                    continue
-            keep.append(False)
-        return day.sort_values("event_id").assign(kept=keep)[["event_id", "day", "text", "kept"]]
-
-    return events.select("event_id", "day", "text").groupBy("day").applyInPandas(one, "event_id bigint, day date, text string, kept boolean").filter("kept").drop("kept")
-
-
-def _close(a: str, b: str, threshold: float) -> bool:
-    """ratio >= threshold, with the bounds that need no matching first."""
-    n = len(a) + len(b)
-    if not n:
-        return True
-    if 2 * min(len(a), len(b)) < threshold * n:
-        return False
-    m = difflib.SequenceMatcher(None, a, b)
-    return m.quick_ratio() >= threshold and m.ratio() >= threshold
-
-
-def _letters(t: Column) -> Column:
-    """How often each of 32 kinds of characters stands in the text: 26 letters, and the rest in six kinds."""
-    kinds = [F.length(t) - F.length(F.translate(t, c, "")) for c in "abcdefghijklmnopqrstuvwxyz"]
-    rest = F.translate(t, "abcdefghijklmnopqrstuvwxyz", "")
-    few = [F.length(rest) - F.length(F.translate(rest, c, "")) for c in (" ", "0123", "456789", ".,;:", "'()-/")]
-    return F.array(*kinds, *few, F.length(F.translate(rest, " 0123456789.,;:'()-/", "")))
+    """Per day, in order of event_id, an event (event_id, day, text) is kept unless its text is like a kept one's. Equal
+    texts of a day are one, that of the first event; see :func:`docketlake.operators.similarity.first_of_each`.
+    Null texts count as empty; events without a day are a day of their own."""
+    rows = events.select(F.col("event_id").alias("key"), "day", "text", lowered(F.col("text")).alias("t"), F.coalesce(F.col("day").cast("string"), F.lit("")).alias("grp"))
+    first = rows.groupBy("grp", "t").agg(F.min(F.struct("key", "day", "text")).alias("f"))
+    first = Steps(events.sparkSession).keep(first.select("grp", "t", "f.key", "f.day", "f.text"))
+    kept = first_of_each(first.select("grp", "key", "t"), threshold)
+    return first.join(kept, ["grp", "key"], "left_semi").select(F.col("key").alias("event_id"), "day", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def conflict_classes(events: DataFrame) -> DataFrame:
@@ -232,26 +205,14 @@ def conflicts(events: DataFrame, threshold: float = 0.6) -> DataFrame:
     two events of which stand in different documents. Events belong to classes as of :func:`conflict_classes`,
     so that a statement made a thousand times over makes no million pairs.
 
-    Texts are made distinct and all pairs of them compared, by bounds first (lengths, then counts of kinds
-    of characters: no ratio is above 2 * common / both lengths), then by similarity ratio. Nothing shorter
-    than a character need be shared at 0.6, so words do not serve as keys, and the pairs grow with the
-    square of the distinct texts. Equal texts are alike without comparison.
+    Texts are made distinct and joined by their similarity (see :func:`docketlake.operators.similarity.similar_pairs`,
+    which loses none); equal texts are alike without comparison.
     """
     classes = events.filter(F.col("text").isNotNull() & F.col("day").isNotNull()).groupBy("text", "day").agg(F.min("event_id").alias("event_id"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
     texts = classes.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("event_id", "day", "d0", "d1"))).alias("at"))
-    sides = texts.select("text", F.lower("text").alias("t")).select("text", F.length("t").alias("n"), _letters(F.col("t")).alias("kinds"))
-    spread = max(1, events.sparkSession.sparkContext.defaultParallelism)
-    a, b = sides.repartition(spread, "text"), sides.repartition(spread, "text").select(F.col("text").alias("text2"), F.col("n").alias("n2"), F.col("kinds").alias("kinds2"))
-    both = F.col("n") + F.col("n2")
-    allowed = (F.col("text") < F.col("text2")) & (2 * F.least("n", "n2") >= threshold * both)
-    common = F.aggregate(F.zip_with("kinds", "kinds2", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    pairs = a.crossJoin(b).filter(allowed).filter(2 * common >= threshold * both).select("text", "text2")
-
-    @F.pandas_udf("boolean")
-    def like(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_close(x.lower(), y.lower(), threshold) for x, y in zip(a, b)])
-
-    near = pairs.filter(like("text", "text2")).unionByName(texts.filter(F.size("at") > 1).select("text", F.col("text").alias("text2")))
+    texts = Steps(events.sparkSession).keep(texts)
+    near = similar_pairs(texts.select(F.lit("").alias("grp"), F.col("text").alias("key"), lowered(F.col("text")).alias("t")), threshold).select(F.col("a").alias("text"), F.col("b").alias("text2"))
+    near = near.unionByName(texts.filter(F.size("at") > 1).select("text", F.col("text").alias("text2")))
     b = texts.select(F.col("text").alias("text2"), F.col("at").alias("at2"))
     rows = near.join(texts, "text").join(b, "text2").select("text", "text2", F.explode("at").alias("a"), "at2").select("text", "text2", "a", F.explode("at2").alias("b"))
     rows = rows.filter("a.day <> b.day and not (a.d0 = a.d1 and b.d0 = b.d1 and a.d0 = b.d0) and (text <> text2 or a.event_id < b.event_id)")

@@ -74,6 +74,9 @@ SELECT o_orderkey AS doc_id,
    || CASE o_orderkey % 6 WHEN 0 THEN ' the complaint was filed with the clerk' WHEN 1 THEN ' a hearing took place before the court' WHEN 2 THEN ' the doctor wrote a letter on the injury' WHEN 3 THEN ' the invoice was paid in full by wire' WHEN 4 THEN ' her deposition was taken under oath here' ELSE ' nothing of note was said by anyone' END || '. Later they left.' AS text
 FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS STRING) AS date_format_iso, CAST(year(CAST(o_orderdate AS DATE)) AS STRING) AS yy, CAST(month(CAST(o_orderdate AS DATE)) AS STRING) AS mm, CAST(day(CAST(o_orderdate AS DATE)) AS STRING) AS dd,
   CASE month(CAST(o_orderdate AS DATE)) WHEN 1 THEN 'January' WHEN 2 THEN 'February' WHEN 3 THEN 'March' WHEN 4 THEN 'April' WHEN 5 THEN 'May' WHEN 6 THEN 'June' WHEN 7 THEN 'July' WHEN 8 THEN 'August' WHEN 9 THEN 'September' WHEN 10 THEN 'October' WHEN 11 THEN 'November' ELSE 'December' END AS mname FROM {orders}) x""",
+    "statement": """
+SELECT doc_id * 8 + k AS event_id, doc_id, DATE '2024-01-01' + CAST(CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id % 40 END AS INT) AS day, substr(text, 1 + 45 * k, 45) AS text
+FROM {documents} CROSS JOIN (VALUES (0), (1), (2), (3), (4)) v(k) WHERE length(text) > 45 * k""",
     "intake": """
 SELECT c_custkey AS client_id, c_name || CASE c_custkey % 7 WHEN 0 THEN ' had a car accident and an injury; the hospital bills are unpaid. The defendant drives for a company.' WHEN 1 THEN ' wants a divorce and custody of a child, and child support.' WHEN 2 THEN ' was under arrest for dui, a misdemeanor charge with probation.' WHEN 3 THEN ' seeks a visa and a green card.' WHEN 4 THEN ' is a tenant facing eviction by the landlord; the lease ended.' WHEN 5 THEN ' was fired by the employer after harassment and retaliation.' ELSE ' called.' END
   || ' Phone 555-0' || (100 + c_custkey % 900) || '-1234, mail c' || c_custkey || '@mail.org or alt' || (c_custkey % 10) || '@mail.org. ' || c_name || ' called our client desk.' AS text,

@@ -93,6 +93,18 @@ def dedup(c):
     return T.dedup_events(_dates(c).select(F.col("doc_id").alias("event_id"), "day", "text"))
 
 
+@query("chr4_first_statements", "statement")
+def first_statements(s):
+    """The first of like statements of a day; a third of them stand under one day."""
+    return T.dedup_events(s)
+
+
+@query("chr6_statement_conflicts", "statement")
+def statement_conflicts(s):
+    """Like statements under different days, among thousands of different texts."""
+    return T.conflicts(s)
+
+
 @query("chr6_conflicts", "clause")
 def conflicts(c):
     """Like statements under different days, as pairs of classes: the clauses of documents, dated by their number."""

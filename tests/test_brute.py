@@ -40,7 +40,7 @@ def test_events_are_kept_in_order(spark):
     for day, events in by.items():
         kept = []
         for i, t in events:
-            if not any(ratio(t, k) >= 0.75 for k in kept):
+            if not any(ratio(k, t) >= 0.75 for k in kept):
                 kept.append(t)
                 want.add((i, day))
     assert {(r.event_id, r.day) for r in run(spark, "chr4_dedup_events")} == want and len(want) < len(texts)
@@ -63,6 +63,34 @@ def test_conflicts_are_of_classes(spark):
     assert {(r.event_id, r["class"]) for r in T.conflict_classes(df).collect()} == {(e[0], min(x[0] for x in classes[e[3], e[2]])) for e in events}
 
 
+def test_first_statements(spark):
+    by = collections.defaultdict(list)
+    want = set()
+    for r in sorted(rows(spark, "statement"), key=lambda r: r.event_id):
+        if not any(difflib.SequenceMatcher(None, k, r.text.lower()).ratio() >= 0.75 for k in by[r.day]):
+            by[r.day].append(r.text.lower())
+            want.add((r.event_id, r.day, r.text))
+    assert {tuple(r) for r in run(spark, "chr4_first_statements")} == want and len(want) < spark.read.parquet(f"{SF}/documents.parquet").count() * 5
+
+
+def test_statement_conflicts(spark):
+    classes = collections.defaultdict(list)
+    for r in rows(spark, "statement"):
+        classes[r.text, r.day].append((r.event_id, r.doc_id))
+    by_text = collections.defaultdict(list)
+    for (t, d), es in classes.items():
+        by_text[t].append((d, min(e for e, _ in es), {x for _, x in es}))
+    texts, want = sorted(by_text), set()
+    m = difflib.SequenceMatcher(None)
+    for j, b in enumerate(texts):
+        m.set_seq2(b.lower())
+        for a in texts[: j + 1]:
+            m.set_seq1(a.lower())
+            if a == b or m.real_quick_ratio() >= 0.6 and m.quick_ratio() >= 0.6 and m.ratio() >= 0.6:
+                want |= {(min(x[1], y[1]), max(x[1], y[1])) for x in by_text[a] for y in by_text[b] if x[0] != y[0] and len(x[2] | y[2]) > 1}
+    assert {tuple(r) for r in run(spark, "chr6_statement_conflicts")} == want and len(want) > 100
+
+
 def plain_chunks(text, most, overlap):
     out, held = [], []
     new = 0
