@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+import math
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketlake.functions.core import cents
+from docketlake.functions.scan import before
 from docketlake.functions.scratch import Steps
 
-#: Edges up to which a whole graph may be sent to each task for shortest paths or communities (60 MB).
-MAX_LOCAL_EDGES = 1_000_000
+#: Rounds of local moves of communities.
+MOVES = 60
+#: Nodes times edges up to which distances between all nodes are found; beyond it they are estimated.
+EXACT_WORK = 20_000_000_000
+#: Pairs of a source and a node that are held at once.
+PAIR_ROWS = 50_000_000
+#: A sketch of neighbours has 2 ** HLL_BITS bytes.
+HLL_BITS = 10
 #: States of an iteration that are kept until the driver ends.
 KEPT = 10_000
 
@@ -209,144 +215,192 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 40) -> DataFra
     return ranks
 
 
-def _local(edges: DataFrame) -> pd.DataFrame:
-    n = edges.count()
-    if n > MAX_LOCAL_EDGES:
-        raise ValueError(f"{n} edges; shortest paths take up to {MAX_LOCAL_EDGES}. Cut the graph, e.g. by weight or component.")
-    return edges.select("src", "dst", "weight").toPandas()
-
-
-def brandes(adjacency: dict, source, weighted: bool) -> tuple[dict, dict]:
-    """Shortest-path dependencies of ``source`` and distances to what it reaches."""
-    import heapq
-
-    dist, sigma, parents, order = {source: 0}, defaultdict(float, {source: 1.0}), defaultdict(list), []
-    heap, settled = [(0, 0, source)], set()
-    tie = 0
-    while heap:
-        d, _, v = heapq.heappop(heap)
-        if v in settled:
-            continue
-        settled.add(v)
-        order.append(v)
-        for w, weight in adjacency[v]:
-            nd = d + (weight if weighted else 1)
-            if w not in dist or nd < dist[w]:
-                dist[w], sigma[w], parents[w] = nd, sigma[v], [v]
-                tie += 1
-                heapq.heappush(heap, (nd, tie, w))
-            elif nd == dist[w] and w not in settled:
-                sigma[w] += sigma[v]
-                parents[w].append(v)
-    delta: dict = defaultdict(float)
-    for w in reversed(order):
-        for v in parents[w]:
-            delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
-    delta.pop(source, None)
-    return delta, dist
-
-
-def shortest_path_centrality(edges: DataFrame, weighted: bool = True, share: float = 1.0) -> DataFrame:
-    """betweenness (weights as distances if ``weighted``) and closeness (by steps), normalised.
-
-    Every source is one unit of work; the edge list, of checked size, goes with the tasks. With ``share``
-    below 1 that share of sources, by hash, is used and betweenness is scaled up: an estimate.
-    """
-    spark: SparkSession = edges.sparkSession
-    rows = list(_local(edges).itertuples(index=False, name=None))
-    nodes = both_ways(edges).select(F.col("src").alias("node")).distinct()
-    picked = nodes if share >= 1 else nodes.filter(F.pmod(F.xxhash64("node"), F.lit(10_000)) < share * 10_000)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        adjacency = defaultdict(list)
-        for a, b, w in sorted(rows):
-            adjacency[a].append((b, w))
-            adjacency[b].append((a, w))
-        n, total, near = len(adjacency), defaultdict(float), {}
-        for batch in batches:
-            for s in batch["node"]:
-                for v, d in brandes(adjacency, s, weighted)[0].items():
-                    total[v] += d
-                dist, queue = {s: 0}, deque([s])
-                while queue:
-                    v = queue.popleft()
-                    for w, _ in adjacency[v]:
-                        if w not in dist:
-                            dist[w] = dist[v] + 1
-                            queue.append(w)
-                far = sum(dist.values())
-                near[s] = (len(dist) - 1) / far * (len(dist) - 1) / (n - 1) if far and n > 1 else 0.0
-        keys = sorted({*total, *near})
-        yield pd.DataFrame({"node": keys, "b": [total.get(k, 0.0) for k in keys], "c": [near.get(k) for k in keys]}).astype({"c": "Float64"})
+def _spread(edges: DataFrame, column: str = "weight") -> DataFrame:
+    """Both directions of each edge: (src, dst, w)."""
+    return both_ways(edges.select("src", "dst", F.col(column).alias("weight"))).withColumnRenamed("weight", "w")
+
+
+def _distances(edges: DataFrame, sources: DataFrame, steps: Steps) -> DataFrame:
+    """(s, node, d): the length of the shortest way from each source to what it reaches, along ``edges`` (src, dst, w).
+    Only what got nearer in a round is followed in the next one."""
+    front = steps.keep(sources.select(F.col("node").alias("s"), "node", F.lit(0).cast("double").alias("d")), KEPT)
+    dist = front
+    while True:
+        there = front.join(edges, front["node"] == edges["src"]).groupBy("s", F.col("dst").alias("node")).agg(F.min(F.col("d") + F.col("w")).alias("d"))
+        known = dist.withColumnRenamed("d", "old")
+        front = steps.keep(there.join(known, ["s", "node"], "left").filter("old is null or d < old").select("s", "node", "d"), KEPT)
+        if front.isEmpty():
+            return dist
+        dist = steps.keep(dist.unionByName(front).groupBy("s", "node").agg(F.min("d").alias("d")), KEPT)
+
+
+def _sums_along(start: DataFrame, dag: DataFrame, at: str, to: str, steps: Steps) -> list[DataFrame]:
+    """(s, node, x) summed over all ways of 0, 1, 2 and more edges of ``dag`` from ``at`` to ``to``."""
+    parts = [start]
+    while True:
+        x = parts[-1].join(dag.select("s", F.col(at).alias("node"), F.col(to).alias("_to")), ["s", "node"]).groupBy("s", F.col("_to").alias("node")).agg(F.sum("x").alias("x"))
+        x = steps.keep(x, KEPT)
+        if x.isEmpty():
+            return parts
+        parts.append(x)
+
+
+def _dependencies(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, b): over all sources, the share of shortest ways from them that pass a node.
 
+    Edges on shortest ways make an acyclic graph per source. Forward, level by level, the ways to a node are counted;
+    backward, each node hands the reciprocal of its count to those before it, and what comes together at a node times its
+    own count is its dependency.
+    """
+    steps = Steps(edges.sparkSession)
+    dist = _distances(edges, sources, steps)
+    u, v = dist.select("s", F.col("node").alias("src"), F.col("d").alias("du")), dist.select("s", F.col("node").alias("dst"), F.col("d").alias("dv"))
+    dag = steps.keep(u.join(edges, "src").join(v, ["s", "dst"]).filter("du + w = dv").select("s", "src", "dst"), KEPT)
+    total = lambda parts: reduce(DataFrame.unionByName, parts).groupBy("s", "node").agg(F.sum("x").alias("x"))
+    ways = _sums_along(sources.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("x")), dag, "src", "dst", steps)
+    sigma = steps.keep(total(ways), KEPT)
+    back = _sums_along(sigma.select("s", "node", (1 / F.col("x")).alias("x")), dag, "dst", "src", steps)[1:]
+    if not back:
+        return sigma.limit(0).select("node", F.col("x").alias("b"))
+    through = total(back).withColumnRenamed("x", "h").join(sigma, ["s", "node"]).filter("s <> node")
+    out = through.groupBy("node").agg(F.sum(F.col("x") * F.col("h")).alias("b"))
+    return Steps(edges.sparkSession).keep(out)
+
+
+def _batches(nodes: DataFrame, n: int) -> Iterator[DataFrame]:
+    """``nodes`` in parts by hash, so that each part's rows for all nodes are ``PAIR_ROWS``, about."""
+    parts = max(1, -(-n * nodes.count() // PAIR_ROWS))
+    for k in range(parts):
+        yield nodes.filter(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(parts)) == k) if parts > 1 else nodes
+
+
+def sources_for(n: int, error: float, chance: float = 0.05) -> int:
+    """Sources, drawn at random, that bring the normalised betweenness of all ``n`` nodes within ``error`` of the exact one,
+    but for the chance. A source's part of a node's figure lies between 0 and 1, so Hoeffding's bound
+    holds: 2 n exp(-2 k error ** 2) <= chance."""
+    return math.ceil(math.log(2 * n / chance) / (2 * error**2))
+
+
+def betweenness(edges: DataFrame, weighted: bool = True, share: float | None = None, error: float = 0.01) -> DataFrame:
+    """(node, betweenness), normalised; weights are distances if ``weighted``.
+
+    Shortest ways are found for batches of sources at once by joins, so the graph is never in one place. With ``share``
+    below 1 that share of sources, by hash, is taken and the figures are scaled up. Without it all sources are, while
+    sources times edges are within ``EXACT_WORK``; beyond it, as many as ``error`` needs (:func:`sources_for`).
+    """
+    steps = Steps(edges.sparkSession)
+    e = steps.keep(_spread(edges).withColumn("w", (F.col("w") if weighted else F.lit(1)).cast("double")), KEPT)
+    nodes = steps.keep(e.select(F.col("src").alias("node")).distinct(), KEPT)
     n = nodes.count()
+    if share is None:
+        share = 1.0 if n * e.count() <= EXACT_WORK else min(1.0, sources_for(n, error) / n)
+    picked = nodes if share >= 1 else nodes.filter(F.pmod(F.xxhash64("node"), F.lit(10**9)) < share * 10**9)
+    parts = [_dependencies(e, batch) for batch in _batches(picked, n)]
     scale = 1.0 / ((n - 1) * (n - 2)) / min(1.0, share) if n > 2 else 1.0
-    got = picked.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "node string, b double, c double")
-    return got.groupBy("node").agg((F.sum("b") * scale).alias("betweenness"), F.max("c").alias("closeness"))
-
-
-def louvain(rows: list[tuple], rounds: int = 20, activity: dict | None = None) -> dict:
-    """Communities by local moves and contraction, nodes in name order, so the same edges give the same
-    communities. A community is named by its member with most ``activity`` (by default the weights of its edges);
-    of equals by the first."""
-    member = {n: n for a, b, _ in rows for n in (a, b)}
-    graph: dict = defaultdict(lambda: defaultdict(float))
-    for a, b, w in rows:
-        graph[a][b] += w
-        graph[b][a] += w
-    m2 = sum(sum(x.values()) for x in graph.values()) or 1.0
-    for _ in range(rounds):
-        com = {n: n for n in graph}
-        k = {n: sum(x.values()) for n, x in graph.items()}
-        tot = dict(k)
-        moved_any = False
-        moved = True
-        while moved:
-            moved = False
-            for n in sorted(graph):
-                links: dict = defaultdict(float)
-                for o, w in graph[n].items():
-                    if o != n:
-                        links[com[o]] += w
-                own = com[n]
-                tot[own] -= k[n]
-                gain = lambda c: links.get(c, 0.0) - tot[c] * k[n] / m2  # noqa: B023, E731
-                best = max(sorted({own, *links}), key=lambda c: (round(gain(c), 12), c == own))
-                tot[best] += k[n]
-                if best != own:
-                    com[n], moved, moved_any = best, True, True
-        if not moved_any:
+    sums = reduce(DataFrame.unionByName, parts).groupBy("node").agg(F.sum("b").alias("b"))
+    return nodes.join(sums, "node", "left").select("node", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def _near(reach, far, n: int):
+    """Closeness as a share of the nodes that are reached."""
+    return F.when((far > 0) & F.lit(n > 1), (reach - 1) / far * (reach - 1) / F.lit(max(1, n - 1))).otherwise(0.0)
+
+
+def closeness(edges: DataFrame, exact: bool | None = None, bits: int = HLL_BITS) -> DataFrame:
+    """(node, closeness) by steps.
+
+    While nodes times edges are within ``EXACT_WORK`` (or ``exact``), all distances are found by joins, for batches of nodes.
+    Beyond it each node holds a sketch of the nodes within r steps; a round unites the sketches along the edges, and
+    the sums of their sizes over the rounds give the distances. There are as many rounds as the longest distance. A
+    sketch of 2 ** bits bytes has a standard error of 1.04 / sqrt(2 ** bits), 3.3 % of a size at 10 bits; closeness, which has
+    the square of the size over a sum of sizes, has about twice that.
+    """
+    steps = Steps(edges.sparkSession)
+    e = steps.keep(_spread(edges).select("src", "dst", F.lit(1.0).alias("w")), KEPT)
+    nodes = steps.keep(e.select(F.col("src").alias("node")).distinct(), KEPT)
+    n = nodes.count()
+    if exact is None:
+        exact = n * e.count() <= EXACT_WORK
+    if exact:
+        parts = []
+        for batch in _batches(nodes, n):
+            dist = _distances(e, batch, Steps(edges.sparkSession))
+            parts.append(steps.keep(dist.groupBy(F.col("s").alias("node")).agg(F.count(F.lit(1)).alias("reach"), F.sum("d").alias("far")), KEPT))
+        return reduce(DataFrame.unionByName, parts).select("node", _near(F.col("reach"), F.col("far"), n).alias("closeness"))
+    balls = Steps(edges.sparkSession)
+    at = nodes.groupBy("node").agg(F.hll_sketch_agg("node", bits).alias("ball")).select("node", "ball", F.lit(1).cast("long").alias("size"), F.lit(0).cast("long").alias("past"), F.lit(0).alias("rounds"))
+    at = balls.keep(at, 2)
+    while True:
+        own = at.select("node", "ball", "size", "past", "rounds")
+        none = [F.lit(None).cast(at.schema[c].dataType).alias(c) for c in ("size", "past", "rounds")]
+        over = e.join(at.select(F.col("node").alias("src"), "ball"), "src").select(F.col("dst").alias("node"), "ball", *none)
+        grown = own.unionByName(over).groupBy("node").agg(F.hll_union_agg("ball").alias("ball"), F.max("size").alias("was"), F.max("past").alias("past"), F.max("rounds").alias("rounds"))
+        size = F.greatest("was", F.hll_sketch_estimate("ball"))
+        at = balls.keep(grown.select("node", "ball", size.alias("size"), (F.col("past") + F.col("was")).alias("past"), (F.col("rounds") + 1).alias("rounds"), "was"), 2)
+        if at.filter("size > was").isEmpty():
+            # a node within d steps was missing in d rounds: what the last size lacks in each round, summed
+            far = (F.col("size") * F.col("rounds") - F.col("past")).cast("double")
+            return at.select("node", _near(F.least("size", F.lit(n)), far, n).alias("closeness"))
+
+
+def shortest_path_centrality(edges: DataFrame, weighted: bool = True, share: float | None = None) -> DataFrame:
+    """(node, betweenness, closeness): see :func:`betweenness` and :func:`closeness`."""
+    return betweenness(edges, weighted, share).join(closeness(edges), "node")
+
+
+def _settled(graph: DataFrame, start: DataFrame, total: float, steps: Steps) -> DataFrame:
+    """(id, c) after local moves: each round every node looks for the community among its neighbours' that adds most to
+    the modularity, and about half of those that would gain by it move, so that neighbours don't change places for
+    ever. Ends when none would gain, or after ``MOVES`` rounds.
+
+    ``graph``: (src, dst, w) both ways, with loops; ``start``: (id, c); ``total``: sum of all w.
+    """
+    weights = steps.keep(graph.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")), KEPT)
+    over = graph.filter("src <> dst")
+    at = steps.keep(start.join(weights, "id"), KEPT)
+    for turn in range(MOVES):
+        sums = at.groupBy("c").agg(F.sum("k").alias("tot"))
+        links = over.join(at.select(F.col("id").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("w").alias("l"))
+        to = links.unionByName(at.select("id", "c", F.lit(0.0).alias("l"))).groupBy("id", "c").agg(F.sum("l").alias("l"))
+        to = to.join(at.select("id", "k", F.col("c").alias("own")), "id").join(sums, "c")
+        gain = F.round(F.col("l") - (F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) * F.col("k") / total, 9)
+        to = to.select("id", "k", "own", F.struct(gain.alias("g"), (F.col("c") == F.col("own")).alias("stay"), (-F.col("c")).alias("c")).alias("m"))
+        best = to.groupBy("id").agg(F.first("k").alias("k"), F.first("own").alias("own"), F.max("m").alias("m"))
+        best = best.withColumn("to", -F.col("m.c")).withColumn("wants", F.col("to") != F.col("own"))
+        goes = F.col("wants") & (F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0)
+        new = steps.keep(best.select("id", F.when(goes, F.col("to")).otherwise(F.col("own")).alias("c"), "k", "wants"), KEPT)
+        at = new.drop("wants")
+        if new.filter("wants").isEmpty():
             break
-        member = {n: com[c] for n, c in member.items()}
-        folded: dict = defaultdict(lambda: defaultdict(float))
-        for a, x in graph.items():
-            for b, w in x.items():
-                folded[com[a]][com[b]] += w
-        graph = folded
-    if activity is None:
-        activity = defaultdict(float)
-        for a, b, w in rows:
-            activity[a] += w
-            activity[b] += w
-    names: dict = {}
-    for n in sorted(member, key=lambda n: (-activity.get(n, 0), n)):
-        names.setdefault(member[n], n)
-    return {n: names[c] for n, c in member.items()}
+    return at.select("id", "c")
 
 
 def communities(edges: DataFrame, weighted: bool = True) -> DataFrame:
-    """(node, community): community is named by its most active node, by the weights of its edges. One task; the
-    edge list is of checked size."""
-    if edges.count() > MAX_LOCAL_EDGES:
-        raise ValueError(f"communities take up to {MAX_LOCAL_EDGES} edges; use components() first")
-    one = edges.select("src", "dst", (F.col("weight") if weighted else F.lit(1)).cast("double").alias("weight"), F.col("weight").cast("double").alias("_active"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        active = pd.concat([pdf.groupby("src")["_active"].sum(), pdf.groupby("dst")["_active"].sum()]).groupby(level=0).sum()
-        found = louvain(list(pdf[["src", "dst", "weight"]].itertuples(index=False, name=None)), activity=active.to_dict())
-        return pd.DataFrame({"node": list(found), "community": list(found.values())})
-
-    return one.withColumn("_all", F.lit(True)).groupBy("_all").applyInPandas(run, "node string, community string")
+    """(node, community): communities by local moves and contraction (Louvain's method) as joins; a community is named by
+    its most active node, by the weights of its edges, of equals by the first.
+
+    Nodes move in rounds (:func:`_settled`); what has come together is contracted to one node, and so on until nothing
+    moves; then the nodes themselves are settled once more. The same edges give the same communities.
+    """
+    steps = Steps(edges.sparkSession)
+    both = _spread(edges)
+    active = both.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("active"))
+    ids = steps.keep(before(active, [], ["node"], id=("sum", F.lit(1).cast("long"))), KEPT)
+    a, b = ids.select(F.col("node").alias("src"), F.col("id").alias("a")), ids.select(F.col("node").alias("dst"), F.col("id").alias("b"))
+    first = both.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"), (F.col("w") if weighted else F.lit(1)).cast("double").alias("w"))
+    first = graph = steps.keep(first, KEPT)
+    total = first.agg(F.sum("w")).first()[0] or 1.0
+    member = ids.select("id", F.col("id").alias("c"))
+    while True:
+        found = _settled(graph, graph.select(F.col("src").alias("id")).distinct().withColumn("c", F.col("id")), total, steps)
+        if found.filter("id <> c").isEmpty():
+            break
+        member = steps.keep(member.join(found.select(F.col("id").alias("c"), F.col("c").alias("to")), "c").select("id", F.col("to").alias("c")), KEPT)
+        src, dst = found.select(F.col("id").alias("src"), F.col("c").alias("a")), found.select(F.col("id").alias("dst"), F.col("c").alias("b"))
+        graph = steps.keep(graph.join(src, "src").join(dst, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")), KEPT)
+    member = _settled(first, member, total, steps).join(ids, "id")
+    name = member.groupBy("c").agg(F.max("active").alias("active")).join(member, ["c", "active"]).groupBy("c").agg(F.min("node").alias("community"))
+    return member.join(name, "c").select("node", "community")
 
 
 def modularity(edges: DataFrame, parts: DataFrame) -> DataFrame:

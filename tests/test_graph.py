@@ -81,3 +81,48 @@ def test_communities_of_two_cliques(spark):
     got = {r.node: r.community for r in G.communities(e).collect()}
     assert len(set(got.values())) == 2 and all(got[f"x{i}"] == got["x0"] for i in range(5))
     assert G.modularity(e, spark.createDataFrame(list(got.items()), "node string, community string")).first()[0] > 0.4
+
+
+def _steps(rows):
+    """Closeness by breadth-first search."""
+    adj = defaultdict(set)
+    for a, b, _ in rows:
+        adj[a].add(b), adj[b].add(a)
+    out = {}
+    for s in adj:
+        dist, queue = {s: 0}, deque([s])
+        while queue:
+            v = queue.popleft()
+            for w in adj[v]:
+                if w not in dist:
+                    dist[w] = dist[v] + 1
+                    queue.append(w)
+        out[s] = (len(dist) - 1) / sum(dist.values()) * (len(dist) - 1) / (len(adj) - 1)
+    return out
+
+
+def test_closeness_by_sketches(spark):
+    """Within twice the sketches' standard error of the exact one, on average far nearer."""
+    rows = _graph(11, 300, 0.02) + [(f"p{i:03d}", f"p{i + 1:03d}", 1) for i in range(12)]
+    df = spark.createDataFrame(rows, "src string, dst string, weight long")
+    want = _steps(rows)
+    got = {r.node: r.closeness for r in G.closeness(df, exact=False).collect()}
+    off = [abs(got[v] - want[v]) / want[v] for v in want]
+    assert got.keys() == want.keys() and max(off) < 0.2 and sum(off) / len(off) < 0.07
+
+
+def test_centrality_in_batches_and_by_samples(spark, monkeypatch):
+    rows = _graph(12, 40, 0.15)
+    df = spark.createDataFrame(rows, "src string, dst string, weight long")
+    whole = {r.node: r.betweenness for r in G.betweenness(df).collect()}
+    monkeypatch.setattr(G, "PAIR_ROWS", 600)
+    assert {r.node: round(r.betweenness, 12) for r in G.betweenness(df).collect()} == {v: round(x, 12) for v, x in whole.items()}
+    assert G.sources_for(1_000_000, 0.01) == 87_522 and G.sources_for(10, 0.5) == 12
+    some = {r.node: r.betweenness for r in G.betweenness(df, share=0.5).collect()}
+    assert some.keys() == whole.keys() and max(abs(some[v] - whole[v]) for v in whole) < 0.3
+
+
+def test_graphs_of_one_edge_and_of_none(spark):
+    one = spark.createDataFrame([("a", "b", 3)], "src string, dst string, weight long")
+    assert {(r.node, r.betweenness, r.closeness) for r in G.shortest_path_centrality(one).collect()} == {("a", 0.0, 1.0), ("b", 0.0, 1.0)}
+    assert G.shortest_path_centrality(one.limit(0)).count() == 0 and G.closeness(one.limit(0), exact=False).count() == 0
