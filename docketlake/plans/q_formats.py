@@ -143,12 +143,40 @@ def first_reader(f):
 
 
 # ------------------------------------------------------------------ intakes and requests
-@query("src13_csv_intake", "intake", sql="SELECT 'client_id: ' || client_id || chr(10) || 'name: ' || name AS text FROM :intake")
-def csv_intake(i):
+_CLIENTS = "SELECT client_id % 7 AS batch, row_number() OVER (PARTITION BY client_id % 7 ORDER BY client_id DESC)::BIGINT AS client, 'client_id: ' || client_id || chr(10) || 'name: ' || name AS text FROM :intake"
+
+
+def _batches_of_clients(i):
+    """A folder per batch with one file, its clients from the last to the first; files of several folders share their names."""
     path = _folder(i, "intake")
-    i.select("client_id", "name").write.option("header", True).csv(path)
-    text = T.read_intake_csv(i.sparkSession, path).select(F.explode(F.split("text", r"\n\n")).alias("t"))
-    return text.select(F.regexp_replace("t", r"^--- Client \d+ ---\n", "").alias("text"))
+    rows = i.select("client_id", "name", (F.col("client_id") % 7).alias("batch"))
+    rows.repartition("batch").sortWithinPartitions("batch", F.col("client_id").desc()).write.option("header", True).partitionBy("batch").csv(path)
+    return path
+
+
+@query("src13_csv_intake", "intake", sql=f"SELECT string_agg('--- Client ' || client || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY client) AS text FROM ({_CLIENTS}) c GROUP BY batch")
+def csv_intake(i):
+    """Files of clients, each as one text, numbered in the order of the file."""
+    return T.read_intake_csv(i.sparkSession, _batches_of_clients(i)).select("text")
+
+
+@query("src13_clients", "intake", sql=_CLIENTS)
+def csv_clients(i):
+    rows = T.read_intake_clients(i.sparkSession, _batches_of_clients(i))
+    return rows.select(F.regexp_extract("path", r"/batch=(\d+)/", 1).cast("long").alias("batch"), "client", "text")
+
+
+@query("src3_ledes_same_names", "billing", sql="SELECT batch, entry_id AS description, timekeeper, row_number() OVER (PARTITION BY batch ORDER BY entry_id)::BIGINT AS line FROM (SELECT *, ascii(right(entry_id, 1)) % 5 AS batch FROM :billing) b")
+def ledes_of_same_names(b):
+    """Files of one name in several folders: each has its own header, and every other one has its columns turned round."""
+    path = _folder(b, "ledes")
+    rows = b.select((F.ascii(F.right("entry_id", F.lit(1))) % 5).alias("batch"), "entry_id", "timekeeper")
+    turn = lambda x, y: F.when(F.col("batch") % 2 == 0, F.concat_ws("|", x, y, F.lit("[]"))).otherwise(F.concat_ws("|", y, x, F.lit("[]")))
+    head = b.sparkSession.range(5).select(F.col("id").cast("int").alias("batch"), F.lit("").alias("n"), turn(F.lit("LINE_ITEM_DESCRIPTION"), F.lit("TIMEKEEPER_NAME")).alias("value"))
+    lines = rows.select("batch", F.col("entry_id").alias("n"), turn(F.col("entry_id"), F.col("timekeeper")).alias("value")).unionByName(head)
+    lines.repartition("batch").sortWithinPartitions("batch", "n").select("batch", "value").write.partitionBy("batch").text(path)
+    x = T.billing(T.read_ledes(b.sparkSession, path))
+    return x.select((F.ascii(F.right("description", F.lit(1))) % 5).cast("long").alias("batch"), "description", "timekeeper", F.col("_line").alias("line"))
 
 
 @query("src14_requests", "txn", sql="SELECT txn_id || '' AS case_caption, CAST(date AS DATE) AS trigger_date, 'NY' AS jurisdiction, CASE WHEN txn_id % 2 = 0 THEN 'Letter|' || (txn_id % 90) || '|true' ELSE '' END AS own FROM :txn")

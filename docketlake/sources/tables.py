@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docketlake.functions.core import strip
+from docketlake.functions.core import small, strip
 
 # Header names by the field that they fill, in order of preference.
 BILLING = {
@@ -91,23 +91,29 @@ def communications(df: DataFrame) -> DataFrame:
     return x.select(*[F.coalesce(F.nullif(strip(F.col(c)), F.lit("")), F.lit("Unknown")).alias(c) for c in ("sender", "recipient")], any_date(F.col("datetime")).alias("datetime"), F.substring(F.coalesce("content_preview", F.lit("")), 1, 500).alias("content_preview"), F.coalesce("type", F.lit("")).alias("type"), _number("duration").alias("duration"), *[c for c in ("_source_file", "_line") if c in x.columns])
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None, recursive: bool = True, multi_line: bool = True) -> DataFrame:
-    """CSV files as strings with ``_source_file``; rows that do not fit are dropped. Without ``encoding``, files
-    are read as UTF-8 and those that are not UTF-8 as Latin-1. Files whose quoted fields hold no line breaks are
-    split among tasks with ``multi_line`` off."""
+def _csv(spark: SparkSession, path: str, encoding: str | None, recursive: bool, multi_line: bool) -> DataFrame:
+    """CSV rows with their file's name and path, split and id."""
     def read(enc: str) -> DataFrame:
         r = spark.read.option("header", True).option("mode", "DROPMALFORMED").option("encoding", enc).option("recursiveFileLookup", recursive).option("multiLine", multi_line).option("escape", '"')
-        return r.csv(path).withColumn("_source_file", F.col("_metadata.file_name")).withColumn("_source_path", F.col("_metadata.file_path"))
+        m = "_metadata."
+        return r.csv(path).withColumns({"_source_file": F.col(m + "file_name"), "_source_path": F.col(m + "file_path"), "_split": F.col(m + "file_block_start"), "_id": F.monotonically_increasing_id()})
 
     if encoding:
-        return read(encoding).drop("_source_path")
+        return read(encoding)
     lines = spark.read.option("recursiveFileLookup", recursive).text(path)
     odd = lines.filter(~F.is_valid_utf8("value")).select(F.col("_metadata.file_path").alias("_source_path")).distinct()
     plain = read("UTF-8")
     if odd.isEmpty():
-        return plain.drop("_source_path")
+        return plain
     latin = read("ISO-8859-1").join(odd, "_source_path", "left_semi")
-    return plain.join(odd, "_source_path", "left_anti").unionByName(latin, allowMissingColumns=True).drop("_source_path")
+    return plain.join(odd, "_source_path", "left_anti").unionByName(latin, allowMissingColumns=True)
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None, recursive: bool = True, multi_line: bool = True) -> DataFrame:
+    """CSV files as strings with ``_source_file``; rows that do not fit are dropped. Without ``encoding``, files
+    are read as UTF-8 and those that are not UTF-8 as Latin-1. Files whose quoted fields hold no line breaks are
+    split among tasks with ``multi_line`` off."""
+    return _csv(spark, path, encoding, recursive, multi_line).drop("_source_path", "_split", "_id")
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
@@ -115,12 +121,29 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def _placed(rows: DataFrame, out: str) -> DataFrame:
+    """``rows`` (path, _split, _id, ...) with ``out``: running numbers from 0 within their file.
+
+    A split of a file is one task's, and ids ascend within it, so a row's number is its distance from the first id of
+    its split, after the rows of the file's splits before. There is a row per split to look that up in, and no
+    task sorts a file.
+    """
+    per = rows.groupBy("path", "_split").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    ahead = Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_base", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
+    return rows.join(small(per.drop("_n"), SPLITS), ["path", "_split"]).withColumn(out, F.col("_base") + F.col("_id") - F.col("_first")).drop("_base", "_first", "_split", "_id")
+
+
+#: Up to so many splits of files their table is broadcast (about 20 MB).
+SPLITS = 100_000
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, text): lines numbered from 0 within their file. Files are split among tasks; a line's place is
-    that of its split and its number there."""
-    at = F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
-    rows = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), at.alias("at"), F.regexp_replace("value", r"\r$", "").alias("text"))
-    return rows.select("file", (F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1).alias("line"), "text")
+    """(path, file, line, text): lines numbered from 0 within their file. Files of the same name in several folders are
+    told apart by ``path``."""
+    rows = spark.read.option("recursiveFileLookup", True).text(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", r"\r$", "").alias("text"))
+    return _placed(rows, "line").select("path", "file", "line", "text")
 
 
 def read_ledes(spark: SparkSession, path: str) -> DataFrame:
@@ -131,8 +154,8 @@ def read_ledes(spark: SparkSession, path: str) -> DataFrame:
     cells = F.split(F.regexp_replace("t", r"\[\]$", ""), r"\|", -1)
     cells = F.when(F.element_at(cells, -1) == "", F.slice(cells, 1, F.size(cells) - 1)).otherwise(cells)
     rows = rows.withColumn("cells", F.transform(cells, strip))
-    head = rows.groupBy("file").agg(F.min_by(F.transform("cells", lambda c: F.replace(F.lower(c), F.lit(" "), F.lit("_"))), "line").alias("head"), F.min("line").alias("first"))
-    body = rows.join(head, "file").filter("line > first")
+    head = rows.groupBy("path").agg(F.min_by(F.transform("cells", lambda c: F.replace(F.lower(c), F.lit(" "), F.lit("_"))), "line").alias("head"), F.min("line").alias("first"))
+    body = rows.join(head, "path").filter("line > first")
     padded = F.slice(F.concat("cells", F.array_repeat(F.lit(""), F.size("head"))), F.lit(1), F.size("head"))
     named = F.filter(F.arrays_zip(F.col("head").alias("k"), padded.alias("v")), lambda e, i: F.array_position("head", e["k"]) == i + 1)
     body = body.withColumn("m", F.map_from_entries(named))
@@ -175,14 +198,23 @@ def read_intake_json(spark: SparkSession, path: str) -> DataFrame:
     return df.select("file", F.array_join(F.transform(F.map_entries(pairs), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n").alias("text"))
 
 
+def read_intake_clients(spark: SparkSession, path: str) -> DataFrame:
+    """(path, file, client, text): the clients of CSV files, numbered from 1 in the order of their file's rows."""
+    df = _csv(spark, path, None, True, True)
+    df = df.withColumnRenamed("_source_path", "path").withColumnRenamed("_source_file", "file")
+    cols = [c for c in df.columns if c not in ("path", "file", "_split", "_id")]
+    value = lambda c: F.nullif(strip(F.col(f"`{c}`")), F.lit(""))
+    one = F.concat_ws("\n", *[F.when(value(c).isNotNull(), F.concat(F.lit(f"{c}: "), F.col(f"`{c}`"))) for c in cols])
+    rows = _placed(df.select("path", "file", "_split", "_id", one.alias("text")), "client")
+    return rows.select("path", "file", (F.col("client") + 1).cast("long").alias("client"), "text")
+
+
 def read_intake_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(file, text): a file's clients, each under a heading, as one text."""
-    df = read_csv(spark, path)
-    cols = [c for c in df.columns if c != "_source_file"]
-    one = F.concat_ws("\n", *[F.when(F.col(f"`{c}`").isNotNull(), F.concat(F.lit(f"{c}: "), F.col(f"`{c}`"))) for c in cols])
-    rows = df.select(F.col("_source_file").alias("file"), one.alias("t")).withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("t")))
-    block = F.concat(F.lit("--- Client "), F.col("n").cast("string"), F.lit(" ---\n"), F.col("t"))
-    return rows.groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("text"))
+    """(file, text): a file's clients, each under a heading, as one text, in the order of its rows."""
+    rows = read_intake_clients(spark, path)
+    block = F.concat(F.lit("--- Client "), F.col("client").cast("string"), F.lit(" ---\n"), F.col("text"))
+    whole = rows.groupBy("path").agg(F.first("file").alias("file"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("client", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("text"))
+    return whole.select("file", "text")
 
 
 def read_requests(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:

@@ -97,6 +97,16 @@ def test_intakes_text_and_calendar(spark, tmp_path):
     assert Ta.read_intake_json(spark, str(j)).first().text.split("\n") == ["age: 4", "name: Bob"]
     c = _write(tmp_path / "c.csv", "name,note\nBob,x\n")
     assert Ta.read_intake_csv(spark, c).first().text == "--- Client 1 ---\nname: Bob\nnote: x"
+    two = tmp_path / "two"
+    for folder, text in (("a", "name,note\nZoe,1\nAda,\n\"B\nC\",2\n"), ("b", "name,note\nEve,\n")):
+        (two / folder).mkdir(parents=True)
+        _write(two / folder / "c.csv", text)
+    assert sorted(r.text for r in Ta.read_intake_csv(spark, str(two)).collect()) == ["--- Client 1 ---\nname: Eve", "--- Client 1 ---\nname: Zoe\nnote: 1\n\n--- Client 2 ---\nname: Ada\n\n--- Client 3 ---\nname: B\nC\nnote: 2"]
+    for folder, head, row in (("x", "INVOICE_DATE|TIMEKEEPER_NAME", "20240101|Ann"), ("y", "TIMEKEEPER_NAME|INVOICE_DATE", "Bob|20240102")):
+        (tmp_path / "l" / folder).mkdir(parents=True)
+        _write(tmp_path / "l" / folder / "x.txt", f"LEDES1998B[]\n{head}|[]\n{row}|[]\n")
+    got = Ta.billing(Ta.read_ledes(spark, str(tmp_path / "l"))).collect()
+    assert sorted((r.timekeeper, r.date.day, r._line) for r in got) == [("Ann", 1, 2), ("Bob", 2, 2)]
     t = _write(tmp_path / "t.md", "# Head\nbody")
     assert [(r.text, r.level) for r in Ta.read_text_blocks(spark, t).orderBy("pos").collect()] == [("Head", 1), ("body", 0)]
     due = spark.createDataFrame([(1, 0, "Answer, due", dt.date(2024, 1, 5), "R 1")], "request_id long, step int, name string, due date, rule string")
