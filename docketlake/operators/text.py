@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -420,8 +420,43 @@ def chunk_mode(bounds: DataFrame, least: int = 3) -> DataFrame:
     return bounds.groupBy("doc_id").agg(F.sum((F.col("confidence") >= 70).cast("long")).alias("strong")).withColumn("mode", F.when(F.col("strong") >= least, "structure").otherwise("tokens"))
 
 
-def count_tokens(text: Column) -> Column:
-    return F.floor(F.length(text) / 4).cast("long")
+def count_tokens(text: Column, vocabulary: str | None = None) -> Column:
+    """Tokens of a text: a quarter of its characters or, with the file of a byte-level vocabulary (lines of a token in
+    base 64 and its rank), those that it is encoded in. Null texts have none."""
+    if vocabulary is None:
+        return F.floor(F.length(text) / 4).cast("long")
+    count = counter(vocabulary)
+
+    @F.pandas_udf("bigint")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: 0 if t is None else count(t)).astype("int64")
+
+    return run(text)
+
+
+#: Fixed value: how byte-level vocabularies split a text before they merge.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_encodings: dict = {}
+
+
+def counter(vocabulary: str | None) -> Callable[[str], int]:
+    """A function that counts tokens; a vocabulary is read here and travels with it (under a megabyte)."""
+    if vocabulary is None:
+        return lambda t: len(t) // 4
+    with open(vocabulary, "rb") as f:
+        content = f.read()
+
+    def count(text: str) -> int:
+        if vocabulary not in _encodings:
+            import base64
+
+            import tiktoken
+
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines())}
+            _encodings[vocabulary] = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        return len(_encodings[vocabulary].encode_ordinary(text))
+
+    return count
 
 
 def sentence_chunks(text: str, most: int, overlap: int, count=lambda s: len(s) // 4) -> Iterator[str]:
@@ -448,12 +483,13 @@ def sentence_chunks(text: str, most: int, overlap: int, count=lambda s: len(s) /
         yield " ".join(x for x, _ in held)
 
 
-def chunk_documents(docs: DataFrame, most: int = 4000, overlap: int = 200) -> DataFrame:
-    """(doc_id, chunk, text, tokens) of documents (doc_id, text)."""
+def chunk_documents(docs: DataFrame, most: int = 4000, overlap: int = 200, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, chunk, text, tokens) of documents (doc_id, text); tokens as of :func:`count_tokens`."""
+    count = counter(vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(d, i, c, len(c) // 4) for d, t in zip(b["doc_id"], b["text"]) for i, c in enumerate(sentence_chunks(t or "", most, overlap))]
+            rows = [(d, i, c, count(c)) for d, t in zip(b["doc_id"], b["text"]) for i, c in enumerate(sentence_chunks(t or "", most, overlap, count))]
             if rows:
                 yield pd.DataFrame(rows, columns=["doc_id", "chunk", "text", "tokens"])
 
@@ -472,49 +508,70 @@ def page_estimates(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.drop("_before", "_n", "pages", "n_chars")
 
 
-def structure_chunks(sections: DataFrame, most: int = 4000, small: int = 100) -> DataFrame:
-    """Sections (doc_id, pos, heading, text) merged while small or while the sum stays under 0.8 of ``most``;
-    larger ones are split at sentences. Order is per document."""
+#: The heading of what stands before the first one.
+PREAMBLE = "Preamble"
+
+
+def structure_chunks(sections: DataFrame, most: int = 4000, overlap: int = 200, small: int = 100, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, chunk, heading, text, tokens) of sections (doc_id, pos, heading, text).
+
+    A section joins the chunk before it while that is under ``small`` tokens, or the sum under 0.8 of ``most``; headings
+    are joined by slashes, but a chunk still under ``small`` takes the later one alone. A section above ``most`` is
+    cut at sentences with ``overlap``, its parts numbered; a chunk before it that is under ``small`` goes in front of it.
+    Null headings are the preamble's. Order is per document.
+    """
+    count = counter(vocabulary)
 
     def one(doc: pd.DataFrame) -> pd.DataFrame:
-        out, held, size, head = [], [], 0, None
+        out: list[list] = []  # heading, text, tokens
+        held: list | None = None
         for heading, text in doc.sort_values("pos")[["heading", "text"]].itertuples(index=False):
-            n = len(text) // 4
+            heading, text = heading or PREAMBLE, text or ""
+            n = count(text)
             if n > most:
-                if held:
-                    out.append((head, "\n\n".join(held)))
-                    held, size, head = [], 0, None
-                out += [(heading, c) for c in sentence_chunks(text, most, 0)]
-            elif held and not (size < small or size + n < 0.8 * most):
-                out.append((head, "\n\n".join(held)))
-                held, size, head = [text], n, heading
+                if held and held[2] < small:
+                    text = f"{held[1]}\n\n{text}"
+                elif held:
+                    out.append(held)
+                held = None
+                parts = list(sentence_chunks(text, most, overlap, count))
+                out += [[f"{heading} (part {k})" if len(parts) > 1 else heading, p, count(p)] for k, p in enumerate(parts, 1)]
+            elif held and (held[2] < small or held[2] + n < 0.8 * most):
+                held[1] += f"\n\n{text}"
+                held[2] += n
+                if (held[0], heading) != (PREAMBLE, PREAMBLE):
+                    held[0] = heading if held[2] < small else f"{held[0]} / {heading}"
             else:
-                held.append(text)
-                size += n
-                head = head or heading
+                if held:
+                    out.append(held)
+                held = [heading, text, n]
         if held:
-            out.append((head, "\n\n".join(held)))
+            out.append(held)
         d = doc["doc_id"].iloc[0]
-        return pd.DataFrame([(d, i, h, t, len(t) // 4) for i, (h, t) in enumerate(out)], columns=["doc_id", "chunk", "heading", "text", "tokens"])
+        return pd.DataFrame([(d, i, *x) for i, x in enumerate(out)], columns=["doc_id", "chunk", "heading", "text", "tokens"])
 
     return sections.select("doc_id", "pos", "heading", "text").groupBy("doc_id").applyInPandas(one, "doc_id bigint, chunk bigint, heading string, text string, tokens bigint")
 
 
 def paragraph_chunks(text: Column, most: int = 100_000) -> Column:
-    """Pieces of at most ``most`` characters, cut at the last paragraph break before the limit where there is one."""
+    """Pieces of at most ``most`` characters that join to the text: each ends after the last paragraph break that fits
+    in, else after the last end of a sentence (a full stop and a space), else where it is full. A null text has no pieces, an
+    empty one has itself."""
 
     @F.pandas_udf("array<string>")
     def cut(s: pd.Series) -> pd.Series:
-        def pieces(t: str) -> list[str]:
-            out = []
-            while len(t) > most:
-                at = t.rfind("\n\n", 0, most)
-                at = at if at > 0 else most
-                out.append(t[:at])
-                t = t[at:].lstrip("\n")
-            return [*out, t] if t else out
-
-        return s.fillna("").map(pieces)
+        def pieces(t: str | None) -> list[str]:
+            if t is None:
+                return []
+            out, at = [], 0
+            while len(t) - at > most:
+                ends = (t.rfind(mark, at, at + most) for mark in ("\n\n", ". "))
+                end = next((e + 2 for e in ends if e > at), at + most)
+                out.append(t[at:end])
+                at = end
+            return [*out, t[at:]]
+
+        return s.map(pieces)
 
     return cut(text)
 

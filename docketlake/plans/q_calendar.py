@@ -73,10 +73,16 @@ def deadlines(t):
     return C.deadlines(_requests(t), C.calendar_of(t, "date"), C.chains(s), C.service_days(s)).select("request_id", "step", "name", "due")
 
 
-@query("dln7_chains", "txn", sql="SELECT count(*)::BIGINT AS n_steps, " + str(sum(len(C.STATE_CHAINS.get((j, e), c)) for j in C.JURISDICTIONS for e, c in C.FEDERAL_CHAINS.items())) + "::BIGINT AS n_known FROM (SELECT unnest(range(" + str(sum(len(C.STATE_CHAINS.get((j, e), c)) for j in C.JURISDICTIONS for e, c in C.FEDERAL_CHAINS.items())) + "))) z")
+_NAMES = ", ".join(f"({i}, '{_rules(j)}')" for i, j in enumerate(PLACES)), ", ".join(f"({k}, '{e}')" for k, e in enumerate(C.FEDERAL_CHAINS))
+
+
+@query("dln7_chains", "txn", sql=f"WITH {RANK} SELECT jn.jurisdiction, en.event_type, s.step, s.name, s.days, s.biz AS business_days, s.prev AS from_previous, sum(n.n)::BIGINT AS requests FROM s JOIN (SELECT txn_id % 7 AS j, txn_id % 5 AS e, count(*) AS n FROM :txn GROUP BY 1, 2) n ON n.j = s.j AND n.e = s.e JOIN (VALUES {_NAMES[0]}) jn(j, jurisdiction) ON jn.j = s.j JOIN (VALUES {_NAMES[1]}) en(e, event_type) ON en.e = s.e GROUP BY ALL")
 def chain_table(t):
-    c = C.chains(SparkSession.active())
-    return c.agg(F.count("*").alias("n_steps"), F.countDistinct("jurisdiction", "event_type", "step").alias("n_known"))
+    """The steps of all chains that requests follow, and how many do; places without rules follow the federal ones."""
+    j = F.when(F.col("jurisdiction").isin(list(C.JURISDICTIONS)), F.col("jurisdiction")).otherwise("federal")
+    asked = _requests(t).groupBy(j.alias("jurisdiction"), "event_type").agg(F.count("*").alias("requests"))
+    steps = C.chains(SparkSession.active()).select("jurisdiction", "event_type", "step", "name", "days", "business_days", "from_previous")
+    return steps.join(asked, ["jurisdiction", "event_type"])
 
 
 _OWN = "SELECT txn_id AS request_id, 1000 AS step, 'Status letter' AS name, c1.nb AS due FROM q LEFT JOIN c c1 ON c1.day = d + 45 UNION ALL SELECT txn_id, 1001, 'Custom Deadline', c2.day FROM q LEFT JOIN c c0 ON c0.day = d LEFT JOIN c c2 ON c2.bd AND c2.seq = c0.seq + 10 UNION ALL SELECT txn_id, 1002, 'Default', c1.nb FROM q LEFT JOIN c c1 ON c1.day = d + 30"

@@ -55,16 +55,16 @@ def people(c):
     return c.select(F.col("sender").alias("who")).union(c.select("recipient")).distinct().filter(~F.col("who").isin("Unknown", "Group"))
 
 
-@query("set3_lost_participants", "comm", sql="SELECT DISTINCT sender AS who FROM :comm WHERE datetime < TIMESTAMP '2024-01-03' EXCEPT SELECT sender FROM :comm WHERE datetime >= TIMESTAMP '2024-01-20'")
+@query("set3_lost_participants", "comm", sql="SELECT DISTINCT sender AS who FROM :comm WHERE datetime < TIMESTAMP '2024-01-02' EXCEPT SELECT sender FROM :comm WHERE datetime >= TIMESTAMP '2024-01-30 18:00:00'")
 def lost_people(c):
-    early = c.filter(F.col("datetime") < F.to_timestamp(F.lit("2024-01-03"))).select(F.col("sender").alias("who"))
-    return early.subtract(c.filter(F.col("datetime") >= F.to_timestamp(F.lit("2024-01-20"))).select("sender"))
+    early = c.filter(F.col("datetime") < F.to_timestamp(F.lit("2024-01-02"))).select(F.col("sender").alias("who"))
+    return early.subtract(c.filter(F.col("datetime") >= F.to_timestamp(F.lit("2024-01-30 18:00:00"))).select("sender"))
 
 
-@query("set3_new_participants", "comm", sql="SELECT DISTINCT sender AS who FROM :comm WHERE datetime >= TIMESTAMP '2024-01-20' EXCEPT SELECT sender FROM :comm WHERE datetime < TIMESTAMP '2024-01-03'")
+@query("set3_new_participants", "comm", sql="SELECT DISTINCT sender AS who FROM :comm WHERE datetime >= TIMESTAMP '2024-01-30 18:00:00' EXCEPT SELECT sender FROM :comm WHERE datetime < TIMESTAMP '2024-01-02'")
 def new_people(c):
-    late = c.filter(F.col("datetime") >= F.to_timestamp(F.lit("2024-01-20"))).select(F.col("sender").alias("who"))
-    return late.subtract(c.filter(F.col("datetime") < F.to_timestamp(F.lit("2024-01-03"))).select("sender"))
+    late = c.filter(F.col("datetime") >= F.to_timestamp(F.lit("2024-01-30 18:00:00"))).select(F.col("sender").alias("who"))
+    return late.subtract(c.filter(F.col("datetime") < F.to_timestamp(F.lit("2024-01-02"))).select("sender"))
 
 
 @query("grf5_contact_edges", "comm", sql=EDGES)

@@ -223,6 +223,15 @@ def tokens(b):
     return b.select("pos", T.count_tokens(F.col("text")).alias("tokens"))
 
 
+#: A public vocabulary.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query("chk6_vocabulary_tokens", "segment")
+def vocabulary_tokens(s):
+    return s.select("rec_id", "id", T.count_tokens(F.col("text"), VOCABULARY).alias("tokens"))
+
+
 @query("chk7_mode", "block", sql=f"SELECT doc_id, count(*) FILTER (WHERE confidence >= 70)::BIGINT AS strong, CASE WHEN count(*) FILTER (WHERE confidence >= 70) >= 3 THEN 'structure' ELSE 'tokens' END AS mode FROM ({BOUND}) q GROUP BY doc_id")
 def mode(b):
     return T.chunk_mode(T.boundaries(b))
@@ -247,12 +256,13 @@ def token_chunks(s):
 
 @query("chk4_structure_chunks", "block")
 def structure(b):
-    return T.structure_chunks(T.running_section(b.withColumn("pos", F.col("pos"))).select("doc_id", "pos", F.col("section").alias("heading"), "text"), 60)
+    return T.structure_chunks(T.running_section(b).select("doc_id", "pos", F.col("section").alias("heading"), "text"), 24, 4, 8)
 
 
 @query("chk8_paragraph_chunks", "segment")
 def para_chunks(s):
-    return s.select("rec_id", "id", F.size(T.paragraph_chunks(F.col("text"), 500)).cast("long").alias("chunks"))
+    """All pieces of all texts."""
+    return s.select("rec_id", "id", F.posexplode(T.paragraph_chunks(F.col("text"), 500)).alias("piece", "text"))
 
 
 @query("chk5_page_estimates", "block", sql="SELECT doc_id, k AS chunk, greatest(1, (k * 40 * 7) // (n * 40) + 1)::BIGINT AS start_page, least(greatest(1, (k * 40 * 7) // (n * 40) + 1) + greatest(1, 7 // n), 7)::BIGINT AS end_page FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM :block) q")

@@ -117,31 +117,86 @@ def test_token_chunks(spark):
 def test_structure_chunks(spark):
     sections = collections.defaultdict(list)
     for r in sorted(T.running_section(lens(spark, SF, "block")).collect(), key=lambda r: (r.doc_id, r.pos)):
-        sections[r.doc_id].append((r.section, r.text))
+        sections[r.doc_id].append((r.section or "Preamble", r.text))
     want = {}
+    size = lambda group: sum(len(t) // 4 for _, t in group)
     for d, parts in sections.items():
-        groups = []  # lists of (heading, text); a part that is too large is a group of its own, cut at sentences
+        groups = []  # lists of sections that stay together; one above 24 tokens takes a small one before it along
         for h, t in parts:
-            n, last = len(t) // 4, groups[-1] if groups and groups[-1] else None
-            size = sum(len(x) // 4 for _, x in last) if last else 0
-            if n > 60:
-                groups += [[(h, c)] for c in plain_chunks(t, 60, 0)] + [[]]
-            elif last and (size < 100 or size + n < 48):
+            last = groups[-1] if groups and size(groups[-1][-1:]) <= 24 else None
+            if len(t) // 4 > 24:
+                groups = groups[:-1] + [[*last, (h, t)]] if last and size(last) < 8 else [*groups, [(h, t)]]
+            elif last and (size(last) < 8 or size(last) + len(t) // 4 < 0.8 * 24):
                 last.append((h, t))
             else:
                 groups.append([(h, t)])
-        for i, g in enumerate(g for g in groups if g):
-            want[d, i] = (g[0][0], "\n\n".join(t for _, t in g))
-    assert {(r.doc_id, r.chunk): (r.heading, r.text) for r in run(spark, "chk4_structure_chunks")} == want
+        chunks = []
+        for g in groups:
+            text = "\n\n".join(t for _, t in g)
+            if len(g[-1][1]) // 4 > 24:
+                cut = plain_chunks(text, 24, 4)
+                chunks += [(g[-1][0] + (f" (part {k})" if len(cut) > 1 else ""), c, len(c) // 4) for k, c in enumerate(cut, 1)]
+                continue
+            head = g[0][0]
+            for k in range(1, len(g)):
+                if (head, g[k][0]) != ("Preamble", "Preamble"):
+                    head = g[k][0] if size(g[: k + 1]) < 8 else f"{head} / {g[k][0]}"
+            chunks.append((head, text, size(g)))
+        want |= {(d, i): c for i, c in enumerate(chunks)}
+    got = {(r.doc_id, r.chunk): (r.heading, r.text, r.tokens) for r in run(spark, "chk4_structure_chunks")}
+    assert got == want
+
+
+def test_structure_chunks_of_large_sections(spark):
+    long = " ".join(f"Sentence number {i} is here." for i in range(12))
+    rows = [(1, 0, None, "tiny"), (1, 1, "A", long), (1, 2, "B", "b" * 60), (1, 3, "C", long), (1, 4, "D", "d" * 20), (2, 0, "X", "x" * 400), (3, 0, None, "p"), (3, 1, None, "q"), (3, 2, "E", "e" * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, pos long, heading string, text string")
+    got = collections.defaultdict(list)
+    for r in T.structure_chunks(df, 40, 10, 8).orderBy("doc_id", "chunk").collect():
+        got[r.doc_id].append((r.heading, r.text, r.tokens))
+    parts = lambda t: plain_chunks(t, 40, 10)
+    named = lambda h, t: [(f"{h} (part {k})", c, len(c) // 4) for k, c in enumerate(parts(t), 1)]
+    assert got[1] == [*named("A", f"tiny\n\n{long}"), ("B", "b" * 60, 15), *named("C", long), ("D", "d" * 20, 5)]
+    assert got[2] == [("X", "x" * 400, 100)] and got[3] == [("Preamble / E", "p\n\nq\n\n" + "e" * 40, 10)]
+
+
+def pieces_of(text, most):
+    """By looking at each possible end from the back."""
+    out = []
+    while len(text) > most:
+        for mark in ("\n\n", ". "):
+            ends = [k for k in range(1, most - 1) if text[k : k + 2] == mark]
+            if ends:
+                break
+        cut = ends[-1] + 2 if ends else most
+        out.append(text[:cut])
+        text = text[cut:]
+    return [*out, text]
 
 
 def test_paragraph_chunks(spark):
-    texts = ["", "a" * 12, "ab\n\ncd\n\nefghij", "\n\nabcdefgh", None]
+    texts = ["", "a" * 12, "ab\n\ncd\n\nefghij", "\n\nabcdefgh", None, "a. bcdefgh. i", "ab. c\n\nd. efghij", ". abcdefg"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string").select("id", T.paragraph_chunks(F.col("t"), 5).alias("p"))
-    assert {r.id: list(r.p) for r in df.collect()} == {0: [], 1: ["aaaaa", "aaaaa", "aa"], 2: ["ab", "cd", "efghi", "j"], 3: ["\n\nabc", "defgh"], 4: []}
-    want = {(r.rec_id, r.id): -(-len(r.text) // 500) for r in rows(spark, "segment") if "\n\n" not in r.text}
-    got = {(r.rec_id, r.id): r.chunks for r in run(spark, "chk8_paragraph_chunks")}
-    assert want and all(got[k] == n for k, n in want.items())
+    assert {r.id: list(r.p) for r in df.collect()} == {i: [] if t is None else pieces_of(t, 5) for i, t in enumerate(texts)}
+    got = collections.defaultdict(dict)
+    for r in run(spark, "chk8_paragraph_chunks"):
+        got[r.rec_id, r.id][r.piece] = r.text
+    want = {(r.rec_id, r.id): pieces_of(r.text, 500) for r in rows(spark, "segment")}
+    assert {k: [p[i] for i in sorted(p)] for k, p in got.items()} == want and any(len(p) > 1 for p in want.values())
+
+
+def test_vocabulary_tokens(spark):
+    import base64
+
+    import tiktoken
+
+    from docketlake.plans.q_text import VOCABULARY
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(VOCABULARY, "rb"))}
+    e = tiktoken.Encoding("plain", pat_str=T.SPLIT, mergeable_ranks=ranks, special_tokens={})
+    assert {(r.rec_id, r.id): r.tokens for r in run(spark, "chk6_vocabulary_tokens")} == {(r.rec_id, r.id): len(e.encode_ordinary(r.text)) for r in rows(spark, "segment")}
+    df = spark.createDataFrame([(1, "One two three. Four five six. Seven eight nine ten."), (2, None)], "doc_id long, text string")
+    assert [(r.chunk, r.text, r.tokens) for r in T.chunk_documents(df, 8, 4, VOCABULARY).orderBy("chunk").collect()] == [(0, "One two three. Four five six.", 8), (1, "Four five six. Seven eight nine ten.", 9)]
 
 
 def test_diffs_replay(spark):

@@ -22,7 +22,7 @@ def test_matches_sql(spark, con, name):
 
 #: Queries that SQL cannot say; each is held against a plain version in the test named.
 PLAIN = {
-    "chk3_chk5_token_chunks": "test_token_chunks", "chk4_structure_chunks": "test_structure_chunks", "chk8_paragraph_chunks": "test_paragraph_chunks", "chr4_dedup_events": "test_events_are_kept_in_order", "chr6_conflicts": "test_conflicts_are_of_classes", "chr4_first_statements": "test_first_statements", "chr6_statement_conflicts": "test_statement_conflicts",
+    "chk3_chk5_token_chunks": "test_token_chunks", "chk4_structure_chunks": "test_structure_chunks", "chk8_paragraph_chunks": "test_paragraph_chunks", "chk6_vocabulary_tokens": "test_vocabulary_tokens", "chr4_dedup_events": "test_events_are_kept_in_order", "chr6_conflicts": "test_conflicts_are_of_classes", "chr4_first_statements": "test_first_statements", "chr6_statement_conflicts": "test_statement_conflicts",
     "dif1_dif2_paragraph_diff": "test_diffs_replay", "dif5_similarity": "test_similarity", "grf10_communities": "test_communities_are_settled", "grf12_entity_communities": "test_entity_communities", "grf13_key_players": "test_ranks_and_closeness",
     "grf7_grf8_path_centrality": "test_ranks_and_closeness", "grf9_pagerank": "test_ranks_and_closeness", "viz4_matrix": "test_matrix", "win6_dep1_topics": "test_topics", "win9_page_layout": "test_pages",
 }
