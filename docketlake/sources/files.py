@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketlake.functions.scratch import Steps
+
 MAIL_SCHEMA = (
     "source_file string, email_idx bigint, message_id string, date string, sender string, recipients string, cc string, bcc string, subject string, body string, in_reply_to string, refs string, "
     "attachments array<struct<filename: string, size: bigint, type: string>>"
@@ -206,29 +208,30 @@ def parse_xlsx(name: str, data: bytes) -> list[tuple]:
 ROWS_AT_ONCE = 1000
 
 
-def parsed(files: DataFrame, parse: Callable[[str, bytes], list[tuple]], schema: str) -> DataFrame:
-    """Rows of ``parse`` over binary files (path, content), and ``_error`` for files that it fails on."""
+def parsed(files: DataFrame, parse: Callable[[str, bytes], list[tuple]], schema: str, path: bool = False) -> DataFrame:
+    """Rows of ``parse`` over binary files (path, content), and ``_error`` for files that it fails on; with ``path``,
+    the file's ``_path`` too, as names may come twice."""
     names = [c.strip().split(" ")[0] for c in re.split(r",(?![^<]*>)", schema)]
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[*names, "_error"]).astype({n: "Int64" for n in names if f"{n} bigint" in schema})
+        return pd.DataFrame(rows, columns=[*names, "_error", *["_path"] * path]).astype({n: "Int64" for n in names if f"{n} bigint" in schema})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             held: list[tuple] = []
-            for path, content in zip(b["path"], b["content"]):
-                name = path.rsplit("/", 1)[-1]
+            for place, content in zip(b["path"], b["content"]):
+                name, own = place.rsplit("/", 1)[-1], [place] * path
                 try:
-                    held += [(*r, None) for r in parse(name, bytes(content))]
+                    held += [(*r, None, *own) for r in parse(name, bytes(content))]
                 except Exception as e:  # one bad file does not end the job: it is reported as a row
-                    held.append((name, *[None] * (len(names) - 1), f"{type(e).__name__}: {e}"))
+                    held.append((name, *[None] * (len(names) - 1), f"{type(e).__name__}: {e}", *own))
                 if len(held) >= ROWS_AT_ONCE:
                     yield frame(held)
                     held = []
             if held:
                 yield frame(held)
 
-    return files.select("path", "content").mapInPandas(run, f"{schema}, _error string")
+    return files.select("path", "content").mapInPandas(run, f"{schema}, _error string" + ", _path string" * path)
 
 
 def read_eml(spark: SparkSession, path: str) -> DataFrame:
@@ -248,11 +251,20 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """Strings by header, of the header in each file's first row, for files with the same columns."""
-    rows = parsed(binary(spark, path, "*.xlsx"), parse_xlsx, "file string, line bigint, cells array<string>").filter("_error is null")
-    head = rows.filter("line = 0").select("cells").first()
-    names = [str(c or f"column_{i}") for i, c in enumerate(head[0])] if head else []
-    return rows.filter("line > 0").select(*[F.try_element_at("cells", F.lit(i + 1)).alias(n) for i, n in enumerate(names)], F.col("file").alias("_source_file"), F.col("line").alias("_line"))
+    """Strings by header, each file by the header in its own first row: the columns are those of all files, null where a
+    file has none of the name; of equal headers of a file the first counts. A workbook that can't be read gives a row with
+    ``_error`` and nothing else, which the canonical tables leave out."""
+    rows = Steps(spark).keep(parsed(binary(spark, path, "*.xlsx"), parse_xlsx, "file string, line bigint, cells array<string>", path=True))
+    head = F.transform("cells", lambda c, i: F.coalesce(F.nullif(c, F.lit("")), F.concat(F.lit("column_"), i.cast("string"))))
+    heads = rows.filter("line = 0").select("_path", head.alias("head"))
+    # columns are one whatever the case of their names
+    spelt = heads.select(F.posexplode("head").alias("i", "name")).groupBy(F.lower("name").alias("k")).agg(F.min("i").alias("i"), F.min("name").alias("name"))
+    names = [(r["name"], r["k"]) for r in spelt.orderBy("i", "k").collect()]
+    heads = heads.withColumn("head", F.transform("head", F.lower))
+    named = F.filter(F.arrays_zip(F.col("head").alias("k"), F.slice("cells", F.lit(1), F.size("head")).alias("v")), lambda e, i: F.array_position("head", e["k"]) == i + 1)
+    body = rows.filter("line > 0").join(heads, "_path").withColumn("m", F.map_from_entries(named))
+    own = lambda df, value: df.select(*[value(k).alias(n) for n, k in names], F.col("file").alias("_source_file"), F.col("line").alias("_line"), "_error")
+    return own(body, lambda k: F.try_element_at("m", F.lit(k))).unionByName(own(rows.filter("_error is not null"), lambda k: F.lit(None).cast("string")))
 
 
 def read_with(spark: SparkSession, path: str, pattern: str, extractors: list[Callable[[bytes], str]], least: int = 100) -> DataFrame:

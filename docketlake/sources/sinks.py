@@ -27,10 +27,12 @@ def calendar_events(deadlines: DataFrame, alarm_days: int = 2) -> DataFrame:
 
 
 def write_calendars(deadlines: DataFrame, path: str) -> None:
-    """One calendar text per request."""
+    """Calendars in the order of their requests, many in a file, which an iCalendar stream may hold; each task writes one
+    file, and a task that fails leaves none."""
     events = calendar_events(deadlines).groupBy("request_id").agg(F.array_join(F.sort_array(F.collect_list("value")), "\r\n").alias("e"))
-    text = F.concat(F.lit("BEGIN:VCALENDAR\r\nVERSION:2.0\r\nPRODID:-//docketlake//deadlines//EN\r\n"), F.col("e"), F.lit("\r\nEND:VCALENDAR\r\n"))
-    events.select("request_id", text.alias("value")).write.mode("overwrite").partitionBy("request_id").text(path)
+    text = F.concat(F.lit("BEGIN:VCALENDAR\r\nVERSION:2.0\r\nPRODID:-//docketlake//deadlines//EN\r\n"), F.col("e"), F.lit("\r\nEND:VCALENDAR"))
+    rows = events.select("request_id", text.alias("value")).repartitionByRange("request_id").sortWithinPartitions("request_id")
+    rows.select("value").write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
 def workbook_bytes(rows: list[list[str | None]]) -> bytes:

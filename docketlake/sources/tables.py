@@ -59,8 +59,9 @@ def clean_headers(df: DataFrame) -> DataFrame:
 
 
 def by_alias(df: DataFrame, aliases: dict[str, str]) -> DataFrame:
-    """One column per field: the first non-null of its aliases; fields without one are null."""
-    df = clean_headers(df)
+    """One column per field: the first non-null of its aliases; fields without one are null. Rows that stand for a file
+    that can't be read are left out."""
+    df = clean_headers(df.filter("_error is null").drop("_error") if "_error" in df.columns else df)
     out = []
     for field, names in aliases.items():
         found = [F.col(f"`{n}`").cast("string") for n in names.split() if n in df.columns]

@@ -88,6 +88,13 @@ def test_docx_and_xlsx(spark, tmp_path):
     (tmp_path / "t.xlsx").write_bytes(buf.getvalue())
     got = Ta.billing(Fi.read_xlsx(spark, str(tmp_path))).collect()
     assert [(r.timekeeper, r.hours) for r in got] == [("Unknown", 2.5)]
+    for folder, rows in (("a", [["Attorney", "Hours"], ["Ann", "1"]]), ("b", [["HOURS", "Rate", "Attorney"], ["2", "30", "Bob"], ["3"]])):
+        (tmp_path / "x" / folder).mkdir(parents=True)
+        (tmp_path / "x" / folder / "t.xlsx").write_bytes(S.workbook_bytes(rows))
+    (tmp_path / "x" / "bad.xlsx").write_bytes(b"no workbook")
+    books = Fi.read_xlsx(spark, str(tmp_path / "x"))
+    assert sorted((r.timekeeper, r.hours, r.rate or 0) for r in Ta.billing(books).collect()) == [("Ann", 1.0, 0), ("Bob", 2.0, 30.0), ("Unknown", 3.0, 0)]
+    assert [(r._source_file, r._line) for r in books.filter("_error is not null").collect()] == [("bad.xlsx", None)]
 
 
 def test_intakes_text_and_calendar(spark, tmp_path):
