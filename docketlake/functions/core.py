@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,20 +31,22 @@ def exact_median(df: DataFrame, micros: Column) -> float | None:
     bucket, so no task sorts all values and at most 86,400 or a million counts are added up at once.
     """
     values = df.select(micros.alias("v")).filter("v is not null")
-    n = values.count()
-    if not n:
-        return None
-    found = []
-    for place in {(n - 1) // 2, n // 2}:
-        inside, rest = values, place
-        for unit in (86_400_000_000, 1_000_000, 1):
-            counts = inside.groupBy(F.floor(F.col("v") / unit).cast("long").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-            upto = F.sum("c").over(Window.orderBy("b"))
-            at = counts.withColumn("upto", upto).filter(F.col("upto") > rest).orderBy("b").first()
-            rest -= at["upto"] - at["c"]
-            inside = inside.filter(F.floor(F.col("v") / unit) == at["b"])
-        found.append(at["b"])
-    return sum(found) / len(found)
+    inside, held = values, {}
+    for unit in (86_400_000_000, 1_000_000, 1):
+        # both places are looked for in one pass; ``held``: the bucket that a place was found in, and its rank there
+        bucket = F.floor(F.col("v") / unit).cast("long")
+        counts = inside.groupBy("_up", bucket.alias("b")).agg(F.count(F.lit(1)).alias("c")) if held else inside.groupBy(F.lit(0).cast("long").alias("_up"), bucket.alias("b")).agg(F.count(F.lit(1)).alias("c"))
+        counts = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("_up").orderBy("b")))
+        if not held:
+            n = counts.agg(F.max("upto")).first()[0]
+            if not n:
+                return None
+            held = {place: (0, place) for place in {(n - 1) // 2, n // 2}}
+        wanted = reduce(lambda x, y: x | y, [(F.col("_up") == up) & (F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank) for up, rank in held.values()])
+        found = counts.filter(wanted).collect()  # a row per place
+        held = {place: next((r["b"], rank - r["upto"] + r["c"]) for r in found if r["_up"] == up and r["upto"] - r["c"] <= rank < r["upto"]) for place, (up, rank) in held.items()}
+        inside = values.withColumn("_up", bucket).filter(F.col("_up").isin([b for b, _ in held.values()]))
+    return sum(b for b, _ in held.values()) / len(held)
 
 
 def numbered(df: DataFrame, by: str, out: str) -> DataFrame:
@@ -61,7 +65,7 @@ def numbered(df: DataFrame, by: str, out: str) -> DataFrame:
 
 def strip(x: Column) -> Column:
     """Trim every kind of ASCII white space."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.btrim(x, F.lit(" \t\n\x0b\f\r"))
 
 
 def floor_days(a: Column, b: Column) -> Column:

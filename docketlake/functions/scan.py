@@ -7,8 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketlake.functions.core import small
 from docketlake.functions.scratch import Steps
 
+#: Up to so many splits of files their table is broadcast (about 20 MB).
+SPLITS = 100_000
 #: Rounds of pointer doubling: chains of up to 2 ** 62 rows.
 ROUNDS = 62
 
@@ -54,6 +57,19 @@ def before(df: DataFrame, keys: list[str], order: list[str], **out: tuple[str, C
     return rows.select(*[F.col(f"`{c}`") for c in df.columns], *[f.alias(name) for f, name in zip(found, out)])
 
 
+def placed(rows: DataFrame, out: str) -> DataFrame:
+    """``rows`` (path, _split, _id, ...) with ``out``: running numbers from 0 within their file.
+
+    A split of a file is one task's, and ids ascend within it, so a row's number is its distance from the first id of
+    its split, after the rows of the file's splits before. There is a row per split to look that up in, and no
+    task sorts a file.
+    """
+    per = rows.groupBy("path", "_split").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    ahead = Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_base", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
+    return rows.join(small(per.drop("_n"), SPLITS), ["path", "_split"]).withColumn(out, F.col("_base") + F.col("_id") - F.col("_first")).drop("_base", "_first", "_split", "_id")
+
+
 def following(rows: DataFrame, keys: list[str], queries: DataFrame) -> DataFrame:
     """``queries`` (keys, id, reach) with ``next``: the id of the first of ``rows`` (keys, id, v) of the same keys with
     v >= reach, by v and id; null if there is none. Ids are numbers."""

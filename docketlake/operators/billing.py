@@ -39,9 +39,20 @@ def _flag(df: DataFrame, rule: str | Column, severity: str | Column) -> DataFram
     return df.select("row_id", lit(rule).alias("rule"), lit(severity).alias("severity"))
 
 
+def is_block(d: Column) -> Column:
+    """Does a lowered description match a block pattern. Plain searches decide first which texts a pattern is tried on: for
+    the last one, a text must hold a verb."""
+    both, listed, verbs = BLOCK_PATTERNS
+    verb = reduce(lambda a, b: a | b, [d.contains(v) for v in TASK_VERBS.split("|")])
+    return (F.length(d) >= 10) & ((d.contains(";") & d.rlike(listed)) | (d.contains("and") & d.rlike(both)) | (verb & d.rlike(verbs)))
+
+
+def is_senior(rate: float) -> Column:
+    return (F.coalesce("rate", F.lit(0.0)) > rate) | F.col("timekeeper").rlike(SENIOR)
+
+
 def block_billing(df: DataFrame) -> DataFrame:
-    d = F.lower("description")
-    return _flag(df.filter((F.length(d) >= 10) & d.rlike("|".join(f"(?:{p})" for p in BLOCK_PATTERNS))), "block_billing", "HIGH")
+    return _flag(df.filter(is_block(F.lower("description"))), "block_billing", "HIGH")
 
 
 def vague_description(df: DataFrame) -> DataFrame:
@@ -53,11 +64,16 @@ def excessive_single(df: DataFrame, most: float = 3.0) -> DataFrame:
     return _flag(df.filter(F.col("hours") > most), "excessive_hours_single", "MEDIUM")
 
 
-def excessive_daily(df: DataFrame, most: float = 10.0) -> DataFrame:
-    """Every row of a day and timekeeper whose summed hours exceed ``most``; ten-thousandths keep sums exact."""
+def day_figures(df: DataFrame) -> DataFrame:
+    """Per day and timekeeper the hours in ten-thousandths, which keep sums exact, and the rows with a description."""
     day = F.to_date("date")
-    totals = df.filter(day.isNotNull()).groupBy(day.alias("_day"), F.col("timekeeper").alias("_tk")).agg(F.sum(ten_thousandths(F.col("hours"))).alias("_t"))
-    over = totals.filter(F.col("_t") > most * 10_000)
+    said = F.count(F.when(F.col("description").rlike(r"\S"), True))
+    return df.filter(day.isNotNull()).groupBy(day.alias("_day"), F.col("timekeeper").alias("_tk")).agg(F.sum(ten_thousandths(F.col("hours"))).alias("_t"), said.alias("_n"))
+
+
+def excessive_daily(df: DataFrame, most: float = 10.0, days: DataFrame | None = None) -> DataFrame:
+    """Every row of a day and timekeeper whose summed hours exceed ``most``. ``days``: their figures, if they are at hand."""
+    over = (day_figures(df) if days is None else days).filter(F.col("_t") > most * 10_000)
     return _flag(df.join(over, (F.to_date("date") == F.col("_day")) & (F.col("timekeeper") == F.col("_tk")), "left_semi"), "excessive_hours_daily", "HIGH")
 
 
@@ -110,7 +126,7 @@ def _similar_texts(texts: DataFrame, similar: float, paired: int) -> DataFrame:
     return pairs.unionByName(found)
 
 
-def duplicate_entry(df: DataFrame, similar: float = 0.7, paired: int = PAIRED_TEXTS) -> DataFrame:
+def duplicate_entry(df: DataFrame, similar: float = 0.7, paired: int = PAIRED_TEXTS, days: DataFrame | None = None) -> DataFrame:
     """Later row of a pair of one day and timekeeper with equal or nested descriptions (HIGH), or with word
     sets of more than two words and a Jaccard similarity above ``similar`` (MEDIUM); the first earlier
     row decides. Equal descriptions are compared once: pairs are formed between distinct texts, each
@@ -119,7 +135,7 @@ def duplicate_entry(df: DataFrame, similar: float = 0.7, paired: int = PAIRED_TE
     key = ["day", "timekeeper"]
     said = df.select("row_id", F.to_date("date").alias("day"), "timekeeper", "description").filter(F.col("day").isNotNull() & F.col("description").rlike(r"\S"))
     # most rows are alone on their day: texts are looked at where there are several
-    several = said.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*key)
+    several = (day_figures(df) if days is None else days).filter("_n > 1").select(F.col("_day").alias("day"), F.col("_tk").alias("timekeeper"))
     steps = Steps(df.sparkSession)
     rows = steps.keep(said.join(several, key, "left_semi").select("row_id", *key, strip(F.lower("description")).alias("d")))
     words = F.array_distinct(F.filter(F.split("d", r"\s+"), lambda x: x != ""))
@@ -145,8 +161,7 @@ def weekend_holiday(df: DataFrame, holidays: DataFrame) -> DataFrame:
 
 
 def staffing_level(df: DataFrame, senior_rate: float = 500.0) -> DataFrame:
-    senior = F.col("timekeeper").rlike(SENIOR) | (F.coalesce("rate", F.lit(0.0)) > senior_rate)
-    return _flag(df.filter(senior & F.col("description").rlike(JUNIOR)), "staffing_level", "MEDIUM")
+    return _flag(df.filter(is_senior(senior_rate) & F.col("description").rlike(JUNIOR)), "staffing_level", "MEDIUM")
 
 
 def rounding_pattern(df: DataFrame, least: int = 5, share: float = 0.8) -> DataFrame:
@@ -171,21 +186,21 @@ def late_entry(df: DataFrame) -> DataFrame:
 
 def row_rules(df: DataFrame, holidays: DataFrame, most: float = 3.0, senior_rate: float = 500.0) -> DataFrame:
     """The rules that look at one row only, in one pass over the entries."""
-    low, bare = F.lower("description"), strip(F.coalesce("description", F.lit("")))
+    df = df.withColumns({"_low": F.lower("description"), "_bare": strip(F.coalesce("description", F.lit("")))})
     days = df.join(F.broadcast(holidays.select(F.col("holiday").alias("_h"))), F.to_date("date") == F.col("_h"), "left")
     weekend = F.weekday("date") >= 5
-    senior = F.col("timekeeper").rlike(SENIOR) | (F.coalesce("rate", F.lit(0.0)) > senior_rate)
     found = [
-        ((F.length(low) >= 10) & low.rlike("|".join(f"(?:{p})" for p in BLOCK_PATTERNS)), "block_billing", "HIGH"),
-        ((F.length(bare) < 15) | bare.rlike(VAGUE), "vague_description", "MEDIUM"),
+        (is_block(F.col("_low")), "block_billing", "HIGH"),
+        ((F.length("_bare") < 15) | F.col("_bare").rlike(VAGUE), "vague_description", "MEDIUM"),
         (F.col("hours") > most, "excessive_hours_single", "MEDIUM"),
         (weekend, "weekend_billing", "LOW"),
         (F.col("_h").isNotNull() & ~weekend, "holiday_billing", "LOW"),
-        (senior & F.col("description").rlike(JUNIOR), "staffing_level", "MEDIUM"),
+        (is_senior(senior_rate) & F.col("description").rlike(JUNIOR), "staffing_level", "MEDIUM"),
     ]
-    flags = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(r).alias("rule"), F.lit(v).alias("severity"))) for c, r, v in found]))
-    # explode_outer: no filter on the array's size is inferred, which would work out every rule twice
-    return days.select("row_id", F.explode_outer(flags).alias("f")).select("row_id", "f.rule", "f.severity").filter("rule is not null")
+    # rules are worked out in one projection; what makes rows of them only looks at booleans
+    hits = days.select("row_id", *[c.alias(r) for c, r, _ in found])
+    flags = F.array(*[F.when(F.col(r), F.struct(F.lit(r).alias("rule"), F.lit(v).alias("severity"))) for _, r, v in found])
+    return hits.select("row_id", F.explode_outer(flags).alias("f")).select("row_id", "f.rule", "f.severity").filter("rule is not null")
 
 
 def audited(df: DataFrame) -> DataFrame:
@@ -197,7 +212,8 @@ def audited(df: DataFrame) -> DataFrame:
 def all_flags(df: DataFrame, caps: DataFrame, holidays: DataFrame) -> DataFrame:
     """All rules. Each gives a row at most one flag, so (row_id, rule) is unique without another shuffle. Rules
     over groups read ``df`` once each: give entries as of :func:`audited`, not a plan that is dear."""
-    parts = [row_rules(df, holidays), excessive_daily(df), rate_violation(df, caps), duplicate_entry(df), rounding_pattern(df), late_entry(df)]
+    days = Steps(df.sparkSession).keep(day_figures(df))
+    parts = [row_rules(df, holidays), excessive_daily(df, days=days), rate_violation(df, caps), duplicate_entry(df, days=days), rounding_pattern(df), late_entry(df)]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -67,6 +67,19 @@ def mbox(m):
     return rows.select("source_file", "email_idx", "message_id", "sender", "recipients", "subject", *[F.coalesce(c, F.lit("")).alias(c) for c in ("in_reply_to", "refs")], F.regexp_replace("body", r"\n+$", "").alias("body"))
 
 
+@query("src7_mailbox_lines", "mail", sql=f"SELECT box, email_idx, {_MAIL} FROM (SELECT * REPLACE (row_number() OVER (PARTITION BY email_idx // 7000 ORDER BY email_idx) - 1 AS email_idx), email_idx // 7000 AS box, email_idx AS e FROM :mail) q".replace(_PLAIN, "'Mail ' || e || ' says <b>' || length(body) || '</b>.'"))
+def mailbox_lines(m):
+    """The same mailboxes as files, read by lines."""
+    path = _folder(m, "mbox")
+    text = F.concat(F.lit("From x\n"), _eml(F.lit("Content-Type: text/plain; charset=utf-8\n")), F.lit("\n"), F.expr(_PLAIN), F.lit("\n"))
+    boxes = m.select(F.floor(F.col("email_idx") / 7000).alias("box"), "email_idx", text.alias("t"))
+    boxes.repartition("box").sortWithinPartitions("box", "email_idx").select("box", "t").write.partitionBy("box").text(path)
+    parts = Fi.mailbox_parts(m.sparkSession, path, "*.txt")
+    box = F.regexp_extract("path", r"/box=(\d+)/", 1)
+    rows = Fi.parsed(parts.select(F.concat_ws(" ", F.col("email_idx").cast("string"), box).alias("path"), "content"), Fi.parse_numbered, Fi.MAIL_SCHEMA)
+    return rows.select(F.col("source_file").cast("long").alias("box"), "email_idx", "message_id", "sender", "recipients", "subject", *[F.coalesce(c, F.lit("")).alias(c) for c in ("in_reply_to", "refs")], F.regexp_replace("body", r"\n+$", "").alias("body"))
+
+
 _MIXED = """Content-Type: multipart/mixed; boundary=zz
 
 --zz

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketlake.functions.scan import before, placed
 from docketlake.functions.scratch import Steps
 
 MAIL_SCHEMA = (
@@ -238,8 +239,39 @@ def read_eml(spark: SparkSession, path: str) -> DataFrame:
     return parsed(binary(spark, path, "*.eml"), parse_eml, MAIL_SCHEMA)
 
 
-def read_mbox(spark: SparkSession, path: str) -> DataFrame:
-    return parsed(binary(spark, path, "*.mbox"), parse_mbox, MAIL_SCHEMA)
+def parse_numbered(name: str, data: bytes) -> list[tuple]:
+    """One message of a mailbox; its number stands before the mailbox's name."""
+    import email
+    from email import policy
+
+    number, _, file = name.partition(" ")
+    return [_mail_row(file, int(number), email.message_from_bytes(re.sub(rb"(?m)^>From ", b"From ", data), policy=policy.default))]
+
+
+def mailbox_parts(spark: SparkSession, path: str, pattern: str = "*.mbox") -> DataFrame:
+    """(path, file, email_idx, content): the messages of mailboxes of any size, numbered from 0 within their file.
+
+    Mailboxes are read as lines, so a large one is split among tasks; a message starts at a line that begins with
+    ``From `` after a blank line or at the top. A message is put together by one task, a mailbox is not. Messages
+    of nothing but white space don't count.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("lineSep", "\n").text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"), "value")
+    rows = placed(lines, "line")
+    rows = before(rows, ["path"], ["line"], blank=("last", F.col("value").isin("", "\r")))
+    starts = F.col("value").startswith("From ") & F.coalesce("blank", F.lit(True))
+    rows = before(rows.withColumn("start", starts.cast("long")), ["path"], ["line"], part=("sum", F.col("start")))
+    rows = rows.withColumn("part", F.col("part") + F.col("start")).filter("start = 0")
+    whole = rows.groupBy("path", "file", "part").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", F.concat("value", F.lit("\n")).alias("v")))), lambda x: x["v"]), "").alias("text"))
+    whole = Steps(spark).keep(whole.filter(F.col("text").rlike(r"\S")))
+    numbers = before(whole.select("path", "part"), ["path"], ["part"], email_idx=("sum", F.lit(1).cast("long")))
+    return whole.join(numbers, ["path", "part"]).select("path", "file", "email_idx", F.col("text").cast("binary").alias("content"))
+
+
+def read_mbox(spark: SparkSession, path: str, pattern: str = "*.mbox") -> DataFrame:
+    """Mails of mailboxes of any size, see :func:`mailbox_parts`."""
+    parts = mailbox_parts(spark, path, pattern).select(F.concat_ws(" ", F.col("email_idx").cast("string"), "file").alias("path"), "content")
+    return parsed(parts, parse_numbered, MAIL_SCHEMA)
 
 
 def read_msg(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docketlake.functions.core import small, strip
+from docketlake.functions.core import strip
+from docketlake.functions.scan import placed
 
 # Header names by the field that they fill, in order of preference.
 BILLING = {
@@ -122,29 +123,12 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def _placed(rows: DataFrame, out: str) -> DataFrame:
-    """``rows`` (path, _split, _id, ...) with ``out``: running numbers from 0 within their file.
-
-    A split of a file is one task's, and ids ascend within it, so a row's number is its distance from the first id of
-    its split, after the rows of the file's splits before. There is a row per split to look that up in, and no
-    task sorts a file.
-    """
-    per = rows.groupBy("path", "_split").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
-    ahead = Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_base", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
-    return rows.join(small(per.drop("_n"), SPLITS), ["path", "_split"]).withColumn(out, F.col("_base") + F.col("_id") - F.col("_first")).drop("_base", "_first", "_split", "_id")
-
-
-#: Up to so many splits of files their table is broadcast (about 20 MB).
-SPLITS = 100_000
-
-
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, file, line, text): lines numbered from 0 within their file. Files of the same name in several folders are
     told apart by ``path``."""
     rows = spark.read.option("recursiveFileLookup", True).text(path)
     rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", r"\r$", "").alias("text"))
-    return _placed(rows, "line").select("path", "file", "line", "text")
+    return placed(rows, "line").select("path", "file", "line", "text")
 
 
 def read_ledes(spark: SparkSession, path: str) -> DataFrame:
@@ -206,7 +190,7 @@ def read_intake_clients(spark: SparkSession, path: str) -> DataFrame:
     cols = [c for c in df.columns if c not in ("path", "file", "_split", "_id")]
     value = lambda c: F.nullif(strip(F.col(f"`{c}`")), F.lit(""))
     one = F.concat_ws("\n", *[F.when(value(c).isNotNull(), F.concat(F.lit(f"{c}: "), F.col(f"`{c}`"))) for c in cols])
-    rows = _placed(df.select("path", "file", "_split", "_id", one.alias("text")), "client")
+    rows = placed(df.select("path", "file", "_split", "_id", one.alias("text")), "client")
     return rows.select("path", "file", (F.col("client") + 1).cast("long").alias("client"), "text")
 
 

@@ -72,6 +72,24 @@ def test_mail(spark, tmp_path):
     assert [r.body.strip() for r in Fi.read_mbox(spark, str(tmp_path)).orderBy("email_idx").collect()] == ["plain body", "only html"]
 
 
+def test_mailboxes_split_anywhere(spark, tmp_path):
+    """The rows do not depend on where a mailbox is cut; quoted From lines, other line ends and bytes that are no UTF-8."""
+    mails = [f"From a@x Mon\nSubject: s{i}\n\n" + ("text From here\n>From there\nFrom no blank line before\n" * (i % 4)) + f"end {i}\n\n" for i in range(60)]
+    (tmp_path / "a.mbox").write_text("".join(mails))
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "a.mbox").write_bytes(b"From x\r\nSubject: one\r\nContent-Type: text/plain; charset=latin-1\r\n\r\ncaf\xe9\r\n\r\nFrom y\r\n\r\n\r\nFrom z\r\nSubject: two\r\n\r\nx\r\n")
+    plain = sorted((r[0], r[1], r[8], r[9]) for p in tmp_path.rglob("*.mbox") for r in Fi.parse_mbox(p.name, p.read_bytes()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for cut in ("512", "1g"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", cut)
+        try:
+            got = Fi.read_mbox(spark, str(tmp_path)).select("source_file", "email_idx", "subject", "body", "_error").collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert all(r._error is None for r in got) and sorted((r[0], r[1], r[2], r[3].strip()) for r in got) == [(*x[:3], x[3].strip()) for x in plain] and len(got) == 62
+    assert any("café" in r.body for r in got)
+
+
 def test_docx_and_xlsx(spark, tmp_path):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     doc = f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Title</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'
