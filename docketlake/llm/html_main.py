@@ -6,6 +6,7 @@ import html as html_lib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,9 @@ WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsbygoogle ad-slot ad-container ad-banner sponsor sponsored promo promotion banner cookie cookies cookie-notice cookie-banner cookie-consent consent gdpr notice notification popup modal overlay newsletter newsletter-signup subscribe signup share social social-share share-buttons sharing related related-posts recommended recommendations sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer site-footer comment comments comment-list comments-area disqus_thread replies respond login toolbar paywall hidden".split()
 )
 ARTICLE_WORDS = frozenset("hidden ad ads advert sponsored promo comment comments reply replies related recommended teaser".split())
+# Words that a compound name may end in after one of them, and begin with so that it tells what a thing is not.
+HOLDERS = frozenset("box block bar wrap wrapper container section area list panel unit slot inner outer item items link links button buttons group row".split())
+DENIALS = frozenset("has with no without not non is allow".split())
 HEADS = frozenset("header masthead topbar site-header".split())
 ITEM_PARENTS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 ITEM_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "thead": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}, "option": {"option"}}
@@ -53,6 +57,21 @@ ATTR = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden|style)(?![^\s
 HOST = re.compile(r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 
 
+NAME_PARTS = re.compile("[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
+
+
+@lru_cache(maxsize=4096)
+def word_of(name: str) -> str | None:
+    """The word of ``WORDS`` that a compound class name or id comes to: its last part, as in user-comments or cookieBanner,
+    or its first, if the others only hold something, as in promo-box."""
+    parts = [p.lower() for p in NAME_PARTS.findall(name)]
+    if len(parts) < 2 or parts[0] in DENIALS:
+        return None
+    if parts[-1] in WORDS:
+        return parts[-1]
+    return parts[0] if parts[0] in WORDS and HOLDERS.issuperset(parts[1:]) else None
+
+
 class Node:
     """A block element. What depends on its ancestors is told when it is opened, what depends on its subtree
     when it is closed, so no walk up or down is needed later."""
@@ -67,9 +86,12 @@ class Node:
         self.digest = xxhash.xxh3_64(tag)
         if attrs:
             for m in ATTR.finditer(attrs):
-                name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+                name, own = m[1].lower(), m[2] or m[3] or m[4] or ""
+                value = own.lower()
                 if name in ("class", "id"):
                     self.marks.update(value.split())
+                    if tag not in ("html", "body", "main", "article"):
+                        self.marks.update(filter(None, map(word_of, own.split())))
                 elif name == "role":
                     self.role = value.strip()
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):

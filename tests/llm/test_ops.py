@@ -65,6 +65,15 @@ def test_html_class_names_are_taken_whole():
     assert html_main.main_text(page, None, lambda k: 0) == "0 1 2 yes"
 
 
+def test_html_compound_names():
+    drop = ["promo-box", "cookieBanner", "user-comments", "site_nav", "adSlot-inner", "newsletterSignup", "main-menu"]
+    keep = ["share-price", "has-sidebar", "no-comments", "widget-title", "menuItemPrice", "comments-policy-text", "content-area", "box"]
+    page = "<article>" + "".join(f'<div class="{c}">{c} </div>' for c in drop + keep) + "</article>"
+    assert html_main.main_text(page, None, lambda k: 0).split() == keep
+    assert html_main.main_text('<body class="no-sidebar left-sidebar"><main id="pageComments"><article class="post allow-comments"><p>Text</p></article></main></body>', None, lambda k: 0) == "Text"
+    assert html_main.main_text('<main><p>Text</p><div class="user-comments">first!</div></main>', None, lambda k: 0) == "Text"
+
+
 @pytest.mark.parametrize("page", [lambda n: '<div a="x' * n, lambda n: "<div>" * n, lambda n: "<div>a" * n, lambda n: '<x ">" ' * n, lambda n: "<a " * 3 * n + "<!--", lambda n: "<ul>" * (n // 3) + "<li></li>" * (n // 3), lambda n: "<p>" * (n // 2) + "</section>" * (n // 2), lambda n: "< <b " * 2 * n + ">"])
 def test_html_takes_time_as_its_length(page):
     """Twice the page takes about twice the time, whatever the machine's speed."""
