@@ -336,7 +336,7 @@ def extract(pages: DataFrame, scratch: Scratch, limit: int = BROADCAST_HASHES) -
 
     if n <= limit:
         got = keys.toPandas()  # at most ``limit`` rows of two numbers
-        known, shares = got["key"].to_numpy(np.int64), got["share"].to_numpy(np.float32)
+        known, shares = got["key"].to_numpy(np.int64), got["share"].to_numpy(np.float64)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held = dict(zip(known.tolist(), shares.tolist()))
