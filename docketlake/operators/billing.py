@@ -65,10 +65,11 @@ def excessive_single(df: DataFrame, most: float = 3.0) -> DataFrame:
 
 
 def day_figures(df: DataFrame) -> DataFrame:
-    """Per day and timekeeper the hours in ten-thousandths, which keep sums exact, and the rows with a description."""
+    """Per day and timekeeper the hours in ten-thousandths, which keep sums exact, and the rows with a description; of these
+    the ones that the entries have columns for."""
     day = F.to_date("date")
-    said = F.count(F.when(F.col("description").rlike(r"\S"), True))
-    return df.filter(day.isNotNull()).groupBy(day.alias("_day"), F.col("timekeeper").alias("_tk")).agg(F.sum(ten_thousandths(F.col("hours"))).alias("_t"), said.alias("_n"))
+    found = {"hours": F.sum(ten_thousandths(F.col("hours"))).alias("_t"), "description": F.count(F.when(F.col("description").rlike(r"\S"), True)).alias("_n")}
+    return df.filter(day.isNotNull()).groupBy(day.alias("_day"), F.col("timekeeper").alias("_tk")).agg(*[f for c, f in found.items() if c in df.columns])
 
 
 def excessive_daily(df: DataFrame, most: float = 10.0, days: DataFrame | None = None) -> DataFrame:

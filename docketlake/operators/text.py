@@ -603,7 +603,7 @@ def diff_documents(pairs: DataFrame) -> DataFrame:
             rows = []
             for pid, old, new in zip(b["pair_id"], b["old"], b["new"]):
                 old, new = list(old), list(new)
-                for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
+                for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, old, new).get_opcodes():
                     if tag == "equal":
                         continue
                     for k in range(max(i2 - i1, j2 - j1)):
@@ -645,7 +645,7 @@ def percent_changed(changes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def word_changes(old: str, new: str) -> Iterator[tuple[str, list[str], list[str]]]:
     a, b = old.split(), new.split()
-    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b).get_opcodes():
         if tag != "equal":
             yield tag, a[i1:i2], b[j1:j2]
 
