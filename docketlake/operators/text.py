@@ -82,9 +82,15 @@ KEY_MOMENTS = {
     "emotional": [r"\bi need a break\b", r"\bcan we take a break\b", r"\bi'?m upset\b", r"\bthis is difficult\b", r"\bi'?d rather not\b", r"\bthat'?s personal\b", r"\bi refuse\b", r"\bi won'?t answer\b"],
     "contradiction": [r"\bbut you (just |previously )?said\b", r"\bearlier you (stated|said|testified)\b", r"\bthat contradicts\b", r"\bthat'?s inconsistent\b", r"\bisn'?t it true that\b", r"\bdidn'?t you (just )?say\b", r"\bcontrary to\b", r"\bin your (prior |previous )?(testimony|statement|deposition)\b"],
 }
-STOP_WORDS = (
-    "the a an is was were are be been being have has had do does did will would could should may might shall can need dare ought i you he she it we they me him her us them my your his its our their mine yours hers ours theirs this that these those and but or nor not so yet both either neither each every all any few more most other some such no only own same than too very just because as until while of at by for with about against between through during before after above below to from up down in out on off over under again further then once here there when where why how what which who whom if whether well okay yes no um uh like know right going think said say says told tell tells go went gone come came get got make made take took see saw give gave put let"
-).split()
+STOP_WORDS = [
+    "the", "a", "an", "is", "was", "were", "are", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "shall", "can",
+    "need", "dare", "ought", "i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them", "my", "your", "his", "its", "our", "their", "mine", "yours", "hers",
+    "ours", "theirs", "this", "that", "these", "those", "and", "but", "or", "nor", "not", "so", "yet", "both", "either", "neither", "each", "every", "all", "any", "few", "more", "most", "other",
+    "some", "such", "no", "only", "own", "same", "than", "too", "very", "just", "because", "as", "until", "while", "of", "at", "by", "for", "with", "about", "against", "between", "through", "during",
+    "before", "after", "above", "below", "to", "from", "up", "down", "in", "out", "on", "off", "over", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how",
+    "what", "which", "who", "whom", "if", "whether", "well", "okay", "yes", "no", "um", "uh", "like", "know", "right", "going", "think", "said", "say", "says", "told", "tell", "tells", "go",
+    "went", "gone", "come", "came", "get", "got", "make", "made", "take", "took", "see", "saw", "give", "gave", "put", "let",
+]
 OFFICER_TITLES = ["Chief Executive Officer|CEO", "Chief Financial Officer|CFO", "Chief Operating Officer|COO", "Chief Technology Officer|CTO", "President", "Chairman|Chair of the Board", "Vice President|VP", "Secretary", "Treasurer", "Director", "General Counsel"]
 ENTITY_LABELS = ["PERSON", "ORG", "DATE", "MONEY", "GPE", "LAW", "NORP", "FAC", "EVENT"]
 HONORIFICS = r"^(Mr\.|Mrs\.|Ms\.|Dr\.|Prof\.|Hon\.|Judge|Attorney|Atty\.)\s+"

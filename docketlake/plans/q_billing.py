@@ -153,13 +153,11 @@ SELECT row_number() OVER (ORDER BY part, place)::BIGINT AS n, line FROM u"""
 @query("snk3_audit_summary", "billing", sql=_SUM)
 def audit_summary(b):
     """Written as text and read back."""
-    import uuid
-
-    from docketlake.functions.scratch import shared_folder
+    from docketlake.functions.scratch import Steps
     from docketlake.sources import sinks
 
     rows, flags = _flags(B.with_amount(b))
-    path = f"{shared_folder(b.sparkSession)}/files-summary-{uuid.uuid4().hex}"
+    path = f"{Steps(b.sparkSession).root}/summary"
     sinks.write_text(B.audit_summary(rows, flags), path)
     lines = b.sparkSession.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("n", "line"))
     return lines.select((F.col("n") + 1).cast("long").alias("n"), "line")

@@ -1,11 +1,9 @@
 """Sources and sinks as queries: lens rows are written in a file format to the shared folder and read back."""
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docketlake.functions.scratch import shared_folder
+from docketlake.functions.scratch import Steps
 from docketlake.operators import calendar as C
 from docketlake.sources import sinks as S
 from docketlake.sources import tables as T
@@ -16,7 +14,8 @@ CENTS = "CAST(floor({} * 100 + 0.5e0) AS BIGINT)"
 
 
 def _folder(df, kind):
-    return f"{shared_folder(df.sparkSession)}/files-{kind}-{uuid.uuid4().hex}"
+    """A folder for files of a kind; it goes when the driver ends."""
+    return f"{Steps(df.sparkSession).root}/{kind}"
 
 
 #: Rows that go into one file, about.

@@ -12,33 +12,33 @@ from docketlake.functions.scan import placed
 
 # Header names by the field that they fill, in order of preference.
 BILLING = {
-    "date": "date invoice_date work_date inv_date line_item_date billing_date service_date entry_date",
-    "timekeeper": "timekeeper timekeeper_name attorney lawyer tk_name biller professional name",
-    "hours": "hours line_item_hours qty quantity units time hours_worked billable_hours",
-    "rate": "rate line_item_rate hourly_rate billing_rate tk_rate unit_price",
-    "amount": "amount line_item_total total line_amount fee_amount extended_amount line_item_amount billed_amount",
-    "description": "description line_item_description narrative details task_description work_description activity_description line_item_narrative",
-    "task_code": "task_code utbms_task task",
-    "activity_code": "activity_code utbms_activity activity",
-    "matter": "matter matter_id matter_name client_matter case case_name matter_number",
+    "date": ["date", "invoice_date", "work_date", "inv_date", "line_item_date", "billing_date", "service_date", "entry_date"],
+    "timekeeper": ["timekeeper", "timekeeper_name", "attorney", "lawyer", "tk_name", "biller", "professional", "name"],
+    "hours": ["hours", "line_item_hours", "qty", "quantity", "units", "time", "hours_worked", "billable_hours"],
+    "rate": ["rate", "line_item_rate", "hourly_rate", "billing_rate", "tk_rate", "unit_price"],
+    "amount": ["amount", "line_item_total", "total", "line_amount", "fee_amount", "extended_amount", "line_item_amount", "billed_amount"],
+    "description": ["description", "line_item_description", "narrative", "details", "task_description", "work_description", "activity_description", "line_item_narrative"],
+    "task_code": ["task_code", "utbms_task", "task"],
+    "activity_code": ["activity_code", "utbms_activity", "activity"],
+    "matter": ["matter", "matter_id", "matter_name", "client_matter", "case", "case_name", "matter_number"],
 }
 TRANSACTIONS = {
-    "date": "date transaction_date trans_date posting_date post_date value_date effective_date posted_date txn_date",
-    "description": "description memo narrative details payee name transaction_description reference particulars",
-    "amount": "amount transaction_amount value sum",
-    "debit": "debit debit_amount withdrawal withdrawals money_out outflow",
-    "credit": "credit credit_amount deposit deposits money_in inflow",
-    "balance": "balance running_balance closing_balance available_balance ledger_balance",
-    "account": "account account_number account_name acct account_id",
-    "category": "category type transaction_type tran_type",
+    "date": ["date", "transaction_date", "trans_date", "posting_date", "post_date", "value_date", "effective_date", "posted_date", "txn_date"],
+    "description": ["description", "memo", "narrative", "details", "payee", "name", "transaction_description", "reference", "particulars"],
+    "amount": ["amount", "transaction_amount", "value", "sum"],
+    "debit": ["debit", "debit_amount", "withdrawal", "withdrawals", "money_out", "outflow"],
+    "credit": ["credit", "credit_amount", "deposit", "deposits", "money_in", "inflow"],
+    "balance": ["balance", "running_balance", "closing_balance", "available_balance", "ledger_balance"],
+    "account": ["account", "account_number", "account_name", "acct", "account_id"],
+    "category": ["category", "type", "transaction_type", "tran_type"],
 }
 COMMUNICATIONS = {
-    "sender": "from sender from_address from_email sent_from author caller calling_number originator source sent_by",
-    "recipient": "to recipient to_address to_email sent_to receiver callee called_number destination target",
-    "datetime": "date datetime timestamp sent_date sent_time time date_time call_date call_time message_date",
-    "content_preview": "subject content message body text snippet preview",
-    "type": "type message_type communication_type channel medium call_type",
-    "duration": "duration call_duration length duration_seconds",
+    "sender": ["from", "sender", "from_address", "from_email", "sent_from", "author", "caller", "calling_number", "originator", "source", "sent_by"],
+    "recipient": ["to", "recipient", "to_address", "to_email", "sent_to", "receiver", "callee", "called_number", "destination", "target"],
+    "datetime": ["date", "datetime", "timestamp", "sent_date", "sent_time", "time", "date_time", "call_date", "call_time", "message_date"],
+    "content_preview": ["subject", "content", "message", "body", "text", "snippet", "preview"],
+    "type": ["type", "message_type", "communication_type", "channel", "medium", "call_type"],
+    "duration": ["duration", "call_duration", "length", "duration_seconds"],
 }
 DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "M/d/yy", "M-d-yyyy", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyyMMdd"]
 
@@ -59,13 +59,13 @@ def clean_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
-def by_alias(df: DataFrame, aliases: dict[str, str]) -> DataFrame:
+def by_alias(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     """One column per field: the first non-null of its aliases; fields without one are null. Rows that stand for a file
     that can't be read are left out."""
     df = clean_headers(df.filter("_error is null").drop("_error") if "_error" in df.columns else df)
     out = []
     for field, names in aliases.items():
-        found = [F.col(f"`{n}`").cast("string") for n in names.split() if n in df.columns]
+        found = [F.col(f"`{n}`").cast("string") for n in names if n in df.columns]
         out.append((F.coalesce(*found) if found else F.lit(None).cast("string")).alias(field))
     keep = [F.col(c) for c in ("_source_file", "_line") if c in df.columns]
     return df.select(*out, *keep)
@@ -144,7 +144,7 @@ def read_ledes(spark: SparkSession, path: str) -> DataFrame:
     padded = F.slice(F.concat("cells", F.array_repeat(F.lit(""), F.size("head"))), F.lit(1), F.size("head"))
     named = F.filter(F.arrays_zip(F.col("head").alias("k"), padded.alias("v")), lambda e, i: F.array_position("head", e["k"]) == i + 1)
     body = body.withColumn("m", F.map_from_entries(named))
-    wanted = sorted({n for names in BILLING.values() for n in names.split()})
+    wanted = sorted({n for names in BILLING.values() for n in names})
     return body.select(*[F.nullif(F.try_element_at("m", F.lit(n)), F.lit("")).alias(n) for n in wanted], F.col("file").alias("_source_file"), F.col("line").cast("long").alias("_line"))
 
 
