@@ -66,7 +66,7 @@ def placed(rows: DataFrame, out: str) -> DataFrame:
     """
     per = rows.groupBy("path", "_split").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     ahead = Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_base", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
+    per = Steps(rows.sparkSession).keep(per.withColumn("_base", F.coalesce(F.sum("_n").over(ahead), F.lit(0))))  # else files are read again for its uses
     return rows.join(small(per.drop("_n"), SPLITS), ["path", "_split"]).withColumn(out, F.col("_base") + F.col("_id") - F.col("_first")).drop("_base", "_first", "_split", "_id")
 
 
