@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.functions.core import first_match, numbered, strip
+from docketlake.functions.core import first_match, lower_by_letter, numbered, strip
 from docketlake.operators.graph import components
 
 # Phrases that mark privileged mail, in the order in which they are tried.
@@ -17,7 +17,7 @@ PRIVILEGE = [
 
 def content_hash(body: Column) -> Column:
     """First 16 hex digits of the SHA-256 of the body with white space collapsed, trimmed, lowered."""
-    return F.substring(F.sha2(F.regexp_replace(F.lower(strip(F.coalesce(body, F.lit("")))), r"\s+", " "), 256), 1, 16)
+    return F.substring(F.sha2(F.regexp_replace(lower_by_letter(strip(F.coalesce(body, F.lit("")))), r"\s+", " "), 256), 1, 16)
 
 
 def message_id(raw: Column, index: Column, source: Column) -> Column:
