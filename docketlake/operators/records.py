@@ -120,11 +120,14 @@ def merge_windows(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
 
 
 def new_frames(frames: DataFrame, existing: DataFrame, within: int = 100) -> DataFrame:
-    """Frames (video_id, ts_ms) farther than ``within`` ms from any existing one: a band anti-join on buckets."""
-    e = existing.select("video_id", F.col("ts_ms").alias("e_ms"), F.explode(F.array(*[F.floor(F.col("ts_ms") / within) + d for d in (-1, 0, 1)])).alias("_b"))
-    f = frames.withColumn("_b", F.floor(F.col("ts_ms") / within))
+    """Frames (video_id, ts_ms) farther than ``within`` ms from any existing one: a band anti-join on buckets, shuffled, as a plan's
+    estimate does not see how many frames a video comes to and would have them all broadcast."""
+    wide = 10 * within  # most frames fall into one bucket, those near an end of it into two
+    at = lambda x: F.floor(x / wide)
+    e = existing.select("video_id", F.col("ts_ms").alias("e_ms"), F.explode(F.sequence(at(F.col("ts_ms") - within), at(F.col("ts_ms") + within))).alias("_b"))
+    f = frames.withColumn("_b", at(F.col("ts_ms")))
     near = (f["video_id"] == e["video_id"]) & (f["_b"] == e["_b"]) & (F.abs(f["ts_ms"] - e["e_ms"]) < within)
-    return f.join(e, near, "left_anti").drop("_b")
+    return f.join(e.hint("merge"), near, "left_anti").drop("_b")
 
 
 def spaced_frames(frames: DataFrame, within: int = 100) -> DataFrame:
