@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import lean, sized_broadcast, table
+from docketlake.llm.common import give_back, lean, sized_broadcast, table
 
 #: Hash space of the shared weights.
 DIM = 1 << 18
@@ -120,6 +121,18 @@ def fit_cumulative_link(at: np.ndarray, feature: np.ndarray, value: np.ndarray,
     return full, th
 
 
+def _values(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The arrays in a column of bytes, end to end, and their lengths; read from its buffers, without an object a row."""
+    parts, sizes = [np.zeros(0, kind)], [np.zeros(0, np.int64)]
+    for c in column.chunks:
+        _, ends, data = c.buffers()
+        ends = np.frombuffer(ends, np.int64 if pa.types.is_large_binary(c.type) else np.int32)[c.offset : c.offset + len(c) + 1] if len(c) else np.zeros(1, np.int32)
+        if data is not None and ends[-1] > ends[0]:
+            parts.append(np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind))
+        sizes.append(np.diff(ends).astype(np.int64) // np.dtype(kind).itemsize)
+    return np.concatenate(parts), np.concatenate(sizes)
+
+
 def fit(docs: DataFrame, rated: DataFrame, grades: int = 3, max_rows: int = MAX_FIT_ROWS) -> tuple[np.ndarray, np.ndarray] | None:
     """Weights and thresholds from (doc_id, text) and (doc_id, grade); None if fewer than two grades are seen.
 
@@ -141,15 +154,17 @@ def fit(docs: DataFrame, rated: DataFrame, grades: int = 3, max_rows: int = MAX_
         used = np.flatnonzero(df.sum(axis=0))
         yield pd.DataFrame({"f": np.append(used, DIM), "low": np.append(df[0, used], n[0]), "top": np.append(df[1, used], n[1])})
 
-    counts = graded.select("text", "grade").mapInPandas(lean(count), "f bigint, low bigint, top bigint").groupBy("f").agg(F.sum("low").alias("low"), F.sum("top").alias("top")).toPandas()
-    n = counts[counts["f"] == DIM]
-    n_low, n_top = (int(n["low"].iloc[0]), int(n["top"].iloc[0])) if len(n) else (0, 0)
+    counts = graded.select("text", "grade").mapInPandas(lean(count), "f bigint, low bigint, top bigint").groupBy("f").agg(F.sum("low").alias("low"), F.sum("top").alias("top")).toArrow()  # columns: rows would be objects here and in the JVM
+    f, low, top = (counts[c].to_numpy() for c in ("f", "low", "top"))
+    del counts
+    n_low, n_top = int(low[f == DIM].sum()), int(top[f == DIM].sum())
     if not n_low or not n_top:
         return None
-    counts = counts[counts["f"] < DIM]
+    f, low, top = f[f < DIM], low[f < DIM], top[f < DIM]
     odds = np.zeros(DIM)
-    r = np.log((counts["low"] + SMOOTH) / (n_low + 2 * SMOOTH)) - np.log((counts["top"] + SMOOTH) / (n_top + 2 * SMOOTH))
-    odds[counts["f"].to_numpy()] = np.where((counts["low"] + counts["top"] >= MIN_DF) & (r.abs() >= MIN_ODDS), r.abs(), 0)
+    r = np.abs(np.log((low + SMOOTH) / (n_low + 2 * SMOOTH)) - np.log((top + SMOOTH) / (n_top + 2 * SMOOTH)))
+    odds[f] = np.where((low + top >= MIN_DF) & (r >= MIN_ODDS), r, 0)
+    del f, low, top, r
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = Features()
@@ -160,17 +175,18 @@ def fit(docs: DataFrame, rated: DataFrame, grades: int = 3, max_rows: int = MAX_
 
     place = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 40))
     picked = rated.orderBy(place, "doc_id").limit(max_rows)
-    rows = docs.join(F.broadcast(picked), "doc_id").filter(F.col("text").isNotNull()).select("doc_id", "text", "grade").mapInPandas(lean(encode), "id string, grade int, f binary, v binary").toPandas()
-    rows = rows.sort_values(["id", "grade", "f", "v"], ignore_index=True)  # sums in one order: reruns agree
-    if rows["grade"].nunique() < 2:
+    rows = docs.join(F.broadcast(picked), "doc_id").filter(F.col("text").isNotNull()).select("doc_id", "text", "grade").mapInPandas(lean(encode), "id string, grade int, f binary, v binary").toArrow()
+    rows = rows.sort_by([(c, "ascending") for c in ("id", "grade", "f", "v")])  # sums in one order: reruns agree
+    y = rows["grade"].to_numpy().astype(np.int64)
+    if len(np.unique(y)) < 2:
         return None
-    feats = [np.frombuffer(x, np.int32) for x in rows["f"]]
-    at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in feats])
-    feature = np.concatenate(feats)
-    value = np.concatenate([np.frombuffer(x, np.float32) for x in rows["v"]]) * odds.astype(np.float32)[feature]
-    y = rows["grade"].to_numpy(np.int64)
-    del rows, feats, counts, r
+    feature, sizes = _values(rows["f"], np.int32)
+    at = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
+    value = _values(rows["v"], np.float32)[0] * odds.astype(np.float32)[feature]
+    del rows
     w, th = fit_cumulative_link(at, feature, value, y, grades)
+    del at, feature, value
+    give_back()
     return w * odds, th
 
 
