@@ -119,8 +119,7 @@ MATTER = f"SELECT client_id, CASE WHEN b = 0 THEN 'general' {_p2} END AS matter,
 
 @query("int3_matter_type", "intake", sql=MATTER)
 def matter(i):
-    m, c = T.matter_type(F.col("text"))
-    return i.select("client_id", m.alias("matter"), c.alias("confidence"))
+    return T.with_matter(i).select("client_id", "matter", "confidence")
 
 
 @query("int1_contact_info", "intake", sql=rf"SELECT client_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{T.PHONE}')))[1:5], '|') AS phones, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{T.EMAIL}')))[1:5], '|') AS mails FROM :intake")
@@ -171,7 +170,7 @@ _LV = ", ".join("('{}', '{}', {}, '{}')".format(m, t, k, d.replace("'", "''")) f
 
 @query("int7_checklist", "intake", sql=f"WITH l AS (SELECT * FROM (VALUES {_LV}) v(matter, tier, position, document)), m AS (SELECT client_id, CASE WHEN matter IN (SELECT matter FROM l) THEN matter ELSE 'general' END AS matter FROM ({MATTER}) x) SELECT client_id, matter, tier, position, document FROM m JOIN l USING (matter)")
 def checklist(i):
-    return T.document_checklist(i.select("client_id", T.matter_type(F.col("text"))[0].alias("matter")))
+    return T.document_checklist(T.with_matter(i).select("client_id", "matter"))
 
 
 @query("int8_incident_date", "intake", sql="SELECT client_id, CASE WHEN client_id % 3 = 0 THEN incident_date ELSE DATE '2021-03-04' END AS incident FROM :intake")
