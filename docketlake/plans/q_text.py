@@ -288,8 +288,7 @@ FROM (SELECT change_id, section, {_BOTH} AS b, regexp_matches({_BOTH}, '(?i){_HI
 
 
 def _risk(c):
-    r, k = T.change_risk(F.col("old_text"), F.col("new_text"))
-    return c.select("change_id", "section", r.alias("risk"), k.alias("category"))
+    return T.with_risk(c).select("change_id", "section", "risk", "category")
 
 
 @query("dif4_change_risk", "clause", sql=RISK)
