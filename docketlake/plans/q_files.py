@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from docketlake.functions.core import small
 from docketlake.functions.scratch import Steps
 from docketlake.operators import calendar as C
 from docketlake.sources import sinks as S
@@ -22,14 +23,35 @@ def _folder(df, kind):
 FILE_ROWS = 20_000
 
 
-def _spread(rows, key, *by):
-    """``file`` by ``by`` (all rows, if none) and a hash of ``key``, about FILE_ROWS rows each, however many rows there are."""
-    n = rows.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.count("*").alias("_n"))
+def _dealt_out(rows, key, *by):
+    """(rows with ``file``, number of files): ``file`` is ``by`` (all rows, if none) and a hash of ``key``, about FILE_ROWS rows
+    each, however many rows there are."""
+    if not by:
+        files = max(1, -(-rows.count() // FILE_ROWS))
+        return rows.withColumn("file", F.pmod(F.xxhash64(key), F.lit(files)).cast("string")), files
+    n = Steps(rows.sparkSession).keep(rows.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.ceil(F.count("*") / FILE_ROWS).alias("_n")))
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    part = F.pmod(F.xxhash64(key), F.ceil(F.col("_n") / FILE_ROWS)).cast("string")
-    return rows.join(n, same).withColumn("file", F.concat_ws("-", *by, part)).drop("_n", *[f"_{c}" for c in by])
+    part = F.pmod(F.xxhash64(key), F.col("_n")).cast("string")
+    return rows.join(small(n), same).withColumn("file", F.concat_ws("-", *by, part)).drop("_n", *[f"_{c}" for c in by]), n.agg(F.sum("_n")).first()[0] or 1
+
+
+def _spread(rows, key, *by):
+    return _dealt_out(rows, key, *by)[0]
+
+
+#: Files that a task writes, about.
+TASK_FILES = 10
+
+
+def _sorted_files(lines, files, kind):
+    """The lines (file, n, value) as text, a folder per ``file`` with one file, in the order of ``n``. Lines are sorted and written
+    as they come, so that no task holds a file."""
+    path = _folder(lines, kind)
+    dealt = lines.repartition(-(-files // TASK_FILES), "file").sortWithinPartitions("file", "n")
+    dealt.select("file", "value").write.partitionBy("file").text(path)
+    return path
 
 
 def _written(lines, kind, column="value"):
@@ -50,9 +72,10 @@ def csv_billing(b):
 
 # Every row of the lens is written and read back.
 def _ledes(b):
-    rows = _spread(b, "entry_id").select("file", F.col("entry_id").alias("n"), F.concat_ws("|", F.date_format("date", "yyyyMMdd"), "timekeeper", F.col("hours").cast("string"), "entry_id", "matter", F.lit("[]")).alias("value"))
-    head = rows.select("file").distinct().select("file", F.lit("").alias("n"), F.lit("LEDES1998B[]\nLINE_ITEM_DATE|TIMEKEEPER_NAME|LINE_ITEM_HOURS|LINE_ITEM_DESCRIPTION|CLIENT_MATTER|[]").alias("value"))
-    x = T.billing(T.read_ledes(b.sparkSession, _written(rows.unionByName(head), "ledes")))
+    rows, files = _dealt_out(b, "entry_id")
+    rows = rows.select("file", F.col("entry_id").alias("n"), F.concat_ws("|", F.date_format("date", "yyyyMMdd"), "timekeeper", F.col("hours").cast("string"), "entry_id", "matter", F.lit("[]")).alias("value"))
+    head = b.sparkSession.range(files).select(F.col("id").cast("string").alias("file"), F.lit("").alias("n"), F.lit("LEDES1998B[]\nLINE_ITEM_DATE|TIMEKEEPER_NAME|LINE_ITEM_HOURS|LINE_ITEM_DESCRIPTION|CLIENT_MATTER|[]").alias("value"))
+    x = T.billing(T.read_ledes(b.sparkSession, _sorted_files(rows.unionByName(head), files, "ledes")))
     return x.select("description", "timekeeper", F.floor(F.col("hours") * 100 + 0.5).cast("long").alias("hours_cents"), "matter")
 
 
@@ -61,8 +84,9 @@ query("src3_ledes_billing", "billing", sql=f"SELECT entry_id AS description, tim
 
 def _ofx(t):
     x = F.concat(F.lit("<STMTTRN><TRNTYPE>X<DTPOSTED>"), F.date_format("date", "yyyyMMdd"), F.lit("120000<TRNAMT>"), F.col("amount").cast("string"), F.lit("<NAME>V"), F.col("txn_id").cast("string"), F.lit("<MEMO>memo</STMTTRN>"))
-    rows = _spread(t, "txn_id", "account").select("file", F.col("txn_id").alias("n"), F.concat(F.lit("<ACCTID>"), "account", F.lit("\n"), x).alias("value"))
-    got = T.read_ofx(t.sparkSession, _written(rows, "ofx"))
+    rows, files = _dealt_out(t, "txn_id", "account")
+    rows = rows.select("file", F.col("txn_id").alias("n"), F.concat(F.lit("<ACCTID>"), "account", F.lit("\n"), x).alias("value"))
+    got = T.read_ofx(t.sparkSession, _sorted_files(rows, files, "ofx"))
     return got.select("account", F.floor(F.col("amount") * 100 + 0.5).cast("long").alias("cents"), F.to_date("date").alias("day"), "description")
 
 

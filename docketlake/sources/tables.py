@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docketlake.functions.core import strip
-from docketlake.functions.scan import placed
+from docketlake.functions.core import small, strip
+from docketlake.functions.scan import SPLITS, placed, split_starts
+from docketlake.functions.scratch import Steps
 
 # Header names by the field that they fill, in order of preference.
 BILLING = {
@@ -40,6 +41,8 @@ COMMUNICATIONS = {
     "type": ["type", "message_type", "communication_type", "channel", "medium", "call_type"],
     "duration": ["duration", "call_duration", "length", "duration_seconds"],
 }
+#: Where a row comes from, as far as its reader says so.
+PLACE = ["_source_file", "_source_path", "_line"]
 DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "M/d/yy", "M-d-yyyy", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyyMMdd"]
 
 
@@ -67,17 +70,18 @@ def by_alias(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     for field, names in aliases.items():
         found = [F.col(f"`{n}`").cast("string") for n in names if n in df.columns]
         out.append((F.coalesce(*found) if found else F.lit(None).cast("string")).alias(field))
-    keep = [F.col(c) for c in ("_source_file", "_line") if c in df.columns]
+    keep = [F.col(c) for c in PLACE if c in df.columns]
     return df.select(*out, *keep)
 
 
 def _number(c: str) -> Column:
-    return F.regexp_replace(F.col(c), r"[$,\s]", "").try_cast("double")
+    # most are plain numbers, which the pattern leaves as they are
+    return F.coalesce(F.col(c).try_cast("double"), F.regexp_replace(F.col(c), r"[$,\s]", "").try_cast("double"))
 
 
 def billing(df: DataFrame) -> DataFrame:
     x = by_alias(df, BILLING)
-    x = x.select(any_date(F.col("date")).alias("date"), F.coalesce("timekeeper", F.lit("Unknown")).alias("timekeeper"), _number("hours").alias("hours"), _number("rate").alias("rate"), _number("amount").alias("amount"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("description", "task_code", "activity_code", "matter")], *[c for c in ("_source_file", "_line") if c in x.columns])
+    x = x.select(any_date(F.col("date")).alias("date"), F.coalesce("timekeeper", F.lit("Unknown")).alias("timekeeper"), _number("hours").alias("hours"), _number("rate").alias("rate"), _number("amount").alias("amount"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("description", "task_code", "activity_code", "matter")], *[c for c in PLACE if c in x.columns])
     return x.withColumn("amount", F.coalesce("amount", F.col("hours") * F.col("rate")))
 
 
@@ -85,12 +89,12 @@ def transactions(df: DataFrame) -> DataFrame:
     x = by_alias(df, TRANSACTIONS)
     debit, credit = F.coalesce(_number("debit"), F.lit(0.0)), F.coalesce(_number("credit"), F.lit(0.0))
     parts = F.when(F.col("debit").isNotNull() & F.col("credit").isNotNull(), credit - debit).when(F.col("debit").isNotNull(), -F.abs(debit)).when(F.col("credit").isNotNull(), credit)
-    return x.select(any_date(F.col("date")).alias("date"), F.coalesce("description", F.lit("")).alias("description"), F.coalesce(_number("amount"), parts).alias("amount"), _number("balance").alias("balance"), F.coalesce("account", F.lit("Unknown")).alias("account"), F.coalesce("category", F.lit("")).alias("category"), *[c for c in ("_source_file", "_line") if c in x.columns])
+    return x.select(any_date(F.col("date")).alias("date"), F.coalesce("description", F.lit("")).alias("description"), F.coalesce(_number("amount"), parts).alias("amount"), _number("balance").alias("balance"), F.coalesce("account", F.lit("Unknown")).alias("account"), F.coalesce("category", F.lit("")).alias("category"), *[c for c in PLACE if c in x.columns])
 
 
 def communications(df: DataFrame) -> DataFrame:
     x = by_alias(df, COMMUNICATIONS)
-    return x.select(*[F.coalesce(F.nullif(strip(F.col(c)), F.lit("")), F.lit("Unknown")).alias(c) for c in ("sender", "recipient")], any_date(F.col("datetime")).alias("datetime"), F.substring(F.coalesce("content_preview", F.lit("")), 1, 500).alias("content_preview"), F.coalesce("type", F.lit("")).alias("type"), _number("duration").alias("duration"), *[c for c in ("_source_file", "_line") if c in x.columns])
+    return x.select(*[F.coalesce(F.nullif(strip(F.col(c)), F.lit("")), F.lit("Unknown")).alias(c) for c in ("sender", "recipient")], any_date(F.col("datetime")).alias("datetime"), F.substring(F.coalesce("content_preview", F.lit("")), 1, 500).alias("content_preview"), F.coalesce("type", F.lit("")).alias("type"), _number("duration").alias("duration"), *[c for c in PLACE if c in x.columns])
 
 
 def _csv(spark: SparkSession, path: str, encoding: str | None, recursive: bool, multi_line: bool) -> DataFrame:
@@ -123,29 +127,36 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def _split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, file, text) of lines, with their split and id for :func:`placed`."""
+    rows = spark.read.option("recursiveFileLookup", True).text(path)
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"), F.when(F.col("value").endswith("\r"), F.left("value", F.length("value") - 1)).otherwise(F.col("value")).alias("text"))
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, file, line, text): lines numbered from 0 within their file. Files of the same name in several folders are
     told apart by ``path``."""
-    rows = spark.read.option("recursiveFileLookup", True).text(path)
-    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", r"\r$", "").alias("text"))
-    return placed(rows, "line").select("path", "file", "line", "text")
+    return placed(_split_lines(spark, path), "line").select("path", "file", "line", "text")
 
 
 def read_ledes(spark: SparkSession, path: str) -> DataFrame:
     """LEDES 1998B: first pipe row of a file is its header; short rows are padded, long ones cut; of equal headers
-    the first counts. The fields are put in a map and read out by alias."""
+    the first counts. Where a field stands is looked up once per file, not per row, and no row is shuffled: its split's
+    start and its file's header come to it."""
     # rows end in an empty bracket pair, and often in a pipe before it
-    rows = _lines(spark, path).withColumn("t", strip(F.col("text"))).filter((F.col("t") != "") & ~F.upper("t").startswith("LEDES1998B"))
-    cells = F.split(F.regexp_replace("t", r"\[\]$", ""), r"\|", -1)
-    cells = F.when(F.element_at(cells, -1) == "", F.slice(cells, 1, F.size(cells) - 1)).otherwise(cells)
-    rows = rows.withColumn("cells", F.transform(cells, strip))
-    head = rows.groupBy("path").agg(F.min_by(F.transform("cells", lambda c: F.replace(F.lower(c), F.lit(" "), F.lit("_"))), "line").alias("head"), F.min("line").alias("first"))
-    body = rows.join(head, "path").filter("line > first")
-    padded = F.slice(F.concat("cells", F.array_repeat(F.lit(""), F.size("head"))), F.lit(1), F.size("head"))
-    named = F.filter(F.arrays_zip(F.col("head").alias("k"), padded.alias("v")), lambda e, i: F.array_position("head", e["k"]) == i + 1)
-    body = body.withColumn("m", F.map_from_entries(named))
+    rows = _split_lines(spark, path).withColumn("t", strip(F.col("text")))
+    holds = (F.col("t") != "") & ~F.upper(F.substring("t", 1, 10)).startswith("LEDES1998B")
+    cells = F.split(F.when(F.col("t").endswith("[]"), F.left("t", F.length("t") - 2)).otherwise(F.col("t")), r"\|", -1)
+    starts = split_starts(rows, _head=F.min(F.when(holds, F.col("_id"))))
+    of_file = starts.filter("_head is not null").groupBy("path").agg(F.min_by(F.struct("_head", (F.col("_base") + F.col("_head") - F.col("_first")).alias("at")), "_split").alias("h"))
+    head = rows.join(small(of_file.select("path", F.col("h._head").alias("_id"), F.col("h.at").alias("_from")), SPLITS), ["path", "_id"])
+    head = head.select("path", "_from", F.transform(cells, lambda c: F.replace(F.lower(strip(c)), F.lit(" "), F.lit("_"))).alias("head"))
     wanted = sorted({n for names in BILLING.values() for n in names})
-    return body.select(*[F.nullif(F.try_element_at("m", F.lit(n)), F.lit("")).alias(n) for n in wanted], F.col("file").alias("_source_file"), F.col("line").cast("long").alias("_line"))
+    head = head.select("path", "_from", *[F.nullif(F.array_position("head", n).cast("int"), F.lit(0)).alias(f"_at_{n}") for n in wanted])
+    starts = Steps(spark).keep(starts.drop("_head").join(small(head, SPLITS), "path"))
+    body = rows.filter(holds).join(small(starts, SPLITS), ["path", "_split"]).withColumn("line", F.col("_base") + F.col("_id") - F.col("_first")).filter("line > _from").withColumn("cells", cells)
+    field = lambda n: F.nullif(strip(F.try_element_at("cells", F.col(f"_at_{n}"))), F.lit(""))
+    return body.select(*[field(n).alias(n) for n in wanted], F.col("file").alias("_source_file"), F.col("path").alias("_source_path"), F.col("line").cast("long").alias("_line"))
 
 
 def read_ofx(spark: SparkSession, path: str) -> DataFrame:
@@ -153,7 +164,9 @@ def read_ofx(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_name").alias("file"), "value")
     tag = lambda c, t: F.nullif(strip(F.regexp_extract(c, rf"(?i)<{t}>([^<\r\n]*)", 1)), F.lit(""))
     account = F.coalesce(tag(F.col("value"), "ACCTID"), F.col("file"))
-    rows = whole.select("file", account.alias("account"), F.explode(F.regexp_extract_all("value", F.lit(r"(?is)<STMTTRN>(.*?)</STMTTRN>"), F.lit(1))).alias("x"))
+    # the account is looked for before the transactions become rows: once per file, not in the whole file for each of them
+    whole = whole.select("file", account.alias("account"), F.regexp_extract_all("value", F.lit(r"(?is)<STMTTRN>(.*?)</STMTTRN>"), F.lit(1)).alias("xs"))
+    rows = whole.select("file", "account", F.explode("xs").alias("x"))
     x = F.col("x")
     return rows.select(F.try_to_timestamp(F.substring(tag(x, "DTPOSTED"), 1, 8), F.lit("yyyyMMdd")).alias("date"), F.concat_ws(" - ", tag(x, "NAME"), tag(x, "MEMO")).alias("description"), tag(x, "TRNAMT").try_cast("double").alias("amount"), "account", F.coalesce(tag(x, "TRNTYPE"), F.lit("")).alias("category"), F.col("file").alias("_source_file"))
 
