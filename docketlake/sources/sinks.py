@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ def write_calendars(deadlines: DataFrame, path: str) -> None:
     rows.select("value").write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
-def workbook_bytes(rows: list[list[str | None]]) -> bytes:
+def workbook_bytes(rows: list[Sequence[str | None]]) -> bytes:
     """A workbook of one sheet: strings in line, numbers as numbers, gaps left out."""
     import io
     import re
@@ -79,16 +81,18 @@ def workbooks(df: DataFrame, key: str, *order, rows: int = SHEET_ROWS - 1) -> Da
     """(path, content): a workbook per value of ``key`` and ``rows`` rows, in ``order``, with the columns' names as first
     row; each is made by one task, which the size of a sheet bounds."""
     cols = [c for c in df.columns if c != key]
-    part = F.floor((F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1) / rows).cast("int")
-    numbered = df.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).withColumn("_part", part)
-    cells = F.struct("_k", F.array(*[F.col(c).cast("string") for c in cols]).alias("c"))
-    whole = numbered.groupBy(key, "_part").agg(F.transform(F.sort_array(F.collect_list(cells)), lambda x: x["c"]).alias("rows"))
-
-    @F.pandas_udf("binary")
-    def book(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda r: workbook_bytes([cols, *map(list, r)]))
-
-    return whole.select(F.concat(F.col(key).cast("string"), F.lit("-"), F.col("_part").cast("string"), F.lit(".xlsx")).alias("path"), book("rows").alias("content"))
+    place = F.row_number().over(Window.partitionBy("_key").orderBy(*order))
+    cells = df.withColumn("_key", F.col(key).cast("string")).withColumn("_k", place).select("_key", "_k", *[F.col(c).cast("string").alias(f"_c{i}") for i, c in enumerate(cols)])
+
+    def book(table: pa.Table) -> pa.Table:
+        # a workbook at a time comes to the worker, as columns
+        table = table.sort_by("_k")
+        data = [table.column(f"_c{i}").to_pylist() for i in range(len(cols))]
+        path = f"{table.column('_key')[0].as_py() or ''}-{table.column('_part')[0].as_py()}.xlsx"
+        return pa.table({"path": [path], "content": pa.array([workbook_bytes([cols, *zip(*data)])], pa.binary())})
+
+    part = F.floor((F.col("_k") - 1) / rows).cast("int")
+    return cells.withColumn("_part", part).groupBy("_key", "_part").applyInArrow(book, "path string, content binary")
 
 
 def write_workbook(df: DataFrame, path: str, *order) -> None:
