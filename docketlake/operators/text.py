@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketlake.functions.core import strip
+from docketlake.functions.core import strip, tasks_of
 from docketlake.functions.scratch import Steps
 from docketlake.operators.similarity import first_of_each, lowered, similar_pairs
 
@@ -670,10 +670,14 @@ def diff_documents(pairs: DataFrame) -> DataFrame:
 
 def change_sections(changes: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """``changes`` (pair_id, old_index, new_index, ...) with ``section``: that of the old paragraph with this index,
-    else of the new one, else ``Unknown``. ``old``, ``new``: (pair_id, index, section)."""
+    else of the new one, else ``Unknown``. ``old``, ``new``: (pair_id, index, section). All three are counted: give tables
+    as read. A task joins so many rows, however large they are."""
     o = old.select("pair_id", F.col("index").alias("old_index"), F.col("section").alias("_o"))
     n = new.select("pair_id", F.col("index").alias("new_index"), F.col("section").alias("_n"))
-    rows = changes.join(o, ["pair_id", "old_index"], "left").join(n, ["pair_id", "new_index"], "left")
+    tasks = tasks_of(changes, old, new)
+    rows = changes
+    for side, index in ((o, "old_index"), (n, "new_index")):
+        rows = rows.repartition(tasks, "pair_id", index).join(side.repartition(tasks, "pair_id", index), ["pair_id", index], "left")
     return rows.withColumn("section", F.coalesce("_o", "_n", F.lit("Unknown"))).drop("_o", "_n")
 
 
@@ -681,6 +685,9 @@ def section_stats(changes: DataFrame) -> DataFrame:
     """Per pair and section: additions, deletions, modifications, total, and ``place`` in order of total (ties by
     name); the most changed sections are those of the first places."""
     kinds = {"additions": "added", "deletions": "deleted", "modifications": "modified"}
+    # pairs are dealt over as many tasks as the rows need; a task counts and ranks its own
+    changes = Steps(changes.sparkSession).keep(changes.select("pair_id", "section", "type"))
+    changes = changes.repartition(tasks_of(changes), "pair_id")
     by = changes.groupBy("pair_id", "section").agg(*[F.count(F.when(F.col("type") == k, 1)).alias(n) for n, k in kinds.items()], F.count(F.lit(1)).alias("total"))
     return by.withColumn("place", F.row_number().over(Window.partitionBy("pair_id").orderBy(F.col("total").desc(), "section")).cast("long"))
 

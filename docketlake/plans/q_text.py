@@ -1,6 +1,8 @@
 from pyspark.sql import Window as _Window
 from pyspark.sql import functions as F
 
+from docketlake.functions.core import tasks_of
+from docketlake.functions.scratch import Steps
 from docketlake.operators import records as R
 from docketlake.operators import text as T
 from docketlake.operators import timeseries as TS
@@ -320,9 +322,10 @@ def diff(c):
 
 def _changes(c):
     """Changes of the pairs by index, where each paragraph of the old side that differs is a change of its own."""
-    w = c.select("doc_id", "change_id", "section", "old_text", "new_text")
+    steps = Steps(c.sparkSession)  # else the lens is worked out for each side
+    w = steps.keep(c.select("doc_id", "change_id", "section"))
     n = F.row_number().over(_Window.partitionBy("doc_id").orderBy("change_id")) - 1
-    rows = w.withColumn("n", n.cast("long"))
+    rows = steps.keep(w.repartition(tasks_of(w), "doc_id").withColumn("n", n.cast("long")))
     kind = F.when(F.col("n") % 3 == 0, "modified").when(F.col("n") % 3 == 1, "deleted").otherwise("added")
     old = rows.select(F.col("doc_id").alias("pair_id"), F.col("n").alias("index"), "section").filter("index % 7 <> 6")
     new = rows.select(F.col("doc_id").alias("pair_id"), F.col("n").alias("index"), F.concat(F.lit("New "), "section").alias("section"))
