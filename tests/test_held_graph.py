@@ -33,3 +33,12 @@ def test_few_tables_are_written(spark, monkeypatch):
     path = [(f"n{k:02d}", f"n{k + 1:02d}", 1) for k in range(20)]
     G.shortest_path_centrality(spark.createDataFrame(path, "src string, dst string, weight long")).collect()
     assert len(kept) < 6
+
+
+def test_key_players_in_few_steps(spark, monkeypatch):
+    keep, kept = Steps.keep, []
+    monkeypatch.setattr(Steps, "keep", lambda self, df, states=4: kept.append(df.columns) or keep(self, df, states))
+    path = [(f"n{k:02d}", f"n{k + 1:02d}", 1) for k in range(20)]
+    got = G.key_players(spark.createDataFrame(path, "src string, dst string, weight long"), 3).collect()
+    assert kept[0] == ["src", "dst", "weight"] and len(kept) < 12
+    assert {r.node for r in got} == {"n01", "n19", "n02"} and {r.contacts for r in got} == {2}
