@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import difflib
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -538,6 +540,8 @@ def page_estimates(chunks: DataFrame, pages: DataFrame) -> DataFrame:
 
 #: The heading of what stands before the first one.
 PREAMBLE = "Preamble"
+#: Chunks that a task hands on at once.
+CHUNK_ROWS = 2000
 
 
 def structure_chunks(sections: DataFrame, most: int = 4000, overlap: int = 200, small: int = 100, vocabulary: str | None = None) -> DataFrame:
@@ -546,39 +550,58 @@ def structure_chunks(sections: DataFrame, most: int = 4000, overlap: int = 200,
     A section joins the chunk before it while that is under ``small`` tokens, or the sum under 0.8 of ``most``; headings
     are joined by slashes, but a chunk still under ``small`` takes the later one alone. A section above ``most`` is
     cut at sentences with ``overlap``, its parts numbered; a chunk before it that is under ``small`` goes in front of it.
-    Null headings are the preamble's. Order is per document.
+    Null headings are the preamble's. Order is per document: rows come to a task sorted and are read one by one, so that a document
+    costs by its sections and only its open chunk is held.
     """
     count = counter(vocabulary)
 
-    def one(doc: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []  # heading, text, tokens
-        held: list | None = None
-        for heading, text in doc.sort_values("pos")[["heading", "text"]].itertuples(index=False):
+    def chunks(rows: Iterator[tuple]) -> Iterator[tuple]:
+        """(doc_id, chunk, heading, text, tokens) of (doc_id, heading, text) in order."""
+        held: list | None = None  # heading, texts, tokens
+        doc, n_out = None, 0
+
+        def out(heading: str, text: str, tokens: int) -> tuple:
+            nonlocal n_out
+            n_out += 1
+            return doc, n_out - 1, heading, text, tokens
+
+        for d, heading, text in rows:
+            if d != doc:
+                if held:
+                    yield out(held[0], "\n\n".join(held[1]), held[2])
+                held, doc, n_out = None, d, 0
             heading, text = heading or PREAMBLE, text or ""
             n = count(text)
             if n > most:
                 if held and held[2] < small:
-                    text = f"{held[1]}\n\n{text}"
+                    text = "\n\n".join([*held[1], text])
                 elif held:
-                    out.append(held)
+                    yield out(held[0], "\n\n".join(held[1]), held[2])
                 held = None
                 parts = list(sentence_chunks(text, most, overlap, count))
-                out += [[f"{heading} (part {k})" if len(parts) > 1 else heading, p, count(p)] for k, p in enumerate(parts, 1)]
+                for k, p in enumerate(parts, 1):
+                    yield out(f"{heading} (part {k})" if len(parts) > 1 else heading, p, count(p))
             elif held and (held[2] < small or held[2] + n < 0.8 * most):
-                held[1] += f"\n\n{text}"
+                held[1].append(text)
                 held[2] += n
                 if (held[0], heading) != (PREAMBLE, PREAMBLE):
                     held[0] = heading if held[2] < small else f"{held[0]} / {heading}"
             else:
                 if held:
-                    out.append(held)
-                held = [heading, text, n]
+                    yield out(held[0], "\n\n".join(held[1]), held[2])
+                held = [heading, [text], n]
         if held:
-            out.append(held)
-        d = doc["doc_id"].iloc[0]
-        return pd.DataFrame([(d, i, *x) for i, x in enumerate(out)], columns=["doc_id", "chunk", "heading", "text", "tokens"])
+            yield out(held[0], "\n\n".join(held[1]), held[2])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "heading", "text"))))
+        found = chunks(rows)
+        while part := list(itertools.islice(found, CHUNK_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*part), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], ["doc_id", "chunk", "heading", "text", "tokens"])
 
-    return sections.select("doc_id", "pos", "heading", "text").groupBy("doc_id").applyInPandas(one, "doc_id bigint, chunk bigint, heading string, text string, tokens bigint")
+    by_doc = sections.select(F.col("doc_id").cast("long").alias("doc_id"), "pos", "heading", "text").repartition("doc_id")
+    by_doc = by_doc.sortWithinPartitions("doc_id", F.col("pos").asc_nulls_last()).select("doc_id", "heading", "text")
+    return by_doc.mapInArrow(run, "doc_id bigint, chunk bigint, heading string, text string, tokens bigint")
 
 
 def paragraph_chunks(text: Column, most: int = 100_000) -> Column:
