@@ -42,3 +42,16 @@ def test_key_players_in_few_steps(spark, monkeypatch):
     got = G.key_players(spark.createDataFrame(path, "src string, dst string, weight long"), 3).collect()
     assert kept[0] == ["src", "dst", "weight"] and len(kept) < 12
     assert {r.node for r in got} == {"n01", "n19", "n02"} and {r.contacts for r in got} == {2}
+
+
+@pytest.mark.parametrize("weighted", [True, False])
+def test_nodes_alike_are_one(spark, monkeypatch, weighted):
+    """Nodes of the same edges (of equal weights: h and x; of other ones: y) stand for each other; figures are those of all pairs."""
+    rows = [*_graph(3, 6, 0.5), *[(f"{k}{j}", n, w + (k == "y") * j) for k in "hxy" for j in range(3) for n, w in (("n00", 1), ("n01", 1 + (k == "x")), ("n03", 2))]]
+    sizes, run = [], G._from_held
+    monkeypatch.setattr(G, "_from_held", lambda known, picked, n, n_edges, near: sizes.append(n) or run(known, picked, n, n_edges, near))
+    got = {r.node: r for r in G.shortest_path_centrality(spark.createDataFrame(rows, "src string, dst string, weight long"), weighted).collect()}
+    between, near = _paths(rows, weighted), _steps(rows)
+    assert got.keys() == between.keys() and max(sizes) < len(got)
+    for v, r in got.items():
+        assert r.betweenness == pytest.approx(between[v], abs=1e-12) and r.closeness == pytest.approx(near[v], abs=1e-12)
